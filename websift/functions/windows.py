@@ -1,0 +1,76 @@
+"""Picks and marks the snippet window of one result row. Runs inside Arrow workers."""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_left, bisect_right
+
+# Fixed values of the snippet format.
+WINDOW = 15
+OPEN, CLOSE, ELLIPSIS = "<mark>", "</mark>", " … "
+_SENTENCE_GAP = re.compile(r"[.:][ \t\n\r]+\Z")
+
+
+def _find(tokens: list[str], phrases: list[list[str]]) -> list[tuple[int, int, int]]:
+    """Hits as (position, phrase number, size), by position and then phrase."""
+    hits = []
+    for no, phrase in enumerate(phrases):
+        m = len(phrase)
+        hits += [(i, no, m) for i in range(len(tokens) - m + 1)
+                 if m and tokens[i] == phrase[0] and tokens[i:i + m] == phrase]
+    return sorted(hits)
+
+
+def _choose(hits: list[tuple[int, int, int]], starts: list[int], n: int) -> int:
+    """The window start: 1000 for each phrase in the window, 1 for each repetition, and a bonus for
+    windows that begin a sentence. The earliest of the best wins."""
+    at = [h[0] for h in hits]
+
+    def inside(start: int) -> list[tuple[int, int, int]]:
+        return hits[bisect_left(at, start):bisect_left(at, start + WINDOW)]
+
+    def score(window) -> int:
+        return 999 * len({h[1] for h in window}) + len(window)
+
+    best, chosen = -1, 0
+    for pos, _, _ in hits:
+        window = inside(pos)
+        if score(window) > best:
+            best = score(window)
+            spare = WINDOW - (window[-1][0] + window[-1][2] - pos)
+            chosen = max(min(pos - int(spare / 2), n - WINDOW), 0)      # hits in the middle
+        if n > WINDOW:
+            s = starts[bisect_right(starts, pos) - 1]
+            if s < pos:
+                bonus = score(inside(s)) + (100 if s else 120)
+                if bonus > best:
+                    best, chosen = bonus, s
+    return chosen
+
+
+def snippet(raw: list[str], gaps: list[str], tokens: list[str], phrases: list[list[str]]) -> str:
+    """``raw`` tokens as written, the ``gaps`` around them, and the folded ``tokens`` to search in."""
+    n = len(raw)
+    if n == 0:
+        return "".join(gaps)
+    hits = _find(tokens, phrases)
+    starts = [0] + [j for j in range(1, n) if _SENTENCE_GAP.search(gaps[j])]
+    first = _choose(hits, starts, n)
+    last = min(first + WINDOW, n) - 1
+
+    runs: list[list[int]] = []              # overlapping hits share one mark
+    for pos, _, m in hits:
+        if runs and pos <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], pos + m - 1)
+        else:
+            runs.append([pos, pos + m - 1])
+    opened = {a for a, _ in runs if first <= a <= last}
+    closed = {min(b, last) for a, b in runs if first <= a <= last}
+
+    out = [ELLIPSIS if first else gaps[0]]
+    for j in range(first, last + 1):
+        if j > first:
+            out.append(gaps[j])
+        out.append((OPEN if j in opened else "") + raw[j] + (CLOSE if j in closed else ""))
+    out.append(gaps[n] if last == n - 1 else ELLIPSIS)
+    return "".join(out)
