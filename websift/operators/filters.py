@@ -21,8 +21,10 @@ def url_like(url: Column, value: Column | str) -> Column:
         if "_" not in value and "%" not in value and "\\" not in value:
             return _ascii_lower(url).contains(pattern.strip("%"))
         return _ascii_lower(url).like(pattern)
-    pattern = F.concat(F.lit("%"), F.replace(_ascii_lower(value), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    return F.like(_ascii_lower(url), pattern)
+    low, word = _ascii_lower(url), _ascii_lower(value)
+    pattern = F.concat(F.lit("%"), F.replace(word, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    # a pattern column is compiled anew for each row, so plain words are looked for as they are
+    return F.when(value.rlike(r"[%_\\]"), F.like(low, pattern)).otherwise(low.contains(word))
 
 
 def url_has_type(url: Column, extension: str) -> Column:
@@ -51,3 +53,11 @@ def since(now: Column, time_filter: Column) -> Column:
 def young_enough(crawled_at: Column, now: Column, time_filter: Column) -> Column:
     known = F.coalesce(time_filter.isin("day", "week", "month", "year"), F.lit(False))
     return ~known | F.coalesce(crawled_at > since(now, time_filter), F.lit(False))
+
+
+def conditions(url: Column, crawled_at: Column, now: Column, site: Column, inurl: Column,
+               time_filter: Column) -> Column:
+    """All filters of a search whose values are columns; a null site does not filter."""
+    return (F.coalesce(url_like(url, site), F.lit(True))
+            & F.forall(inurl, lambda w: url_like(url, w))
+            & young_enough(crawled_at, now, time_filter))

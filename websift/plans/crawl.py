@@ -1,0 +1,103 @@
+"""Crawling a page collection in rounds. A round is one job; nothing is fetched over a network."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from websift import schema as S
+from websift.functions.html import with_content
+from websift.operators import crawl as C
+from websift.operators import store
+from websift.session import scratch_path
+
+
+@dataclass
+class Round:
+    """What one round leaves: a log row for each URL taken, new store rows, and links found."""
+
+    log: DataFrame      # url, outcome
+    saved: DataFrame    # seq, url, title, content, status_code
+    links: DataFrame    # url, seq
+
+
+def visit(batch: DataFrame, web: DataFrame, robots: DataFrame) -> DataFrame:
+    """Each URL of ``batch`` with its state and, if it was read, title, content and links.
+
+    ``web``: ``url, status, content_type, n_bytes, html``, each URL once. Only pages that will be read
+    bring their HTML along.
+    """
+    asked = C.with_robots(batch.select("url", "seq"), robots)
+    html = F.when(C.acceptable(), F.col("html"))
+    found = asked.join(web.select("url", "status", C.acceptable().alias("good"), html.alias("html")), "url", "left")
+    state = (F.when(~F.col("allowed"), "robots_blocked")
+             .when(F.col("status").isNull() | F.col("status").between(400, 599), "failed")
+             .when(~F.col("good"), "skipped").otherwise("read"))
+    found = found.withColumn("state", state)
+    read = found.withColumn("html", F.when(F.col("state") == "read", F.col("html")))
+    return with_content(read).drop("html", "allowed", "good")
+
+
+def outcomes(visits: DataFrame, saved: DataFrame) -> DataFrame:
+    """``url, outcome``: visits with what became of them."""
+    kept = saved.select("url", F.lit(True).alias("kept"))
+    read = F.when(F.col("kept"), "crawled").otherwise("rejected")
+    return visits.join(kept, "url", "left").select(
+        "url", F.when(F.col("state") == "read", read).otherwise(F.col("state")).alias("outcome"))
+
+
+def crawl_round(batch: DataFrame, web: DataFrame, robots: DataFrame, stored: DataFrame,
+                visits: DataFrame | None = None) -> Round:
+    """One round over ``batch`` (``url, seq``). ``visits`` may be a stored ``visit`` of the same batch."""
+    v = visit(batch, web, robots) if visits is None else visits
+    good = v.filter("state = 'read'")
+    saved = store.new_pages(good.select("seq", "url", "title", "content",
+                                        F.col("status").alias("status_code")), stored)
+    links = C.page_links(good).select(F.col("dst_url").alias("url"))
+    return Round(outcomes(v.select("url", "state"), saved), saved, links)
+
+
+def crawl_rounds(spark: SparkSession, seeds: DataFrame, web: DataFrame, robots: DataFrame,
+                 max_pages: int | None = None, batch_size: int | None = None,
+                 max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rounds until the frontier is empty or ``max_pages`` URLs were visited.
+
+    Returns the log (``round, url, outcome``) and the store rows (``round, url, title, content,
+    status_code``). ``seeds``: ``seq, url``. Each round's visits, log, rows and frontier are written to the
+    shared folder, so no round's plan holds the rounds before it and a lost executor costs one round.
+    A URL's ``seq`` is the round that found it; equal ones are taken in order of URL.
+    """
+    root = scratch_path(spark, "crawl")
+    frontier = seeds.select("url", F.lit(0).cast("long").alias("seq")).distinct()
+    frontier = C.unseen(frontier, spark.createDataFrame([], "url string"))
+    log = spark.createDataFrame([], "round int, url string, outcome string")
+    stored = spark.createDataFrame([], "round int, url string, title string, content string, status_code int")
+    seen, done = 0, 0
+    while max_rounds is None or done < max_rounds:
+        left = None if max_pages is None else max_pages - seen
+        sizes = [n for n in (left, batch_size) if n is not None]
+        done += 1
+        frontier.write.parquet(f"{root}/frontier/{done}")
+        frontier = spark.read.schema(S.FRONTIER).parquet(f"{root}/frontier/{done}")
+        batch = C.next_batch(frontier, min(sizes)) if sizes else frontier
+        visit(batch, web, robots).write.parquet(f"{root}/visits/{done}")
+        visits = spark.read.parquet(f"{root}/visits/{done}")
+        n = visits.count()
+        if n == 0:
+            break
+        seen += n
+        this = crawl_round(batch, web, robots, stored, visits)
+        this.saved.drop("seq").withColumn("status_code", F.col("status_code").cast("int")).write.parquet(
+            f"{root}/pages/round={done}")
+        pages = spark.read.parquet(f"{root}/pages/round={done}")
+        outcomes(visits, pages).write.parquet(f"{root}/log/round={done}")
+        log = spark.read.schema(log.schema).parquet(f"{root}/log")
+        stored = spark.read.schema(stored.schema).parquet(f"{root}/pages")
+        offered = this.links.select("url", F.lit(done).cast("long").alias("seq"))
+        waiting = frontier.select("url", "seq").unionByName(offered)
+        frontier = C.unseen(waiting, log)
+        if max_pages is not None and seen >= max_pages:
+            break
+    return log, stored
