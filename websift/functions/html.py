@@ -53,18 +53,22 @@ def with_parts(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
                      F.col("_p.links").alias("raw_links"))
 
 
-def with_content(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """``pages`` plus cleaned ``title`` and ``content`` and the page's valid ``links`` in order.
+def with_content(pages: DataFrame, html: str = "html", url: str = "url",
+                 want: tuple[str, ...] = ("title", "content", "links")) -> DataFrame:
+    """``pages`` plus ``readable`` and, of cleaned ``title`` and ``content`` and the page's valid ``links`` in
+    order, what ``want`` names.
 
     A page that cannot be read has null title and content and no links.
     """
     df = with_parts(pages, html, url)
     title = F.nullif(F.substr(X.tidy(F.col("raw_title")), F.lit(1), F.lit(200)), F.lit(""))
-    links = F.transform("raw_links", U.normalize_url)
-    return df.select(
-        *pages.columns,
-        "readable",
-        F.when(F.col("readable"), F.coalesce(title, F.lit("Untitled"))).alias("title"),
-        F.when(F.col("readable"), X.tidy(F.col("raw_text"))).alias("content"),
-        F.filter(links, U.is_valid_url).alias("links"),
-    )
+    made = {
+        "title": F.when(F.col("readable"), F.coalesce(title, F.lit("Untitled"))),
+        "content": F.when(F.col("readable"), X.tidy(F.col("raw_text"))),
+        "links": F.filter(F.transform("raw_links", U.normalize_url), U.is_valid_url),
+    }
+    # A one-row generator instead of a projection: filters on what it makes stay above it, where they see
+    # finished values. Moved below, they would parse and clean every page once more. Filters on other
+    # columns still reach the scan.
+    one = F.array(F.struct("readable", *[made[w].alias(w) for w in want]))
+    return df.select(*pages.columns, F.inline(one))

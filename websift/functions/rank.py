@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from websift.functions import urls as U
-
 # Authority of well-known sites, in the order they are tried.
 AUTHORITY = {"youtube.com": 100, "google.com": 95, "facebook.com": 90, "twitter.com": 85,
              "instagram.com": 80, "wikipedia.org": 75, "github.com": 70, "stackoverflow.com": 65,
@@ -27,9 +25,12 @@ def bm25_part(idf_: Column, f: Column, doc_len: Column, avg_len: Column) -> Colu
     return -idf_ * (f * F.lit(K1 + 1.0)) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * doc_len / avg_len))
 
 
-def website_rank(url: Column, title: Column, content_length: Column, terms: Column) -> Column:
-    """Authority of the site, hits of the terms in title and URL, and length of the page."""
-    host = F.lower(U.domain(url))
+def website_rank(domain: Column, url: Column, title: Column, content_length: Column, terms: Column) -> Column:
+    """Authority of the site, hits of the terms in title and URL, and length of the page.
+
+    ``domain`` should be a column of its own: it is looked at for each site.
+    """
+    host = F.lower(domain)
     site = F.lit(0)
     for name, bonus in reversed(AUTHORITY.items()):
         site = F.when(host.contains(name), bonus).otherwise(site)

@@ -125,10 +125,9 @@ def _fold_tables() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    """Case and single accents folded. Plain ASCII text, the common case, only needs ``lower``."""
+    """Case and single accents folded. Names ``c`` once, as it may stand for costly text cleaning."""
     src, dst = _fold_tables()
-    rich = F.lower(F.translate(F.regexp_replace(c, r"\p{Mn}", ""), src, dst))
-    return F.when(c.rlike(r"[^\x00-\x7f]"), rich).otherwise(F.lower(c))
+    return F.lower(F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), src, dst))
 
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"

@@ -50,14 +50,13 @@ def since(now: Column, time_filter: Column) -> Column:
             .when(time_filter == "year", back(first, day)))
 
 
-def young_enough(crawled_at: Column, now: Column, time_filter: Column) -> Column:
-    known = F.coalesce(time_filter.isin("day", "week", "month", "year"), F.lit(False))
-    return ~known | F.coalesce(crawled_at > since(now, time_filter), F.lit(False))
+def young_enough(crawled_at: Column, since_: Column) -> Column:
+    """A null ``since`` does not filter."""
+    return since_.isNull() | F.coalesce(crawled_at > since_, F.lit(False))
 
 
-def conditions(url: Column, crawled_at: Column, now: Column, site: Column, inurl: Column,
-               time_filter: Column) -> Column:
+def conditions(url: Column, crawled_at: Column, site: Column, inurl: Column, since_: Column) -> Column:
     """All filters of a search whose values are columns; a null site does not filter."""
     return (F.coalesce(url_like(url, site), F.lit(True))
             & F.forall(inurl, lambda w: url_like(url, w))
-            & young_enough(crawled_at, now, time_filter))
+            & young_enough(crawled_at, since_))

@@ -17,32 +17,39 @@ from websift.functions import text as X
 Phrase = tuple[bool, list[str]]     # title only?, tokens
 
 
-def _token_strings(pages: DataFrame) -> DataFrame:
-    return (pages.withColumn("_tt", X.token_string(F.col("title")))
-            .withColumn("_ct", X.token_string(F.col("content"))))
+def _per_page(of_page) -> Column:
+    """A one-item array holding ``of_page(title tokens, content tokens)``.
+
+    Tokens are bound to a lambda variable, so a page's text is cleaned and cut once however many phrases
+    look at it.
+    """
+    both = F.struct(X.token_string(F.col("title")).alias("t"), X.token_string(F.col("content")).alias("c"))
+    return F.transform(F.array(both), lambda s: of_page(s.t, s.c))
 
 
-def matches(phrases: list[Phrase]) -> Column:
-    """All phrases occur; true without phrases. Needs the columns of ``_token_strings``."""
+def _is_hit(phrases: list[Phrase], t: Column, c: Column) -> Column:
     def one(p: Phrase) -> Column:
         title_only, toks = p
-        hit = X.phrase_match(F.col("_tt"), toks)
-        return hit if title_only else hit | X.phrase_match(F.col("_ct"), toks)
+        hit = X.phrase_match(t, toks)
+        return hit if title_only else hit | X.phrase_match(c, toks)
     return reduce(lambda a, b: a & b, [one(p) for p in phrases], F.lit(True))
 
 
-def matching(pages: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """The pages that contain every phrase."""
-    return _token_strings(pages).filter(matches(phrases)).drop("_tt", "_ct")
+def _counts(phrases: list[Phrase], t: Column, c: Column) -> list[Column]:
+    out = [(X.n_tokens(t) + X.n_tokens(c)).alias("doc_len")]
+    for i, (title_only, toks) in enumerate(phrases):
+        f = X.phrase_count(t, toks)
+        out.append((f if title_only else f + X.phrase_count(c, toks)).alias(f"f{i}"))
+    return out
 
 
-def _with_counts(pages: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    df = _token_strings(pages)
-    df = df.withColumn("doc_len", X.n_tokens(F.col("_tt")) + X.n_tokens(F.col("_ct")))
-    for i, (title_only, toks) in enumerate(phrases):
-        f = X.phrase_count(F.col("_tt"), toks)
-        df = df.withColumn(f"_f{i}", f if title_only else f + X.phrase_count(F.col("_ct"), toks))
-    return df.drop("_tt", "_ct")
+def matching(pages: DataFrame, phrases: list[Phrase]) -> DataFrame:
+    """The pages that contain every phrase."""
+    if not phrases:
+        return pages
+    hit = F.filter(_per_page(lambda t, c: _is_hit(phrases, t, c)), lambda h: h)
+    # explode, not filter: a filter would be moved below the cleaning of the text and repeat it
+    return pages.select(*pages.columns, F.explode(hit).alias("_hit")).drop("_hit")
 
 
 def scored(pages: DataFrame, phrases: list[Phrase], where: Column | None = None) -> DataFrame:
@@ -51,18 +58,19 @@ def scored(pages: DataFrame, phrases: list[Phrase], where: Column | None = None)
     Statistics come from all of ``pages``, whatever ``where`` says. They are one row, computed once as
     a scalar subquery. Without phrases every page matches with rank 0.
     """
-    hit = matches(phrases) if where is None else matches(phrases) & where
+    found = pages if where is None else pages.filter(where)
     if not phrases:
-        found = pages if where is None else pages.filter(where)
         return found.withColumn("rank", F.lit(0.0))
-    facts = _with_counts(pages.select("title", "content"), phrases)
+    ids = range(len(phrases))
+    facts = pages.select(F.explode(_per_page(lambda t, c: F.struct(*_counts(phrases, t, c)))).alias("m"))
     stats = facts.agg(F.struct(
         F.count(F.lit(1)).alias("n_docs"),
-        (F.sum("doc_len") / F.count(F.lit(1))).alias("avg_len"),
-        *[F.count_if(F.col(f"_f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).alias("stats"))
-    found = _token_strings(pages).filter(hit).select(*pages.columns)
-    found = _with_counts(found, phrases).withColumn("_s", stats.scalar())
+        (F.sum("m.doc_len") / F.count(F.lit(1))).alias("avg_len"),
+        *[F.count_if(F.col(f"m.f{i}") > 0).alias(f"n{i}") for i in ids]).alias("stats"))
+    counted = _per_page(lambda t, c: F.when(_is_hit(phrases, t, c), F.struct(*_counts(phrases, t, c))))
+    found = found.select(*pages.columns, F.explode(F.filter(counted, lambda m: m.isNotNull())).alias("m"))
+    found = found.withColumn("_s", stats.scalar())
     s = F.col("_s")
-    parts = [R.bm25_part(R.idf(s["n_docs"], s[f"n{i}"]), F.col(f"_f{i}"), F.col("doc_len"), s["avg_len"])
-             for i in range(len(phrases))]
+    parts = [R.bm25_part(R.idf(s["n_docs"], s[f"n{i}"]), F.col(f"m.f{i}"), F.col("m.doc_len"), s["avg_len"])
+             for i in ids]
     return found.select(*pages.columns, reduce(lambda a, b: a + b, parts).alias("rank"))

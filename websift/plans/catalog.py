@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from websift.functions import rank as R
@@ -52,13 +53,14 @@ def _doc_corpus(spark: SparkSession, d: str) -> DataFrame:
     return P.documents_as_store(P.spread(_documents(spark, d)))
 
 
-def _now(corpus: DataFrame) -> Column:
-    """The time of the latest page stands for the present."""
-    return corpus.agg(F.max("crawled_at")).scalar()
+def _now(corpus: DataFrame) -> dt.datetime:
+    """The time of the latest page stands for the present. A plain value, so that age filters reach the
+    scan as constants."""
+    return corpus.agg(F.max("crawled_at")).first()[0]
 
 
-def _content(spark: SparkSession, d: str) -> DataFrame:
-    return with_content(P.spread(_raw(spark, d)))
+def _content(spark: SparkSession, d: str, *want: str) -> DataFrame:
+    return with_content(P.spread(_raw(spark, d)), want=want)
 
 
 # ------------------------------------------------------------------------------ text and URLs
@@ -70,17 +72,17 @@ def page_scan(spark, d):
 
 @query("page_text", f"WITH {O.CORPUS} SELECT id AS page_id, content FROM corpus")
 def page_text(spark, d):
-    return _content(spark, d).select("page_id", "content")
+    return _content(spark, d, "content").select("page_id", "content")
 
 
 @query("page_title", f"WITH {O.CORPUS} SELECT id AS page_id, title FROM corpus")
 def page_title(spark, d):
-    return _content(spark, d).select("page_id", "title")
+    return _content(spark, d, "title").select("page_id", "title")
 
 
 @query("page_links", f"WITH {O.LINKS} SELECT src_url, pos, dst_url FROM links")
 def page_links(spark, d):
-    return C.page_links(_content(spark, d).select("url", "links"))
+    return C.page_links(_content(spark, d, "links").select("url", "links"))
 
 
 @query("clean_text", f"SELECT doc_id, {O.tidy(O.unescape('text'))} AS cleaned FROM documents")
@@ -216,7 +218,8 @@ def _time_filter(name: str):
            f"WITH {_TIMES} SELECT doc_id, crawled_at FROM c, m WHERE crawled_at > {_BACK[name]}")
     def run(spark, d):
         c = P.documents_as_store(_documents(spark, d)).select(F.col("id").alias("doc_id"), "crawled_at")
-        return c.filter(filters.young_enough(F.col("crawled_at"), _now(c), F.lit(name)))
+        now = F.lit(_now(c)).cast("timestamp_ntz")
+        return c.filter(filters.young_enough(F.col("crawled_at"), filters.since(now, F.lit(name))))
 
 
 for _name in _BACK:
@@ -295,8 +298,10 @@ ranked AS (SELECT id, url, {O.website_rank('url', 'title', 'length(content)', _T
 
 def _ranked(spark, d):
     terms = F.array(*[F.lit(t) for t in ("the", "en", "blog", "de la")])
-    return _corpus(spark, d).select("id", "url", R.website_rank(
-        F.col("url"), F.col("title"), F.length("content"), terms).alias("custom_rank"))
+    c = _corpus(spark, d).select("id", "url", "title", F.length("content").alias("n"),
+                                 U.domain(F.col("url")).alias("domain"))
+    return c.select("id", "url", R.website_rank(F.col("domain"), F.col("url"), F.col("title"), F.col("n"),
+                                                terms).alias("custom_rank"))
 
 
 @query("website_rank", f"WITH {_RANKED} SELECT id, custom_rank FROM ranked")
@@ -385,7 +390,7 @@ def search_snippet(spark, d):
 
 @query("search_exclude")
 def search_exclude(spark, d):
-    return search.search(_corpus(spark, d), "the -tion -mark -er").select("pos", "id", "url", "title", "snippet")
+    return search.search(_corpus(spark, d), "the -tion -mark -pills").select("pos", "id", "url", "title", "snippet")
 
 
 @query("search_full")
@@ -628,7 +633,7 @@ def insert_or_ignore(spark, d):
 
 @query("duplicate_url_check", f"WITH {O.LINKS} SELECT dst_url AS url, count(*) AS n FROM links GROUP BY dst_url HAVING count(*) > 1")
 def duplicate_url_check(spark, d):
-    links = C.page_links(_content(spark, d).select("url", "links"))
+    links = C.page_links(_content(spark, d, "links").select("url", "links"))
     return store.repeated_urls(links.select(F.col("dst_url").alias("url")))
 
 
@@ -670,7 +675,7 @@ u AS (SELECT url, {O.domain('url')} AS domain, regexp_extract(url, '^https?://[^
 
 @query("robots_allowed", f"WITH {_TARGETS} SELECT url, {_ALLOWED} AS allowed FROM u")
 def robots_allowed(spark, d):
-    p = _content(spark, d)
+    p = _content(spark, d, "links")
     urls = p.select(F.explode(F.concat(F.array(U.normalize_url(F.col("url"))), F.slice("links", 1, 20))).alias("url"))
     return C.with_robots(urls.distinct(), _robots(spark, d))
 
@@ -684,7 +689,7 @@ fresh AS (SELECT url, {O.priority('url')} AS priority, min(seq) AS seq FROM offe
 
 
 def _offers(spark, d):
-    p = _content(spark, d)
+    p = _content(spark, d, "links")
     offers = p.select(F.explode(F.slice("links", 1, 20)).alias("url"), F.col("page_id").alias("seq"))
     visited = _raw(spark, d).select(U.normalize_url(F.col("url")).alias("url")).unionByName(
         offers.select("url").filter(F.col("url").contains("/the")))

@@ -19,7 +19,7 @@ from websift.operators.salt import salted_join
 
 def parse(spark: SparkSession, q: str) -> dict:
     """The conditions of one search string."""
-    one = Q.with_conditions(spark.createDataFrame([(q,)], "q string"))
+    one = Q.with_conditions(spark.range(1).select(F.lit(q).alias("q")))
     return one.withColumn("phrases", Q.phrases()).first().asDict(recursive=True)
 
 
@@ -48,8 +48,11 @@ def _phrases(spec: dict) -> list[match.Phrase]:
 def hits(pages: DataFrame, q: str, time_filter: str | None = None, now=None,
          filetype: bool = False) -> DataFrame:
     """Every page that answers ``q``, with its BM25 ``rank``. ``filetype`` turns that operator on."""
-    spec = parse(pages.sparkSession, q)
-    if q == "":
+    return _hits(pages, parse(pages.sparkSession, q), time_filter, now, filetype)
+
+
+def _hits(pages: DataFrame, spec: dict, time_filter, now, filetype: bool) -> DataFrame:
+    if spec["q"] == "":
         return pages.filter(F.lit(False)).withColumn("rank", F.lit(0.0))
     return match.scored(pages, _phrases(spec), _where(spec, time_filter, now, filetype))
 
@@ -61,9 +64,9 @@ def _order(sort_by: str) -> list[Column]:
 def _decorated(df: DataFrame) -> DataFrame:
     """Result columns that need no snippet."""
     return (df.withColumn("content_length", F.length("content"))
-            .withColumn("domain", U.domain(F.col("url")))
+            .withColumn("domain", U.domain(F.col("url")))      # before the rank, which reads it often
             .withColumn("crawled_date", F.coalesce(F.date_format("crawled_at", "yyyy-MM-dd"), F.lit("")))
-            .withColumn("custom_rank", R.website_rank(F.col("url"), F.col("title"),
+            .withColumn("custom_rank", R.website_rank(F.col("domain"), F.col("url"), F.col("title"),
                                                       F.coalesce("content_length", F.lit(0)),
                                                       F.col("rank_terms")))
             .withColumn("badge", R.badge(F.col("custom_rank"))))
@@ -91,8 +94,12 @@ def result_page(pages: DataFrame, q: str, page: int = 1, time_filter: str | None
     The page is cut by a top-k in each task; only its rows carry on. Within the page, the relevance order
     puts authoritative sites first.
     """
-    spec = parse(pages.sparkSession, q)
-    found = hits(pages, q, time_filter, now, filetype)
+    return _result_page(pages, parse(pages.sparkSession, q), page, time_filter, sort_by, now, filetype)
+
+
+def _result_page(pages: DataFrame, spec: dict, page: int, time_filter, sort_by: str, now,
+                 filetype: bool) -> DataFrame:
+    found = _hits(pages, spec, time_filter, now, filetype)
     order = _order(sort_by)
     cut_ = found.orderBy(*order).offset(max((page - 1) * paging.PAGE_SIZE, 0)).limit(paging.PAGE_SIZE)
 
@@ -111,8 +118,9 @@ def search(pages: DataFrame, q: str, page: int = 1, time_filter: str | None = No
 
     ``pages``: the store's columns. Exclusions act on the page's rows; totals do not know of them.
     """
-    rows = result_page(pages, q, page, time_filter, sort_by, now, filetype)
-    phrases = [p["tokens"] for p in parse(pages.sparkSession, q)["phrases"] if not p["title_only"]]
+    spec = parse(pages.sparkSession, q)
+    rows = _result_page(pages, spec, page, time_filter, sort_by, now, filetype)
+    phrases = [p["tokens"] for p in spec["phrases"] if not p["title_only"]]
     lits = F.array(*[F.array(*[F.lit(t) for t in p]).cast("array<string>") for p in phrases])
     rows = rows.withColumn("snippet", cut(snippet(F.col("content"), lits.cast("array<array<string>>"))))
     return _displayed(rows.filter(~_is_excluded())).select(*RESULT)
@@ -151,38 +159,50 @@ def _sid() -> Column:
                               F.coalesce("sort_by", F.lit("relevance"))))
 
 
-def _filter_only(searches: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
-    """``sid, doc_id, rank`` of searches that name no phrase: pages are tested in place, and only
+def _filter_only(searches: DataFrame, facts: DataFrame, n: int) -> DataFrame | None:
+    """``sid, doc_id, rank`` of the ``n`` searches that name no phrase: pages are tested in place, and only
     matches leave the scan. Groups of searches bound what one scan holds in memory."""
-    only = searches.filter(F.size("phrases") == 0).select("sid", "site", "inurl", "time_filter")
-    groups = math.ceil(only.count() / FILTERS_AT_ONCE)
+    only = searches.filter(F.size("phrases") == 0).select("sid", "site", "inurl", "since")
+    groups = math.ceil(n / FILTERS_AT_ONCE)
     out = None
     for g in range(groups):
         part = only.filter(F.pmod(F.xxhash64("sid"), F.lit(groups)) == g)
-        table = part.agg(F.collect_list(F.struct("sid", "site", "inurl", "time_filter")).alias("t")).scalar()
+        table = part.agg(F.collect_list(F.struct("sid", "site", "inurl", "since")).alias("t")).scalar()
         met = F.filter("_searches", lambda s: filters.conditions(
-            F.col("url"), F.col("crawled_at"), F.col("_now"), s.site, s.inurl, s.time_filter))
-        some = (facts.withColumn("_searches", table).withColumn("_now", now)
+            F.col("url"), F.col("crawled_at"), s.site, s.inurl, s.since))
+        some = (facts.withColumn("_searches", table)
                 .select("doc_id", F.explode(F.transform(met, lambda s: s.sid)).alias("sid"))
                 .select("sid", "doc_id", F.lit(0.0).alias("rank")))
         out = some if out is None else out.unionByName(some)
     return out
 
 
+def _survey(queries: DataFrame) -> tuple[int, int]:
+    """How many searches name no phrase, and the deepest page anyone asks for."""
+    asked = Q.with_conditions(Q.searchable(queries))
+    none = (F.size("exact_phrase") == 0) & (F.size("terms") == 0) & (F.size("intitle") == 0)
+    n, deepest = asked.agg(F.count_if(none), F.max("page")).first()
+    return n, max(deepest or 1, 1)
+
+
 def batch_hits(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_stats: DataFrame,
                now=None) -> DataFrame:
     """``sid, doc_id, rank, crawled_at, sort_by``: every page that answers each distinct search."""
-    now = _moment(now)
-    searches = _searches(queries)
+    return _batch_hits(queries, pages, postings, doc_stats, now, _survey(queries)[0])
+
+
+def _batch_hits(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_stats: DataFrame,
+                now, n_without_phrase: int) -> DataFrame:
+    searches = _searches(queries).withColumn("since", filters.since(_moment(now), F.col("time_filter")))
     facts = pages.select(F.col("id").alias("doc_id"), "url", "crawled_at")
     found = index.score_searches(postings, doc_stats, searches.filter(F.size("phrases") > 0))
-    tests = searches.select("sid", "site", "inurl", "time_filter", "sort_by")
+    tests = searches.select("sid", "site", "inurl", "since", "sort_by")
     found = salted_join(found.join(facts, "doc_id"), tests, ["sid"], "doc_id")
-    found = found.filter(filters.conditions(F.col("url"), F.col("crawled_at"), now, F.col("site"),
-                                            F.col("inurl"), F.col("time_filter")))
+    found = found.filter(filters.conditions(F.col("url"), F.col("crawled_at"), F.col("site"),
+                                            F.col("inurl"), F.col("since")))
     cols = ["sid", "doc_id", "rank", "crawled_at", "sort_by"]
     found = found.select(*cols)
-    rest = _filter_only(searches, facts, now)
+    rest = _filter_only(searches, facts, n_without_phrase)
     if rest is not None:
         rest = salted_join(rest.join(facts, "doc_id"), tests.select("sid", "sort_by"), ["sid"], "doc_id")
         found = found.unionByName(rest.select(*cols))
@@ -196,12 +216,12 @@ def search_batch(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_
     ``queries``: ``query_id, q, page, time_filter, sort_by``. ``snippets=False`` leaves out the snippet
     and with it the exclusions.
     """
-    found = batch_hits(queries, pages, postings, doc_stats, now)
-    deepest = Q.searchable(queries).agg(F.max("page")).first()[0] or 1
+    without_phrase, deepest = _survey(queries)
+    found = _batch_hits(queries, pages, postings, doc_stats, now, without_phrase)
     by_date = F.col("sort_by") == "date"
     order = [F.when(by_date, F.col("crawled_at")).desc(), F.when(~by_date, F.col("rank")).asc(),
              F.col("doc_id").asc()]
-    ranked = paging.top(found, "sid", order, paging.PAGE_SIZE * max(deepest, 1))
+    ranked = paging.top(found, "sid", order, paging.PAGE_SIZE * deepest)
     asked = (Q.searchable(queries).withColumn("sid", _sid())
              .withColumn("page_no", F.greatest("page", F.lit(1))))
     searches = _searches(queries).select("sid", "exclude", Q.rank_terms().alias("rank_terms"), "phrases")

@@ -50,7 +50,7 @@ def _arrival(key: Column) -> Column:
 
 def as_store(pages: DataFrame) -> DataFrame:
     """Raw pages read, cleaned and given the store's columns."""
-    c = with_content(pages)
+    c = with_content(pages, want=("title", "content"))
     return c.select(F.col("page_id").alias("id"), "url", "title", "content",
                     _arrival(F.col("page_id")).alias("crawled_at"),
                     F.lit(200).alias("status_code"))

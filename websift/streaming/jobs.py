@@ -11,6 +11,7 @@ from websift import schema as S
 from websift.functions.html import with_content
 from websift.operators import crawl as C
 from websift.operators import index, store
+from websift.sources.pages import spread
 
 
 def stream_raw_pages(spark: SparkSession, folder: str, pattern: str = "*.parquet",
@@ -32,8 +33,8 @@ def ingest_pages(raw: DataFrame, target: str, checkpoint: str, now: Column | Non
 
     def save(batch: DataFrame, batch_id: int) -> None:
         before = _batches(spark, f"{target}/pages", S.PAGES).filter(F.col("batch") < batch_id)
-        rows = with_content(batch).select(F.col("page_id").alias("seq"), "url", "title", "content",
-                                          F.lit(200).alias("status_code"))
+        rows = with_content(spread(batch), want=("title", "content")).select(
+            F.col("page_id").alias("seq"), "url", "title", "content", F.lit(200).alias("status_code"))
         fresh = store.with_ids(store.new_pages(rows, before), spark.createDataFrame([], "id long"), now)
         fresh.write.mode("overwrite").parquet(f"{target}/pages/batch={batch_id}")
         pages = spark.read.schema(S.PAGES).parquet(f"{target}/pages/batch={batch_id}")
