@@ -18,7 +18,7 @@ from websift.functions import windows
 
 cloudpickle.register_pickle_by_value(windows)
 
-_RAW_TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"
+_RAW_TOKEN = rf"[\p{{L}}\p{{N}}\p{{Co}}][\p{{L}}\p{{N}}\p{{Co}}{X.MARKS}]*"
 
 
 @lru_cache(maxsize=1)

@@ -99,35 +99,35 @@ def truncate_text(c: Column, max_length: Column | int = 1000) -> Column:
 # ---------------------------------------------------------------------------------------------
 # tokens
 
-# Letters whose folded form is not "lower case, then base letter". Fixed values of the tokeniser.
-FOLD_EXCEPTIONS = {"ſ": "s", "ẛ": "s", "Ǣ": "ǣ", "ǣ": "ǣ",
-                   "Ǯ": "ǯ", "ǯ": "ǯ", "Ǽ": "ǽ", "ǽ": "ǽ",
-                   "Ǿ": "ǿ", "ǿ": "ǿ", "İ": "i"}
+# Letters whose folded form does not follow the rule below. Fixed values of the tokeniser.
+FOLD_EXCEPTIONS = {"Ǣ": "ǣ", "ǣ": "ǣ", "Ǯ": "ǯ", "ǯ": "ǯ", "Ǽ": "ǽ", "ǽ": "ǽ", "Ǿ": "ǿ", "ǿ": "ǿ", "İ": "i"}
+
+
+def _folded(ch: str) -> str:
+    """One letter's case taken off, then a single accent if the letter is Latin."""
+    if ch in FOLD_EXCEPTIONS:
+        return FOLD_EXCEPTIONS[ch]
+    low = next((x for x in (ch.casefold(), ch.lower()) if len(x) == 1), ch)
+    base, *marks = unicodedata.normalize("NFD", low)
+    single = len(marks) == 1 and unicodedata.category(marks[0]) == "Mn"
+    return base if single and unicodedata.name(base, "").startswith("LATIN") else low
 
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str]:
-    """Characters to fold and what they fold to: simple lower case, one accent off."""
-    src, dst = [], []
-    for cp in range(0x41, 0x2000):
-        ch = chr(cp)
-        if not unicodedata.category(ch).startswith("L"):
-            continue
-        low = ch.lower() if len(ch.lower()) == 1 else ch
-        parts = unicodedata.normalize("NFD", low)
-        if len(parts) == 2 and unicodedata.category(parts[1]) == "Mn":
-            low = parts[0]
-        low = FOLD_EXCEPTIONS.get(ch, low)
-        if low != ch:
-            src.append(ch)
-            dst.append(low)
-    return "".join(src), "".join(dst)
+    """Letters to fold, and what they fold to."""
+    letters = (chr(c) for c in range(0x41, 0xFFFF) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt"))
+    pairs = [(ch, _folded(ch)) for ch in letters if _folded(ch) != ch]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+# Accents written as characters of their own that do not end a token. Fixed values of the tokeniser.
+MARKS = (r"\x{300}-\x{304}\x{306}-\x{30c}\x{30f}\x{311}\x{31b}\x{323}-\x{328}\x{32d}\x{32e}\x{330}\x{331}")
 
 
 def fold(c: Column) -> Column:
     """Case and single accents folded. Names ``c`` once, as it may stand for costly text cleaning."""
-    src, dst = _fold_tables()
-    return F.lower(F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), src, dst))
+    return F.translate(F.regexp_replace(c, f"[{MARKS}]+", ""), *_fold_tables())
 
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
