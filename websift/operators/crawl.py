@@ -28,9 +28,10 @@ def with_robots(urls: DataFrame, robots: DataFrame) -> DataFrame:
     ``robots``: one row for each host. Hosts without rules allow everything. A host may own a third of
     all URLs, so URLs are salted and the rules repeated.
     """
-    df = salted_join(urls.withColumn("domain", U.domain(F.col("url"))), robots, ["domain"], "url", "left")
+    df = urls.withColumn("domain", U.domain(F.col("url"))).withColumn("_path", U.path(F.col("url")))
+    df = salted_join(df, robots, ["domain"], "url", "left")
     first = F.get(F.filter(F.array_sort("rules"),
-                           lambda r: (r.path == "*") | U.path(F.col("url")).startswith(r.path)), F.lit(0))
+                           lambda r: F.col("_path").startswith(r.path)), F.lit(0))
     allowed = F.coalesce(first.allow | (first.path == ""), F.lit(True))
     return df.select(*urls.columns, allowed.alias("allowed"))
 

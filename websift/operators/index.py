@@ -6,9 +6,10 @@ groups, and the repeated terms and ids take next to no room.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from websift import schema as S
 from websift.functions import rank as R
 from websift.functions import text as X
 from websift.operators.salt import salted_join
@@ -54,8 +55,9 @@ def write_index(postings: DataFrame, doc_stats: DataFrame, path: str) -> None:
     doc_stats.write.mode("errorifexists").parquet(f"{path}/doc_stats")
 
 
-def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats")
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return (spark.read.schema(S.POSTINGS).parquet(f"{path}/postings"),
+            spark.read.schema(S.DOC_STATS).parquet(f"{path}/doc_stats"))
 
 
 def apply_changes(postings: DataFrame, doc_stats: DataFrame, changes: DataFrame

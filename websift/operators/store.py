@@ -101,7 +101,8 @@ def store_stats(pages: DataFrame, doc_stats: DataFrame) -> DataFrame:
     return pages.agg(F.count(F.lit(1)).alias("total_pages")).withColumn("index_entries", n)
 
 
-def bytes_on_disk(stored: DataFrame) -> DataFrame:
-    """One row: ``bytes`` of the files behind a scan."""
-    files = stored.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path")
-    return files.agg(F.max("file_size").alias("size")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+def bytes_on_disk(spark: SparkSession, path: str) -> DataFrame:
+    """One row: ``bytes`` of the table's files. Only their lengths are looked up."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(path))
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))

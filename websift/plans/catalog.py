@@ -53,10 +53,10 @@ def _doc_corpus(spark: SparkSession, d: str) -> DataFrame:
     return P.documents_as_store(P.spread(_documents(spark, d)))
 
 
-def _now(corpus: DataFrame) -> dt.datetime:
+def _now(table: DataFrame, key: str) -> dt.datetime:
     """The time of the latest page stands for the present. A plain value, so that age filters reach the
     scan as constants."""
-    return corpus.agg(F.max("crawled_at")).first()[0]
+    return table.agg(F.max(P.arrival(F.col(key)))).first()[0]
 
 
 def _content(spark: SparkSession, d: str, *want: str) -> DataFrame:
@@ -218,7 +218,7 @@ def _time_filter(name: str):
            f"WITH {_TIMES} SELECT doc_id, crawled_at FROM c, m WHERE crawled_at > {_BACK[name]}")
     def run(spark, d):
         c = P.documents_as_store(_documents(spark, d)).select(F.col("id").alias("doc_id"), "crawled_at")
-        now = F.lit(_now(c)).cast("timestamp_ntz")
+        now = F.lit(_now(_documents(spark, d), "doc_id")).cast("timestamp_ntz")
         return c.filter(filters.young_enough(F.col("crawled_at"), filters.since(now, F.lit(name))))
 
 
@@ -360,8 +360,8 @@ _SITE_MONTH = """url ILIKE '%example.org%' AND url ILIKE '%en%' AND crawled_at >
 
 @query("search_filtered", O.result_page(_THE, ["the"], "rank", rerank=True, where=_SITE_MONTH))
 def search_filtered(spark, d):
-    c = _corpus(spark, d)
-    return _shown(search.result_page(c, "the site:example.org inurl:en", time_filter="month", now=_now(c)))
+    now = _now(_raw(spark, d), "page_id")
+    return _shown(search.result_page(_corpus(spark, d), "the site:example.org inurl:en", time_filter="month", now=now))
 
 
 @query("search_summary", O.summary(_THE, 2))
@@ -395,8 +395,8 @@ def search_exclude(spark, d):
 
 @query("search_full")
 def search_full(spark, d):
-    c = _corpus(spark, d)
-    r = search.search(c, '"of the" that -xyz site:example', time_filter="year", now=_now(c))
+    now = _now(_raw(spark, d), "page_id")
+    r = search.search(_corpus(spark, d), '"of the" that -xyz site:example', time_filter="year", now=now)
     return r.withColumn("rank", F.round("rank", 6))
 
 
@@ -554,7 +554,7 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 FROM shown""")
 def search_batch(spark, d):
     c, p, s = _indexed(spark, d)
-    r = search.search_batch(_searches(spark, d), c, p, s, now=_now(c), snippets=False)
+    r = search.search_batch(_searches(spark, d), c, p, s, now=_now(_documents(spark, d), "doc_id"), snippets=False)
     return r.withColumn("rank", F.round("rank", 6))
 
 
@@ -565,13 +565,13 @@ u AS (SELECT *, CAST(ceil(total_results / 20.0) AS BIGINT) AS total_pages FROM t
 SELECT query_id, total_results, total_pages, page AS current_page, page < total_pages AS has_next, page > 1 AS has_prev FROM u""")
 def search_batch_summary(spark, d):
     c, p, s = _indexed(spark, d)
-    return search.batch_summary(_searches(spark, d), c, p, s, now=_now(c))
+    return search.batch_summary(_searches(spark, d), c, p, s, now=_now(_documents(spark, d), "doc_id"))
 
 
 @query("search_batch_full")
 def search_batch_full(spark, d):
     c, p, s = _indexed(spark, d)
-    r = search.search_batch(_searches(spark, d), c, p, s, now=_now(c))
+    r = search.search_batch(_searches(spark, d), c, p, s, now=_now(_documents(spark, d), "doc_id"))
     return r.withColumn("rank", F.round("rank", 6))
 
 
@@ -598,7 +598,7 @@ firsts AS (SELECT * FROM incoming WHERE length(trim(content)) >= 100 QUALIFY row
 
 def _incoming(spark, d):
     c = _corpus(spark, d)
-    stored = c.filter(F.col("url").contains(".org/"))
+    stored = _raw(spark, d).filter(F.col("url").contains(".org/")).select(F.col("page_id").alias("id"), "url")
     both = F.array(F.struct((F.col("id") * 2).alias("seq"), "url"),
                    F.struct((F.col("id") * 2 + 1).alias("seq"), U.normalize_url(F.col("url")).alias("url")))
     rows = c.select(F.explode(both).alias("x"), "title", "content", "status_code").select(
@@ -645,7 +645,7 @@ def store_stats(spark, d):
 
 @query("store_bytes")
 def store_bytes(spark, d):
-    return store.bytes_on_disk(spark.read.parquet(f"{d}/pages.parquet"))
+    return store.bytes_on_disk(spark, f"{d}/pages.parquet")
 
 
 # ---------------------------------------------------------------------------------------- crawl

@@ -22,13 +22,13 @@ PAGES = T.StructType([
     T.StructField("status_code", T.IntegerType()),
 ])
 
-# The search index: one row per (term, field, document), with its sorted positions.
+# The search index: one row for each token.
 POSTINGS = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("field", T.StringType()),
     T.StructField("doc_id", T.LongType()),
+    T.StructField("pos", T.IntegerType()),
     T.StructField("doc_len", T.IntegerType()),
-    T.StructField("positions", T.ArrayType(T.IntegerType())),
 ])
 
 DOC_STATS = T.StructType([

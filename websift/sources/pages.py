@@ -42,17 +42,20 @@ def clean_seeds(seeds: DataFrame) -> DataFrame:
     return n.groupBy("url").agg(F.min("seq").alias("seq")).select("seq", "url")
 
 
-def _arrival(key: Column) -> Column:
+def arrival(key: Column) -> Column:
     """A crawl time derived from a key: seven hours apart, from the start of 2024."""
     return (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
             + F.make_dt_interval(F.floor(key * 7 / 24).cast("int"), (key * 7 % 24).cast("int")))
 
 
 def as_store(pages: DataFrame) -> DataFrame:
-    """Raw pages read, cleaned and given the store's columns."""
+    """Raw pages read, cleaned and given the store's columns.
+
+    Pages are parsed whatever columns are taken; for id and URL alone ask the raw pages.
+    """
     c = with_content(pages, want=("title", "content"))
     return c.select(F.col("page_id").alias("id"), "url", "title", "content",
-                    _arrival(F.col("page_id")).alias("crawled_at"),
+                    arrival(F.col("page_id")).alias("crawled_at"),
                     F.lit(200).alias("status_code"))
 
 
@@ -65,5 +68,5 @@ def documents_as_store(documents: DataFrame) -> DataFrame:
                  F.col("doc_id").cast("string")).alias("url"),
         F.substr(first, F.lit(1), F.lit(200)).alias("title"),
         F.col("text").alias("content"),
-        _arrival(F.col("doc_id")).alias("crawled_at"),
+        arrival(F.col("doc_id")).alias("crawled_at"),
         F.lit(200).alias("status_code"))
