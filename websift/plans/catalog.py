@@ -382,18 +382,28 @@ def pagination_bar(spark, d):
                       "last_dots", "last_link")
 
 
-@query("search_snippet")
+_OF_THE_THAT = [(False, ["of", "the"]), (False, ["that"])]
+
+
+@query("search_snippet", f"""WITH {O.full_page(_OF_THE_THAT, [], ["that", "of the"], "rank", corpus=O.DOC_CORPUS)}
+SELECT pos, id, snippet FROM results""")
 def search_snippet(spark, d):
     r = search.search(_doc_corpus(spark, d), '"of the" that', sort_by="bm25")
     return r.select("pos", "id", "snippet")
 
 
-@query("search_exclude")
+@query("search_exclude", f"""WITH {O.full_page(_THE, ["tion", "mark", "pills"], ["the"], "rank", rerank=True)}
+SELECT pos, id, url, title, snippet FROM results""")
 def search_exclude(spark, d):
     return search.search(_corpus(spark, d), "the -tion -mark -pills").select("pos", "id", "url", "title", "snippet")
 
 
-@query("search_full")
+_LAST_YEAR = """contains(url, 'example') AND crawled_at > (SELECT date_trunc('month', max(crawled_at)) - INTERVAL 1 YEAR
+    + (max(crawled_at) - date_trunc('month', max(crawled_at))) FROM corpus)"""
+
+
+@query("search_full", f"""WITH {O.full_page(_OF_THE_THAT, ["xyz"], ["that", "of the"], "rank", rerank=True, where=_LAST_YEAR)}
+SELECT * FROM results""")
 def search_full(spark, d):
     now = _now(_raw(spark, d), "page_id")
     r = search.search(_corpus(spark, d), '"of the" that -xyz site:example', time_filter="year", now=now)
@@ -542,16 +552,20 @@ kept AS (SELECT x.*, s.page, s.sort_by, s.terms, c.url, c.title, c.content, c.cr
          WHERE s.time_filter IS NULL OR c.crawled_at > now.since)"""
 
 
-@query("search_batch", f"""WITH {_BATCH},
+_PAGES = f"""{_BATCH},
 numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
                CASE WHEN sort_by = 'date' THEN crawled_at END DESC, CASE WHEN sort_by <> 'date' THEN rank END, doc_id) AS n FROM kept),
 shown AS (SELECT *, {O.website_rank('url', 'title', 'length(content)', 'terms')} AS custom_rank
-          FROM numbered WHERE n > (page - 1) * 20 AND n <= page * 20)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
-         CASE WHEN sort_by = 'relevance' THEN custom_rank END DESC, n) AS INTEGER) AS pos,
-       doc_id AS id, url, title, round(rank, 6) AS rank, crawled_at, CAST(length(content) AS INTEGER) AS content_length,
-       {O.domain('url')} AS domain, strftime(crawled_at, '%Y-%m-%d') AS crawled_date, custom_rank, {O.BADGE} AS badge
-FROM shown""")
+          FROM numbered WHERE n > (page - 1) * 20 AND n <= page * 20),
+placed AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
+           CASE WHEN sort_by = 'relevance' THEN custom_rank END DESC, n) AS INTEGER) AS pos,
+         doc_id AS id, url, title, content, round(rank, 6) AS rank, crawled_at, CAST(length(content) AS INTEGER) AS content_length,
+         {O.domain('url')} AS domain, strftime(crawled_at, '%Y-%m-%d') AS crawled_date, custom_rank, {O.BADGE} AS badge
+  FROM shown)"""
+
+
+@query("search_batch", f"WITH {_PAGES} SELECT * EXCLUDE (content) FROM placed")
 def search_batch(spark, d):
     c, p, s = _indexed(spark, d)
     r = search.search_batch(_searches(spark, d), c, p, s, now=_now(_documents(spark, d), "doc_id"), snippets=False)
@@ -568,7 +582,13 @@ def search_batch_summary(spark, d):
     return search.batch_summary(_searches(spark, d), c, p, s, now=_now(_documents(spark, d), "doc_id"))
 
 
-@query("search_batch_full")
+@query("search_batch_full", f"""WITH {_PAGES},
+rows AS (SELECT query_id || ' ' || id AS key, content, [string_split(t, ' ') FOR t IN terms] AS phrases
+         FROM placed JOIN searches USING (query_id)),
+{O.SNIPPETS},
+results AS (SELECT placed.* EXCLUDE (content), snippet, CASE WHEN kind = 3 THEN [b] ELSE []::VARCHAR[] END AS exclude
+            FROM placed JOIN snips ON key = placed.query_id || ' ' || id LEFT JOIN asked USING (query_id))
+SELECT * EXCLUDE (exclude) {O.DISPLAYED} FROM results WHERE {O.KEPT}""")
 def search_batch_full(spark, d):
     c, p, s = _indexed(spark, d)
     r = search.search_batch(_searches(spark, d), c, p, s, now=_now(_documents(spark, d), "doc_id"))

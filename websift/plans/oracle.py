@@ -144,18 +144,88 @@ def website_rank(url: str, title: str, length: str, terms: str) -> str:
 BADGE = "CASE WHEN custom_rank > 80 THEN 'Original Site' WHEN custom_rank > 50 THEN 'High Quality' END"
 
 
-def result_page(phrases, terms: list[str], order: str, page: int = 1, rerank: bool = False,
-                corpus: str = CORPUS, where: str = "true") -> str:
+def page_ctes(phrases, terms: list[str], order: str, page: int = 1, rerank: bool = False,
+              corpus: str = CORPUS, where: str = "true") -> str:
+    """CTEs up to ``shown``: one page of results in its final order."""
     lst = "[" + ", ".join(f"'{t}'" for t in terms) + "]::VARCHAR[]"
     lead = "custom_rank DESC, " if rerank else ""
-    return f"""WITH {found(phrases, corpus, where)},
-page AS (SELECT *, length(content) AS content_length FROM found ORDER BY {order}, id
+    return f"""{found(phrases, corpus, where)},
+page AS (SELECT *, CAST(length(content) AS INTEGER) AS content_length FROM found ORDER BY {order}, id
          LIMIT 20 OFFSET {max((page - 1) * 20, 0)}),
-ranked AS (SELECT *, {website_rank("url", "title", "length(content)", lst)} AS custom_rank FROM page)
-SELECT CAST(row_number() OVER (ORDER BY {lead}{order}, id) AS INTEGER) AS pos, id, url, title,
-       round(rank, 6) AS rank, crawled_at, CAST(content_length AS INTEGER) AS content_length,
-       {domain("url")} AS domain, strftime(crawled_at, '%Y-%m-%d') AS crawled_date, custom_rank, {BADGE} AS badge
-FROM ranked"""
+ranked AS (SELECT *, {website_rank("url", "title", "length(content)", lst)} AS custom_rank FROM page),
+shown AS (SELECT CAST(row_number() OVER (ORDER BY {lead}{order}, id) AS INTEGER) AS pos, id, url, title, content,
+                 round(rank, 6) AS rank, crawled_at, content_length, {domain("url")} AS domain,
+                 strftime(crawled_at, '%Y-%m-%d') AS crawled_date, custom_rank, {BADGE} AS badge FROM ranked)"""
+
+
+def result_page(*args, **kw) -> str:
+    return f"WITH {page_ctes(*args, **kw)} SELECT * EXCLUDE (content) FROM shown"
+
+
+_RAW = (r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\x{300}-\x{304}\x{306}-\x{30c}\x{30f}\x{311}\x{31b}\x{323}-\x{328}"
+        r"\x{32d}\x{32e}\x{330}\x{331}]*")
+
+# ``rows(key, content, phrases)`` to ``snips(key, snippet)``: every window that begins at a hit or at the
+# sentence before it is scored against all hits.
+SNIPPETS = rf"""
+sn AS (SELECT key, phrases, content, regexp_extract_all(content, '{_RAW}') AS raw,
+              string_split_regex(content, '{_RAW}') AS gaps, {tokens("content")} AS ft,
+              len(regexp_extract_all(content, '{_RAW}')) AS n
+       FROM (SELECT key, phrases, coalesce(content, '') AS content FROM rows)),
+sn_pos AS (SELECT key, unnest(range(n)) AS j FROM sn),
+sn_ph AS (SELECT key, unnest(phrases) AS p, unnest(range(len(phrases))) AS ph FROM sn),
+sn_hits AS (SELECT key, j AS pos, ph, len(p) AS m FROM sn_pos JOIN sn USING (key) JOIN sn_ph USING (key)
+            WHERE len(p) > 0 AND ft[j + 1:j + len(p)] = p),
+sn_starts AS (SELECT key, j FROM sn_pos JOIN sn USING (key) WHERE j = 0 OR regexp_matches(gaps[j + 1], '[.:][ \t\n\r]+$')),
+sn_before AS (SELECT h.key, h.pos, max(j) AS s FROM (SELECT DISTINCT key, pos FROM sn_hits) h
+              JOIN sn_starts s ON s.key = h.key AND s.j <= h.pos GROUP BY h.key, h.pos),
+sn_w AS (SELECT DISTINCT key, pos AS start, 0 AS bonus, pos * 2 AS turn FROM sn_hits
+         UNION ALL SELECT key, s, CASE WHEN s = 0 THEN 120 ELSE 100 END, pos * 2 + 1 FROM sn_before JOIN sn USING (key)
+         WHERE s < pos AND n > 15),
+sn_score AS (SELECT w.key, w.start, w.bonus, w.turn, 999 * count(DISTINCT h.ph) + count(*) + w.bonus AS score,
+                    max_by(h.pos + h.m, h.pos * 1000 + h.ph) AS fin
+             FROM sn_w w JOIN sn_hits h ON h.key = w.key AND h.pos BETWEEN w.start AND w.start + 14
+             GROUP BY w.key, w.start, w.bonus, w.turn),
+sn_best AS (SELECT * FROM sn_score QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, turn) = 1),
+sn_lo AS (SELECT sn.key, n, CAST(CASE WHEN start IS NULL THEN 0 WHEN bonus > 0 THEN start
+                 ELSE greatest(least(start - trunc((15 - (fin - start)) / 2.0), n - 15), 0) END AS BIGINT) AS lo
+          FROM sn LEFT JOIN sn_best USING (key)),
+sn_win AS (SELECT *, least(lo + 14, n - 1) AS hi FROM sn_lo),
+sn_tok AS (SELECT w.key, p.j, coalesce(bool_or(h.pos <= p.j AND h.pos + h.m > p.j), false) AS cov,
+                  coalesce(bool_or(h.pos = p.j), false) AND NOT coalesce(bool_or(h.pos < p.j AND h.pos + h.m > p.j), false) AS opn
+           FROM sn_win w JOIN sn_pos p ON p.key = w.key AND p.j BETWEEN w.lo AND w.hi + 1
+           LEFT JOIN sn_hits h ON h.key = w.key AND h.pos BETWEEN w.lo - 50 AND w.hi + 1 GROUP BY w.key, p.j),
+sn_mark AS (SELECT *, bool_or(opn) OVER (PARTITION BY key ORDER BY j) AS begun, lead(cov) OVER (PARTITION BY key ORDER BY j) AS next_cov,
+                   lead(opn) OVER (PARTITION BY key ORDER BY j) AS next_opn FROM sn_tok),
+sn_body AS (SELECT key, string_agg(CASE WHEN j > lo THEN gaps[j + 1] ELSE '' END || CASE WHEN opn THEN '<mark>' ELSE '' END
+                || raw[j + 1] || CASE WHEN cov AND begun AND (j = hi OR NOT next_cov OR next_opn) THEN '</mark>' ELSE '' END, '' ORDER BY j) AS body
+            FROM sn_mark JOIN sn_win USING (key) JOIN sn USING (key) WHERE j <= hi GROUP BY key),
+sn_full AS (SELECT key, CASE WHEN sn.n = 0 THEN content ELSE CASE WHEN lo > 0 THEN ' … ' ELSE gaps[1] END || body
+                             || CASE WHEN hi >= sn.n - 1 THEN gaps[sn.n + 1] ELSE ' … ' END END AS s
+            FROM sn JOIN sn_win USING (key) LEFT JOIN sn_body USING (key)),
+snips AS (SELECT key, CASE WHEN length(s) > 300 THEN substr(s, 1, 300) || '...' ELSE s END AS snippet FROM sn_full)"""
+
+
+def sql_list(items) -> str:
+    return "[" + ", ".join(sql_list(i) if isinstance(i, list) else f"'{i}'" for i in items) + "]"
+
+
+# results(key, title, snippet, exclude, ...) without excluded rows, as displayed
+KEPT = """NOT coalesce(len([w FOR w IN exclude IF contains(lower(coalesce(title, '') || ' ' ||
+    replace(replace(snippet, '<mark>', ''), '</mark>', '')), lower(w))]) > 0, false)"""
+DISPLAYED = """REPLACE (coalesce(nullif(title, ''), 'Untitled') AS title,
+                         coalesce(nullif(snippet, ''), 'No description available.') AS snippet)"""
+
+
+def full_page(phrases, exclude: list[str], *args, **kw) -> str:
+    """CTEs up to ``results``: ``page_ctes`` with snippets, exclusions and defaults."""
+    words = sql_list([p for title_only, p in phrases if not title_only])
+    return f"""{page_ctes(phrases, *args, **kw)},
+rows AS (SELECT id AS key, content, {words}::VARCHAR[][] AS phrases FROM shown),
+{SNIPPETS},
+results AS (SELECT * {DISPLAYED} FROM (
+  SELECT shown.* EXCLUDE (content), snippet FROM shown JOIN snips ON key = id,
+         (SELECT {sql_list(exclude)}::VARCHAR[] AS exclude) WHERE {KEPT}))"""
 
 
 def summary(phrases, page: int, where: str = "true", corpus: str = CORPUS) -> str:

@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_LOCAL: dict[str, str] = {}      # temporary folders of local sessions
+
+
 def get_spark(app: str = "websift", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
@@ -38,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    named = tempfile.mkdtemp(prefix="websift-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="websift-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
