@@ -68,7 +68,7 @@ def test_a_stored_index_is_read_back_and_pruned(spark, tmp_path):
 def test_phrases_in_one_pass(spark):
     p = store(spark, [(1, "", "a b", "a b a b a"), (2, "", "", "b a"), (3, "", "a", "a a a"), (4, "", "b", "x. a, b")])
     ask = [(False, ["a"]), (False, ["a", "b"]), (False, ["a", "b", "a"]), (True, ["a"]), (True, ["a", "b"]), (False, ["a", "a"]), (False, ["z"])]
-    df = spark.createDataFrame(ask, "title_only boolean, tokens array<string>").withColumn("phrase", index.phrase_key())
+    df = spark.createDataFrame(ask, "title_only boolean, tokens array<string>").withColumn("phrase", index.phrase_key(F.col("title_only"), F.col("tokens")))
     got = rows(index.phrase_hits(index.build_postings(p), df).select("phrase", "doc_id", "f"))
     assert got == sorted([("a a", 1, 4), ("a a", 2, 1), ("a a", 3, 4), ("a a", 4, 1), ("a a b", 1, 3), ("a a b", 4, 1),
                           ("a a b a", 1, 2), ("t a", 1, 1), ("t a", 3, 1), ("t a b", 1, 1), ("a a a", 3, 2)])
@@ -76,5 +76,5 @@ def test_phrases_in_one_pass(spark):
 
 def test_column_phrase_keys_differ_by_field(spark):
     df = spark.createDataFrame([(True, ["a"]), (False, ["a"])], "title_only boolean, tokens array<string>")
-    assert df.select(index.phrase_key()).distinct().count() == 2
+    assert df.select(index.phrase_key(F.col("title_only"), F.col("tokens"))).distinct().count() == 2
     assert df.filter(F.size("tokens") > 0).count() == 2

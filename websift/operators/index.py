@@ -6,7 +6,7 @@ groups, and the repeated terms and ids take next to no room.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from websift import schema as S
@@ -76,9 +76,9 @@ def apply_changes(postings: DataFrame, doc_stats: DataFrame, changes: DataFrame
             doc_stats.join(gone, "doc_id", "left_anti").unionByName(build_doc_stats(new)))
 
 
-def phrase_key():
+def phrase_key(title_only: Column, tokens: Column) -> Column:
     """A phrase's name: equal for equal phrases. Tokens hold no blanks."""
-    return F.concat(F.when(F.col("title_only"), "t ").otherwise("a "), F.array_join("tokens", " "))
+    return F.concat(F.when(title_only, "t ").otherwise("a "), F.array_join(tokens, " "))
 
 
 def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -104,19 +104,20 @@ def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
 def score_searches(postings: DataFrame, doc_stats: DataFrame, wanted: DataFrame) -> DataFrame:
     """``sid, doc_id, rank``: the pages that hold all phrases of each search, with BM25.
 
-    ``wanted``: ``sid, phrases`` with ``phrases`` as made by ``querylog.phrases``. A phrase shared by many
-    searches is looked up and counted once.
+    ``wanted``: ``sid, phrases``, no ``sid`` twice, ``phrases`` as made by ``querylog.phrases``. A phrase
+    shared by many searches is looked up and counted once.
     """
-    each = wanted.select("sid", F.explode("phrases").alias("p")).select("sid", "p.title_only", "p.tokens")
-    each = each.withColumn("phrase", phrase_key())
-    distinct = (each.groupBy("phrase").agg(F.first("title_only").alias("title_only"),
-                                           F.first("tokens").alias("tokens")))
-    hits = phrase_hits(postings, distinct.filter(F.size("tokens") > 0))
+    each = wanted.select(F.explode("phrases").alias("p")).select("p.title_only", "p.tokens").distinct()
+    each = each.filter(F.size("tokens") > 0)
+    hits = phrase_hits(postings, each.withColumn("phrase", phrase_key(F.col("title_only"), F.col("tokens"))))
     # Both columns are used so that this reads the shuffle files of ``hits`` instead of computing it again.
     df = hits.groupBy("phrase").agg(F.count_if((F.col("f") > 0) & (F.col("doc_len") > 0)).alias("df"))
-    need = each.groupBy("sid", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    size = need.groupBy("sid").agg(F.count(F.lit(1)).alias("n_phrases"))
-    need = need.join(df, "phrase").join(size, "sid")
+    keys = F.transform("phrases", lambda p: phrase_key(p.title_only, p.tokens))
+    need = wanted.select("sid", keys.alias("keys"))
+    need = need.select("sid", "keys", F.size(F.array_distinct("keys")).alias("n_phrases"),
+                       F.explode(F.array_distinct("keys")).alias("phrase"))
+    times = F.size(F.filter("keys", lambda k: k == F.col("phrase")))
+    need = need.select("sid", "n_phrases", "phrase", times.alias("times")).join(df, "phrase")
     stats = corpus_stats(doc_stats).select(F.struct("n_docs", "avg_tokens")).scalar()
     found = salted_join(hits, need, ["phrase"], "doc_id").withColumn("_s", stats)
     part = R.bm25_part(R.idf(F.col("_s.n_docs"), F.col("df")), F.col("f"), F.col("doc_len"),

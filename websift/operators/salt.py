@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 32
+
+# Rows of ids or URLs that may be sent to every executor, some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def small_join(big: DataFrame, few: DataFrame, on: str, at_most: int | None) -> DataFrame:
+    """Inner join of a wide table with the rows picked from it.
+
+    ``at_most`` bounds the rows of ``few``, if the caller knows a bound. Within ``BROADCAST_ROWS`` they go
+    to every executor and ``big`` is only scanned; its text would else be shuffled for a few rows. Beyond
+    it, or without a bound, Spark shuffles both sides.
+    """
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    return big.join(few, on)
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread_by: str,

@@ -11,6 +11,7 @@ from websift import schema as S
 from websift.functions.html import with_content
 from websift.operators import crawl as C
 from websift.operators import store
+from websift.operators.salt import small_join
 from websift.session import scratch_path
 
 
@@ -23,21 +24,24 @@ class Round:
     links: DataFrame    # url, seq
 
 
-def visit(batch: DataFrame, web: DataFrame, robots: DataFrame) -> DataFrame:
-    """Each URL of ``batch`` with its state and, if it was read, title, content and links.
+def visit(batch: DataFrame, web: DataFrame, robots: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Each URL of ``batch`` with its ``state``, ``status`` and, if it was read, title, content and links.
 
-    ``web``: ``url, status, content_type, n_bytes, html``, each URL once. Only pages that will be read
-    bring their HTML along.
+    ``web``: ``url, status, content_type, n_bytes, html``, each URL once. What to read is settled on narrow
+    columns; then the HTML of those pages is fetched and parsed. ``at_most`` bounds the rows of ``batch``.
     """
     asked = C.with_robots(batch.select("url", "seq"), robots)
-    html = F.when(C.acceptable(), F.col("html"))
-    found = asked.join(web.select("url", "status", C.acceptable().alias("good"), html.alias("html")), "url", "left")
+    asked = asked.join(web.select("url", "status", C.acceptable().alias("good")), "url", "left")
     state = (F.when(~F.col("allowed"), "robots_blocked")
              .when(F.col("status").isNull() | F.col("status").between(400, 599), "failed")
              .when(~F.col("good"), "skipped").otherwise("read"))
-    found = found.withColumn("state", state)
-    read = found.withColumn("html", F.when(F.col("state") == "read", F.col("html")))
-    return with_content(read).drop("html", "allowed", "good")
+    asked = asked.select("url", "seq", "status", state.alias("state"))
+    read = small_join(web.select("url", "html"), asked.filter("state = 'read'"), "url", at_most)
+    read = with_content(read).drop("html", "readable")
+    rest = asked.filter("state <> 'read'")
+    for c in ("title", "content", "links"):
+        rest = rest.withColumn(c, F.lit(None).cast(read.schema[c].dataType))
+    return read.unionByName(rest)
 
 
 def outcomes(visits: DataFrame, saved: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def crawl_rounds(spark: SparkSession, seeds: DataFrame, web: DataFrame, robots:
         frontier.write.parquet(f"{root}/frontier/{done}")
         frontier = spark.read.schema(S.FRONTIER).parquet(f"{root}/frontier/{done}")
         batch = C.next_batch(frontier, min(sizes)) if sizes else frontier
-        visit(batch, web, robots).write.parquet(f"{root}/visits/{done}")
+        visit(batch, web, robots, min(sizes, default=None)).write.parquet(f"{root}/visits/{done}")
         visits = spark.read.parquet(f"{root}/visits/{done}")
         n = visits.count()
         if n == 0:

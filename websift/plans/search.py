@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from websift.functions import urls as U
 from websift.functions.snippet import cut, snippet, without_marks
 from websift.operators import filters, index, match, paging
 from websift.operators import querylog as Q
-from websift.operators.salt import salted_join
+from websift.operators.salt import salted_join, small_join
 
 
 def parse(spark: SparkSession, q: str) -> dict:
@@ -72,6 +73,12 @@ def _decorated(df: DataFrame) -> DataFrame:
             .withColumn("badge", R.badge(F.col("custom_rank"))))
 
 
+def _with_snippet(rows: DataFrame, phrases: Column) -> DataFrame:
+    # through a one-row generator, so that the exclusion test does not have it made twice
+    made = rows.withColumn("_snippet", snippet(F.col("content"), phrases))
+    return made.select(*rows.columns, F.explode(F.array(cut(F.col("_snippet")))).alias("snippet"))
+
+
 def _is_excluded() -> Column:
     seen = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), without_marks(F.col("snippet"))))
     return F.exists("exclude", lambda w: seen.contains(F.lower(w)))
@@ -122,7 +129,7 @@ def search(pages: DataFrame, q: str, page: int = 1, time_filter: str | None = No
     rows = _result_page(pages, spec, page, time_filter, sort_by, now, filetype)
     phrases = [p["tokens"] for p in spec["phrases"] if not p["title_only"]]
     lits = F.array(*[F.array(*[F.lit(t) for t in p]).cast("array<string>") for p in phrases])
-    rows = rows.withColumn("snippet", cut(snippet(F.col("content"), lits.cast("array<array<string>>"))))
+    rows = _with_snippet(rows, lits.cast("array<array<string>>"))
     return _displayed(rows.filter(~_is_excluded())).select(*RESULT)
 
 
@@ -159,53 +166,70 @@ def _sid() -> Column:
                               F.coalesce("sort_by", F.lit("relevance"))))
 
 
-def _filter_only(searches: DataFrame, facts: DataFrame, n: int) -> DataFrame | None:
-    """``sid, doc_id, rank`` of the ``n`` searches that name no phrase: pages are tested in place, and only
-    matches leave the scan. Groups of searches bound what one scan holds in memory."""
-    only = searches.filter(F.size("phrases") == 0).select("sid", "site", "inurl", "since")
+def _filter_only(searches: DataFrame, facts: DataFrame, n: int) -> list[DataFrame]:
+    """Hits of the ``n`` searches that name no phrase: pages are tested in place, and only matches leave
+    the scan. Groups of searches bound what one scan holds in memory."""
+    of_search = ["sid", "site", "inurl", "since", "by_date"]
+    only = searches.filter(F.size("phrases") == 0).select(*of_search)
     groups = math.ceil(n / FILTERS_AT_ONCE)
-    out = None
+    out = []
     for g in range(groups):
         part = only.filter(F.pmod(F.xxhash64("sid"), F.lit(groups)) == g)
-        table = part.agg(F.collect_list(F.struct("sid", "site", "inurl", "since")).alias("t")).scalar()
+        table = part.agg(F.collect_list(F.struct(*of_search))).scalar()
         met = F.filter("_searches", lambda s: filters.conditions(
             F.col("url"), F.col("crawled_at"), s.site, s.inurl, s.since))
-        some = (facts.withColumn("_searches", table)
-                .select("doc_id", F.explode(F.transform(met, lambda s: s.sid)).alias("sid"))
-                .select("sid", "doc_id", F.lit(0.0).alias("rank")))
-        out = some if out is None else out.unionByName(some)
+        found = facts.withColumn("_searches", table).select("doc_id", "crawled_at", F.explode(
+            F.transform(met, lambda s: F.struct(s.sid.alias("sid"), s.by_date.alias("by_date")))).alias("s"))
+        out.append(found.select("s.sid", "doc_id", F.lit(0.0).alias("rank"), "s.by_date", "crawled_at"))
     return out
 
 
-def _survey(queries: DataFrame) -> tuple[int, int]:
-    """How many searches name no phrase, and the deepest page anyone asks for."""
+@dataclass
+class Survey:
+    """What a query table asks for; one small job over it."""
+
+    without_phrase: int     # searches that name no phrase
+    need_pages: int         # searches that filter by URL or age, or sort by date
+    searches: int           # all of them
+    deepest: int            # the last page anyone wants
+
+
+def _survey(queries: DataFrame) -> Survey:
     asked = Q.with_conditions(Q.searchable(queries))
-    none = (F.size("exact_phrase") == 0) & (F.size("terms") == 0) & (F.size("intitle") == 0)
-    n, deepest = asked.agg(F.count_if(none), F.max("page")).first()
-    return n, max(deepest or 1, 1)
+    bare = (F.size("exact_phrase") == 0) & (F.size("terms") == 0) & (F.size("intitle") == 0)
+    filtered = (F.col("site").isNotNull() | (F.size("inurl") > 0) | F.col("time_filter").isNotNull()
+                | (F.col("sort_by") == "date"))
+    row = asked.agg(F.count_if(bare), F.count_if(filtered), F.count(F.lit(1)), F.max("page")).first()
+    return Survey(row[0], row[1], row[2], max(row[3] or 1, 1))
 
 
 def batch_hits(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_stats: DataFrame,
                now=None) -> DataFrame:
-    """``sid, doc_id, rank, crawled_at, sort_by``: every page that answers each distinct search."""
-    return _batch_hits(queries, pages, postings, doc_stats, now, _survey(queries)[0])
+    """``sid, doc_id, rank, by_date, crawled_at``: every page that answers each distinct search.
+
+    ``crawled_at`` is filled in where a search of the table filters or sorts by what only pages know;
+    otherwise the index alone answers.
+    """
+    return _batch_hits(queries, pages, postings, doc_stats, now, _survey(queries))
 
 
 def _batch_hits(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_stats: DataFrame,
-                now, n_without_phrase: int) -> DataFrame:
+                now, survey: Survey) -> DataFrame:
     searches = _searches(queries).withColumn("since", filters.since(_moment(now), F.col("time_filter")))
+    searches = searches.withColumn("by_date", F.col("sort_by") == "date")
     facts = pages.select(F.col("id").alias("doc_id"), "url", "crawled_at")
     found = index.score_searches(postings, doc_stats, searches.filter(F.size("phrases") > 0))
-    tests = searches.select("sid", "site", "inurl", "since", "sort_by")
-    found = salted_join(found.join(facts, "doc_id"), tests, ["sid"], "doc_id")
-    found = found.filter(filters.conditions(F.col("url"), F.col("crawled_at"), F.col("site"),
-                                            F.col("inurl"), F.col("since")))
-    cols = ["sid", "doc_id", "rank", "crawled_at", "sort_by"]
-    found = found.select(*cols)
-    rest = _filter_only(searches, facts, n_without_phrase)
-    if rest is not None:
-        rest = salted_join(rest.join(facts, "doc_id"), tests.select("sid", "sort_by"), ["sid"], "doc_id")
-        found = found.unionByName(rest.select(*cols))
+    cols = ["sid", "doc_id", "rank", "by_date", "crawled_at"]
+    if survey.need_pages:
+        tests = searches.select("sid", "site", "inurl", "since", "by_date")
+        found = salted_join(found.join(facts, "doc_id"), tests, ["sid"], "doc_id")
+        found = found.filter(filters.conditions(F.col("url"), F.col("crawled_at"), F.col("site"),
+                                                F.col("inurl"), F.col("since"))).select(*cols)
+    else:
+        found = found.select("sid", "doc_id", "rank", F.lit(False).alias("by_date"),
+                             F.lit(None).cast("timestamp_ntz").alias("crawled_at"))
+    for some in _filter_only(searches, facts, survey.without_phrase):
+        found = found.unionByName(some.select(*cols))
     return found
 
 
@@ -216,26 +240,24 @@ def search_batch(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_
     ``queries``: ``query_id, q, page, time_filter, sort_by``. ``snippets=False`` leaves out the snippet
     and with it the exclusions.
     """
-    without_phrase, deepest = _survey(queries)
-    found = _batch_hits(queries, pages, postings, doc_stats, now, without_phrase)
-    by_date = F.col("sort_by") == "date"
-    order = [F.when(by_date, F.col("crawled_at")).desc(), F.when(~by_date, F.col("rank")).asc(),
+    survey = _survey(queries)
+    found = _batch_hits(queries, pages, postings, doc_stats, now, survey)
+    order = [F.when(F.col("by_date"), F.col("crawled_at")).desc(), F.when(~F.col("by_date"), F.col("rank")).asc(),
              F.col("doc_id").asc()]
-    ranked = paging.top(found, "sid", order, paging.PAGE_SIZE * deepest)
+    ranked = paging.top(found, "sid", order, paging.PAGE_SIZE * survey.deepest)
     asked = (Q.searchable(queries).withColumn("sid", _sid())
              .withColumn("page_no", F.greatest("page", F.lit(1))))
-    searches = _searches(queries).select("sid", "exclude", Q.rank_terms().alias("rank_terms"), "phrases")
+    searches = _searches(queries).select("sid", "sort_by", "exclude", Q.rank_terms().alias("rank_terms"), "phrases")
     rows = ranked.withColumn("page_no", paging.page_of(F.col("pos")))
     rows = rows.join(asked.select("sid", "page_no").distinct(), ["sid", "page_no"])
-    rows = rows.drop("crawled_at").join(pages.withColumnRenamed("id", "doc_id"), "doc_id").join(searches, "sid")
-    rows = _decorated(rows.withColumnRenamed("doc_id", "id"))
+    rows = rows.select("sid", "page_no", "pos", "rank", F.col("doc_id").alias("id")).join(searches, "sid")
+    rows = _decorated(small_join(pages, rows, "id", survey.searches * paging.PAGE_SIZE))
     lead = F.when(F.col("sort_by") == "relevance", F.col("custom_rank")).desc()
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("sid", "page_no").orderBy(lead, "pos")))
     columns = RESULT
     if snippets:
         words = F.transform(F.filter("phrases", lambda p: ~p.title_only), lambda p: p.tokens)
-        rows = rows.withColumn("snippet", cut(snippet(F.col("content"), words)))
-        rows = _displayed(rows.filter(~_is_excluded()))
+        rows = _displayed(_with_snippet(rows, words).filter(~_is_excluded()))
     else:
         columns = [c for c in RESULT if c != "snippet"]
     return (rows.select("sid", "page_no", *columns)
