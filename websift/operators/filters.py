@@ -10,21 +10,30 @@ from pyspark.sql import functions as F
 _UP, _LOW = string.ascii_uppercase, string.ascii_lowercase
 
 
-def _ascii_lower(c: Column) -> Column:
+def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UP, _LOW)
 
 
-def url_like(url: Column, value: Column | str) -> Column:
+def url_like(url: Column, value: str) -> Column:
     """``value`` somewhere in the URL; ASCII letters in any case, ``%`` and ``_`` are wildcards."""
-    if isinstance(value, str):
-        pattern = "%" + value.translate(str.maketrans(_UP, _LOW)).replace("\\", "\\\\") + "%"
-        if "_" not in value and "%" not in value and "\\" not in value:
-            return _ascii_lower(url).contains(pattern.strip("%"))
-        return _ascii_lower(url).like(pattern)
-    low, word = _ascii_lower(url), _ascii_lower(value)
+    word = value.translate(str.maketrans(_UP, _LOW))
+    if set(word) & set("%_\\"):
+        return ascii_lower(url).like("%" + word.replace("\\", "\\\\") + "%")
+    return ascii_lower(url).contains(word)
+
+
+def needle(value: Column) -> Column:
+    """A value to look for in URLs, prepared once: ``struct<word, pattern>``. ``pattern`` is null without
+    wildcards: a pattern column is compiled anew for each row."""
+    word = ascii_lower(value)
     pattern = F.concat(F.lit("%"), F.replace(word, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    # a pattern column is compiled anew for each row, so plain words are looked for as they are
-    return F.when(value.rlike(r"[%_\\]"), F.like(low, pattern)).otherwise(low.contains(word))
+    return F.when(value.isNotNull(), F.struct(word.alias("word"),
+                                              F.when(value.rlike(r"[%_\\]"), pattern).alias("pattern")))
+
+
+def holds(low_url: Column, n: Column) -> Column:
+    """``url_like`` for a URL already in ``ascii_lower`` and a ``needle`` column."""
+    return F.when(n["pattern"].isNotNull(), F.like(low_url, n["pattern"])).otherwise(low_url.contains(n["word"]))
 
 
 def url_has_type(url: Column, extension: str) -> Column:
@@ -55,8 +64,8 @@ def young_enough(crawled_at: Column, since_: Column) -> Column:
     return since_.isNull() | F.coalesce(crawled_at > since_, F.lit(False))
 
 
-def conditions(url: Column, crawled_at: Column, site: Column, inurl: Column, since_: Column) -> Column:
-    """All filters of a search whose values are columns; a null site does not filter."""
-    return (F.coalesce(url_like(url, site), F.lit(True))
-            & F.forall(inurl, lambda w: url_like(url, w))
+def conditions(low_url: Column, crawled_at: Column, site: Column, inurl: Column, since_: Column) -> Column:
+    """All filters of a search that is a row itself. ``site`` is a needle, ``inurl`` an array of needles; a
+    null site does not filter."""
+    return (F.coalesce(holds(low_url, site), F.lit(True)) & F.forall(inurl, lambda n: holds(low_url, n))
             & young_enough(crawled_at, since_))

@@ -13,6 +13,7 @@ from websift import schema as S
 from websift.functions import rank as R
 from websift.functions import text as X
 from websift.operators.salt import salted_join
+from websift.session import stored
 
 
 def build_postings(pages: DataFrame) -> DataFrame:
@@ -105,13 +106,15 @@ def score_searches(postings: DataFrame, doc_stats: DataFrame, wanted: DataFrame)
     """``sid, doc_id, rank``: the pages that hold all phrases of each search, with BM25.
 
     ``wanted``: ``sid, phrases``, no ``sid`` twice, ``phrases`` as made by ``querylog.phrases``. A phrase
-    shared by many searches is looked up and counted once.
+    shared by many searches is looked up and counted once. The hits of the phrases are written to the
+    shared folder when this is called.
     """
     each = wanted.select(F.explode("phrases").alias("p")).select("p.title_only", "p.tokens").distinct()
     each = each.filter(F.size("tokens") > 0)
-    hits = phrase_hits(postings, each.withColumn("phrase", phrase_key(F.col("title_only"), F.col("tokens"))))
-    # Both columns are used so that this reads the shuffle files of ``hits`` instead of computing it again.
-    df = hits.groupBy("phrase").agg(F.count_if((F.col("f") > 0) & (F.col("doc_len") > 0)).alias("df"))
+    each = each.withColumn("phrase", phrase_key(F.col("title_only"), F.col("tokens")))
+    # read twice: for the document frequencies, and for the pages
+    hits = stored(phrase_hits(postings, each), "hits")
+    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     keys = F.transform("phrases", lambda p: phrase_key(p.title_only, p.tokens))
     need = wanted.select("sid", keys.alias("keys"))
     need = need.select("sid", "keys", F.size(F.array_distinct("keys")).alias("n_phrases"),

@@ -194,10 +194,9 @@ def filter_site(spark, d):
 
 @query("filter_inurl", "SELECT page_id, url FROM pages WHERE url ILIKE '%blog%' AND url ILIKE '%e_%' AND url ILIKE '%EN%'")
 def filter_inurl(spark, d):
-    u = F.col("url")
-    words = F.array(F.lit("blog"), F.lit("e_"), F.lit("EN"))
-    return (_raw(spark, d).select("page_id", "url")
-            .filter(F.forall(words, lambda w: filters.url_like(u, w))))
+    words = F.array(*[filters.needle(F.lit(w)) for w in ("blog", "e_", "EN")])
+    low = filters.ascii_lower(F.col("url"))
+    return _raw(spark, d).select("page_id", "url").filter(F.forall(words, lambda n: filters.holds(low, n)))
 
 
 @query("filter_filetype", r"SELECT page_id, url FROM pages WHERE ends_with(regexp_replace(lower(url), '[?#].*$', ''), '.html')")

@@ -177,7 +177,7 @@ def _filter_only(searches: DataFrame, facts: DataFrame, n: int) -> list[DataFram
         part = only.filter(F.pmod(F.xxhash64("sid"), F.lit(groups)) == g)
         table = part.agg(F.collect_list(F.struct(*of_search))).scalar()
         met = F.filter("_searches", lambda s: filters.conditions(
-            F.col("url"), F.col("crawled_at"), s.site, s.inurl, s.since))
+            F.col("low_url"), F.col("crawled_at"), s.site, s.inurl, s.since))
         found = facts.withColumn("_searches", table).select("doc_id", "crawled_at", F.explode(
             F.transform(met, lambda s: F.struct(s.sid.alias("sid"), s.by_date.alias("by_date")))).alias("s"))
         out.append(found.select("s.sid", "doc_id", F.lit(0.0).alias("rank"), "s.by_date", "crawled_at"))
@@ -216,14 +216,16 @@ def batch_hits(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_st
 def _batch_hits(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_stats: DataFrame,
                 now, survey: Survey) -> DataFrame:
     searches = _searches(queries).withColumn("since", filters.since(_moment(now), F.col("time_filter")))
-    searches = searches.withColumn("by_date", F.col("sort_by") == "date")
-    facts = pages.select(F.col("id").alias("doc_id"), "url", "crawled_at")
+    searches = (searches.withColumn("by_date", F.col("sort_by") == "date")
+                .withColumn("site", filters.needle(F.col("site")))
+                .withColumn("inurl", F.transform("inurl", filters.needle)))
+    facts = pages.select(F.col("id").alias("doc_id"), filters.ascii_lower(F.col("url")).alias("low_url"), "crawled_at")
     found = index.score_searches(postings, doc_stats, searches.filter(F.size("phrases") > 0))
     cols = ["sid", "doc_id", "rank", "by_date", "crawled_at"]
     if survey.need_pages:
         tests = searches.select("sid", "site", "inurl", "since", "by_date")
         found = salted_join(found.join(facts, "doc_id"), tests, ["sid"], "doc_id")
-        found = found.filter(filters.conditions(F.col("url"), F.col("crawled_at"), F.col("site"),
+        found = found.filter(filters.conditions(F.col("low_url"), F.col("crawled_at"), F.col("site"),
                                                 F.col("inurl"), F.col("since"))).select(*cols)
     else:
         found = found.select("sid", "doc_id", "rank", F.lit(False).alias("by_date"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,6 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For results that several branches of a plan read: Spark shares a shuffle between branches only where
+    their plans are equal to the letter. What is written also outlives lost executors. The folder's owner
+    removes old tables.
+    """
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new, unused path for one intermediate table."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
