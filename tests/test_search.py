@@ -117,6 +117,15 @@ def test_deep_pages_are_numbered_over_the_cluster(spark, pages, indexed, monkeyp
     assert batch(spark, pages, indexed, BATCH).orderBy("query_id", "pos").collect() == shallow
 
 
+def test_far_pages_of_one_search(pages, monkeypatch):
+    near = [search.search(pages, "the -cat", p, sort_by=s).collect() for p in (1, 2, 9) for s in ("relevance", "date")]
+    monkeypatch.setattr(search, "WIDE_ROWS", 5)
+    far = [search.search(pages, "the -cat", p, sort_by=s).orderBy("pos").collect() for p in (1, 2, 9) for s in ("relevance", "date")]
+    assert far == near
+    monkeypatch.setattr(paging, "SHALLOW", 5)
+    assert [search.search(pages, "the -cat", 2, sort_by=s).orderBy("pos").collect() for s in ("relevance", "date")] == near[2:4]
+
+
 def test_exclusions_act_after_paging_and_ignore_the_marks(pages):
     plain = search.search(pages, "the", sort_by="date").collect()
     dropped = search.search(pages, "the -cat", sort_by="date").collect()

@@ -524,15 +524,15 @@ def match_phrase_indexed(spark, d):
 
 
 def _searches(spark, d) -> DataFrame:
-    """Kinds: two terms; a phrase; two terms of one site; a term with an exclusion. A fifth of the items
-    ask once more for all pages of a site."""
+    """Kinds: two terms; a phrase; two terms of one site; a term with an exclusion. Each item asks once more
+    for all pages of a site."""
     a = _asked(spark, d)
     kind, site = F.col("kind"), F.concat(F.lit("site:SRC"), F.col("src").cast("string"), F.lit("."))
     q = (F.when(kind == 1, F.concat(F.lit('"'), "a", F.lit(" "), "b", F.lit('"')))
          .when(kind == 2, F.concat("a", F.lit(" "), "b", F.lit(" "), site, F.lit(" inurl:example")))
          .when(kind == 3, F.concat("a", F.lit(" -"), "b")).otherwise(F.concat("a", F.lit(" "), "b")))
     cols = ["page", "time_filter", "sort_by"]
-    more = a.filter("time_filter is not null").select((-1 - F.col("query_id")).alias("query_id"), site.alias("q"), *cols)
+    more = a.select((-1 - F.col("query_id")).alias("query_id"), site.alias("q"), *cols)
     return a.select("query_id", q.alias("q"), *cols).unionByName(more)
 
 
@@ -543,9 +543,9 @@ answers AS (
   SELECT s.query_id, s.doc_id, s.rank FROM scored s JOIN asked a USING (query_id) JOIN corpus c ON c.id = s.doc_id
   WHERE a.kind <> 2 OR contains(c.url, '//src' || a.src || '.')
   UNION ALL
-  SELECT -1 - a.query_id, c.id, 0.0 FROM asked a JOIN corpus c ON contains(c.url, '//src' || a.src || '.') WHERE a.time_filter = 'year'),
+  SELECT -1 - a.query_id, c.id, 0.0 FROM asked a JOIN corpus c ON contains(c.url, '//src' || a.src || '.')),
 searches AS (SELECT query_id, page, sort_by, time_filter, CASE WHEN kind = 1 THEN [a || ' ' || b] WHEN kind = 3 THEN [a] ELSE [a, b] END AS terms FROM asked
-             UNION ALL SELECT -1 - query_id, page, sort_by, time_filter, []::VARCHAR[] FROM asked WHERE time_filter = 'year'),
+             UNION ALL SELECT -1 - query_id, page, sort_by, time_filter, []::VARCHAR[] FROM asked),
 kept AS (SELECT x.*, s.page, s.sort_by, s.terms, c.url, c.title, c.content, c.crawled_at
          FROM answers x JOIN searches s USING (query_id) JOIN corpus c ON c.id = x.doc_id, now
          WHERE s.time_filter IS NULL OR c.crawled_at > now.since)"""

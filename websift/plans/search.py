@@ -90,6 +90,9 @@ def _displayed(df: DataFrame) -> DataFrame:
                                               F.lit("No description available."))))
 
 
+# Leading hits of a search that a task may hold with their text.
+WIDE_ROWS = 1_000
+
 RESULT = ["pos", "id", "url", "title", "snippet", "rank", "crawled_at", "content_length", "domain",
           "crawled_date", "custom_rank", "badge"]
 
@@ -98,8 +101,9 @@ def result_page(pages: DataFrame, q: str, page: int = 1, time_filter: str | None
                 sort_by: str = "relevance", now=None, filetype: bool = False) -> DataFrame:
     """One page of results in its final order, before exclusions and without snippets.
 
-    The page is cut by a top-k in each task; only its rows carry on. Within the page, the relevance order
-    puts authoritative sites first.
+    The page is cut by a top-k in each task; only its rows carry on. For pages far down, ids are ranked
+    first and the text is fetched for the page alone. Within the page, the relevance order puts
+    authoritative sites first.
     """
     return _result_page(pages, parse(pages.sparkSession, q), page, time_filter, sort_by, now, filetype)
 
@@ -108,7 +112,13 @@ def _result_page(pages: DataFrame, spec: dict, page: int, time_filter, sort_by:
                  filetype: bool) -> DataFrame:
     found = _hits(pages, spec, time_filter, now, filetype)
     order = _order(sort_by)
-    cut_ = found.orderBy(*order).offset(max((page - 1) * paging.PAGE_SIZE, 0)).limit(paging.PAGE_SIZE)
+    before = max((page - 1) * paging.PAGE_SIZE, 0)
+    if before + paging.PAGE_SIZE <= WIDE_ROWS:
+        cut_ = found.orderBy(*order).offset(before).limit(paging.PAGE_SIZE)
+    else:
+        narrow = found.select("id", "rank", "crawled_at").withColumn("_all", F.lit(0))
+        ranked = paging.top(narrow, "_all", order, before + paging.PAGE_SIZE).filter(F.col("pos") > before)
+        cut_ = small_join(pages, ranked.select("id", "rank"), "id", paging.PAGE_SIZE)
 
     def strings(values: list[str]) -> Column:
         return F.array(*[F.lit(v) for v in values]).cast("array<string>")
