@@ -4,7 +4,6 @@ import sqlite3
 
 from pyspark.sql import functions as F
 
-STORE = "id long, url string, title string, content string, crawled_at timestamp_ntz, status_code int"
 
 
 def sqlite_index(rows):

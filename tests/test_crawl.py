@@ -34,6 +34,28 @@ def test_robots_rules_are_the_standard_librarys(spark):
     assert {r.url: r.allowed for r in C.with_robots(df, robots(spark)).collect()} == want
 
 
+def test_rules_of_an_agent_are_the_standard_librarys(spark):
+    files = {"a.com": [("*", False, "/all"), ("Sift", False, "/sift"), ("sif", False, "/late")],
+             "b.com": [("other", False, "/other"), ("*", True, "/x/y"), ("*", False, "/x")],
+             "c.com": [("other", False, "/")]}
+    flat = [(d, a, i, ok, p) for d, f in files.items() for i, (a, ok, p) in enumerate(f)]
+    rules = spark.createDataFrame(flat, "domain string, agent string, rule_no int, allow boolean, path string")
+    urls = [f"http://{d}{p}" for d in [*files, "d.com"] for p in ("/all", "/sift", "/late", "/other", "/x", "/x/y", "/")]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for agent in ("sift/2.0", "other", "third/1"):
+        want = {}
+        for u in urls:
+            r, lines, last = RobotFileParser(), [], None
+            for a, ok, p in files.get(u.split("/")[2], []):
+                lines += [] if a == last else ["", f"User-agent: {a}"]
+                lines.append(f"{'Allow' if ok else 'Disallow'}: {p}")
+                last = a
+            r.parse(lines)
+            want[u] = r.can_fetch(agent, u)
+        got = C.with_robots(df, C.robots_for(rules, agent)).collect()
+        assert {r.url: r.allowed for r in got} == want, agent
+
+
 def test_acceptable_fetches(spark):
     rows = [(200, "text/html", 1, True), (204, "TEXT/HTML; x", 5 * 1024 * 1024, True), (399, "text/html", 1, True),
             (400, "text/html", 1, False), (599, "text/html", 1, False), (600, "text/html", 1, True),

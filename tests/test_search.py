@@ -2,7 +2,6 @@ import random
 
 import pytest
 from helpers import sqlite_index, sqlite_search, store
-from pyspark.sql import functions as F
 
 from websift import schema as S
 from websift.operators import index, paging

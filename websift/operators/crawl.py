@@ -22,6 +22,24 @@ def acceptable(status="status", content_type="content_type", n_bytes="n_bytes"):
             & (F.col(n_bytes) <= MAX_BYTES))
 
 
+def robots_for(rules: DataFrame, agent: str) -> DataFrame:
+    """The rules that hold for ``agent``, one row for each host.
+
+    ``rules``: ``domain, agent, rule_no, allow, path``. A host's first section whose agent name is part of
+    ours counts, and only that one; without any, the section for ``*``. What is gathered for a host is its
+    robots file, a small document.
+    """
+    name = agent.split("/")[0].lower()
+    ours = (F.col("agent") != "*") & F.lit(name).contains(F.lower("agent"))
+    rule = F.struct("rule_no", "allow", "path", "agent")
+    sets = rules.groupBy("domain").agg(F.array_sort(F.collect_list(F.when(ours, rule))).alias("own"),
+                                       F.array_sort(F.collect_list(F.when(F.col("agent") == "*", rule))).alias("any"))
+    first = F.get("own", F.lit(0))["agent"]
+    own = F.filter("own", lambda r: r.agent == first)
+    chosen = F.when(F.size("own") > 0, own).otherwise(F.col("any"))
+    return sets.select("domain", F.transform(chosen, lambda r: F.struct(r.rule_no, r.allow, r.path)).alias("rules"))
+
+
 def with_robots(urls: DataFrame, robots: DataFrame) -> DataFrame:
     """``urls`` plus ``allowed``: the first rule of the host whose path begins the URL's path decides.
 

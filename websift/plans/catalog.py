@@ -5,11 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from websift.functions import rank as R
-from websift.functions import snippet as SN
 from websift.functions import text as X
 from websift.functions import urls as U
 from websift.functions.html import with_content
@@ -669,10 +668,10 @@ def store_bytes(spark, d):
 
 # ---------------------------------------------------------------------------------------- crawl
 
-# Robots rules made from the pages: each host has one rule for the first path segment of each of its
-# pages; even numbers allow.
+# Robots rules made from the pages: each host has one rule for the first letter of each path on it, a few
+# dozen at most; even numbers allow.
 _ROBOTS = rf"""
-seg AS (SELECT DISTINCT {O.domain('url')} AS domain, regexp_extract(url, '^https?://[^/]+(/[^/?#]*)', 1) AS path FROM pages),
+seg AS (SELECT DISTINCT {O.domain('url')} AS domain, regexp_extract(url, '^https?://[^/]+(/[a-z]?)', 1) AS path FROM pages),
 rules AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY path) AS rule_no FROM seg)"""
 _ALLOWED = "coalesce((SELECT min_by(r.rule_no % 2 = 0, r.rule_no) FROM rules r WHERE r.domain = u.domain AND starts_with(u.path, r.path)), true)"
 
@@ -680,11 +679,10 @@ _ALLOWED = "coalesce((SELECT min_by(r.rule_no % 2 = 0, r.rule_no) FROM rules r W
 def _robots(spark, d) -> DataFrame:
     u = F.col("url")
     seg = _raw(spark, d).select(U.domain(u).alias("domain"),
-                                F.regexp_extract(u, "^https?://[^/]+(/[^/?#]*)", 1).alias("path")).distinct()
-    # a robots file is one small document for each host
-    paths = seg.groupBy("domain").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return paths.select("domain", F.transform("paths", lambda p, i: F.struct(
-        (i + 1).alias("rule_no"), ((i + 1) % 2 == 0).alias("allow"), p.alias("path"))).alias("rules"))
+                                F.regexp_extract(u, "^https?://[^/]+(/[a-z]?)", 1).alias("path")).distinct()
+    w = Window.partitionBy("domain").orderBy("path")
+    rules = seg.withColumn("rule_no", F.row_number().over(w)).withColumn("agent", F.lit("*"))
+    return C.robots_for(rules.withColumn("allow", F.col("rule_no") % 2 == 0), "websift/1.0")
 
 
 _TARGETS = f"""{O.LINKS}, {_ROBOTS},
