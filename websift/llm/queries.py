@@ -3,14 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from websift.llm import block_search, source_mix
 from websift.llm.common import documents
+from websift.llm.license_scan import license_scan
 from websift.llm.ngram_join import ngram_jaccard_join
+from websift.llm.order_minhash import neighbour_fingerprints
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir), width=3, per100=90)
 
 
-QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard}
-ORACLE: dict[str, str] = {}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir)).drop("blocks")
+
+
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_fingerprints(documents(spark, sf_dir))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, _ = source_mix.mix_sources(documents(spark, sf_dir))
+    return taken.drop("source")
+
+
+def op9_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return block_search.nearest(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+QUERIES = {q.__name__: q for q in (op3_ngram_jaccard, op4_license_scan, op5_order_minhash, op6_source_mix, op9_block_search)}
+ORACLE = {"op6_source_mix": source_mix.ORACLE, "op9_block_search": block_search.ORACLE}
