@@ -10,6 +10,12 @@ from websift.llm.common import documents
 from websift.llm.license_scan import license_scan
 from websift.llm.ngram_join import ngram_jaccard_join
 from websift.llm.order_minhash import neighbour_fingerprints
+from websift.llm.repeat_removal import remove_repeats
+from websift.llm.weak_labels import weak_label_quality
+
+
+def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), length=100).drop("spans")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +40,10 @@ def op9_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_search.nearest(vectors, F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {q.__name__: q for q in (op3_ngram_jaccard, op4_license_scan, op5_order_minhash, op6_source_mix, op9_block_search)}
+def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_label_quality(documents(spark, sf_dir))
+
+
+QUERIES = {q.__name__: q for q in (op2_repeat_removal, op3_ngram_jaccard, op4_license_scan, op5_order_minhash, op6_source_mix,
+                                    op9_block_search, op10_weak_labels)}
 ORACLE = {"op6_source_mix": source_mix.ORACLE, "op9_block_search": block_search.ORACLE}
