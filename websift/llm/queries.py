@@ -11,6 +11,7 @@ from websift.llm.license_scan import license_scan
 from websift.llm.ngram_join import ngram_jaccard_join
 from websift.llm.order_minhash import neighbour_fingerprints
 from websift.llm.repeat_removal import remove_repeats
+from websift.llm.surrogates import replace_entities
 from websift.llm.weak_labels import weak_label_quality
 
 
@@ -35,6 +36,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.drop("source")
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(documents(spark, sf_dir))
+
+
 def op9_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return block_search.nearest(vectors, F.col("vec_id") % 100 == 0, k=10)
@@ -45,5 +50,5 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op2_repeat_removal, op3_ngram_jaccard, op4_license_scan, op5_order_minhash, op6_source_mix,
-                                    op9_block_search, op10_weak_labels)}
+                                    op7_surrogates, op9_block_search, op10_weak_labels)}
 ORACLE = {"op6_source_mix": source_mix.ORACLE, "op9_block_search": block_search.ORACLE}
