@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from websift.llm import block_search, source_mix
+from websift.llm.backoff_lm import backoff_scores
 from websift.llm.common import documents
 from websift.llm.license_scan import license_scan
 from websift.llm.ngram_join import ngram_jaccard_join
@@ -40,6 +41,10 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(documents(spark, sf_dir))
 
 
+def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(documents(spark, sf_dir))
+
+
 def op9_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return block_search.nearest(vectors, F.col("vec_id") % 100 == 0, k=10)
@@ -50,5 +55,5 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (op2_repeat_removal, op3_ngram_jaccard, op4_license_scan, op5_order_minhash, op6_source_mix,
-                                    op7_surrogates, op9_block_search, op10_weak_labels)}
+                                    op7_surrogates, op8_backoff_scores, op9_block_search, op10_weak_labels)}
 ORACLE = {"op6_source_mix": source_mix.ORACLE, "op9_block_search": block_search.ORACLE}
