@@ -3,7 +3,8 @@
 Words, pairs and triples are exploded from every text, counted in tables partitioned by hash, and the counts are joined back
 and summed per document. Rows are packed: a batch of documents lists each of its n-grams once, with its count, as sorted
 hashes cut into the tables' buckets; a bucket adds up what all batches sent and answers each with the totals in the
-same order. So a frequent n-gram is one entry per batch, never a hot key, and a batch needs only its own n-grams' totals.
+same order. So a frequent n-gram is one entry per batch, never a hot key, and a batch needs only its own n-grams' totals. Hashes
+have 56 bits: among 10 ** 10 distinct n-grams one in seven million shares its count with another.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from websift.llm.common import arrow_pass, mix64, stored, word_hashes
+from websift.llm.common import arrow_pass, mix64, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH_WORDS = 5_000_000
+BATCH_WORDS = 3_000_000
 BUCKET_BYTES = 8 << 20      # of text for each bucket of the tables
 
 
@@ -32,14 +33,22 @@ def ngrams(h: np.ndarray) -> list[np.ndarray]:
     return [h, pair, triple]
 
 
-def _listed(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of some documents, sorted, each once, with their counts."""
-    every = [x for h in docs for x in ngrams(h)]
-    s = np.sort(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+def _listed(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of the documents whose words stand in ``h``, each once as 56 bits, sorted, with their counts."""
+    s = np.concatenate(_inside(h, sizes))
+    s >>= np.uint64(8)
+    s.sort()
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
     return s[first], np.diff(np.append(first, len(s)))
 
 
+def _inside(h: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """n-grams that do not cross documents: words, pairs, triples."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    one, two, three = ngrams(h)
+    return [one, two[place[1:] >= 1], three[place[2:] >= 2]]
+
+
 def _pack(v: np.ndarray) -> bytes:
     """Sorted numbers as differences, byte by byte of equal weight; bytes that are zero in all are left out."""
     d = np.diff(v, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -64,6 +73,15 @@ def _unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def _pack_words(h: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct words, and each place's word by rank of frequency."""
+    words, place, n = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return words[order].tobytes(), _pack_counts(rank[place])
+
+
 def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_triples``, ``n_pairs``, ``n_singles``, ``log_score``, ``score`` of every row.
 
@@ -73,37 +91,42 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, id_c
     ``log_score`` is the sum of natural logarithms, ``score`` their mean. A text that is null or has no words has 0 and null. Counts
     are over all rows, repeated ones too. Other columns are left out.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def count(batches):
+        for b in batches:
+            texts = [(t or "").encode("utf-8", "replace") for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, texts))]), pa.array([sum(len(t.split()) for t in texts)])], names=["size", "words"])
+
+    size, total = (x or 0 for x in arrow_pass(docs.select("text"), count, "size long, words long").agg(F.sum("size"), F.sum("words")).first())
     bits = max(4, int(size // BUCKET_BYTES).bit_length())
 
     def explode(batches):
-        """Rows of kind 0: a bucket's part of a batch; of kind 1: a batch's documents."""
-        held, keys, words, n = [], [], 0, 0
+        """Rows of kind 0: a bucket's part of a batch's n-grams; of kind 1: the batch's documents, which follow on by themselves."""
+        held, ids, words, n = [], [], 0, 0
 
         def sent():
             batch = (TaskContext.get().partitionId() << 20) + n
-            grams, counts = _listed(held)
-            cuts = np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            rows = [(0, batch, i, 0, _pack(grams[a:b]), _pack_counts(counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
-            listed, times = np.unique(np.array(keys, np.int64), return_counts=True)
-            rows.append((1, batch, 0, words, listed.tobytes(), times.astype(np.int64).tobytes()))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=["kind", "batch", "bucket", "words", "grams", "counts"])
+            h, sizes = np.concatenate(held), np.array([len(x) for x in held], np.int64)
+            grams, counts = _listed(h, sizes)
+            cuts = np.searchsorted(grams >> np.uint64(56 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            rows = [(0, batch, i, _pack(grams[a:b]), _pack_counts(counts[a:b]), None, None) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            rows.append((1, batch, -1 - batch, *_pack_words(h), sizes.tobytes(), ids))
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
         for b in batches:
-            for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = word_hashes(t)
-                held.append(h), keys.append(k)
-                words += len(h)
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.append(word_hashes(t))
+                ids.append(d)
+                words += len(held[-1])
                 if words >= BATCH_WORDS:
                     yield sent()
-                    held, keys, words, n = [], [], 0, n + 1
+                    held, ids, words, n = [], [], 0, n + 1
         if held:
             yield sent()
 
-    # hashes do not shrink any further
-    sent = stored(arrow_pass(docs.select("text", "key"), explode, "kind int, batch long, bucket long, words long, grams binary, counts binary"), "lm-batches")
-    total = sent.agg(F.sum("words")).first()[0] or 0
+    names = ["kind", "batch", "bucket", "first", "second", "sizes", "ids"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    schema = "kind int, batch long, bucket long, first binary, second binary, sizes binary, ids array<long>"
 
     def add_up(batches):
         """Buckets one after the other: each batch's part is answered with the totals of its n-grams."""
@@ -115,14 +138,17 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, id_c
             order = np.argsort(every, kind="stable")
             s = every[order]
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            sums = np.add.reduceat(counts[order], first)
             totals = np.empty(len(every), np.int64)
-            totals[order] = np.repeat(sums, np.diff(np.append(first, len(s))))
+            totals[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(s))))
             ends = np.cumsum([len(p) for p in parts])[:-1]
-            out = [(i, bucket, _pack_counts(np.minimum(t, 2 ** 32 - 1))) for (i, _, _), t in zip(rows, np.split(totals, ends))]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["batch", "bucket", "totals"])
+            out = [(0, i, bucket, _pack_counts(np.minimum(t, 2 ** 32 - 1)), None, None, None) for (i, _, _), t in zip(rows, np.split(totals, ends))]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names=names)
         for b in batches:
-            for k, i, g, c in zip(*(b.column(j).to_pylist() for j in range(4))):
+            own = b.column(0).to_numpy() == 1
+            if own.any():
+                yield b.filter(pa.array(own))
+            b = b.filter(pa.array(~own))
+            for i, k, g, c in zip(*(b.column(j).to_pylist() for j in range(1, 5))):
                 if k != bucket and rows:
                     yield answered()
                     rows = []
@@ -131,63 +157,41 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, id_c
         if rows:
             yield answered()
 
-    parts = sent.where("kind = 0").select("bucket", "batch", "grams", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    totals = stored(arrow_pass(parts, add_up, "batch long, bucket long, totals binary"), "lm-totals")
-
-    def members(batches):
-        for b in batches:
-            for i, k, c in zip(*(b.column(j).to_pylist() for j in range(3))):
-                k = np.frombuffer(k, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i)), pa.array(k), pa.array(np.frombuffer(c, np.int64))], names=["batch", "key", "times"])
-
-    listed = arrow_pass(sent.where("kind = 1").select("batch", "grams", "counts"), members, "batch long, key long, times long")
-    texts = docs.join(listed, "key").select("batch", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "key", "times", "doc_id", "text", F.lit(None).cast("binary").alias("totals"))
-    answers = totals.select("batch", F.lit(0).alias("kind"), "bucket", *(F.lit(None).cast(t).alias(c) for c, t in (("key", "long"), ("times", "long"), ("doc_id", "long"), ("text", "string"))), "totals")
-    met = texts.unionByName(answers).repartition("batch").sortWithinPartitions("batch", "kind", "bucket", "key")
+    parts = arrow_pass(docs, explode, schema).repartition("bucket").sortWithinPartitions("bucket")
+    met = arrow_pass(parts, add_up, schema).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
 
     def score(batches):
-        batch, found, rows, seen = None, [], [], set()
-
-        def scored():
-            grams, _ = _listed([h for *_, h in rows])
-            counts = np.concatenate([_unpack_counts(c) for c in found]) if found else np.zeros(0, np.int64)
-            assert len(grams) == len(counts)
-            out = []
-            for d, times, h in rows:
-                one, two, three = (counts[np.searchsorted(grams, g)].astype(float) for g in ngrams(h))
-                n = len(h)
-                value = np.zeros(n)
-                level = np.ones(n, int)
-                value = np.log(one / max(total, 1)) + 2 * np.log(alpha)
-                if n > 1:
-                    hit = two >= min_count
-                    value[1:][hit] = (np.log(two) - np.log(one[:-1]))[hit] + np.log(alpha)
-                    level[1:][hit] = 2
-                if n > 2:
-                    hit = three >= min_count
-                    value[2:][hit] = (np.log(three) - np.log(two[:-1]))[hit]
-                    level[2:][hit] = 3
-                if n:
-                    value[0] -= 2 * np.log(alpha)
-                if n > 1:
-                    value[1] -= np.log(alpha)
-                s = float(value.sum())
-                out += [(d, n, int((level == 3).sum()), int((level == 2).sum()), int((level == 1).sum()), s, s / n if n else None)] * times
-            kinds = [*[pa.int64()] * 5, pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names=["doc_id", "n_words", "n_triples", "n_pairs", "n_singles", "log_score", "score"])
+        found: list[bytes] = []                              # answers to the batch at hand, by bucket
         for b in batches:
-            for i, kind, key, times, d, t, c in zip(*(b.column(j).to_pylist() for j in range(7))):
-                if i != batch and rows:
-                    yield scored()
-                if i != batch:
-                    batch, found, rows, seen = i, [], [], set()
+            for kind, first, second, sizes, ids in zip(*(b.column(j).to_pylist() for j in (0, 3, 4, 5, 6))):
                 if kind == 0:
-                    found.append(c)
-                elif key not in seen:                # rows of one id and text: once, as often as the batch has it
-                    seen.add(key)
-                    rows.append((d, times, word_hashes(t)))
-        if rows:
-            yield scored()
-
-    return arrow_pass(met.select("batch", "kind", "key", "times", "doc_id", "text", "totals"), score,
-                      "doc_id long, n_words long, n_triples long, n_pairs long, n_singles long, log_score double, score double")
+                    found.append(first)
+                    continue
+                h = np.frombuffer(first, np.uint64)[_unpack_counts(second)]
+                sizes = np.frombuffer(sizes, np.int64)
+                grams, _ = _listed(h, sizes)
+                counts = np.concatenate([np.zeros(0, np.int64), *map(_unpack_counts, found)])
+                found = []
+                if len(grams) != len(counts):
+                    raise ValueError("the answers are not for this batch")
+                yield scored(h, sizes, ids, grams, counts)
+
+    def scored(h, sizes, ids, grams, counts):
+        n = len(h)
+        place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        one, two, three = (counts[np.minimum(np.searchsorted(grams, g >> np.uint64(8)), max(0, len(counts) - 1))].astype(float) if len(g) else np.zeros(0) for g in ngrams(h))
+        value, level = np.log(np.maximum(one, 1) / max(total, 1)) + np.minimum(place, 2) * np.log(alpha), np.ones(n, np.int64)
+        hit = np.flatnonzero((two >= min_count) & (place[1:] >= 1))
+        value[hit + 1] = np.log(two[hit]) - np.log(one[hit]) + np.where(place[hit + 1] >= 2, np.log(alpha), 0.0)
+        level[hit + 1] = 2
+        hit = np.flatnonzero((three >= min_count) & (place[2:] >= 2))
+        value[hit + 2] = np.log(three[hit]) - np.log(two[hit])
+        level[hit + 2] = 3
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        logs = np.bincount(of, value, len(sizes))
+        at = [np.bincount(of, level == k, len(sizes)).astype(np.int64) for k in (3, 2, 1)]
+        mean = pa.array(logs / np.maximum(sizes, 1), mask=sizes == 0)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), *map(pa.array, at), pa.array(logs), mean],
+                                          names=["doc_id", "n_words", "n_triples", "n_pairs", "n_singles", "log_score", "score"])
+
+    return arrow_pass(met, score, "doc_id long, n_words long, n_triples long, n_pairs long, n_singles long, log_score double, score double")
