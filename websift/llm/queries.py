@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from websift.llm import block_search, source_mix
 from websift.llm.backoff_lm import backoff_scores
 from websift.llm.common import documents
+from websift.llm.gumbel_pieces import sample_pieces
 from websift.llm.license_scan import license_scan
 from websift.llm.ngram_join import ngram_jaccard_join
 from websift.llm.order_minhash import neighbour_fingerprints
@@ -16,6 +17,10 @@ from websift.llm.surrogates import replace_entities
 from websift.llm.weak_labels import weak_label_quality
 
 
+def op1_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(documents(spark, sf_dir), k=2)
+
+
 def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), length=100).drop("spans")
 
@@ -54,6 +59,6 @@ def op10_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_label_quality(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op2_repeat_removal, op3_ngram_jaccard, op4_license_scan, op5_order_minhash, op6_source_mix,
+QUERIES = {q.__name__: q for q in (op1_gumbel_pieces, op2_repeat_removal, op3_ngram_jaccard, op4_license_scan, op5_order_minhash, op6_source_mix,
                                     op7_surrogates, op8_backoff_scores, op9_block_search, op10_weak_labels)}
 ORACLE = {"op6_source_mix": source_mix.ORACLE, "op9_block_search": block_search.ORACLE}
