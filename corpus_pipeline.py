@@ -1,22 +1,55 @@
-"""A training-data pipeline over ``documents``: stages that each call one operator of ``websift.llm``."""
+"""A training-data pipeline over ``documents``: stages that each call one operator of ``websift.llm``.
+
+Every stage works on all rows that the one before kept and, but for the last, returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from websift.llm.common import DOC_COLUMNS, documents, stored
+from websift.llm.gumbel_pieces import sample_pieces
 from websift.llm.ngram_join import ngram_jaccard_join
+from websift.llm.source_mix import mix_sources
+from websift.llm.surrogates import replace_entities
+from websift.llm.weak_labels import weak_label_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; so do texts without words."""
+    judged = weak_label_quality(docs, carried=tuple(DOC_COLUMNS[1:]))
+    return judged.where("keep").select(*DOC_COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
+    """One document of each group of near copies stays: the one with the smallest id. Near: 0.8 of five-word shingles."""
     joined = ngram_jaccard_join(docs, width=5, per100=80)
     gone = joined.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.select(*DOC_COLUMNS).join(gone, "doc_id", "left_anti").select(*DOC_COLUMNS)
+    return docs.join(gone, "doc_id", "left_anti").select(*DOC_COLUMNS)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities in the texts become surrogates; every document stays."""
+    return replace_entities(docs, carried=("lang", "source")).withColumn("n_chars", F.length("text").cast("long")).select(*DOC_COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document stands in the mix as often as it was taken, up to twice; one of which less than half was taken is left out."""
+    taken, _ = mix_sources(docs)
+    times = taken.where("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    return (docs.join(times.where("times > 0"), "doc_id").withColumn("pass", F.explode(F.sequence(F.lit(1), "times")))
+            .select(*DOC_COLUMNS))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document in the mix, as ids."""
+    return sample_pieces(docs, k=2)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
-ORACLE_SQL: str | None = None
+STAGES = [("weak_label_quality", quality), ("ngram_jaccard_join", near_duplicates), ("replace_entities", pii),
+          ("mix_sources", mix), ("sample_pieces", encode)]
+ORACLE_SQL: str | None = None       # shingle components and sampled pieces are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
