@@ -11,6 +11,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from websift.session import scratch_path, stored
 
@@ -23,8 +24,9 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def ready(spark: SparkSession) -> None:
-    """Few rows in an Arrow batch: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    """Bounded Arrow batches: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +34,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df`` through ``fn``, batch by batch; every batch that comes out has just ``schema``."""
     ready(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    want = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def fitted(batches):
+        for b in fn(batches):
+            yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(b.columns, want)], schema=want)
+    return df.mapInArrow(fitted, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -52,15 +60,22 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of ``width`` words in a row; of fewer words, one hash of all; of none, nothing."""
-    h = word_hashes(text)
+    """Sorted distinct hashes of ``width`` words in a row; of fewer words, one hash of all; of none, nothing.
+
+    The highest byte falls with the shingle's length, so that long ones, which are mostly rare, come first.
+    """
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if not len(h):
         return h
+    size = np.fromiter(map(len, words), np.int64, len(words))
     w = min(width, len(h))
-    s = np.full(len(h) - w + 1, w, np.uint64)
+    n = len(h) - w + 1
+    s, total = np.full(n, w, np.uint64), np.zeros(n, np.int64)
     for i in range(w):
-        s = mix64(s * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - w + 1 + i])
-    return np.unique(s)
+        s = mix64(s * np.uint64(0x9E3779B97F4A7C15) + h[i:n + i])
+        total += size[i:n + i]
+    return np.unique((s >> np.uint64(8)) | ((255 - np.minimum(total, 255)).astype(np.uint64) << np.uint64(56)))
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
