@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from websift.session import scratch_path, stored
 
-__all__ = ["arrow_pass", "components", "documents", "mix64", "ready", "scratch_path", "shingles", "stored", "word_hashes"]
+__all__ = ["arrow_pass", "components", "documents", "heaviest", "mix64", "ready", "scratch_path", "shingles", "stored", "word_hashes"]
 
 # Executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -78,6 +78,24 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique((s >> np.uint64(8)) | ((255 - np.minimum(total, 255)).astype(np.uint64) << np.uint64(56)))
 
 
+def heaviest(counted: DataFrame, value: str, weight: str, most: int, what: str) -> np.ndarray:
+    """Values of the largest weights, lightest first: as many whole classes of weight (quarters of a power of two) as fit into ``most``.
+
+    ``counted`` has a row for each value. Only the classes' sizes and then at most ``most`` rows reach the driver.
+    """
+    counted = stored(counted.select(F.col(value).alias("v"), F.col(weight).alias("w"), F.floor(F.log2(weight) * 4).alias("c")), what)
+    held, lowest = 0, None
+    for r in sorted(counted.groupBy("c").count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            break
+        lowest = r["c"]
+    if lowest is None:
+        return np.zeros(0, np.uint64)
+    rows = counted.where(F.col("c") >= lowest).select("v", "w").toPandas().sort_values(["w", "v"])
+    return rows["v"].to_numpy(np.int64).view(np.uint64)
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) of every node of ``edges`` (``a``, ``b``).
 

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from websift.llm.common import arrow_pass, mix64, stored
+from websift.llm.common import arrow_pass, heaviest, mix64, stored
 from websift.llm.run_index import RunIndex
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -114,9 +114,8 @@ def _varied(docs: DataFrame, length: int) -> np.ndarray:
             a, n = np.unique(distinct(got)[:, 0], return_counts=True)
             a, n = a[n >= 8], n[n >= 8]
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], names=["a", "n"])
-    rows = (arrow_pass(docs.select("text"), count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= VARIED).orderBy(F.desc("n"), "a").limit(LISTED).select("a").toPandas())
-    return np.sort(rows["a"].to_numpy(np.int64).view(np.uint64))
+    counted = arrow_pass(docs.select("text"), count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    return np.sort(heaviest(counted.where(F.col("n") >= VARIED), "a", "n", LISTED, "repeats-varied"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
