@@ -22,7 +22,7 @@ HEADLINE = [
     "search_filtered", "search_summary", "search_full", "index_postings", "index_term_stats",
     "index_apply_changes", "match_terms_indexed", "match_phrase_indexed", "search_batch",
     "search_batch_summary", "save_pages", "duplicate_url_check", "robots_allowed", "frontier_new",
-    "crawl_round", "crawl_rounds", "crawl_progress", "stream_ingest_pages",
+    "crawl_progress", "stream_ingest_pages",
 ]
 
 

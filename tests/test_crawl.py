@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from websift import schema as S
 from websift.operators import crawl as C
-from websift.plans import crawl
 from websift.sources import pages as P
 
 ROBOTS = {
@@ -76,58 +75,30 @@ def test_frontier(spark):
     assert {tuple(r) for r in C.frontier_sizes(new).collect()} == {("high", 1), ("medium", 1), ("low", 1)}
 
 
-def test_large_batches_are_cut_over_the_cluster(spark, monkeypatch):
+def test_large_batches(spark):
     f = spark.range(200).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("low").alias("priority"), (F.col("id") % 7).alias("seq"))
-    want = {r.url for r in C.next_batch(f, 90).collect()}
-    monkeypatch.setattr(C.paging, "SHALLOW", 10)
-    assert {r.url for r in C.next_batch(f, 90).collect()} == want
-
-
-FILL = "word " * 30
-LINKS = {
-    "http://w.com": ["/a", "/b", "/a", "http://other.org/x", "/file.pdf"],
-    "http://w.com/a": ["/", "/b", "/a", "/c"],
-    "http://w.com/b": [f"/n{i}" for i in range(25)],
-    "http://w.com/c": ["/news", "/dead"],
-    "http://w.com/n0": [], "http://w.com/n19": [], "http://w.com/n20": [],
-    "http://w.com/news": [], "http://w.com/thin": [], "http://w.com/gone": [], "http://w.com/pic": [],
-    "http://w.com/private/x": [],
-}
-
-
-def web(spark):
-    rows = []
-    for u, links in LINKS.items():
-        body = "" if u.endswith("thin") else FILL
-        html = f"<title>{u}</title>{body}" + "".join(f'<a href="{h}">l</a>' for h in links)
-        rows.append((u, 410 if u.endswith("gone") else 200, "image/png" if u.endswith("pic") else "text/html", len(html), html))
-    return spark.createDataFrame(rows, "url string, status int, content_type string, n_bytes long, html string")
+    want = [r.url for r in f.orderBy("seq", "url").limit(90).collect()]
+    assert sorted(r.url for r in C.next_batch(f, 90).collect()) == sorted(want)
 
 
-def run(spark, seeds, **kw):
-    df = spark.createDataFrame(list(enumerate(seeds)), "seq long, url string")
-    log, stored = crawl.crawl_rounds(spark, P.clean_seeds(df), web(spark), robots(spark, {"w.com": [(False, "/private")]}), **kw)
-    return {(r.round, r.url.removeprefix("http://w.com"), r.outcome) for r in log.collect()}, stored
+def test_links_are_all_there_unless_a_limit_is_given(spark):
+    df = spark.createDataFrame([("u", [f"http://a/{i}" for i in range(25)])], "url string, links array<string>")
+    assert C.page_links(df).count() == 25
+    assert [r.dst_url for r in C.page_links(df, 20).orderBy("pos").collect()] == [f"http://a/{i}" for i in range(20)]
 
 
-def test_rounds(spark):
-    log, stored = run(spark, ["http://w.com/", "http://w.com/thin", "http://w.com/gone", "http://w.com/pic",
-                              "http://w.com/private/x", "http://w.com"])
-    n = {f"/n{i}" for i in range(20)}                           # links beyond the twentieth are not followed
-    assert log == ({(1, "", "crawled"), (1, "/thin", "rejected"), (1, "/gone", "failed"), (1, "/pic", "skipped"),
-                    (1, "/private/x", "robots_blocked"), (2, "/a", "crawled"), (2, "/b", "crawled"),
-                    (2, "http://other.org/x", "failed"), (3, "/c", "crawled"), (4, "/news", "crawled"), (4, "/dead", "failed")}
-                   | {(3, x, "crawled" if x in ("/n0", "/n19") else "failed") for x in n})
-    assert {r.url for r in stored.collect()} == {f"http://w.com{u}" for u in ("", "/a", "/b", "/c", "/n0", "/n19", "/news")}
-    assert stored.filter("url = 'http://w.com/a'").first().title == "http:  w.com a"
+CODED = ["/%7Ejoe/", "/~joe/", "/a%2Fb", "/a/b", "/caf%C3%A9", "/café", "/x+y", "/x%2By", "/bad%zz", "/bad%25zz", "/%", "/q?a=%20b"]
 
 
-def test_budget_and_batches(spark):
-    log, _ = run(spark, ["http://w.com/"], max_pages=4, batch_size=2)
-    assert sorted(x[1] for x in log) == ["", "/a", "/b", "/c"] or len(log) == 4
-    assert max(x[0] for x in log) == 3                          # 1 + 2 + 1
-    log, _ = run(spark, ["http://w.com/"], max_rounds=2)
-    assert {x[0] for x in log} == {1, 2}
+def test_robots_paths_are_compared_without_codes(spark):
+    """As the standard library compares them."""
+    for rule in CODED:
+        parser = RobotFileParser()
+        parser.parse(["User-agent: *", f"Disallow: {rule}"])
+        rules = spark.createDataFrame([("w.com", "*", 0, False, rule)], "domain string, agent string, rule_no int, allow boolean, path string")
+        urls = spark.createDataFrame([(f"http://w.com{p}x", i) for i, p in enumerate(CODED)], "url string, seq long")
+        got = {r.url: r.allowed for r in C.with_robots(urls, C.robots_for(rules, "websift/1.0")).collect()}
+        assert got == {u: parser.can_fetch("websift/1.0", u) for u in got}, rule
 
 
 def test_counters_and_rate(spark):

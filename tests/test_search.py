@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import sqlite_index, sqlite_search, store
+from pyspark.sql import functions as F
 
 from websift import schema as S
 from websift.operators import index, paging
@@ -110,19 +111,22 @@ def test_filter_only_searches_in_several_groups(spark, pages, indexed, monkeypat
     test_batch_summaries_equal_single_ones(spark, pages, indexed)
 
 
-def test_deep_pages_are_numbered_over_the_cluster(spark, pages, indexed, monkeypatch):
-    shallow = batch(spark, pages, indexed, BATCH).orderBy("query_id", "pos").collect()
-    monkeypatch.setattr(paging, "SHALLOW", 5)
-    assert batch(spark, pages, indexed, BATCH).orderBy("query_id", "pos").collect() == shallow
+def test_pages_of_one_search_follow_on(pages):
+    """Pages at any depth are cut from one order."""
+    for sort_by in ("relevance", "date"):
+        order = [F.col("crawled_at").desc() if sort_by == "date" else F.col("rank"), F.col("id")]
+        all_ids = [r.id for r in search.hits(pages, "the -cat").orderBy(*order).collect()]
+        for p in (1, 2, 9):
+            got = search.result_page(pages, "the -cat", p, sort_by=sort_by).collect()
+            assert sorted(r.id for r in got) == sorted(all_ids[(p - 1) * 20:p * 20])
 
 
-def test_far_pages_of_one_search(pages, monkeypatch):
-    near = [search.search(pages, "the -cat", p, sort_by=s).collect() for p in (1, 2, 9) for s in ("relevance", "date")]
-    monkeypatch.setattr(search, "WIDE_ROWS", 5)
-    far = [search.search(pages, "the -cat", p, sort_by=s).orderBy("pos").collect() for p in (1, 2, 9) for s in ("relevance", "date")]
-    assert far == near
-    monkeypatch.setattr(paging, "SHALLOW", 5)
-    assert [search.search(pages, "the -cat", 2, sort_by=s).orderBy("pos").collect() for s in ("relevance", "date")] == near[2:4]
+def test_no_page_is_the_first(spark, pages, indexed):
+    queries = spark.createDataFrame([(1, "the", None, None, "date"), (2, "the", 1, None, "date")], S.QUERIES)
+    one, two = (tuple(r)[1:] for r in search.batch_summary(queries, pages, *indexed, now=NOW).orderBy("query_id").collect())
+    assert one == two and one[2] == 1
+    got = search.search_batch(queries, pages, *indexed, now=NOW, snippets=False).groupBy("query_id").count().collect()
+    assert {r["count"] for r in got} == {20}
 
 
 def test_exclusions_act_after_paging_and_ignore_the_marks(pages):

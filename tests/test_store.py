@@ -24,8 +24,10 @@ def test_what_is_saved(spark, stored):
             (3, "http://short/", "t", "x" * 99, 200), (4, "http://blank/", "t", "　" + "x" * 99 + "\xa0", 200),
             (5, "http://untitled/", "", LONG, 200), (6, "http://null/", None, LONG, 200), (7, "http://b/", "T" * 600, "y" * 60000, 203),
             (8, "http://late/", "t", "short", 200), (9, "http://late/", "t", LONG, 200)]
-    got = {r.url: r for r in store.new_pages(spark.createDataFrame(rows, NEW), stored).collect()}
-    assert sorted(got) == ["http://a/", "http://b/", "http://late/"]
+    got = {r.url: r for r in store.new_pages(spark.createDataFrame(rows, NEW), stored, max_title=500, max_content=50_000).collect()}
+    whole = {r.url: r for r in store.new_pages(spark.createDataFrame(rows, NEW), stored).collect()}
+    assert (len(whole["http://b/"].title), len(whole["http://b/"].content)) == (600, 60_000)
+    assert sorted(got) == sorted(whole) == ["http://a/", "http://b/", "http://late/"]
     assert (got["http://a/"].title, got["http://late/"].seq) == ("first", 9)
     assert (len(got["http://b/"].title), len(got["http://b/"].content), got["http://b/"].status_code) == (500, 50_000, 203)
 

@@ -28,7 +28,7 @@ def test_ingest_keeps_urls_unique_and_the_index_in_step(spark, tmp_path):
     write(spark, src, "two", [(3, "http://a/", "late", LONG), (4, "http://b/", "B2", LONG)])
     ingest(spark, src, target, state)
     pages = spark.read.parquet(f"{target}/pages")
-    assert rows(pages.select("id", "url", "title")) == [(0, "http://a/", "A"), (4, "http://b/", "B2")]
+    assert rows(pages.select("id", "url", "title")) == [(0, "http://a/", "A"), (1, "http://b/", "B2")]
     cols = ["term", "field", "doc_id", "pos", "doc_len"]
     assert rows(spark.read.parquet(f"{target}/postings").select(*cols)) == rows(index.build_postings(pages).select(*cols))
     assert spark.read.parquet(f"{target}/doc_stats").count() == 2
@@ -43,6 +43,22 @@ def test_a_replayed_stream_leaves_nothing_twice(spark, tmp_path):
     assert spark.read.parquet(f"{target}/doc_stats").count() == 1
 
 
+def test_ids_are_unique_over_batches_numbered_alike(spark, tmp_path):
+    src, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    write(spark, src, "one", [(0, "http://a/", "A", LONG), (1, "http://b/", "B", LONG)])
+    write(spark, src, "two", [(0, "http://c/", "C", LONG), (1, "http://d/", "D", LONG)])
+    ingest(spark, src, target, f"{tmp_path}/state1")
+    pages = spark.read.parquet(f"{target}/pages")
+    assert sorted(r.id for r in pages.collect()) == [0, 1, 2, 3] and pages.select("batch").distinct().count() >= 2
+    # state lost, and all files come in one batch
+    raw = spark.readStream.schema(S.RAW_PAGES).option("recursiveFileLookup", "true").parquet(src)
+    jobs.ingest_pages(raw, target, f"{tmp_path}/state2").awaitTermination()
+    write(spark, src, "three", [(0, "http://e/", "E", LONG), (1, "http://a/", "A", LONG)])
+    jobs.ingest_pages(raw, target, f"{tmp_path}/state2").awaitTermination()
+    pages = spark.read.parquet(f"{target}/pages")
+    assert sorted((r.id, r.url) for r in pages.collect())[4:] == [(4, "http://e/")] and pages.count() == 5
+
+
 def test_progress_windows_close_with_the_watermark(spark, tmp_path):
     src = f"{tmp_path}/log"
     log = spark.createDataFrame([(0, "2024-01-01 00:10:00", "u", "crawled"), (1, "2024-01-01 00:50:00", "u", "failed"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from websift.functions import urls as U
@@ -11,7 +11,6 @@ from websift.operators.salt import salted_join
 
 # Fixed values.
 MAX_BYTES = 5 * 1024 * 1024
-LINKS_PER_PAGE = 20
 OUTCOMES = ["crawled", "failed", "duplicate", "robots_blocked"]
 
 
@@ -22,6 +21,12 @@ def acceptable(status="status", content_type="content_type", n_bytes="n_bytes"):
             & (F.col(n_bytes) <= MAX_BYTES))
 
 
+def plain_path(path: Column) -> Column:
+    """``path`` without percent signs, as robots rules compare paths. What is no valid code stays as it is."""
+    safe = F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(safe), path)
+
+
 def robots_for(rules: DataFrame, agent: str) -> DataFrame:
     """The rules that hold for ``agent``, one row for each host.
 
@@ -32,6 +37,7 @@ def robots_for(rules: DataFrame, agent: str) -> DataFrame:
     name = agent.split("/")[0].lower()
     ours = (F.col("agent") != "*") & F.lit(name).contains(F.lower("agent"))
     rule = F.struct("rule_no", "allow", "path", "agent")
+    rules = rules.withColumn("path", plain_path(F.col("path")))
     sets = rules.groupBy("domain").agg(F.array_sort(F.collect_list(F.when(ours, rule))).alias("own"),
                                        F.array_sort(F.collect_list(F.when(F.col("agent") == "*", rule))).alias("any"))
     first = F.get("own", F.lit(0))["agent"]
@@ -41,12 +47,13 @@ def robots_for(rules: DataFrame, agent: str) -> DataFrame:
 
 
 def with_robots(urls: DataFrame, robots: DataFrame) -> DataFrame:
-    """``urls`` plus ``allowed``: the first rule of the host whose path begins the URL's path decides.
+    """``urls`` plus ``allowed``: the first rule of the host whose path begins the URL's path decides. Paths and
+    rules are compared without their percent codes.
 
     ``robots``: one row for each host. Hosts without rules allow everything. A host may own a third of
     all URLs, so URLs are salted and the rules repeated.
     """
-    df = urls.withColumn("domain", U.domain(F.col("url"))).withColumn("_path", U.path(F.col("url")))
+    df = urls.withColumn("domain", U.domain(F.col("url"))).withColumn("_path", plain_path(U.path(F.col("url"))))
     df = salted_join(df, robots, ["domain"], "url", "left")
     first = F.get(F.filter(F.array_sort("rules"),
                            lambda r: F.col("_path").startswith(r.path)), F.lit(0))
@@ -70,8 +77,6 @@ def count_seen(urls: DataFrame, visited: DataFrame) -> DataFrame:
 def next_batch(frontier: DataFrame, n: int) -> DataFrame:
     """The next ``n`` URLs: high before medium before low, first come first served inside."""
     order = [U.priority_order(F.col("priority")).asc(), F.col("seq").asc(), F.col("url").asc()]
-    if n <= paging.SHALLOW:
-        return frontier.orderBy(*order).limit(n)
     return paging.top(frontier.withColumn("_all", F.lit(0)), "_all", order, n).drop("_all", "pos")
 
 
@@ -79,9 +84,9 @@ def frontier_sizes(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
 
 
-def page_links(pages: DataFrame, limit: int = LINKS_PER_PAGE) -> DataFrame:
-    """``src_url, pos, dst_url``: the first links of each page (``url, links``), in document order."""
-    some = F.slice("links", 1, limit)
+def page_links(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """``src_url, pos, dst_url``: the links of each page (``url, links``), in document order; the first ``limit`` if given."""
+    some = F.col("links") if limit is None else F.slice("links", 1, limit)
     return pages.select(F.col("url").alias("src_url"), F.posexplode(some).alias("pos", "dst_url"))
 
 

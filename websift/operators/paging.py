@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from websift.session import scratch_path
-
 # Fixed values of the result page and its bar.
 PAGE_SIZE = 20
 BAR_BEFORE, BAR_LENGTH = 5, 9
 
-# Up to this many leading hits of a search may meet in one task.
-SHALLOW = 20_000
+# Parts in which a group's leading hits are found before they meet.
+SLICES = 64
 
 
 def page_of(pos: Column) -> Column:
@@ -22,32 +20,20 @@ def page_of(pos: Column) -> Column:
 def top(hits: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` hits of each group, numbered in ``pos``.
 
-    ``order`` must leave no ties. A small ``k`` is cut in every task before the shuffle, so a group that
-    holds most of the rows does no harm. For a large one the hits are sorted over the cluster, and a hit's
-    number is its number in its own range plus the sizes of the ranges before it.
+    ``order`` must leave no ties; ``hits`` should be narrow. Hits are cut in every task, then in each of SLICES parts of
+    their group, and only then do SLICES times ``k`` rows at most meet, however many tasks there were.
     """
-    if k <= SHALLOW:
-        w = Window.partitionBy(group).orderBy(*order)
-        return hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
-    spark = hits.sparkSession
-    path = scratch_path(spark, "sorted-hits")
-    (hits.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
-     .write.parquet(path))
-    ranges = spark.read.parquet(path)
-    sizes = ranges.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    sizes = sizes.filter(F.col("_before") < k).drop("_size")
-    w = Window.partitionBy(group, "_part").orderBy(*order)
-    return (ranges.join(sizes, [group, "_part"])
-            .withColumn("pos", (F.row_number().over(w) + F.col("_before")).cast("int"))
-            .filter(F.col("pos") <= k).drop("_part", "_before"))
+    part = F.pmod(F.xxhash64(*hits.columns), F.lit(SLICES)).cast("int")
+    first = Window.partitionBy(group, "_slice").orderBy(*order)
+    some = hits.withColumn("_slice", part).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k)
+    last = Window.partitionBy(group).orderBy(*order)
+    return (some.drop("_n", "_slice").withColumn("pos", F.row_number().over(last)).filter(F.col("pos") <= k))
 
 
 def with_summary(df: DataFrame, total: str = "total_results", page: str = "page") -> DataFrame:
-    """``df`` plus total_pages, current_page, has_next and has_prev."""
+    """``df`` plus total_pages, current_page, has_next and has_prev. No page is page 1."""
     pages = F.ceil(F.col(total) / PAGE_SIZE).cast("long")
-    return (df.withColumn("total_pages", pages).withColumn("current_page", F.col(page).cast("int"))
+    return (df.withColumn("total_pages", pages).withColumn("current_page", F.coalesce(F.col(page), F.lit(1)).cast("int"))
             .withColumn("has_next", F.col("current_page") < F.col("total_pages"))
             .withColumn("has_prev", F.col("current_page") > 1))
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from websift import schema as S
 from websift.functions import text as X
+from websift.session import stored as written
 
 # Fixed values of the store.
 MIN_CONTENT = 100
-MAX_TITLE, MAX_CONTENT = 500, 50_000
 
 
 class DuplicateUrl(ValueError):
@@ -39,14 +39,17 @@ def savable(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("title") != "") & (F.col("content") != "") & long_enough(F.col("content")))
 
 
-def new_pages(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+def new_pages(candidates: DataFrame, stored: DataFrame, max_title: int | None = None,
+              max_content: int | None = None) -> DataFrame:
     """What saving ``candidates`` (``seq, url, title, content, status_code``) adds to ``stored``.
 
-    Too little content or a known URL is no error; such rows are left out.
+    Too little content or a known URL is no error; such rows are left out. Titles and contents are kept whole
+    unless a maximum of characters is given.
     """
-    rows = not_stored(first_of_url(savable(candidates)), stored)
-    return rows.select("seq", "url", F.substr("title", F.lit(1), F.lit(MAX_TITLE)).alias("title"),
-                       F.substr("content", F.lit(1), F.lit(MAX_CONTENT)).alias("content"), "status_code")
+    def first(column: str, most: int | None) -> Column:
+        return F.col(column) if most is None else F.substr(column, F.lit(1), F.lit(most)).alias(column)
+    rows = savable(candidates).select("seq", "url", first("title", max_title), first("content", max_content), "status_code")
+    return not_stored(first_of_url(rows), stored)
 
 
 def insert_or_ignore(rows: DataFrame, stored: DataFrame) -> DataFrame:
@@ -84,6 +87,17 @@ def with_ids(rows: DataFrame, stored: DataFrame, now: Column | None = None) -> D
         F.coalesce(F.col("status_code"), F.lit(200)).cast("int").alias("status_code"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``seq`` replaced by 0, 1, 2 ... in ``order``: sorted over the cluster and written once; a row's number
+    is its place in its range after the sizes of the ranges before."""
+    ranges = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))          # one row for each range
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranges.join(sizes, "_part").withColumn("seq", place + F.col("_before")).select(*rows.columns)
+
+
 def append(pages: DataFrame, path: str) -> None:
     """Append to the store, each file in order of crawl time for pruning by age."""
     S.require(pages, S.PAGES, path).sortWithinPartitions("crawled_at").write.mode("append").parquet(path)

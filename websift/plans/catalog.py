@@ -15,7 +15,7 @@ from websift.functions.html import with_content
 from websift.operators import crawl as C
 from websift.operators import filters, index, match, paging, store
 from websift.operators import querylog as Q
-from websift.plans import crawl, search
+from websift.plans import search
 from websift.plans import oracle as O
 from websift.session import scratch_path
 from websift.sources import pages as P
@@ -45,11 +45,11 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return P.as_store(P.spread(_raw(spark, d)))
+    return P.as_store(_raw(spark, d))
 
 
 def _doc_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return P.documents_as_store(P.spread(_documents(spark, d)))
+    return P.documents_as_store(_documents(spark, d))
 
 
 def _now(table: DataFrame, key: str) -> dt.datetime:
@@ -59,7 +59,7 @@ def _now(table: DataFrame, key: str) -> dt.datetime:
 
 
 def _content(spark: SparkSession, d: str, *want: str) -> DataFrame:
-    return with_content(P.spread(_raw(spark, d)), want=want)
+    return with_content(_raw(spark, d), want=want)
 
 
 # ------------------------------------------------------------------------------ text and URLs
@@ -79,14 +79,14 @@ def page_title(spark, d):
     return _content(spark, d, "title").select("page_id", "title")
 
 
-@query("page_links", f"WITH {O.LINKS} SELECT src_url, pos, dst_url FROM links")
+@query("page_links", f"WITH {O.LINKS} SELECT src_url, pos, dst_url FROM links WHERE pos < 20")
 def page_links(spark, d):
-    return C.page_links(_content(spark, d, "links").select("url", "links"))
+    return C.page_links(_content(spark, d, "links").select("url", "links"), limit=20)
 
 
 @query("clean_text", f"SELECT doc_id, {O.tidy(O.unescape('text'))} AS cleaned FROM documents")
 def clean_text(spark, d):
-    return P.spread(_documents(spark, d)).select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+    return _documents(spark, d).select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
 _BASIC = O.unescape(O.sub("html", "<[^>]+>", " "))
@@ -95,7 +95,7 @@ _BASIC = O.unescape(O.sub("html", "<[^>]+>", " "))
 @query("clean_text_basic",
        f"SELECT page_id, trim({O.sub(_BASIC, '[' + O.BLANK + ']+', ' ')}, ' ') AS cleaned FROM pages")
 def clean_text_basic(spark, d):
-    return P.spread(_raw(spark, d)).select("page_id", X.clean_text_basic(F.col("html")).alias("cleaned"))
+    return _raw(spark, d).select("page_id", X.clean_text_basic(F.col("html")).alias("cleaned"))
 
 
 @query("truncate_text", """
@@ -142,22 +142,22 @@ def url_priority(spark, d):
 @query("tokenize", f"""SELECT doc_id, CAST(len({O.tokens('text')}) AS INTEGER) AS n_tokens,
                               array_to_string({O.tokens('text')}, ' ') AS tokens FROM documents""")
 def tokenize(spark, d):
-    t = P.spread(_documents(spark, d)).select("doc_id", X.tokens(F.col("text")).alias("t"))
+    t = _documents(spark, d).select("doc_id", X.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 # ------------------------------------------------------------------------------------ query log
 
 _LOG = """
-log AS (SELECT conv_id, turn, substr(text, 1, 40) || ' "' || substr(text, 41, 25) || '" -' || role || ' site:' || role
-               || '.example.org filetype:pdf intitle:' || substr(text, 1, 4) || ' x-' || turn || ' inurl:' || turn AS q
+log AS (SELECT conv_id, turn, text || ' "' || text || '" -' || role || ' site:' || role
+               || '.example.org filetype:pdf intitle:' || text || ' x-' || turn || ' inurl:' || turn AS q
         FROM conversations)"""
 
 
 def _log(spark, d):
     t = F.col("text")
-    q = F.concat(t.substr(1, 40), F.lit(' "'), t.substr(41, 25), F.lit('" -'), F.col("role"), F.lit(" site:"),
-                 F.col("role"), F.lit(".example.org filetype:pdf intitle:"), t.substr(1, 4), F.lit(" x-"),
+    q = F.concat(t, F.lit(' "'), t, F.lit('" -'), F.col("role"), F.lit(" site:"),
+                 F.col("role"), F.lit(".example.org filetype:pdf intitle:"), t, F.lit(" x-"),
                  F.col("turn").cast("string"), F.lit(" inurl:"), F.col("turn").cast("string"))
     return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", q.alias("q"))
 
@@ -260,8 +260,8 @@ fetches AS (SELECT page_id, url, html, CASE WHEN page_id % 10 = 3 THEN 404 ELSE
 _ACCEPT = "NOT (status BETWEEN 400 AND 599) AND contains(lower(content_type), 'text/html') AND n_bytes <= 5242880"
 
 
-def _fetches(spark, d, spread=False):
-    p = P.spread(_raw(spark, d)) if spread else _raw(spark, d)
+def _fetches(spark, d):
+    p = _raw(spark, d)
     k = F.col("page_id") % 10
     return (p.withColumn("status", F.when(k == 3, 404).otherwise(200))
             .withColumn("content_type", F.when(k == 5, "application/pdf").otherwise("text/html; charset=utf-8"))
@@ -628,7 +628,7 @@ def _incoming(spark, d):
 SELECT seq, url, title, substr(content, 1, 50000) AS content, 200 AS status_code FROM firsts
 WHERE url NOT IN (SELECT url FROM stored)""")
 def save_pages(spark, d):
-    return store.new_pages(*_incoming(spark, d))
+    return store.new_pages(*_incoming(spark, d), max_title=500, max_content=50_000)
 
 
 @query("save_pages_ids", f"""WITH {_INCOMING}
@@ -661,17 +661,11 @@ def store_stats(spark, d):
     return store.store_stats(c, index.build_doc_stats(c))
 
 
-@query("store_bytes")
-def store_bytes(spark, d):
-    return store.bytes_on_disk(spark, f"{d}/pages.parquet")
-
-
 # ---------------------------------------------------------------------------------------- crawl
 
-# Robots rules made from the pages: each host has one rule for the first letter of each path on it, a few
-# dozen at most; even numbers allow.
+# Robots rules made from the pages: each host has one rule for each first segment of a path on it; even numbers allow.
 _ROBOTS = rf"""
-seg AS (SELECT DISTINCT {O.domain('url')} AS domain, regexp_extract(url, '^https?://[^/]+(/[a-z]?)', 1) AS path FROM pages),
+seg AS (SELECT DISTINCT {O.domain('url')} AS domain, regexp_extract(url, '^https?://[^/]+(/[^/?#]*)', 1) AS path FROM pages),
 rules AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY path) AS rule_no FROM seg)"""
 _ALLOWED = "coalesce((SELECT min_by(r.rule_no % 2 = 0, r.rule_no) FROM rules r WHERE r.domain = u.domain AND starts_with(u.path, r.path)), true)"
 
@@ -679,7 +673,7 @@ _ALLOWED = "coalesce((SELECT min_by(r.rule_no % 2 = 0, r.rule_no) FROM rules r W
 def _robots(spark, d) -> DataFrame:
     u = F.col("url")
     seg = _raw(spark, d).select(U.domain(u).alias("domain"),
-                                F.regexp_extract(u, "^https?://[^/]+(/[a-z]?)", 1).alias("path")).distinct()
+                                F.regexp_extract(u, "^https?://[^/]+(/[^/?#]*)", 1).alias("path")).distinct()
     w = Window.partitionBy("domain").orderBy("path")
     rules = seg.withColumn("rule_no", F.row_number().over(w)).withColumn("agent", F.lit("*"))
     return C.robots_for(rules.withColumn("allow", F.col("rule_no") % 2 == 0), "websift/1.0")
@@ -693,7 +687,7 @@ u AS (SELECT url, {O.domain('url')} AS domain, regexp_extract(url, '^https?://[^
 @query("robots_allowed", f"WITH {_TARGETS} SELECT url, {_ALLOWED} AS allowed FROM u")
 def robots_allowed(spark, d):
     p = _content(spark, d, "links")
-    urls = p.select(F.explode(F.concat(F.array(U.normalize_url(F.col("url"))), F.slice("links", 1, 20))).alias("url"))
+    urls = p.select(F.explode(F.concat(F.array(U.normalize_url(F.col("url"))), F.col("links"))).alias("url"))
     return C.with_robots(urls.distinct(), _robots(spark, d))
 
 
@@ -707,7 +701,7 @@ fresh AS (SELECT url, {O.priority('url')} AS priority, min(seq) AS seq FROM offe
 
 def _offers(spark, d):
     p = _content(spark, d, "links")
-    offers = p.select(F.explode(F.slice("links", 1, 20)).alias("url"), F.col("page_id").alias("seq"))
+    offers = p.select(F.explode(F.col("links")).alias("url"), F.col("page_id").alias("seq"))
     visited = _raw(spark, d).select(U.normalize_url(F.col("url")).alias("url")).unionByName(
         offers.select("url").filter(F.col("url").contains("/the")))
     return offers, visited.distinct()
@@ -735,51 +729,6 @@ def frontier_batch(spark, d):
     return C.next_batch(C.unseen(*_offers(spark, d)), 100)
 
 
-def _web(spark, d) -> DataFrame:
-    """The pages as what a fetch of their normalised address would bring; the first of equal ones."""
-    w = (_fetches(spark, d, spread=True).withColumn("seq", F.col("page_id"))
-         .withColumn("url", U.normalize_url(F.col("url"))))
-    return store.first_of_url(w)
-
-
-_WEB = f"""{_FETCHES.replace('page_id, url, html', f"page_id, {O.normalize('url')} AS url, html")},
-web AS (SELECT * FROM fetches QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)"""
-
-
-def _round_sql(n: int, urls: str) -> str:
-    return f"""
-r{n} AS (SELECT u.url, w.page_id, CASE WHEN NOT {_ALLOWED} THEN 'robots_blocked'
-             WHEN w.status IS NULL OR w.status BETWEEN 400 AND 599 THEN 'failed'
-             WHEN NOT ({_ACCEPT}) THEN 'skipped'
-             WHEN length(c.content) < 100 THEN 'rejected' ELSE 'crawled' END AS outcome
-       FROM ({urls}) u LEFT JOIN web w ON w.url = u.url LEFT JOIN corpus c ON c.id = w.page_id)"""
-
-
-_AS_U = "SELECT url, " + O.domain("url") + " AS domain, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS path FROM "
-_CRAWL = f"""{O.CORPUS}, {O.LINKS.replace('raw AS', 'raw2 AS').replace('FROM raw', 'FROM raw2').replace('raw2)', 'raw2)')}, {_ROBOTS}, {_WEB},
-{_round_sql(1, _AS_U + '(SELECT DISTINCT url FROM web)')}"""
-
-
-@query("crawl_round", f"WITH {_CRAWL} SELECT url, outcome FROM r1")
-def crawl_round(spark, d):
-    web = _web(spark, d)
-    batch = web.select("url", "seq")
-    none = spark.createDataFrame([], "url string")
-    return crawl.crawl_round(batch, web, _robots(spark, d), none).log
-
-
-_FOUND = """SELECT DISTINCT l.dst_url AS url FROM r1 JOIN links l ON l.page_id = r1.page_id
-WHERE r1.outcome IN ('crawled', 'rejected') AND l.dst_url NOT IN (SELECT url FROM r1)"""
-
-
-@query("crawl_rounds", f"""WITH {_CRAWL}, {_round_sql(2, _AS_U + '(' + _FOUND + ')')}
-SELECT CAST(1 AS INTEGER) AS round, url, outcome FROM r1 UNION ALL SELECT 2, url, outcome FROM r2""")
-def crawl_rounds(spark, d):
-    seeds = _raw(spark, d).select(F.col("page_id").alias("seq"), "url")
-    log, _ = crawl.crawl_rounds(spark, P.clean_seeds(seeds), _web(spark, d), _robots(spark, d))
-    return log
-
-
 _FETCH_LOG = """
 log AS (SELECT event_id AS seq, ts, 'https://u' || user_id || '.example.com/' AS url,
                CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'robots_blocked'
@@ -818,8 +767,8 @@ def crawl_progress(spark, d):
 # -------------------------------------------------------------------------------------- streams
 
 @query("stream_ingest_pages", f"""WITH {O.CORPUS}
-SELECT id, url, title, content, status_code FROM corpus WHERE length(trim(content)) >= 100
-QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1""")
+SELECT row_number() OVER (ORDER BY id) - 1 AS id, url, title, content, status_code FROM (
+  SELECT * FROM corpus WHERE length(trim(content)) >= 100 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1)""")
 def stream_ingest_pages(spark, d):
     target = scratch_path(spark, "ingest")
     raw = jobs.stream_raw_pages(spark, d, "pages.parquet")

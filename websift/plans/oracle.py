@@ -93,7 +93,7 @@ full_links AS (SELECT page_id, url, n, {normalize(_HREF)} AS dst_url FROM hrefs)
 links AS (
   SELECT page_id, url AS src_url, pos, dst_url FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS pos
-    FROM full_links WHERE {valid("dst_url")}) WHERE pos < 20)"""
+    FROM full_links WHERE {valid("dst_url")}))"""
 
 
 def phrase_count(toks: str, phrase: list[str]) -> str:

@@ -90,9 +90,6 @@ def _displayed(df: DataFrame) -> DataFrame:
                                               F.lit("No description available."))))
 
 
-# Leading hits of a search that a task may hold with their text.
-WIDE_ROWS = 1_000
-
 RESULT = ["pos", "id", "url", "title", "snippet", "rank", "crawled_at", "content_length", "domain",
           "crawled_date", "custom_rank", "badge"]
 
@@ -101,24 +98,23 @@ def result_page(pages: DataFrame, q: str, page: int = 1, time_filter: str | None
                 sort_by: str = "relevance", now=None, filetype: bool = False) -> DataFrame:
     """One page of results in its final order, before exclusions and without snippets.
 
-    The page is cut by a top-k in each task; only its rows carry on. For pages far down, ids are ranked
-    first and the text is fetched for the page alone. Within the page, the relevance order puts
-    authoritative sites first.
+    Ids are ranked first, by a top-k in each task over rows without text; the text is then read for the ids of
+    the page alone, by a filter that reaches the scan. The ranking runs when the page is asked for. Within
+    the page, the relevance order puts authoritative sites first.
     """
     return _result_page(pages, parse(pages.sparkSession, q), page, time_filter, sort_by, now, filetype)
 
 
 def _result_page(pages: DataFrame, spec: dict, page: int, time_filter, sort_by: str, now,
                  filetype: bool) -> DataFrame:
-    found = _hits(pages, spec, time_filter, now, filetype)
     order = _order(sort_by)
     before = max((page - 1) * paging.PAGE_SIZE, 0)
-    if before + paging.PAGE_SIZE <= WIDE_ROWS:
-        cut_ = found.orderBy(*order).offset(before).limit(paging.PAGE_SIZE)
-    else:
-        narrow = found.select("id", "rank", "crawled_at").withColumn("_all", F.lit(0))
-        ranked = paging.top(narrow, "_all", order, before + paging.PAGE_SIZE).filter(F.col("pos") > before)
-        cut_ = small_join(pages, ranked.select("id", "rank"), "id", paging.PAGE_SIZE)
+    found = _hits(pages, spec, time_filter, now, filetype).select("id", "rank", "crawled_at").withColumn("_all", F.lit(0))
+    ranked = paging.top(found, "_all", order, before + paging.PAGE_SIZE).filter(F.col("pos") > before)
+    # a result page of ids: what it shows is then read for these pages alone
+    ids = [(r["id"], r["rank"]) for r in ranked.select("id", "rank").collect()]
+    ranks = pages.sparkSession.createDataFrame(ids, f"id {pages.schema['id'].dataType.simpleString()}, rank double")
+    cut_ = pages.filter(F.col("id").isin([i for i, _ in ids])).join(F.broadcast(ranks), "id")
 
     def strings(values: list[str]) -> Column:
         return F.array(*[F.lit(v) for v in values]).cast("array<string>")
@@ -258,7 +254,7 @@ def search_batch(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_
              F.col("doc_id").asc()]
     ranked = paging.top(found, "sid", order, paging.PAGE_SIZE * survey.deepest)
     asked = (Q.searchable(queries).withColumn("sid", _sid())
-             .withColumn("page_no", F.greatest("page", F.lit(1))))
+             .withColumn("page_no", F.greatest(F.coalesce("page", F.lit(1)), F.lit(1))))
     searches = _searches(queries).select("sid", "sort_by", "exclude", Q.rank_terms().alias("rank_terms"), "phrases")
     rows = ranked.withColumn("page_no", paging.page_of(F.col("pos")))
     rows = rows.join(asked.select("sid", "page_no").distinct(), ["sid", "page_no"])

@@ -15,16 +15,6 @@ def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return S.require(spark.read.parquet(path), S.RAW_PAGES, path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan of fewer splits than the cluster has cores, dealt out evenly; others stay as they are.
-
-    Costly per-row work on one small file would else run in one task. Large tables have splits enough
-    and are not shuffled.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def stored_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of the store: ``id, url, title, content, crawled_at, status_code``."""
     return S.require(spark.read.schema(S.PAGES).parquet(path), S.PAGES, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +13,6 @@ from websift import schema as S
 from websift.functions.html import with_content
 from websift.operators import crawl as C
 from websift.operators import index, store
-from websift.sources.pages import spread
 
 
 def stream_raw_pages(spark: SparkSession, folder: str, pattern: str = "*.parquet",
@@ -25,33 +26,38 @@ def ingest_pages(raw: DataFrame, target: str, checkpoint: str, now: Column | Non
                  available_now: bool = True) -> StreamingQuery:
     """Raw pages into ``target/pages`` and their tokens into ``target/postings`` and ``target/doc_stats``.
 
-    Each batch owns the partition ``batch=<id>`` and replaces it when it is run again, so a retried batch
-    leaves nothing twice. URLs are checked against the batches before it: no state is kept that grows
-    with the stream. ``seq`` is the page's number in its source.
+    Each batch of a stream owns the partition ``run=<stream>/batch=<id>`` and replaces it when it is run again. A stream is
+    known by its checkpoint; if that is lost, the next one is another run. URLs are checked against all partitions
+    but the batch's own, so nothing is stored twice, and no state is kept that grows with the stream. Ids are numbered
+    above the largest in use, in order of the page's number in its source.
     """
     spark = raw.sparkSession
+    # an empty part, so that there is a table to read from the first batch on
+    spark.createDataFrame([], S.PAGES).write.mode("ignore").parquet(f"{target}/pages/run=start/batch=-1")
+    started, own = threading.Event(), []
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        before = _batches(spark, f"{target}/pages", S.PAGES).filter(F.col("batch") < batch_id)
-        rows = with_content(spread(batch), want=("title", "content")).select(
+        started.wait()
+        part = f"run={own[0]}/batch={batch_id}"
+        others = _batches(spark, f"{target}/pages", S.PAGES).filter((F.col("run") != own[0]) | (F.col("batch") != batch_id))
+        rows = with_content(batch, want=("title", "content")).select(
             F.col("page_id").alias("seq"), "url", "title", "content", F.lit(200).alias("status_code"))
-        fresh = store.with_ids(store.new_pages(rows, before), spark.createDataFrame([], "id long"), now)
-        fresh.write.mode("overwrite").parquet(f"{target}/pages/batch={batch_id}")
-        pages = spark.read.schema(S.PAGES).parquet(f"{target}/pages/batch={batch_id}")
-        index.build_postings(pages).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(
-            f"{target}/postings/batch={batch_id}")
-        index.build_doc_stats(pages).write.mode("overwrite").parquet(f"{target}/doc_stats/batch={batch_id}")
+        fresh = store.with_ids(store.numbered(store.new_pages(rows, others), "seq", "url"), others, now)
+        fresh.write.mode("overwrite").parquet(f"{target}/pages/{part}")
+        pages = spark.read.schema(S.PAGES).parquet(f"{target}/pages/{part}")
+        index.build_postings(pages).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{target}/postings/{part}")
+        index.build_doc_stats(pages).write.mode("overwrite").parquet(f"{target}/doc_stats/{part}")
 
     w = raw.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if available_now else w).start()
+    stream = (w.trigger(availableNow=True) if available_now else w).start()
+    own.append(stream.id)
+    started.set()
+    return stream
 
 
 def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The batches written so far, with their number in ``batch``; empty before the first."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], full)
+    """What has been written so far, with ``run`` and ``batch``."""
+    full = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
     return spark.read.schema(full).parquet(path)
 
 
