@@ -1,4 +1,7 @@
+"""Fixtures that the tests here import."""
+
 import pytest
+from pyspark.sql import functions as F
 
 COLUMNS = ("doc_id long, text string, lang string, source string, n_chars long, score double, token string, id long, key long, "
            "component long, batch int, slot int, votes string, a long, b long, tag int, h string, row string")
@@ -13,7 +16,7 @@ def awkward(spark):
              (7, long), (8, long + " end"), (9, "naïve ▁ café \u0000 日本語 🤗\r\n"), (10, "x"), (11, "a" * 5000), (12, "Licensed under the Apache License, Version 2.0."),
              (13, "Mail a.b@c.de or +1 (386) 555-3733, Mr. John Doe.")]
     extra = (None, None, None, 1.5, "t", 3, 4, 5, 6, 7, "v", 8, 9, 1, "h", "r")
-    return spark.createDataFrame([(*t, *extra) for t in texts], COLUMNS).withColumn("n_chars", __import__("pyspark").sql.functions.length("text").cast("long"))
+    return spark.createDataFrame([(*t, *extra) for t in texts], COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 @pytest.fixture(scope="session")

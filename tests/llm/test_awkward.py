@@ -4,10 +4,11 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
+from rows import awkward, nothing  # noqa: F401
 
 import corpus_pipeline
 from websift.llm import backoff_lm, block_search, gumbel_pieces, license_scan, ngram_join, order_minhash, repeat_removal, source_mix, surrogates, weak_labels
-from pyspark.sql import functions as F
 
 BY_DOCUMENT = {
     "pieces": lambda d: gumbel_pieces.sample_pieces(d, k=2), "repeats": lambda d: repeat_removal.remove_repeats(d, 20),

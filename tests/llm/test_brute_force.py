@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from rows import small  # noqa: F401
 
 from websift.llm import backoff_lm, gumbel_pieces, license_scan, ngram_join, order_minhash, queries, repeat_removal, source_mix, surrogates, weak_labels
 from websift.llm.run_index import RunIndex
