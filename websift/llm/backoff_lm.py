@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,45 +24,48 @@ from websift.llm.common import arrow_pass, mix64, word_hashes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH_WORDS = 3_000_000
+FREQUENT = 1 << 16          # words of a batch that are numbered by frequency
 BUCKET_BYTES = 8 << 20      # of text for each bucket of the tables
 
 
-def ngrams(h: np.ndarray) -> list[np.ndarray]:
+def ngrams(h: np.ndarray) -> Iterator[np.ndarray]:
     """Hashes of the words, pairs and triples that end at each word; pairs start at the second word, triples at the third."""
+    yield h
     pair = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(2))
-    triple = mix64(pair[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[2:] + np.uint64(3))
-    return [h, pair, triple]
+    yield pair
+    yield mix64(pair[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[2:] + np.uint64(3))
 
 
 def _listed(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All n-grams of the documents whose words stand in ``h``, each once as 56 bits, sorted, with their counts."""
-    s = np.concatenate(_inside(h, sizes))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    two, three = place[1:] >= 1, place[2:] >= 2                 # n-grams do not cross documents
+    del place
+    ends = np.cumsum([len(h), int(two.sum()), int(three.sum())])
+    s = np.empty(ends[2], np.uint64)
+    for lo, g, inside in zip((0, *ends), ngrams(h), (slice(None), two, three)):
+        g = g[inside]
+        s[lo:lo + len(g)] = g
     s >>= np.uint64(8)
     s.sort()
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]]))
     return s[first], np.diff(np.append(first, len(s)))
 
 
-def _inside(h: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """n-grams that do not cross documents: words, pairs, triples."""
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    one, two, three = ngrams(h)
-    return [one, two[place[1:] >= 1], three[place[2:] >= 2]]
-
-
 def _pack(v: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte by byte of equal weight; bytes that are zero in all are left out."""
+    """Sorted numbers as differences, byte by byte of equal weight. Bytes that are zero in all are left out; of the rest
+    only the highest are alike enough to compress."""
     d = np.diff(v, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    used = max([i + 1 for i in range(8) if d[1:, i].any()], default=0)
-    return bytes([used]) + v[:1].astype("<u8").tobytes() + d[1:, :used].T.tobytes()
+    used = max([i + 1 for i in range(8) if d[1:, i].any()], default=1)
+    return bytes([used]) + v[:1].astype("<u8").tobytes() + d[1:, :used - 1].T.tobytes() + zlib.compress(d[1:, used - 1].tobytes(), 1)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    used, first = data[0], np.frombuffer(data, "<u8", 1, 1)
-    rest = np.frombuffer(data, np.uint8, -1, 9).reshape(used, -1) if used else np.zeros((0, 0), np.uint8)
-    d = np.zeros((rest.shape[1] if used else 0, 8), np.uint8)
-    d[:, :used] = rest.T
-    return np.cumsum(np.concatenate([first, d.reshape(-1).view("<u8")]), dtype=np.uint64)
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    used, plain = data[0], 9 + (data[0] - 1) * (n - 1)
+    d = np.zeros((n - 1, 8), np.uint8)
+    d[:, :used - 1] = np.frombuffer(data, np.uint8, plain - 9, 9).reshape(used - 1, n - 1).T
+    d[:, used - 1] = np.frombuffer(zlib.decompress(data[plain:]), np.uint8)
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), d.reshape(-1).view("<u8")]), dtype=np.uint64)
 
 
 def _pack_counts(v: np.ndarray) -> bytes:
@@ -74,12 +78,21 @@ def _unpack_counts(data: bytes) -> np.ndarray:
 
 
 def _pack_words(h: np.ndarray) -> tuple[bytes, bytes]:
-    """The distinct words, and each place's word by rank of frequency."""
+    """The distinct words, the more frequent ones first, then the rest in order; and each place's word as a number in that list."""
     words, place, n = np.unique(h, return_inverse=True, return_counts=True)
     order = np.argsort(-n, kind="stable")
+    order[FREQUENT:].sort()
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
-    return words[order].tobytes(), _pack_counts(rank[place])
+    rest = words[order[FREQUENT:]]
+    return len(rest).to_bytes(8, "little") + words[order[:FREQUENT]].tobytes() + (_pack(rest) if len(rest) else b""), _pack_counts(rank[place])
+
+
+def _unpack_words(table: bytes, places: bytes) -> np.ndarray:
+    n, place = int.from_bytes(table[:8], "little"), _unpack_counts(places)
+    first = min(FREQUENT, (len(table) - 8) // 8) if not n else FREQUENT
+    words = np.frombuffer(table, np.uint64, first, 8)
+    return np.concatenate([words, _unpack(table[8 + 8 * first:], n)])[place] if n else words[place]
 
 
 def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,8 +146,9 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, id_c
         bucket, rows = None, []
 
         def answered():
-            parts = [_unpack(g) for _, g, _ in rows]
-            every, counts = np.concatenate(parts), np.concatenate([_unpack_counts(c) for _, _, c in rows])
+            own = [_unpack_counts(c) for _, _, c in rows]
+            parts = [_unpack(g, len(c)) for (_, g, _), c in zip(rows, own)]
+            every, counts = np.concatenate(parts), np.concatenate(own)
             order = np.argsort(every, kind="stable")
             s = every[order]
             first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -167,7 +181,7 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, id_c
                 if kind == 0:
                     found.append(first)
                     continue
-                h = np.frombuffer(first, np.uint64)[_unpack_counts(second)]
+                h = _unpack_words(first, second)
                 sizes = np.frombuffer(sizes, np.int64)
                 grams, _ = _listed(h, sizes)
                 counts = np.concatenate([np.zeros(0, np.int64), *map(_unpack_counts, found)])
