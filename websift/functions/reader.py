@@ -12,8 +12,9 @@ from urllib.parse import urljoin
 DROPPED = ["script", "style", "nav", "footer", "header", "aside"]
 # Elements whose strings are not part of a page's text (HTML tree builder rules).
 SILENT = ["script", "style", "template", "rt", "rp"]
-VOID = ("area base basefont bgsound br col command embed frame hr image img input isindex keygen "
-        "link menuitem meta nextid param source spacer track wbr").split()
+# Elements without an end tag (the HTML standard's, and older ones).
+VOID = ["area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input",
+        "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr"]
 
 
 class _Reader(HTMLParser):

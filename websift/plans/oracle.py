@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from websift.functions.rank import AUTHORITY
+from websift.functions.urls import SKIP_DOMAINS, SKIP_SUFFIXES
+
 BLANK = (r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
          r"\x{205F}\x{3000}")
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "copy": "©", "middot": "·", "nbsp": " "}
@@ -41,13 +44,12 @@ def normalize(x: str) -> str:
     return sub(x, "[?&]$", "")
 
 
-SUFFIXES = "pdf|jpg|jpeg|png|gif|svg|zip|exe|dmg|iso|mp4|avi|mp3|wav|doc|docx|xls|xlsx"
-SKIP = "facebook.com twitter.com instagram.com linkedin.com pinterest.com youtube.com".split()
+SUFFIXES = "|".join(s.removeprefix(".") for s in SKIP_SUFFIXES)
 
 
 def valid(x: str) -> str:
     host = f"lower({domain(x)})"
-    skip = " AND ".join(f"NOT contains({host}, '{d}')" for d in SKIP)
+    skip = " AND ".join(f"NOT contains({host}, '{d}')" for d in SKIP_DOMAINS)
     return (rf"regexp_matches({x}, '^(?i:https?)://') AND {host} <> '' AND {skip} "
             rf"AND NOT regexp_matches(lower({x}), '\.({SUFFIXES})$')")
 
@@ -124,15 +126,10 @@ found AS (SELECT id, url, title, content, crawled_at, {rank} AS rank FROM facts,
           WHERE {' AND '.join(hit)} AND ({where}))"""
 
 
-AUTHORITY = [("youtube.com", 100), ("google.com", 95), ("facebook.com", 90), ("twitter.com", 85),
-             ("instagram.com", 80), ("wikipedia.org", 75), ("github.com", 70), ("stackoverflow.com", 65),
-             ("reddit.com", 60)]
-
-
 def website_rank(url: str, title: str, length: str, terms: str) -> str:
     """``terms``: SQL for a list of strings."""
     host = f"lower({domain(url)})"
-    site = " ".join(f"WHEN contains({host}, '{s}') THEN {b}" for s, b in AUTHORITY)
+    site = " ".join(f"WHEN contains({host}, '{s}') THEN {b}" for s, b in AUTHORITY.items())
     return (f"CAST(CASE {site} ELSE 0 END"
             f" + CASE WHEN contains({host}, '.com') OR contains({host}, '.org') OR contains({host}, '.net')"
             f" THEN 20 ELSE 0 END"
