@@ -225,15 +225,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out[i:i + 20_000]) if out else [[]] * 5, kinds)], names=["a", "doc_id", "tag", "lo", "snippet"])
 
     wanted = found.where("not again").groupBy("doc_id").agg(F.collect_list(F.struct("a", "tag", "lo", "more")).alias("wanted"))
-    snippets = arrow_pass(docs.join(wanted, "doc_id"), cut, "a long, doc_id long, tag int, lo long, snippet binary").distinct()
+    snippets = arrow_pass(docs.join(wanted, "doc_id"), cut, "a long, doc_id long, tag int, lo long, snippet binary")
 
     def index(batches):
         """One index for each INDEXED bytes of whole groups, streamed in order of the anchor."""
         held: list[pa.RecordBatch] = []
 
         def marked(t: pa.Table):
-            t = t.sort_by([("doc_id", "ascending"), ("lo", "ascending")])
-            d, tag, lo = (t.column(c).to_numpy() for c in ("doc_id", "tag", "lo"))
+            t = t.sort_by([("doc_id", "ascending"), ("lo", "ascending"), ("tag", "ascending"), ("a", "ascending")])
+            a, d, tag, lo = (t.column(c).to_numpy() for c in ("a", "doc_id", "tag", "lo"))
+            # rows of one id and text bring their snippets as often as they are repeated
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1]) | (tag[1:] != tag[:-1]) | (lo[1:] != lo[:-1])])
+            t, d, tag, lo = t.filter(pa.array(new)), d[new], tag[new], lo[new]
             texts = t.column("snippet").to_pylist()
             sizes = np.array([len(x) for x in texts])
             ix = RunIndex(b"".join(texts), sizes)
