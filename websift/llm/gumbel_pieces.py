@@ -81,9 +81,9 @@ class Lattices:
     def clear(self) -> None:
         self.words: dict[str, int] = {}
         self.n_edges = self.n_nodes = 0
-        #: node number plus cumulative probability; logarithm of the probability given the node; piece; next node or -1; own node
-        self.edges = {"key": np.empty(1 << 16), "log": np.empty(1 << 16), "piece": np.empty(1 << 16, np.int32), "next": np.empty(1 << 16, np.int64), "node": np.empty(1 << 16, np.int64)}
-        self.last = np.empty(1 << 15, np.int64)                 # by node: its last edge
+        #: cumulative probability in the node, the likeliest edge first; logarithm of the probability; piece; next node or -1; own node
+        self.edges = {"cum": np.empty(1 << 16), "log": np.empty(1 << 16), "piece": np.empty(1 << 16, np.int32), "next": np.empty(1 << 16, np.int64), "node": np.empty(1 << 16, np.int64)}
+        self.first = np.zeros(1 << 15, np.int64)                # by node: its first edge, and one more for the end
 
     def starts(self, words: list[str]) -> np.ndarray:
         """First nodes of ``words``; unknown words must have been added."""
@@ -135,32 +135,38 @@ class Lattices:
             w = log[lo:hi] + total[after[lo:hi]]
             seg = np.flatnonzero(np.concatenate([[True], i[lo + 1:hi] != i[lo:hi - 1]]))
             total[i[lo:hi][seg]] = np.logaddexp.reduceat(w, seg)
-        order = np.lexsort((k, i))
-        i, piece, after = i[order], piece[order], after[order]
-        q = log[order] + total[after] - total[i]
+        q = log + total[after] - total[i]
+        order = np.lexsort((k, -q, i))
+        i, piece, after, q = i[order], piece[order], after[order], q[order]
         p = np.exp(q)
         sums = np.cumsum(p)
         first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
         counts = np.diff(np.append(first, len(i)))
+        cum = sums - np.repeat(sums[first] - p[first], counts)
+        cum[first + counts - 1] = 2                             # the last edge takes what rounding leaves
         m = len(i)
         self.edges = {name: v if self.n_edges + m <= len(v) else np.concatenate([v[:self.n_edges], np.empty(self.n_edges + 2 * m, v.dtype)]) for name, v in self.edges.items()}
-        if base + n > len(self.last):
-            self.last = np.concatenate([self.last[:base], np.empty(base + 2 * n, np.int64)])
+        if base + n >= len(self.first):
+            self.first = np.concatenate([self.first[:base], np.empty(base + 2 * n + 1, np.int64)])
         here = slice(self.n_edges, self.n_edges + m)
-        for name, v in (("key", base + i + sums - np.repeat(sums[first] - p[first], counts)), ("log", np.minimum(q, 0)), ("piece", piece),
+        for name, v in (("cum", cum), ("log", np.minimum(q, 0)), ("piece", piece),
                         ("next", np.where(after == n, -1, base + after)), ("node", base + i)):
             self.edges[name][here] = v
-        self.last[base:base + n] = self.n_edges + first + counts - 1
+        self.first[base:base + n], self.first[base + n] = self.n_edges + first, self.n_edges + m
         self.n_edges, self.n_nodes = self.n_edges + m, base + n
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One sampled way from each node to its word's end: all edges in order, and which of ``nodes`` each belongs to."""
-        key, after = self.edges["key"][:self.n_edges], self.edges["next"]
+        first, cum, after = self.first, self.edges["cum"], self.edges["next"]
         steps, open_, cur = [], np.arange(len(nodes)), nodes
         length = np.zeros(len(nodes), np.int64)
         while len(open_):
             u = _uniform(seeds[open_] + _times(len(steps), _STEP))
-            e = np.minimum(np.searchsorted(key, cur + u, side="right"), self.last[cur])
+            e = first[cur]
+            wait = np.flatnonzero(u >= cum[e])
+            while len(wait):
+                e[wait] += 1
+                wait = wait[u[wait] >= cum[e[wait]]]
             steps.append((open_, e))
             length[open_] += 1
             cur = after[e]
@@ -231,8 +237,7 @@ class Lattices:
         """Takes the best branch: another edge at its place, by probability; what is then left there becomes a branch again."""
         value, _, path, word, at, used, left = heapq.heappop(heap)
         value, node = -value, int(self.edges["node"][path[at]])
-        first = int(self.last[node - 1]) + 1 if node else 0
-        options = [e for e in range(first, int(self.last[node]) + 1) if e not in used]
+        options = [e for e in range(int(self.first[node]), int(self.first[node + 1])) if e not in used]
         p = np.exp(self.edges["log"][options])
         i = min(int(np.searchsorted(np.cumsum(p), _number(row, turn, 1) * p.sum(), side="right")), len(p) - 1)
         e, prior = options[i], float(self.edges["log"][path[:at]].sum())
@@ -281,7 +286,7 @@ def decoder(pieces: list[str]):
     data = [bytes([spelt[i]]) if i in spelt else b"" if p in ("<s>", "</s>") else b" \xe2\x81\x87 " if p == "<unk>" else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
 
     def decode(ids) -> str:
-        text = b"".join([data[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(data.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
     return decode
 
