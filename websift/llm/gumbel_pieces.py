@@ -35,7 +35,7 @@ _WORDS = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 _LETTER, _OTHER = r"[^\W\d_²]", rf"(?:[^\w{BLANK}\n]|[_²])"
 _FINE = re.compile(rf"\n|{BLANK}*{_LETTER}+|{BLANK}*{_OTHER}+|{BLANK}+|\d")
 _BASE, _STEP, _TURN, _WORD, _BRANCH = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
-EDGES = 4_000_000           # of word lattices kept in a task before they are built anew
+EDGES = 7_000_000           # of word lattices kept in a task before they are built anew
 GROUP = 100                 # texts walked together
 
 
@@ -81,8 +81,8 @@ class Lattices:
     def clear(self) -> None:
         self.words: dict[str, int] = {}
         self.n_edges = self.n_nodes = 0
-        #: cumulative probability in the node, the likeliest edge first; logarithm of the probability; piece; next node or -1; own node
-        self.edges = {"cum": np.empty(1 << 16), "log": np.empty(1 << 16), "piece": np.empty(1 << 16, np.int32), "next": np.empty(1 << 16, np.int64), "node": np.empty(1 << 16, np.int64)}
+        #: cumulative probability in the node, the likeliest edge first; logarithm of the probability; piece; next node or -1
+        self.edges = {"cum": np.empty(1 << 16), "log": np.empty(1 << 16), "piece": np.empty(1 << 16, np.int32), "next": np.empty(1 << 16, np.int32)}
         self.first = np.zeros(1 << 15, np.int64)                # by node: its first edge, and one more for the end
 
     def starts(self, words: list[str]) -> np.ndarray:
@@ -125,7 +125,7 @@ class Lattices:
             found.append((odd, np.ones(len(odd), np.int64), np.where(c < 128, one[np.minimum(c, 127)], -1 - c).astype(np.int32), length * self.byte_log))
         i, k, piece, log = (np.concatenate(x) for x in zip(*found))
         # total probability of all ways to the word's end, nearest places first
-        order = np.lexsort((k, i, end[i] - i))
+        order = np.argsort(((end[i] - i) << 34) + (i << 6) + k)
         i, k, piece, log = i[order], k[order], piece[order], log[order]
         after = np.where(i + k == end[i], n, i + k)
         far = end[i] - i
@@ -136,7 +136,8 @@ class Lattices:
             seg = np.flatnonzero(np.concatenate([[True], i[lo + 1:hi] != i[lo:hi - 1]]))
             total[i[lo:hi][seg]] = np.logaddexp.reduceat(w, seg)
         q = log + total[after] - total[i]
-        order = np.lexsort((k, -q, i))
+        # likeliest first, in steps of a 4,096th; equal ones by length
+        order = np.argsort((i << 26) + (np.minimum(-q * 4096, (1 << 20) - 1).astype(np.int64) << 6) + k)
         i, piece, after, q = i[order], piece[order], after[order], q[order]
         p = np.exp(q)
         sums = np.cumsum(p)
@@ -150,7 +151,7 @@ class Lattices:
             self.first = np.concatenate([self.first[:base], np.empty(base + 2 * n + 1, np.int64)])
         here = slice(self.n_edges, self.n_edges + m)
         for name, v in (("cum", cum), ("log", np.minimum(q, 0)), ("piece", piece),
-                        ("next", np.where(after == n, -1, base + after)), ("node", base + i)):
+                        ("next", np.where(after == n, -1, base + after))):
             self.edges[name][here] = v
         self.first[base:base + n], self.first[base + n] = self.n_edges + first, self.n_edges + m
         self.n_edges, self.n_nodes = self.n_edges + m, base + n
@@ -236,7 +237,7 @@ class Lattices:
     def _branch(self, heap: list, nodes: np.ndarray, row: int, turn: int) -> tuple:
         """Takes the best branch: another edge at its place, by probability; what is then left there becomes a branch again."""
         value, _, path, word, at, used, left = heapq.heappop(heap)
-        value, node = -value, int(self.edges["node"][path[at]])
+        value, node = -value, int(np.searchsorted(self.first[:self.n_nodes], path[at], side="right")) - 1
         options = [e for e in range(int(self.first[node]), int(self.first[node + 1])) if e not in used]
         p = np.exp(self.edges["log"][options])
         i = min(int(np.searchsorted(np.cumsum(p), _number(row, turn, 1) * p.sum(), side="right")), len(p) - 1)
