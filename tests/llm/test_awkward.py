@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,18 @@ def test_repeats(results):
     assert all(r["n_removed"] == 0 for r in by_id(rows, None))
 
 
+@pytest.mark.parametrize("held", [None, 0])
+def test_equal_rows_keep_their_first_occurrence(spark, held, monkeypatch):
+    if held is not None:                        # every batch is sent on, so equal rows meet only in their group, over batch ends
+        monkeypatch.setattr(repeat_removal, "HELD", held)
+    rng = random.Random(1)
+    alone, long, shared = ("".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (150, 150_000, 300))
+    rows = [(1, alone)] * 3 + [(2, long)] * 6 + [(3, shared + alone[:50])] * 2 + [(4, "x" * 20 + shared)] * 2 + [(5, alone * 2)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sorted((r["doc_id"], r["n_removed"]) for r in repeat_removal.remove_repeats(df).collect())
+    assert got == [(1, 0)] * 3 + [(2, 0)] * 6 + [(3, 0)] * 2 + [(4, 300)] * 2 + [(5, 300)] * 2
+
+
 def test_join(results):
     rows = results["join"]
     assert {r["component_id"] for d in (1, 2) for r in by_id(rows, d)} == {1}

@@ -123,8 +123,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     Removed is each byte under a string of ``length`` bytes that also starts earlier: in a document with a smaller id, or earlier
     in the same one. Strings are judged on the input. Texts are UTF-8 bytes, null an empty one; no string crosses documents. Rows with
-    one id and the same text are one document with one result each; with different texts they count as one document whose
-    starts are compared. Rows with a null id are returned whole and hide nothing. Other columns are left out.
+    one id and the same text are one document with one result each, and hide nothing of each other; with different texts they count
+    as one document whose starts are compared, equal starts in order of the texts' hashes. Rows with a null id are returned whole and hide nothing. Other columns are left out.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -137,10 +137,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         def sent():
             d, tag, a, s, lo, hi = (np.concatenate(c) for c in zip(*rows))
             rows.clear()
-            order = np.lexsort((lo, d, s, a))
-            again = np.zeros(len(d), bool)
-            again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (s[order[1:]] == s[order[:-1]])
-            keep = ~again
+            order = np.lexsort((tag, lo, d, s, a))
+            d, tag, a, s, lo, hi = (v[order] for v in (d, tag, a, s, lo, hi))
+            keep = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
+            of = np.flatnonzero(keep)[np.cumsum(keep) - 1]
+            # an equal row brings the first occurrence itself again, which is no repeat
+            again = ~keep & ((d != d[of]) | (tag != tag[of]) | (lo != lo[of]))
             # neighbouring repeated snippets of one text are one run of windows
             rd, rt, rl, rh = d[again], tag[again], lo[again], hi[again]
             if len(rd):
@@ -181,6 +183,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     def group(batches):
         """Rows in order of (group, snippet, place): later ones of a snippet are repeats; first ones are passed on where their group has another."""
         last = None                                             # (a, s) of the last row
+        lead_of: tuple | None = None                            # (doc_id, tag, lo) of the last row's snippet where it stands first
         first: tuple | None = None                              # the group's only snippet so far
         for b in batches:
             told, a, s, d, tag, lo, more = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
@@ -188,8 +191,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 continue
             same_a = np.concatenate([[last is not None and last[0] == a[0]], a[1:] == a[:-1]])
             same_s = same_a & np.concatenate([[last is not None and last[1] == s[0]], s[1:] == s[:-1]])
-            again = told | same_s
-            lead = ~again                                       # first of its snippet
+            lead = ~(told | same_s)                             # first of its snippet
+            of = np.maximum.accumulate(np.where(same_s, -1, np.arange(len(a))))
+            fd, ft, fl = (np.where(of < 0, v[0] if lead_of is None else x, v[of]) for v, x in zip((d, tag, lo), lead_of or (0, 0, 0)))
+            again = told | same_s & ((d != fd) | (tag != ft) | (lo != fl))      # an equal row's first occurrence is no repeat
+            lead_of = (fd[-1], ft[-1], fl[-1])
             follows = lead & same_a                             # of a group that has an earlier snippet
             idx = np.flatnonzero(lead)
             paired = np.zeros(len(a), bool)
@@ -211,7 +217,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=["again", "a", "doc_id", "tag", "lo", "more"])
 
     met = (arrow_pass(docs, deal, "told boolean, a long, s long, doc_id long, tag int, lo long, more int")
-           .repartition("a").sortWithinPartitions("a", "s", "doc_id", "lo"))
+           .repartition("a").sortWithinPartitions("a", "s", "doc_id", "lo", "tag"))
     found = stored(arrow_pass(met, group, "again boolean, a long, doc_id long, tag int, lo long, more int"), "repeats-anchors")
 
     def cut(batches):
