@@ -265,6 +265,35 @@ def test_surrogates_are_distinct_and_consistent(spark, small, texts):
     assert again.isdisjoint(r["text"] for r in surrogates.replace_entities(many, key="other").collect())
 
 
+@pytest.mark.parametrize("n", [65, 150, 1000])
+def test_long_secrets_are_replaced_whole(spark, n):
+    rng = np.random.default_rng(n)
+    mixed = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
+    late = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n - 1)) + "7"      # its only digit is the last character
+    digits = "".join(rng.choice(list("0123456789abcdef"), n))
+    df = spark.createDataFrame([(1, f"a token={mixed} b"), (2, f"password: {late}"), (3, f"see {digits}, end"), (4, f"token={'a1' * (n // 2)}")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in surrogates.replace_entities(df).collect()}
+    assert all(r["n_entities"] == 1 for r in rows.values())
+    for d, (before, old, after) in enumerate((("a token=", mixed, " b"), ("password: ", late, ""), ("see ", digits, ", end")), 1):
+        t = rows[d]["text"]
+        assert t.startswith(before) and t.endswith(after) and len(t) == len(before) + n + len(after)
+        new = t[len(before):len(before) + n]
+        assert not any(old[i:i + 8] in new for i in range(n - 7)) and sum(x == y for x, y in zip(old, new)) < 0.35 * n
+    new = rows[4]["text"][6:]
+    assert n < 150 or new[:60] not in new[60:]             # the stream does not come round again
+
+
+def test_names_of_many_parts_are_replaced_whole(spark):
+    texts = ["Mr. John Quincy Adams left.", "Mrs Anna Maria Luisa Medici, too", "Mr. John Q. Adams left.", "Mr. John Roe Mrs. Jane Mary Doe", "Ms Amy Ng."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r for r in sorted(surrogates.replace_entities(df).collect())]
+    assert [r["n_entities"] for r in rows] == [1, 1, 1, 2, 1]
+    shapes = [r"Mr\. X X X left\.", "Mrs X X X X, too", r"Mr\. X X\. X left\.", r"Mr\. X X Mrs\. X X X", r"Ms X X\."]
+    for r, t, shape in zip(rows, texts, shapes):
+        assert re.fullmatch(shape.replace("X", "[A-Z][A-Za-z-]*"), r["text"]), r["text"]
+        assert not set(re.findall(r"[A-Z]\w{2,}", t)) - {"Mrs"} & set(re.findall(r"\w+", r["text"]))
+
+
 def test_surrogate_cards_pass_their_check(spark):
     df = spark.createDataFrame([(i, f"card {4000000000000000 + i * 7919}") for i in range(50)], "doc_id long, text string")
     for r in surrogates.replace_entities(df).collect():

@@ -17,17 +17,19 @@ from pyspark.sql import functions as F
 from websift.llm.common import stored
 
 # How entities are written, and what a name is replaced with.
+_TITLE = r"(?:Mr|Mrs|Ms|Herr|Frau|Mme|Señor|Señora|Sra?|г-н|г-жа|κ|κα)\.?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "keyed": r"(?i:password|passwd|pwd|secret|api[_-]?key|token)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[^\s\"']{0,63}\d)[^\s\"']{6,64}",
+    "keyed": r"(?i:password|passwd|pwd|secret|api[_-]?key|token)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[^\s\"']*\d)[^\s\"']{6,}+",
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "access_key": r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "hex": r"[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "hex": r"[0-9a-f]{32,}+(?![0-9A-Za-z])",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
     "card": r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?![0-9A-Za-z])",
-    "person": r"(?:Mr|Mrs|Ms|Herr|Frau|Mme|Señor|Señora|Sra?|г-н|г-жа|κ|κα)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    # as many names as follow, with initials between them, up to another person's title
+    "person": rf"{_TITLE} \p{{Lu}}[\p{{L}}'-]+(?:(?: \p{{Lu}}\.)*+ (?!{_TITLE} \p{{Lu}})\p{{Lu}}[\p{{L}}'-]+)*+",
 }
 ENTITY = r"(?<![0-9A-Za-z])(?:" + "|".join(PATTERNS.values()) + ")"
 WOMEN = ("Mrs", "Ms", "Frau", "Mme", "Señora", "Sra", "г-жа", "κα")
@@ -73,14 +75,17 @@ def _canonical() -> str:
 def _draw(key: str) -> str:
     """SQL of the surrogate of ``canon`` in draw ``attempt``."""
     seed = "concat_ws('\\u0001', '%s', kind, canon, attempt, '{0}')" % key.replace("\\", "\\\\").replace("'", "\\'")
-    stream = f"concat(sha2({seed.format(0)}, 256), sha2({seed.format(1)}, 256))"
-    number = "cast(conv(substr(stream, (i * 2) % 126 + 1, 2), 16, 10) as int)"
-    is_hex = "canon rlike '^[0-9a-f]+$'"
+    first = f"sha2({seed.format(0)}, 256)"
+    # two hexadecimal digits for each character; further hashes are of the first one, as entities can be long
+    stream = f"""concat(first, sha2({seed.format(1)}, 256), if(length(canon) <= 64, '',
+        array_join(transform(sequence(2, greatest(2, (length(canon) - 1) div 32)), j -> sha2(concat(first, ':', j), 256)), '')))"""
+    pairs = "transform(regexp_extract_all(stream, '..', 0), x -> cast(conv(x, 16, 10) as int))"
+    number = "element_at(pairs, i + 1)"
     chars = f"""array_join(transform(split(canon, ''), (c, i) -> case
         when (kind = 'phone' and i < length(canon) - 10) or (kind = 'card' and i = 0) or (kind = 'access_key' and i < 4) then c
         when kind = 'email' and i >= length(substring_index(canon, '.', size(split(canon, '\\\\.')) - 1)) then c
         when c between '0' and '9' then cast({number} % 10 as string)
-        when c between 'a' and 'z' and {is_hex} then substr('abcdef', {number} % 6 + 1, 1)
+        when c between 'a' and 'z' and is_hex then substr('abcdef', {number} % 6 + 1, 1)
         when c between 'a' and 'z' then substr('abcdefghijklmnopqrstuvwxyz', {number} % 26 + 1, 1)
         when c between 'A' and 'Z' then substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {number} % 26 + 1, 1)
         else c end), '')"""
@@ -90,8 +95,8 @@ def _draw(key: str) -> str:
         when j % 2 = 1 then (2 * cast(substr(chars, -1 - j, 1) as int)) div 10 + (2 * cast(substr(chars, -1 - j, 1) as int)) % 10
         else cast(substr(chars, -1 - j, 1) as int) end) % 10) % 10 as string))"""
 
-    def pick(lists: dict, at: int) -> str:
-        n = f"cast(conv(substr(stream, {at}, 4), 16, 10) as int)"
+    def pick(lists: dict, at: int | str) -> str:
+        n = f"cast(conv(substr(stream, {at}, 4), 16, 10) as int)"      # ``at``: a place or SQL of one
         whens = " ".join("when script = '{}' and gender = '{}' then element_at(array({}), {} % {} + 1)".format(
             s, g, ", ".join(f"'{w}'" for w in words), n, len(words)) for (s, g), words in lists.items())
         return f"case {whens} end"
@@ -100,15 +105,18 @@ def _draw(key: str) -> str:
     # later draws have double names, then triple ones, so names do not run out
     more = "array_join(transform(sequence(0, attempt div 4), k -> case when k = 0 then surname else initcap(concat(surname, substr(translate(stream, '0123456789abcdef', "
     more += "case script when 'cyrillic' then 'аеиоуырлнмсткдвб' when 'greek' then 'αεηιοωρλνμστκδβγ' else 'aeiouyrlnmstkdvb' end), 20 + 4 * k, 4))) end), '-')"
-    person = f"case when canon like '% %' then concat({pick(GIVEN, 1)}, ' ', {more}) else {more} end"
-    return stream, chars, octets, luhn, surname, person
+    middle = f"""array_join(transform(slice(split(canon, ' '), 2, size(split(canon, ' ')) - 2), (p, i) ->
+        if(p like '%.', concat(substr({pick(GIVEN, "(85 + 4 * i) % 124 + 1")}, 1, 1), '. '), concat({pick(GIVEN, "(85 + 4 * i) % 124 + 1")}, ' '))), '')"""
+    person = f"case when canon like '% % %' then concat({pick(GIVEN, 1)}, ' ', {middle}, {more}) when canon like '% %' then concat({pick(GIVEN, 1)}, ' ', {more}) else {more} end"
+    return first, stream, pairs, chars, octets, luhn, surname, person
 
 
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
-    stream, chars, octets, luhn, surname, person = _draw(key)
-    return (entities.withColumn("stream", F.expr(stream)).withColumn("chars", F.expr(chars)).withColumn("surname", F.expr(surname))
+    first, stream, pairs, chars, octets, luhn, surname, person = _draw(key)
+    return (entities.withColumn("first", F.expr(first)).withColumn("stream", F.expr(stream)).withColumn("pairs", F.expr(pairs))
+            .withColumn("is_hex", F.expr("canon rlike '^[0-9a-f]+$'")).withColumn("chars", F.expr(chars)).withColumn("surname", F.expr(surname))
             .withColumn("surrogate", F.expr(f"case kind when 'ip' then {octets} when 'card' then {luhn} when 'person' then {person} else chars end"))
-            .drop("stream", "chars", "surname"))
+            .drop("first", "stream", "pairs", "is_hex", "chars", "surname"))
 
 
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
