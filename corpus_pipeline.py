@@ -5,7 +5,7 @@ Every stage works on all rows that the one before kept and, but for the last, re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from websift.llm.common import DOC_COLUMNS, documents, stored
@@ -16,6 +16,17 @@ from websift.llm.surrogates import replace_entities
 from websift.llm.weak_labels import weak_label_quality
 
 
+def row_key() -> Column:
+    """A stage's own key of a row: 64 bits of id, text and source, nulls told apart. Equal rows share it."""
+    columns = ("doc_id", "text", "source")
+    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key`` and ``n``, the number of the row among those of its key."""
+    return docs.withColumn("key", row_key()).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("lang", "n_chars")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; so do texts without words."""
     judged = weak_label_quality(docs, carried=tuple(DOC_COLUMNS[1:]))
@@ -23,10 +34,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id. Near: 0.8 of five-word shingles."""
-    joined = ngram_jaccard_join(docs, width=5, per100=80)
-    gone = joined.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*DOC_COLUMNS)
+    """One row of each group of near copies stays: the one with the smallest id, null last. Near: 0.8 of five-word shingles.
+
+    Rows are judged by their own texts: of equal rows one stays, rows of one id with different texts are told apart, and rows with
+    a null id are compared like others. Texts without words are near nothing; all their rows stay.
+    """
+    keyed = docs.select("doc_id", "text", row_key().alias("key"))
+    joined = ngram_jaccard_join(keyed, width=5, per100=80, id_col="key")
+    groups = joined.select(F.col("doc_id").alias("key"), "component_id", "n_shingles").distinct()
+    smallest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
+    stay = (keyed.select("key", "doc_id").distinct().join(groups.where("n_shingles > 0"), "key").groupBy("component_id").agg(smallest.alias("key"))
+            .select("key", F.lit(False).alias("every"))
+            .union(groups.where("n_shingles = 0").select("key", F.lit(True))))
+    return numbered(docs).join(stay, "key").where("n = 1 or every").select(*DOC_COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +55,15 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stands in the mix as often as it was taken, up to twice; one of which less than half was taken is left out."""
-    taken, _ = mix_sources(docs)
-    times = taken.where("taken > 0").groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times"))
-    return (docs.join(times.where("times > 0"), "doc_id").withColumn("pass", F.explode(F.sequence(F.lit(1), "times")))
-            .select(*DOC_COLUMNS))
+    """A row stands in the mix as often as it was taken, up to twice; one of which less than half was taken is left out.
+
+    Each row has its own decision, also with a null id or an id that other rows have; equal rows share theirs in any order.
+    """
+    taken, _ = mix_sources(docs.withColumn("key", row_key()), carried=("key",))
+    times = (taken.where("taken > 0").groupBy("key")
+             .agg(F.sort_array(F.collect_list(F.round(F.col("taken") / F.col("size")).cast("int")), asc=False).alias("times")))
+    return (numbered(docs).join(times, "key").withColumn("times", F.get("times", F.col("n") - 1)).where("times > 0")
+            .withColumn("pass", F.explode(F.sequence(F.lit(1), "times"))).select(*DOC_COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every operator over awkward rows and over none: nothing breaks, and each case has its defined result."""
 
+import collections
 import hashlib
 import math
 import random
@@ -136,3 +137,31 @@ def test_pipeline_stages(spark, awkward, nothing):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert tuple(out.columns) == tuple(corpus_pipeline.DOC_COLUMNS)
         out.collect()
+
+
+def said(seed, n):
+    return " ".join(random.Random(seed).choices("alpha beta gamma delta epsilon zeta eta theta iota kappa".split(), k=n))
+
+
+def in_columns(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    twice, nowhere, alone, copied, both = (said(i, 60) for i in range(5))
+    rows = [(1, twice), (1, twice), (None, nowhere), (None, nowhere), (2, alone), (2, copied + " end"), (0, copied), (None, both), (7, both), (3, ""), (3, "")]
+    out = corpus_pipeline.near_duplicates(spark, in_columns(spark, rows), "")
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter(
+        [(1, twice), (None, nowhere), (2, alone), (0, copied), (7, both), (3, ""), (3, "")])
+
+
+def test_mix_decides_for_each_row(spark):
+    rows = [(None, said(1, 700)), (None, said(2, 701)), (1, said(3, 300)), (1, said(4, 900)), (2, said(5, 500)), (2, said(5, 500)), (2, said(5, 500)), (3, said(6, 800))]
+    for some in (rows, [r for r in rows if r[0] == 1]):
+        df = in_columns(spark, some)
+        expected = collections.Counter()
+        for r in source_mix.mix_sources(df)[0].collect():
+            expected[r["doc_id"], r["size"]] += math.floor(r["taken"] / r["size"] + 0.5)
+        got = collections.Counter((r["doc_id"], len(r["text"].split())) for r in corpus_pipeline.mix(spark, df, "").collect())
+        assert got == +expected
+        assert len(got) == 6 if some is rows else sorted(got.values()) == [1, 2]        # rows of one id, each with its own decision

@@ -87,17 +87,19 @@ def _slots(targets: DataFrame, block_words: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS,
-                seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+                seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(taken, pieces)``.
 
-    ``taken``: per row ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` (words of the mix, repeats counted).
+    ``taken``: per row ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` (words of the mix, repeats counted)
+    and the ``carried`` columns, which may not name another one.
     ``pieces``: ``slot``, ``source``, ``doc_id``, ``pass`` (0 or 1), ``words``: the schedule itself.
 
     Null texts have no words and are never taken; a null source is a source. Rows of one id are told apart by text; equal
     rows share their result in any order. Reruns agree: the shuffle is a hash of ``seed`` and id.
     """
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-                        F.xxhash64(text_col).alias("tie"), F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 16).alias("h"))
+                        F.xxhash64(text_col).alias("tie"), F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 16).alias("h"), *carried)
     sizes = stored(sizes.repartition("h"), "mix-sizes")          # the words are counted once
     targets = stored(source_targets(sizes, weights, share, most), "mix-targets")
     placed = _offsets(sizes).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight")
@@ -112,7 +114,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     pieces = met.select("row", "slot", "source", "doc_id", "pass",
                         (F.least("hi", (F.col("rank") + 1) * block_words) - F.greatest("lo", F.col("rank") * block_words)).alias("words"))
     sums = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    taken = placed.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = placed.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *carried)
     return taken, pieces.drop("row")
 
 
