@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import sys
 
 import numpy as np
@@ -33,6 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BYTE_MODEL, PIECE_MODEL = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 KEPT_STRETCHES, KEPT_BYTES = 300_000, 32 << 20       # what a task remembers before it starts anew
+JOINED = 256                # stretches tokenised as one text
+_BLANK_PAIR, _PAIR_BLANK = re.compile(r" \s"), re.compile(r"\s ")
 OLD_BLANK = "\u180e"                               # a blank to some versions of Unicode
 
 
@@ -68,10 +71,11 @@ class Aligner:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.codes: list[np.ndarray] = []           # linked pairs of each stretch, (B id, A id) in one number
-        self.groups: list[str] = []
-        self.spelt: list[tuple[bytes, bytes] | None] = []        # the joined bytes where they are not the stretch's own
-        self.sizes: list[tuple[int, int, int, int]] = []
+        self.codes = np.zeros(0, self.code)         # linked pairs of all stretches, (B id, A id) in one number
+        self.sizes = np.zeros((0, 4), np.int64)     # of each stretch: A and B tokens, groups, links
+        self.start = np.zeros(1, np.int64)          # where its links begin
+        self.groups: list[bytes] = []
+        self.wrong: dict[int, tuple[bytes, bytes]] = {}       # the joined bytes where they are not the stretch's own
         self.held = 0
 
     def stretches(self, text: str) -> list[str]:
@@ -79,7 +83,7 @@ class Aligner:
         if not self.cut:
             return [text]
         found = text.split(" ")
-        if all(p and not p[0].isspace() and not p[-1].isspace() and p[0] != OLD_BLANK != p[-1] for p in found):
+        if not (_BLANK_PAIR.search(text) or _PAIR_BLANK.search(text) or text[0].isspace() or text[-1].isspace() or OLD_BLANK in text):
             return found
         out = [found[0]]
         for p in found[1:]:
@@ -90,50 +94,83 @@ class Aligner:
                 out[-1] += " " + p
         return out
 
+    def tokens(self, stretches: list[str]):
+        """The ids of both tokenizers for a blank and each stretch, one array each, with the numbers of ids; and which stretches are given
+        back byte for byte (others have no ids). Stretches that could stand in one text are tokenised as one, many at a time."""
+        joined, alone = [], []
+        for s in stretches:
+            (joined if self.cut and s and not (s[0].isspace() or s[-1].isspace() or OLD_BLANK in s) else alone).append(s)
+        place = {s: i for i, s in enumerate(stretches)}
+        runs = [joined[i:i + JOINED] for i in range(0, len(joined), JOINED)]
+        found: list = [None] * len(stretches)
+        for run, (own, a, b) in zip(runs, self._encoded([" ".join(r) for r in runs])):
+            ends = np.cumsum([len(s.encode()) + 1 for s in run])
+            cuts = []
+            for ids, length, spelt in ((a, self.a_len, self.a_bytes), (b, self.b_len, self.b_bytes)):
+                to = np.cumsum(length[ids])
+                cut = np.searchsorted(to, ends, side="right")
+                if b"".join(map(spelt.__getitem__, ids.tolist())) != own or not np.array_equal(to[cut - 1], ends):
+                    break
+                cuts.append(cut.tolist())
+            else:
+                for s, i, j, k, m in zip(run, [0, *cuts[0]], cuts[0], [0, *cuts[1]], cuts[1]):
+                    found[place[s]] = a[i:j], b[k:m]
+                continue
+            alone.extend(run)
+        spelt = {}
+        for s, (own, a, b) in zip(alone, self._encoded(alone)):
+            as_a, as_b = (b"".join(map(x.__getitem__, ids.tolist())) for x, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+            if as_a == own == as_b:
+                found[place[s]] = a, b
+            else:
+                spelt[place[s]] = as_a, as_b
+        return found, spelt
+
+    def _encoded(self, texts: list[str]):
+        """Of a blank and each text: its bytes, and both tokenizers' ids."""
+        if not texts:
+            return []
+        a_ids = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        return [((" " + t).encode(), np.array(a.ids, np.int64), np.array(b, np.int64)) for t, a, b in zip(texts, a_ids, self.b.encode(texts, num_threads=1))]
+
     def add(self, stretches: list[str]) -> None:
         """Aligns stretches that are not known yet, all in one array."""
         if not stretches:
             return
-        a_ids = [e.ids for e in self.a.encode_batch([" " + s for s in stretches], add_special_tokens=False)]
-        b_ids = self.b.encode(stretches, num_threads=1)
-        first, good = len(self.sizes), []
-        for i, (s, a, b) in enumerate(zip(stretches, a_ids, b_ids)):
-            self.index[s] = first + i
-            own, as_a, as_b = (" " + s).encode(), b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b_bytes.__getitem__, b))
-            self.held += len(own)
-            if as_a == own == as_b:
-                good.append(i)
-            self.spelt.append(None if as_a == own == as_b else (as_a, as_b))
-        self.codes.extend([np.zeros(0, self.code)] * len(stretches))
-        self.groups.extend([""] * len(stretches))
-        self.sizes.extend([(0, 0, 0, 0)] * len(stretches))
-        if good:
-            n_a, n_b = (np.array([len(x[i]) for i in good]) for x in (a_ids, b_ids))
-            a, b = (np.fromiter((t for i in good for t in x[i]), np.int64) for x in (a_ids, b_ids))
+        first = len(self.groups)
+        found, spelt = self.tokens(stretches)
+        self.index.update(zip(stretches, range(first, first + len(stretches))))
+        self.wrong.update((first + i, x) for i, x in spelt.items())
+        self.held += sum(map(len, stretches))
+        good = np.array([i for i, x in enumerate(found) if x is not None], np.int64)
+        sizes, groups = np.zeros((len(stretches), 4), np.int64), [b""] * len(stretches)
+        if len(good):
+            n_a, n_b = (np.fromiter((len(found[i][side]) for i in good.tolist()), np.int64, len(good)) for side in (0, 1))
+            a, b = (np.concatenate([found[i][side] for i in good.tolist()]) for side in (0, 1))
             group_a, group_b, link_a, link_b, n_groups = aligned(np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b]))
             codes = ((b[link_b].astype(np.uint64) << np.uint64(self.shift)) | a[link_a].astype(np.uint64)).astype(self.code)
             to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
-            to_link = np.searchsorted(link_a, to_a)                       # links stand in order of both
-            to_group = np.concatenate([group_a[1:], [n_groups]])[to_a - 1]     # the next stretch's first group
-            cuts_a, cuts_b = (np.searchsorted(g, np.arange(n_groups + 1)).tolist() for g in (group_a, group_b))
-            as_text_a, as_text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            text = [",".join(as_text_a[i:j]) + "|" + ",".join(as_text_b[k:m]) for i, j, k, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]
-            link, group = 0, 0
-            for i, na, nb, link_end, group_end in zip(good, n_a.tolist(), n_b.tolist(), to_link.tolist(), to_group.tolist()):
-                self.codes[first + i] = codes[link:link_end]
-                self.groups[first + i] = ";".join(text[group:group_end])
-                self.sizes[first + i] = (na, nb, group_end - group, link_end - link)
-                link, group = link_end, group_end
+            to_link = np.searchsorted(link_a, to_a)                                 # links stand in order of both
+            to_group = np.concatenate([group_a[1:], [n_groups]])[to_a - 1]          # the next stretch's first group
+            sizes[good] = np.stack([n_a, n_b, np.diff(to_group, prepend=0), np.diff(to_link, prepend=0)], axis=1)
+            spelled, ends = listed_groups(a, b, group_a, group_b)
+            to = ends[to_a + to_b - 1].tolist()
+            for i, x, y in zip(good.tolist(), [0, *to], to):
+                groups[i] = spelled[x:y - 1]
+            self.codes = np.concatenate([self.codes, codes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.start = np.concatenate([[0], np.cumsum(self.sizes[:, 3])])
+        self.groups.extend(groups)
 
     def documents(self, texts: list[str | None]):
         """For each text its sizes (A and B tokens, groups, links), its groups' hash, and its distinct linked pairs with their numbers."""
-        if len(self.sizes) > KEPT_STRETCHES or self.held > KEPT_BYTES:
+        if len(self.groups) > KEPT_STRETCHES or self.held > KEPT_BYTES:
             self.forget()
         cut = [self.stretches(t) if t else [] for t in texts]
-        self.add(list({s for c in cut for s in c if s not in self.index}))
+        self.add([s for s in dict.fromkeys(s for c in cut for s in c) if s not in self.index])
         for text, c in zip(texts, cut):
-            at = [self.index[s] for s in c]
-            wrong = [i for i in at if self.spelt[i] is not None]
+            at = list(map(self.index.__getitem__, c))
+            wrong = bool(self.wrong) and any(i in self.wrong for i in at)
             if not at or wrong and not self._same(text, c, at):
                 yield (0, 0, 0, 0), "", np.zeros(0, self.code), np.zeros(0, np.int64)
                 continue
@@ -142,17 +179,40 @@ class Aligner:
                     self.add([text])
                 at = [self.index[text]]
             once, times = np.unique(np.array(at), return_counts=True)
-            sizes = tuple((np.array([self.sizes[i] for i in once.tolist()]) * times[:, None]).sum(axis=0).tolist())
-            lists = [self.codes[i] for i in once.tolist()]
-            codes, n = parts.reduced(np.concatenate(lists), (np.add, np.repeat(times, [len(x) for x in lists])))
-            yield sizes, hashlib.sha256(";".join([self.groups[i] for i in at]).encode()).hexdigest(), codes, n
+            sizes = tuple((self.sizes[once] * times[:, None]).sum(axis=0).tolist())
+            n = self.sizes[once, 3]
+            before = np.cumsum(n) - n
+            links = np.repeat(self.start[once] - before, n) + np.arange(int(n.sum()))
+            codes, n = parts.reduced(self.codes[links], (np.add, np.repeat(times, n)))
+            yield sizes, hashlib.sha256(b";".join(list(map(self.groups.__getitem__, at)))).hexdigest(), codes, n
 
     def _same(self, text: str, cut: list[str], at: list[int]) -> bool:
         """Whether the joined bytes of the whole text are its own though those of a stretch are not."""
-        joined = [b"".join((" " + s).encode() if self.spelt[i] is None else self.spelt[i][side] for s, i in zip(cut, at)) for side in (0, 1)]
+        joined = [b"".join(self.wrong[i][side] if i in self.wrong else (" " + s).encode() for s, i in zip(cut, at)) for side in (0, 1)]
         return joined[0] == joined[1] == (" " + text).encode()
 
 
+def listed_groups(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """``a1,a2|b1;a3|b2,b3;`` in ASCII, and where each token's part ends, its separator included."""
+    turn = np.concatenate([group_a * 2, group_b * 2 + 1])
+    order = np.argsort(turn, kind="stable")
+    turn, ids = turn[order], np.concatenate([a, b])[order]
+    step = np.append(turn[1:], -2) - turn
+    mark = np.where(step == 0, ord(","), np.where((turn % 2 == 0) & (step == 1), ord("|"), ord(";")))
+    digits = np.ones(len(ids), np.int64)
+    power = 10
+    while power <= ids.max():
+        digits += ids >= power
+        power *= 10
+    ends = np.cumsum(digits + 1)
+    out = np.empty(ends[-1], np.uint8)
+    out[ends - 1] = mark
+    for k in range(digits.max()):
+        some = digits > k
+        out[ends[some] - 2 - k] = 48 + ids[some] // 10 ** k % 10
+    return out.tobytes(), ends
+
+
 def aligned(ends_a: np.ndarray, ends_b: np.ndarray):
     """Groups of two tokenisations of the same bytes, given the ends of their tokens.
 
