@@ -59,10 +59,17 @@ def test_a_ranking_moves_no_text(spark):
         assert not ("Exchange" in line and re.search("content|title", line))
 
 
-def test_hits_are_computed_once(spark):
-    """The text is read for the lengths of all pages; the hits come from their own table."""
+def test_a_lookup_names_its_terms_to_the_scan(spark):
+    """Text is not read; blocks are read by folder and term, first without their arrays of pages."""
     p = plan(spark, "match_terms_indexed")
-    assert p.count("hits-") == 2 and len(re.findall(r"documents\.parquet", p)) == 1
+    assert "documents.parquet" not in p and "hits-" not in p
+    scans = re.findall(r"FileScan parquet \[term[^\n]*", p)
+    assert scans and all("PartitionFilters: [" in x and "bucket" in x and re.search(r"PushedFilters: \[(Or\()*In\(term", x) for x in scans)
+    assert any("ids:" not in x.split("ReadSchema")[1] for x in scans) and not any("pos:" in x.split("ReadSchema")[1] for x in scans)
+
+
+def test_kept_statistics_leave_one_scan_of_text(spark):
+    assert len(re.findall(r"documents\.parquet", plan(spark, "bm25_scores"))) == 1
 
 
 def test_filters_on_the_url_come_before_parsing(spark):

@@ -5,7 +5,7 @@ from helpers import sqlite_index, sqlite_search, store
 from pyspark.sql import functions as F
 
 from websift import schema as S
-from websift.operators import index, paging
+from websift.operators import paging, segments
 from websift.plans import search
 
 WORDS = "the of a cat cats été Été blue blog news data-set x_y Straße don't 42 one. Two: end! the of of".split()
@@ -38,8 +38,8 @@ def pages(spark):
 
 
 @pytest.fixture(scope="module")
-def indexed(pages):
-    return index.build_postings(pages).cache(), index.build_doc_stats(pages).cache()
+def indexed(pages, tmp_path_factory):
+    return segments.create(pages, f"{tmp_path_factory.mktemp('index')}/i", slice_docs=8)
 
 
 @pytest.fixture(scope="module")
@@ -72,7 +72,7 @@ def test_snippets_are_sqlites(pages, judge):
 
 def batch(spark, pages, indexed, rows, **kw):
     queries = spark.createDataFrame(rows, S.QUERIES)
-    return search.search_batch(queries, pages, *indexed, now=NOW, **kw)
+    return search.search_batch(queries, pages, indexed, now=NOW, **kw)
 
 
 BATCH = [(i, q, page, time, sort) for i, (q, page, time, sort) in enumerate([
@@ -99,7 +99,7 @@ def test_a_batch_equals_its_single_searches(spark, pages, indexed):
 
 def test_batch_summaries_equal_single_ones(spark, pages, indexed):
     queries = spark.createDataFrame(BATCH, S.QUERIES)
-    got = {r.query_id: tuple(r[1:]) for r in search.batch_summary(queries, pages, *indexed, now=NOW).collect()}
+    got = {r.query_id: tuple(r[1:]) for r in search.batch_summary(queries, pages, indexed, now=NOW).collect()}
     for i, q, page, time, _ in BATCH:
         if q:
             assert got.pop(i) == tuple(search.summary(pages, q, page, time, NOW).first()), q
@@ -107,7 +107,7 @@ def test_batch_summaries_equal_single_ones(spark, pages, indexed):
 
 
 def test_filter_only_searches_in_several_groups(spark, pages, indexed, monkeypatch):
-    monkeypatch.setattr(search, "FILTERS_AT_ONCE", 1)
+    monkeypatch.setattr(search, "BARE_AT_ONCE", 1)
     test_batch_summaries_equal_single_ones(spark, pages, indexed)
 
 
@@ -123,9 +123,9 @@ def test_pages_of_one_search_follow_on(pages):
 
 def test_no_page_is_the_first(spark, pages, indexed):
     queries = spark.createDataFrame([(1, "the", None, None, "date"), (2, "the", 1, None, "date")], S.QUERIES)
-    one, two = (tuple(r)[1:] for r in search.batch_summary(queries, pages, *indexed, now=NOW).orderBy("query_id").collect())
+    one, two = (tuple(r)[1:] for r in search.batch_summary(queries, pages, indexed, now=NOW).orderBy("query_id").collect())
     assert one == two and one[2] == 1
-    got = search.search_batch(queries, pages, *indexed, now=NOW, snippets=False).groupBy("query_id").count().collect()
+    got = search.search_batch(queries, pages, indexed, now=NOW, snippets=False).groupBy("query_id").count().collect()
     assert {r["count"] for r in got} == {20}
 
 
@@ -165,13 +165,13 @@ def test_page_bar(spark):
                    (35, 25, True, True, 0, False, False)]
 
 
-def test_a_term_on_a_third_of_all_postings(spark):
+def test_a_term_on_a_third_of_all_postings(spark, tmp_path):
     """One hot term, and one search asked by a third of all users."""
     rows = [(i, f"http://h{i}.com/", "hot hot hot", f"hot w{i % 50} w{i % 7}") for i in range(900)]
     p = store(spark, rows)
     queries = [(i, "hot" if i % 3 else f"w{i % 50} hot", 1, None, "date") for i in range(90)]
-    got = search.search_batch(spark.createDataFrame(queries, S.QUERIES), p, index.build_postings(p),
-                              index.build_doc_stats(p), now=NOW, snippets=False)
+    got = search.search_batch(spark.createDataFrame(queries, S.QUERIES), p, segments.create(p, f"{tmp_path}/i"),
+                              now=NOW, snippets=False)
     counts = {r.query_id: r["count"] for r in got.groupBy("query_id").count().collect()}
     assert counts == {i: 20 if i % 3 else min(20, sum(f"w{i % 50}" in (f"w{j % 50}", f"w{j % 7}") for j in range(900)))
                       for i in range(90)}

@@ -1,27 +1,11 @@
-"""The search index: postings, statistics, changes, and lookups of many phrases at once.
-
-``postings`` has one row for each token of each page. Stored in buckets of terms and sorted by term inside them, a
-lookup reads the buckets of its terms, and the repeated terms and ids take next to no room.
-"""
+"""Postings and statistics of pages, one row for each token: what streams append. ``segments`` stores them to be asked."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from websift import schema as S
-from websift.functions import rank as R
 from websift.functions import text as X
-from websift.operators.salt import salted_join
-from websift.session import stored
-
-
-# Folders of a stored index, and parts in which a frequent term's postings are written.
-BUCKETS, SLICES = 128, 16
-
-
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def build_postings(pages: DataFrame) -> DataFrame:
@@ -55,103 +39,3 @@ def term_stats(postings: DataFrame) -> DataFrame:
     """
     per_doc = postings.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
     return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("hits").alias("n_hits"))
-
-
-def write_index(postings: DataFrame, doc_stats: DataFrame, path: str) -> None:
-    """Store an index under a new ``path``, postings in folders of ``bucket``. Slices of documents split frequent terms."""
-    slices = F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.lit(SLICES))
-    (postings.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", slices)
-     .sortWithinPartitions("bucket", "term", "doc_id", "field", "pos")
-     .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings"))
-    doc_stats.write.mode("errorifexists").parquet(f"{path}/doc_stats")
-
-
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Postings, with their ``bucket``, and document statistics. Lookups read only the buckets of their terms."""
-    return (spark.read.schema(S.STORED_POSTINGS).parquet(f"{path}/postings"),
-            spark.read.schema(S.DOC_STATS).parquet(f"{path}/doc_stats"))
-
-
-def apply_changes(postings: DataFrame, doc_stats: DataFrame, changes: DataFrame
-                  ) -> tuple[DataFrame, DataFrame]:
-    """The index after inserts, updates and deletes.
-
-    ``changes``: ``seq, op, id, title, content``, ``op`` one of insert, update, delete; of several changes
-    to one page the last counts. Only the new text is tokenised; the other postings pass through.
-    """
-    last = changes.groupBy("id").agg(F.max_by(F.struct("op", "title", "content"), "seq").alias("c"))
-    last = last.select("id", "c.*")
-    gone = last.select(F.col("id").alias("doc_id"))
-    new = last.filter(F.col("op") != "delete").select("id", "title", "content")
-    fresh = build_postings(new)
-    if "bucket" in postings.columns:
-        fresh = fresh.withColumn("bucket", bucket_of(F.col("term")))
-    return (postings.join(gone, "doc_id", "left_anti").select(*postings.columns).unionByName(fresh),
-            doc_stats.join(gone, "doc_id", "left_anti").unionByName(build_doc_stats(new)))
-
-
-def phrase_key(title_only: Column, tokens: Column) -> Column:
-    """A phrase's name: equal for equal phrases. Tokens hold no blanks."""
-    return F.concat(F.when(title_only, "t ").otherwise("a "), F.array_join(tokens, " "))
-
-
-def phrase_hits(postings: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``phrase, doc_id, f, doc_len``: how often each page holds each phrase.
-
-    ``phrases``: ``phrase, title_only, tokens``, no row twice. All phrases are looked up in one pass over
-    the postings of their terms; of a stored index only the buckets with such terms are read.
-    """
-    if "bucket" in postings.columns:
-        asked = phrases.select(F.explode("tokens").alias("term")).select(bucket_of(F.col("term")).alias("b")).distinct()
-        postings = postings.filter(F.col("bucket").isin([r["b"] for r in asked.collect()])).drop("bucket")   # BUCKETS numbers at most
-    toks = phrases.select("phrase", "title_only", F.size("tokens").alias("n"),
-                          F.posexplode("tokens").alias("offset", "term"))
-    occ = salted_join(postings, toks, ["term"], "doc_id")
-    occ = occ.filter(~F.col("title_only") | (F.col("field") == "title"))
-    # Single tokens are counted for the whole page; longer phrases for each place they may start at.
-    place = F.when(F.col("n") > 1, F.col("pos") - F.col("offset"))
-    field = F.when(F.col("n") > 1, F.col("field"))
-    at = (occ.groupBy("phrase", "n", "doc_id", "doc_len", field.alias("field"), place.alias("place"))
-          .agg(F.count(F.lit(1)).alias("c")))
-    f = F.when(F.col("n") == 1, F.col("c")).otherwise((F.col("c") == F.col("n")).cast("long"))
-    return (at.groupBy("phrase", "doc_id").agg(F.sum(f).alias("f"), F.max("doc_len").alias("doc_len"))
-            .filter("f > 0"))
-
-
-def candidates(hits: DataFrame, rarest: DataFrame) -> DataFrame:
-    """The hits of each search's rarest phrase (``rarest``: ``sid, phrase`` and what is to be carried)."""
-    return salted_join(hits.select("phrase", "doc_id"), rarest, ["phrase"], "doc_id")
-
-
-def score_searches(postings: DataFrame, doc_stats: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``sid, doc_id, rank``: the pages that hold all phrases of each search, with BM25.
-
-    ``wanted``: ``sid, phrases``, no ``sid`` twice, ``phrases`` as made by ``querylog.phrases``. A phrase
-    shared by many searches is looked up and counted once. The hits of the phrases are written to the
-    shared folder when this is called. A search's candidates are the hits of its rarest phrase; its other phrases are
-    looked up for those pages only.
-    """
-    each = wanted.select(F.explode("phrases").alias("p")).select("p.title_only", "p.tokens").distinct()
-    each = each.filter(F.size("tokens") > 0)
-    each = each.withColumn("phrase", phrase_key(F.col("title_only"), F.col("tokens")))
-    # read twice: for the document frequencies, and for the pages
-    hits = stored(phrase_hits(postings, each), "hits")
-    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    keys = F.transform("phrases", lambda p: phrase_key(p.title_only, p.tokens))
-    need = wanted.select("sid", keys.alias("keys"))
-    need = need.select("sid", "keys", F.size(F.array_distinct("keys")).alias("n_phrases"),
-                       F.explode(F.array_distinct("keys")).alias("phrase"))
-    times = F.size(F.filter("keys", lambda k: k == F.col("phrase")))
-    need = need.select("sid", "n_phrases", "phrase", times.alias("times")).join(df, "phrase")
-    stats = corpus_stats(doc_stats).select(F.struct("n_docs", "avg_tokens")).scalar()
-    each_of = F.struct("phrase", "times", "df")
-    rarest = need.groupBy("sid", "n_phrases").agg(F.min(F.struct("df", "phrase"))["phrase"].alias("phrase"), F.collect_list(each_of).alias("all"))
-    # a phrase without hits has no df; then the search has none either
-    rarest = rarest.filter(F.size("all") == F.col("n_phrases"))
-    found = (candidates(hits, rarest).select("sid", "doc_id", "n_phrases", F.explode("all").alias("p"))
-             .select("sid", "doc_id", "n_phrases", "p.*").join(hits, ["phrase", "doc_id"]).withColumn("_s", stats))
-    part = R.bm25_part(R.idf(F.col("_s.n_docs"), F.col("df")), F.col("f"), F.col("doc_len"),
-                       F.col("_s.avg_tokens")) * F.col("times")
-    return (found.withColumn("part", part).groupBy("sid", "doc_id", "n_phrases")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("rank"))
-            .filter("n = n_phrases").select("sid", "doc_id", "rank"))

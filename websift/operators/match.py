@@ -52,23 +52,27 @@ def matching(pages: DataFrame, phrases: list[Phrase]) -> DataFrame:
     return pages.select(*pages.columns, F.explode(hit).alias("_hit")).drop("_hit")
 
 
-def scored(pages: DataFrame, phrases: list[Phrase], where: Column | None = None) -> DataFrame:
+def scored(pages: DataFrame, phrases: list[Phrase], where: Column | None = None, kept: tuple[int, float, list[int]] | None = None) -> DataFrame:
     """The pages that contain every phrase (and satisfy ``where``), with their BM25 ``rank``.
 
-    Statistics come from all of ``pages``, whatever ``where`` says. They are one row, computed once as
-    a scalar subquery. Without phrases every page matches with rank 0.
+    Statistics come from all of ``pages``, whatever ``where`` says: ``kept`` (pages, average length, pages with each phrase) if they are
+    known, else one row, computed once as a scalar subquery. Without phrases every page matches with rank 0.
     """
     found = pages if where is None else pages.filter(where)
     if not phrases:
         return found.withColumn("rank", F.lit(0.0))
     ids = range(len(phrases))
+    counted = _per_page(lambda t, c: F.when(_is_hit(phrases, t, c), F.struct(*_counts(phrases, t, c))))
+    found = found.select(*pages.columns, F.explode(F.filter(counted, lambda m: m.isNotNull())).alias("m"))
+    if kept is not None:
+        n_docs, avg_len, df = kept
+        parts = [R.bm25_part(R.idf(F.lit(n_docs), F.lit(df[i])), F.col(f"m.f{i}"), F.col("m.doc_len"), F.lit(avg_len)) for i in ids]
+        return found.select(*pages.columns, reduce(lambda a, b: a + b, parts).alias("rank"))
     facts = pages.select(F.explode(_per_page(lambda t, c: F.struct(*_counts(phrases, t, c)))).alias("m"))
     stats = facts.agg(F.struct(
         F.count(F.lit(1)).alias("n_docs"),
         (F.sum("m.doc_len") / F.count(F.lit(1))).alias("avg_len"),
         *[F.count_if(F.col(f"m.f{i}") > 0).alias(f"n{i}") for i in ids]).alias("stats"))
-    counted = _per_page(lambda t, c: F.when(_is_hit(phrases, t, c), F.struct(*_counts(phrases, t, c))))
-    found = found.select(*pages.columns, F.explode(F.filter(counted, lambda m: m.isNotNull())).alias("m"))
     found = found.withColumn("_s", stats.scalar())
     s = F.col("_s")
     parts = [R.bm25_part(R.idf(s["n_docs"], s[f"n{i}"]), F.col(f"m.f{i}"), F.col("m.doc_len"), s["avg_len"])

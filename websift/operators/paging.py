@@ -30,6 +30,21 @@ def top(hits: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return (some.drop("_n", "_slice").withColumn("pos", F.row_number().over(last)).filter(F.col("pos") <= k))
 
 
+def depth_class(page: Column) -> Column:
+    """The power of two that a page number is not above: searches of like depth are cut together."""
+    return F.ceil(F.log2(F.greatest(page, F.lit(1)))).cast("int")
+
+
+def top_by_depth(hits: DataFrame, group: str, order: list[Column], classes: list[int]) -> DataFrame:
+    """``top`` for groups that go to different depths: each class of depths (``depth_class``, a column of ``hits``) is cut at its own, so
+    a deep search does not widen the others. ``hits`` should be a stored table; each class reads its own rows."""
+    parts = [top(hits.where(F.col("depth_class") == c).drop("depth_class"), group, order, PAGE_SIZE << c) for c in classes]
+    out = parts[0] if parts else top(hits.drop("depth_class"), group, order, PAGE_SIZE)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def with_summary(df: DataFrame, total: str = "total_results", page: str = "page") -> DataFrame:
     """``df`` plus total_pages, current_page, has_next and has_prev. No page is page 1."""
     pages = F.ceil(F.col(total) / PAGE_SIZE).cast("long")

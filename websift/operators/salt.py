@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 SALTS = 32
 
-# Rows of ids or URLs that may be sent to every executor, some tens of MB.
-BROADCAST_ROWS = 500_000
+# Ids that may be sent to every executor: 4 MB of numbers.
+BROADCAST_IDS = 500_000
 
 
 def small_join(big: DataFrame, few: DataFrame, on: str, at_most: int | None) -> DataFrame:
-    """Inner join of a wide table with the rows picked from it.
+    """Inner join of a wide table with the rows picked from it by a number.
 
-    ``at_most`` bounds the rows of ``few``, if the caller knows a bound. Within ``BROADCAST_ROWS`` they go
-    to every executor and ``big`` is only scanned; its text would else be shuffled for a few rows. Beyond
-    it, or without a bound, Spark shuffles both sides.
+    ``at_most`` bounds the rows of ``few``, if the caller knows a bound. Within ``BROADCAST_IDS`` their ids alone go to every executor
+    and ``big`` is only scanned; its text would else be shuffled for a few rows. What ``few`` carries is joined to the picked rows.
     """
-    if at_most is not None and at_most <= BROADCAST_ROWS:
-        few = F.broadcast(few)
+    if at_most is not None and at_most <= BROADCAST_IDS:
+        big = big.join(F.broadcast(few.select(on).distinct()), on, "left_semi")
     return big.join(few, on)
 
 

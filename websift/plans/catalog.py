@@ -13,11 +13,11 @@ from websift.functions import text as X
 from websift.functions import urls as U
 from websift.functions.html import with_content
 from websift.operators import crawl as C
-from websift.operators import filters, index, match, paging, store
+from websift.operators import filters, index, lookup, match, paging, segments, store
 from websift.operators import querylog as Q
 from websift.plans import search
 from websift.plans import oracle as O
-from websift.session import scratch_path
+from websift.session import scratch_path, shared_dir
 from websift.sources import pages as P
 from websift.streaming import jobs
 
@@ -52,6 +52,15 @@ def _doc_corpus(spark: SparkSession, d: str) -> DataFrame:
     return P.documents_as_store(_documents(spark, d))
 
 
+def _kept_index(pages: DataFrame, path: str) -> segments.Index:
+    """The stored index of ``pages``, which are read from ``path``; made when it is first asked for. It is known by the names, times and
+    sizes of the files there, so changed files have an index of their own."""
+    spark = pages.sparkSession
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    n, size, names = files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+    return segments.kept(pages, f"{shared_dir(spark)}/index-{n}-{size}-{names & (1 << 64) - 1:x}")
+
+
 def _now(table: DataFrame, key: str) -> dt.datetime:
     """The time of the latest page stands for the present. A plain value, so that age filters reach the
     scan as constants."""
@@ -281,7 +290,8 @@ def _scored_sql(phrases, corpus=O.CORPUS) -> str:
 
 @query("bm25_scores", _scored_sql([(False, ["that"]), (False, ["the"]), (False, ["the"])], O.DOC_CORPUS))
 def bm25_scores(spark, d):
-    return search.hits(_doc_corpus(spark, d), "that the the").select("id", F.round("rank", 6).alias("rank"))
+    c, kept = _indexed(spark, d)
+    return search.hits(c, "that the the", index=kept).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query("bm25_phrase", _scored_sql([(False, ["of", "the"]), (True, ["the"])], O.DOC_CORPUS))
@@ -431,55 +441,70 @@ def index_term_stats(spark, d):
     return index.term_stats(index.build_postings(_doc_corpus(spark, d)))
 
 
-# Changes: pages on .org hosts are deleted, pages under /en/ get their URL as title, and every page
-# comes in a second time as a new one with its title for content.
+# Two change sets: pages on .org hosts are deleted, pages under /en/ get their URL as title, and every page comes in a second time as a
+# new one with its title for content; then the even ones of the new pages go, and odd pages that are left get their title for content.
 @query("index_apply_changes", f"""WITH {O.CORPUS},
-after AS (
+once AS (
   SELECT id, CASE WHEN contains(url, '/en/') THEN url ELSE title END AS title, content FROM corpus WHERE NOT contains(url, '.org/')
   UNION ALL SELECT id + 1000000000, title, title FROM corpus),
+after AS (SELECT id, title, CASE WHEN id < 1000000000 AND id % 2 = 1 THEN title ELSE content END AS content FROM once WHERE id < 1000000000 OR id % 2 = 1),
 toks AS (SELECT id, {O.tokens('title')} AS tt, {O.tokens('content')} AS ct FROM after), {_POSTINGS}
 SELECT term, field, count(DISTINCT doc_id) AS n_docs, count(*) AS n_hits, CAST(sum(pos) AS BIGINT) AS sum_pos,
        CAST(sum(doc_len) AS BIGINT) AS sum_len FROM p GROUP BY term, field""")
 def index_apply_changes(spark, d):
     c = _corpus(spark, d)
-    old = c.select(F.col("id").alias("seq"), F.when(F.col("url").contains(".org/"), "delete")
-                   .when(F.col("url").contains("/en/"), "update").alias("op"), "id",
-                   F.col("url").alias("title"), "content").filter("op is not null")
-    new = c.select(F.col("id").alias("seq"), F.lit("insert").alias("op"), (F.col("id") + 1_000_000_000).alias("id"),
-                   "title", F.col("title").alias("content"))
-    p, _ = index.apply_changes(index.build_postings(c), index.build_doc_stats(c), old.unionByName(new))
-    # counted for each document first: a frequent term is then spread over all tasks
-    doc = p.groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("s"),
-                                                   F.sum("doc_len").alias("l"))
-    return doc.groupBy("term", "field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_hits"),
-                                            F.sum("s").alias("sum_pos"), F.sum("l").alias("sum_len"))
-
-
-# One search for each benchmark item: its first words, as terms or as a phrase, some with filters.
-_ASKED = r"""
-w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
-asked AS (SELECT item_id AS query_id, w[1] AS a, w[2] AS b, item_id % 4 AS kind, CAST(1 + item_id % 2 AS INTEGER) AS page,
+    i, url, title = F.col("id"), F.col("url"), F.col("title")
+    changes = ["seq", "op", "id", "url", "title", "content"]
+    renamed = F.when(url.contains("/en/"), url).otherwise(title)
+    first = c.withColumn("op", F.when(url.contains(".org/"), "delete").when(url.contains("/en/"), "update")).filter("op is not null")
+    first = first.select(i.alias("seq"), "op", i, "url", url.alias("title"), "content").unionByName(
+        c.select(i.alias("seq"), F.lit("insert").alias("op"), (i + 1_000_000_000).alias("id"), "url", "title", title.alias("content")))
+    second = c.filter(i % 2 == 0).select(i.alias("seq"), F.lit("delete").alias("op"), (i + 1_000_000_000).alias("id"), "url", "title", "content")
+    second = second.unionByName(c.filter((i % 2 == 1) & ~url.contains(".org/"))
+                                .select(i.alias("seq"), F.lit("update").alias("op"), i, "url", renamed.alias("title"), renamed.alias("content")))
+    kept = segments.fork(_kept_index(c, f"{d}/pages.parquet"), scratch_path(spark, "index"))
+    for some in (first, second):
+        kept = segments.apply_changes(kept, some.select(*changes))
+    merged = segments.merge(kept)
+    b = merged.blocks().where(~F.col("term").contains(" ") & ~F.col("term").startswith(segments.GRAM))
+    e = b.select("term", F.explode(F.arrays_zip("lens", "pos")).alias("e"))
+    each = e.select("term", F.col("e.lens").alias("len"), F.explode(F.array(F.lit("title"), F.lit("content"))).alias("field"),
+                    F.col("e.pos").alias("pos"))
+    own = F.transform(F.filter("pos", lambda p: (p >= segments.TITLE) == (F.col("field") == "title")), lambda p: p % segments.TITLE)
+    each = each.withColumn("own", own).where("size(own) > 0")
+    total = F.aggregate("own", F.lit(0).cast("long"), lambda a, p: a + p)
+    return each.groupBy("term", "field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("own")).cast("long").alias("n_hits"), F.sum(total).alias("sum_pos"),
+                                             F.sum(F.col("len") * F.size("own")).cast("long").alias("sum_len"))
+
+
+# Two searches for each benchmark item: its first two words, and all its words; as terms or as a phrase, some with filters.
+_ASKED = f"""
+w AS (SELECT item_id, {O.tokens('text')} AS w FROM benchmark),
+both_asked AS (SELECT item_id, item_id AS query_id, w[1:2] AS ws FROM w UNION ALL SELECT item_id, item_id + 1000000000, w FROM w WHERE len(w) > 2),
+asked AS (SELECT query_id, ws, item_id % 4 AS kind, CAST(1 + item_id % 2 AS INTEGER) AS page,
                  CASE WHEN item_id % 3 = 0 THEN 'date' ELSE 'relevance' END AS sort_by,
-                 CASE WHEN item_id % 5 = 0 THEN 'year' END AS time_filter, item_id % 20 AS src FROM w)"""
+                 CASE WHEN item_id % 5 = 0 THEN 'year' END AS time_filter, item_id % 20 AS src FROM both_asked WHERE len(ws) > 1)"""
 
 
 def _asked(spark, d) -> DataFrame:
-    w = spark.read.parquet(f"{d}/benchmark.parquet").select(
-        "item_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    w = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", X.tokens(F.col("text")).alias("w"))
     k = F.col("item_id")
-    return w.select(k.alias("query_id"), F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b"),
-                    (k % 4).alias("kind"), (1 + k % 2).cast("int").alias("page"),
-                    F.when(k % 3 == 0, "date").otherwise("relevance").alias("sort_by"),
-                    F.when(k % 5 == 0, "year").alias("time_filter"), (k % 20).alias("src"))
+    both = w.select(k, k.alias("query_id"), F.slice("w", 1, 2).alias("ws")).unionByName(
+        w.where("size(w) > 2").select(k, (k + 1_000_000_000).alias("query_id"), F.col("w").alias("ws")))
+    return both.where("size(ws) > 1").select(
+        "query_id", "ws", (k % 4).alias("kind"), (1 + k % 2).cast("int").alias("page"),
+        F.when(k % 3 == 0, "date").otherwise("relevance").alias("sort_by"),
+        F.when(k % 5 == 0, "year").alias("time_filter"), (k % 20).alias("src"))
 
 
 def _indexed(spark, d):
     c = _doc_corpus(spark, d)
-    return c, index.build_postings(c), index.build_doc_stats(c)
+    return c, _kept_index(c, f"{d}/documents.parquet")
 
 
 def _wanted(asked: DataFrame, quoted: bool) -> DataFrame:
-    q = F.concat(F.lit('"'), "a", F.lit(" "), "b", F.lit('"')) if quoted else F.concat("a", F.lit(" "), "b")
+    q = F.array_join("ws", " ")
+    q = F.concat(F.lit('"'), q, F.lit('"')) if quoted else q
     w = Q.with_conditions(asked.select(F.col("query_id").alias("sid"), q.alias("q")))
     return w.select("sid", Q.phrases().alias("phrases"))
 
@@ -488,15 +513,17 @@ _BM = "{idf} * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * doc_len / avgd))"
 _ST = "st AS (SELECT count(*) AS n, avg(len(tt) + len(ct)) AS avgd FROM toks)"
 _IDF = "CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END"
 
-# hits of every phrase: single words, and the word pairs that are asked for
+# hits of every phrase: single words from the postings, longer phrases from the pages that hold their words in a row
+_PH = "CASE WHEN kind = 1 THEN [array_to_string(ws, ' ')] WHEN kind = 3 THEN ws[1:len(ws) - 1] ELSE ws END"
 _HITS = f"""{_DOC_TOKS}, {_ASKED}, {_ST},
-ph AS (SELECT query_id, unnest(CASE WHEN kind = 1 THEN [a || ' ' || b] WHEN kind = 3 THEN [a] ELSE [a, b] END) AS phrase
-       FROM asked),
-names AS (SELECT DISTINCT phrase, split_part(phrase, ' ', 1) AS x, split_part(phrase, ' ', 2) AS y FROM ph),
-h AS (SELECT phrase, l.doc_id, any_value(l.doc_len) AS doc_len, count(*) AS f
-      FROM names JOIN p AS l ON l.term = x
-      LEFT JOIN p AS r ON y <> '' AND r.term = y AND r.doc_id = l.doc_id AND r.field = l.field AND r.pos = l.pos + 1
-      WHERE y = '' OR r.pos IS NOT NULL GROUP BY phrase, l.doc_id),
+ph AS (SELECT query_id, unnest({_PH}) AS phrase FROM asked),
+names AS (SELECT DISTINCT phrase, string_split(phrase, ' ') AS x FROM ph),
+rows_of AS (SELECT id, tt, ct, ' ' || array_to_string(tt, ' ') || ' . ' || array_to_string(ct, ' ') || ' ' AS s FROM toks),
+held AS (SELECT phrase, x, id, tt, ct FROM names JOIN rows_of ON contains(s, ' ' || phrase || ' ') WHERE len(x) > 1),
+h AS (SELECT phrase, doc_id, any_value(doc_len) AS doc_len, count(*) AS f FROM names JOIN p ON p.term = phrase WHERE len(x) = 1 GROUP BY phrase, doc_id
+      UNION ALL
+      SELECT phrase, id, len(tt) + len(ct), len([i FOR i IN range(1, greatest(len(tt) - len(x) + 2, 1)) IF tt[i:i + len(x) - 1] = x])
+             + len([i FOR i IN range(1, greatest(len(ct) - len(x) + 2, 1)) IF ct[i:i + len(x) - 1] = x]) FROM held),
 dfs AS (SELECT phrase, count(*) AS df FROM h GROUP BY phrase),
 need AS (SELECT query_id, phrase, count(*) AS times FROM ph GROUP BY ALL),
 size AS (SELECT query_id, count(*) AS n_phrases FROM need GROUP BY query_id),
@@ -506,30 +533,31 @@ scored AS (
   GROUP BY query_id, doc_id, n_phrases HAVING count(*) = n_phrases)"""
 
 
-@query("match_terms_indexed", f"""WITH {_HITS.replace("CASE WHEN kind = 1 THEN [a || ' ' || b] WHEN kind = 3 THEN [a] ELSE [a, b] END", "[a, b]")}
+@query("match_terms_indexed", f"""WITH {_HITS.replace(_PH, "ws")}
 SELECT query_id, doc_id, round(rank, 6) AS rank FROM scored""")
 def match_terms_indexed(spark, d):
-    _, p, s = _indexed(spark, d)
-    r = index.score_searches(p, s, _wanted(_asked(spark, d), quoted=False))
+    _, kept = _indexed(spark, d)
+    r = lookup.score_searches(kept, _wanted(_asked(spark, d), quoted=False))
     return r.select(F.col("sid").alias("query_id"), "doc_id", F.round("rank", 6).alias("rank"))
 
 
-@query("match_phrase_indexed", f"""WITH {_HITS.replace("CASE WHEN kind = 1 THEN [a || ' ' || b] WHEN kind = 3 THEN [a] ELSE [a, b] END", "[a || ' ' || b]")}
+@query("match_phrase_indexed", f"""WITH {_HITS.replace(_PH, "[array_to_string(ws, ' ')]")}
 SELECT query_id, doc_id, round(rank, 6) AS rank FROM scored""")
 def match_phrase_indexed(spark, d):
-    _, p, s = _indexed(spark, d)
-    r = index.score_searches(p, s, _wanted(_asked(spark, d), quoted=True))
+    _, kept = _indexed(spark, d)
+    r = lookup.score_searches(kept, _wanted(_asked(spark, d), quoted=True))
     return r.select(F.col("sid").alias("query_id"), "doc_id", F.round("rank", 6).alias("rank"))
 
 
 def _searches(spark, d) -> DataFrame:
-    """Kinds: two terms; a phrase; two terms of one site; a term with an exclusion. Each item asks once more
+    """Kinds: terms; a phrase; terms of one site; terms without the last, which is excluded. Each item asks once more
     for all pages of a site."""
     a = _asked(spark, d)
-    kind, site = F.col("kind"), F.concat(F.lit("site:SRC"), F.col("src").cast("string"), F.lit("."))
-    q = (F.when(kind == 1, F.concat(F.lit('"'), "a", F.lit(" "), "b", F.lit('"')))
-         .when(kind == 2, F.concat("a", F.lit(" "), "b", F.lit(" "), site, F.lit(" inurl:example")))
-         .when(kind == 3, F.concat("a", F.lit(" -"), "b")).otherwise(F.concat("a", F.lit(" "), "b")))
+    kind, site, n = F.col("kind"), F.concat(F.lit("site:SRC"), F.col("src").cast("string"), F.lit(".")), F.size("ws")
+    words = F.array_join("ws", " ")
+    q = (F.when(kind == 1, F.concat(F.lit('"'), words, F.lit('"')))
+         .when(kind == 2, F.concat(words, F.lit(" "), site, F.lit(" inurl:example")))
+         .when(kind == 3, F.concat(F.array_join(F.slice("ws", 1, n - 1), " "), F.lit(" -"), F.element_at("ws", -1))).otherwise(words))
     cols = ["page", "time_filter", "sort_by"]
     more = a.select((-1 - F.col("query_id")).alias("query_id"), site.alias("q"), *cols)
     return a.select("query_id", q.alias("q"), *cols).unionByName(more)
@@ -543,7 +571,7 @@ answers AS (
   WHERE a.kind <> 2 OR contains(c.url, '//src' || a.src || '.')
   UNION ALL
   SELECT -1 - a.query_id, c.id, 0.0 FROM asked a JOIN corpus c ON contains(c.url, '//src' || a.src || '.')),
-searches AS (SELECT query_id, page, sort_by, time_filter, CASE WHEN kind = 1 THEN [a || ' ' || b] WHEN kind = 3 THEN [a] ELSE [a, b] END AS terms FROM asked
+searches AS (SELECT query_id, page, sort_by, time_filter, {_PH} AS terms FROM asked
              UNION ALL SELECT -1 - query_id, page, sort_by, time_filter, []::VARCHAR[] FROM asked),
 kept AS (SELECT x.*, s.page, s.sort_by, s.terms, c.url, c.title, c.content, c.crawled_at
          FROM answers x JOIN searches s USING (query_id) JOIN corpus c ON c.id = x.doc_id, now
@@ -565,8 +593,8 @@ placed AS (
 
 @query("search_batch", f"WITH {_PAGES} SELECT * EXCLUDE (content) FROM placed")
 def search_batch(spark, d):
-    c, p, s = _indexed(spark, d)
-    r = search.search_batch(_searches(spark, d), c, p, s, now=_now(_documents(spark, d), "doc_id"), snippets=False)
+    c, kept = _indexed(spark, d)
+    r = search.search_batch(_searches(spark, d), c, kept, now=_now(_documents(spark, d), "doc_id"), snippets=False)
     return r.withColumn("rank", F.round("rank", 6))
 
 
@@ -576,20 +604,20 @@ t AS (SELECT query_id, page, count(kept.doc_id) AS total_results
 u AS (SELECT *, CAST(ceil(total_results / 20.0) AS BIGINT) AS total_pages FROM t)
 SELECT query_id, total_results, total_pages, page AS current_page, page < total_pages AS has_next, page > 1 AS has_prev FROM u""")
 def search_batch_summary(spark, d):
-    c, p, s = _indexed(spark, d)
-    return search.batch_summary(_searches(spark, d), c, p, s, now=_now(_documents(spark, d), "doc_id"))
+    c, kept = _indexed(spark, d)
+    return search.batch_summary(_searches(spark, d), c, kept, now=_now(_documents(spark, d), "doc_id"))
 
 
 @query("search_batch_full", f"""WITH {_PAGES},
 rows AS (SELECT query_id || ' ' || id AS key, content, [string_split(t, ' ') FOR t IN terms] AS phrases
          FROM placed JOIN searches USING (query_id)),
 {O.SNIPPETS},
-results AS (SELECT placed.* EXCLUDE (content), snippet, CASE WHEN kind = 3 THEN [b] ELSE []::VARCHAR[] END AS exclude
+results AS (SELECT placed.* EXCLUDE (content), snippet, CASE WHEN kind = 3 THEN [ws[len(ws)]] ELSE []::VARCHAR[] END AS exclude
             FROM placed JOIN snips ON key = placed.query_id || ' ' || id LEFT JOIN asked USING (query_id))
 SELECT * EXCLUDE (exclude) {O.DISPLAYED} FROM results WHERE {O.KEPT}""")
 def search_batch_full(spark, d):
-    c, p, s = _indexed(spark, d)
-    r = search.search_batch(_searches(spark, d), c, p, s, now=_now(_documents(spark, d), "doc_id"))
+    c, kept = _indexed(spark, d)
+    r = search.search_batch(_searches(spark, d), c, kept, now=_now(_documents(spark, d), "doc_id"))
     return r.withColumn("rank", F.round("rank", 6))
 
 

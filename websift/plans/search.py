@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from websift.functions import rank as R
 from websift.functions import urls as U
 from websift.functions.snippet import cut, snippet, without_marks
-from websift.operators import filters, index, match, paging
+from websift.operators import filters, lookup, match, paging, segments
 from websift.operators import querylog as Q
 from websift.operators.salt import salted_join, small_join
+from websift.session import stored
 
 
 def parse(spark: SparkSession, q: str) -> dict:
@@ -47,15 +48,25 @@ def _phrases(spec: dict) -> list[match.Phrase]:
 
 
 def hits(pages: DataFrame, q: str, time_filter: str | None = None, now=None,
-         filetype: bool = False) -> DataFrame:
-    """Every page that answers ``q``, with its BM25 ``rank``. ``filetype`` turns that operator on."""
-    return _hits(pages, parse(pages.sparkSession, q), time_filter, now, filetype)
+         filetype: bool = False, index: segments.Index | None = None) -> DataFrame:
+    """Every page that answers ``q``, with its BM25 ``rank``. ``filetype`` turns that operator on.
+
+    With the ``index`` of the pages, statistics of single words come from its counters, and text is read once.
+    """
+    return _hits(pages, parse(pages.sparkSession, q), time_filter, now, filetype, index)
 
 
-def _hits(pages: DataFrame, spec: dict, time_filter, now, filetype: bool) -> DataFrame:
+def _hits(pages: DataFrame, spec: dict, time_filter, now, filetype: bool, index: segments.Index | None = None) -> DataFrame:
     if spec["q"] == "":
         return pages.filter(F.lit(False)).withColumn("rank", F.lit(0.0))
-    return match.scored(pages, _phrases(spec), _where(spec, time_filter, now, filetype))
+    phrases = _phrases(spec)
+    kept = None
+    if index is not None and all(len(tokens) == 1 for _, tokens in phrases):
+        words = [{"term": tokens[0]} for _, tokens in phrases]
+        counts = {r["term"]: r for r in segments.counts_of(index, None, words).collect()}      # a row for each word of the search
+        none = {"n_docs": 0, "n_title_docs": 0}
+        kept = (index.n_docs, index.avg_tokens, [counts.get(t[0], none)["n_title_docs" if title_only else "n_docs"] for title_only, t in phrases])
+    return match.scored(pages, phrases, _where(spec, time_filter, now, filetype), kept)
 
 
 def _order(sort_by: str) -> list[Column]:
@@ -156,8 +167,8 @@ def summary(pages: DataFrame, q: str, page: int = 1, time_filter: str | None = N
 # ---------------------------------------------------------------------------------------------
 # tables of searches
 
-# Searches without any phrase are compared with each page; so many of them share one scan.
-FILTERS_AT_ONCE = 500
+# Searches that name no phrase and nothing of three letters to look for in URLs are compared with each page; so many share one scan.
+BARE_AT_ONCE = 500
 
 
 def _searches(queries: DataFrame) -> DataFrame:
@@ -172,12 +183,19 @@ def _sid() -> Column:
                               F.coalesce("sort_by", F.lit("relevance"))))
 
 
-def _filter_only(searches: DataFrame, facts: DataFrame, n: int) -> list[DataFrame]:
-    """Hits of the ``n`` searches that name no phrase: pages are tested in place, and only matches leave
+def _grams() -> Column:
+    """The trigrams that a URL must hold for all of a search's needles; what stands for any letter parts them."""
+    words = F.filter(F.concat(F.array("site.word"), F.transform("inurl", lambda n: n.word)), lambda w: w.isNotNull())
+    pieces = F.flatten(F.transform(words, lambda w: F.split(w, r"[%_\\]")))
+    return F.array_distinct(F.flatten(F.transform(pieces, segments.grams_of)))
+
+
+def _bare(searches: DataFrame, facts: DataFrame, n: int) -> list[DataFrame]:
+    """Hits of the ``n`` searches that no index helps with: pages are tested in place, and only matches leave
     the scan. Groups of searches bound what one scan holds in memory."""
     of_search = ["sid", "site", "inurl", "since", "by_date"]
-    only = searches.filter(F.size("phrases") == 0).select(*of_search)
-    groups = math.ceil(n / FILTERS_AT_ONCE)
+    only = searches.filter((F.size("phrases") == 0) & (F.size("grams") == 0)).select(*of_search)
+    groups = math.ceil(n / BARE_AT_ONCE)
     out = []
     for g in range(groups):
         part = only.filter(F.pmod(F.xxhash64("sid"), F.lit(groups)) == g)
@@ -194,40 +212,60 @@ def _filter_only(searches: DataFrame, facts: DataFrame, n: int) -> list[DataFram
 class Survey:
     """What a query table asks for; one small job over it."""
 
-    without_phrase: int     # searches that name no phrase
+    bare: int               # searches that no index helps with
+    by_url: int             # searches that name no phrase, but parts of URLs
     need_pages: int         # searches that filter by URL or age, or sort by date
     searches: int           # all of them
-    deepest: int            # the last page anyone wants
+    classes: list[int]      # of the depths that are asked for; there are as many as the deepest has binary digits
+
+
+def _survey(searches: DataFrame) -> Survey:
+    """Of searches as ``_parsed`` makes them."""
+    no_phrase, no_grams = F.size("phrases") == 0, F.size("grams") == 0
+    filtered = F.col("site").isNotNull() | (F.size("inurl") > 0) | F.col("time_filter").isNotNull() | F.col("by_date")
+    row = searches.agg(F.count_if(no_phrase & no_grams), F.count_if(no_phrase & ~no_grams), F.count_if(filtered), F.sum("n_asked"), F.collect_set("depth_class")).first()
+    return Survey(*row[:3], row[3] or 0, sorted(row[4]))
+
+
+def _parsed(queries: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """The distinct searches behind a query table with all they ask for, parsed once; and ``query_id, sid, page, page_no`` of each query."""
+    asked = Q.searchable(queries).withColumn("sid", _sid()).withColumn("page_no", F.greatest(F.coalesce("page", F.lit(1)), F.lit(1)))
+    asked, _ = segments.held(asked.select("query_id", "sid", "page", "page_no"), "asked")
+    deepest = asked.groupBy("sid").agg(F.max("page_no").alias("deepest"), F.count(F.lit(1)).alias("n_asked"))
+    searches = _conditions(_searches(queries), now).withColumn("rank_terms", Q.rank_terms()).join(deepest, "sid")
+    searches = searches.withColumn("depth", F.col("deepest") * paging.PAGE_SIZE).withColumn("depth_class", paging.depth_class(F.col("deepest")))
+    return segments.held(searches, "searches")[0], asked
 
 
-def _survey(queries: DataFrame) -> Survey:
-    asked = Q.with_conditions(Q.searchable(queries))
-    bare = (F.size("exact_phrase") == 0) & (F.size("terms") == 0) & (F.size("intitle") == 0)
-    filtered = (F.col("site").isNotNull() | (F.size("inurl") > 0) | F.col("time_filter").isNotNull()
-                | (F.col("sort_by") == "date"))
-    row = asked.agg(F.count_if(bare), F.count_if(filtered), F.count(F.lit(1)), F.max("page")).first()
-    return Survey(row[0], row[1], row[2], max(row[3] or 1, 1))
+def _conditions(searches: DataFrame, now) -> DataFrame:
+    """Parsed searches with what their filters need."""
+    return (searches.withColumn("since", filters.since(_moment(now), F.col("time_filter")))
+            .withColumn("by_date", F.coalesce(F.col("sort_by") == "date", F.lit(False)))
+            .withColumn("site", filters.needle(F.col("site"))).withColumn("inurl", F.transform("inurl", filters.needle))
+            .withColumn("grams", _grams()))
 
 
-def batch_hits(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_stats: DataFrame,
-               now=None) -> DataFrame:
+def batch_hits(queries: DataFrame, pages: DataFrame, index: segments.Index, now=None) -> DataFrame:
     """``sid, doc_id, rank, by_date, crawled_at``: every page that answers each distinct search.
 
     ``crawled_at`` is filled in where a search of the table filters or sorts by what only pages know;
     otherwise the index alone answers.
     """
-    return _batch_hits(queries, pages, postings, doc_stats, now, _survey(queries))
+    searches, _ = _parsed(queries, now)
+    return _batch_hits(searches, pages, index, _survey(searches), False)
 
 
-def _batch_hits(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_stats: DataFrame,
-                now, survey: Survey) -> DataFrame:
-    searches = _searches(queries).withColumn("since", filters.since(_moment(now), F.col("time_filter")))
-    searches = (searches.withColumn("by_date", F.col("sort_by") == "date")
-                .withColumn("site", filters.needle(F.col("site")))
-                .withColumn("inurl", F.transform("inurl", filters.needle)))
+def _batch_hits(searches: DataFrame, pages: DataFrame, index: segments.Index, survey: Survey, best: bool) -> DataFrame:
+    """With ``best``, a search that only its rank decides may lack hits beyond its depth."""
     facts = pages.select(F.col("id").alias("doc_id"), filters.ascii_lower(F.col("url")).alias("low_url"), "crawled_at")
-    found = index.score_searches(postings, doc_stats, searches.filter(F.size("phrases") > 0))
+    named = searches.filter(F.size("phrases") > 0)
+    by_rank = F.col("site").isNull() & (F.size("inurl") == 0) & F.col("since").isNull() & ~F.col("by_date")
+    depths = named.select("sid", F.when(by_rank, F.col("depth")).otherwise(F.lit(2**31 - 1)).alias("depth")) if best else None
+    found = lookup.score_searches(index, named, depths)
     cols = ["sid", "doc_id", "rank", "by_date", "crawled_at"]
+    if survey.by_url:
+        unnamed = searches.filter((F.size("phrases") == 0) & (F.size("grams") > 0)).select("sid", F.col("grams").alias("terms"))
+        found = found.unionByName(lookup.pages_with_all(index, unnamed).withColumn("rank", F.lit(0.0)))
     if survey.need_pages:
         tests = searches.select("sid", "site", "inurl", "since", "by_date")
         found = salted_join(found.join(facts, "doc_id"), tests, ["sid"], "doc_id")
@@ -236,26 +274,25 @@ def _batch_hits(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_s
     else:
         found = found.select("sid", "doc_id", "rank", F.lit(False).alias("by_date"),
                              F.lit(None).cast("timestamp_ntz").alias("crawled_at"))
-    for some in _filter_only(searches, facts, survey.without_phrase):
+    for some in _bare(searches, facts, survey.bare):
         found = found.unionByName(some.select(*cols))
     return found
 
 
-def search_batch(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_stats: DataFrame,
-                 now=None, snippets: bool = True) -> DataFrame:
+def search_batch(queries: DataFrame, pages: DataFrame, index: segments.Index, now=None, snippets: bool = True) -> DataFrame:
     """Result pages for a table of searches: ``query_id`` and the columns ``RESULT``.
 
-    ``queries``: ``query_id, q, page, time_filter, sort_by``. ``snippets=False`` leaves out the snippet
-    and with it the exclusions.
+    ``queries``: ``query_id, q, page, time_filter, sort_by``. ``index``: the stored index of ``pages``. ``snippets=False`` leaves out
+    the snippet and with it the exclusions.
     """
-    survey = _survey(queries)
-    found = _batch_hits(queries, pages, postings, doc_stats, now, survey)
+    searches, asked = _parsed(queries, now)
+    survey = _survey(searches)
+    found = _batch_hits(searches, pages, index, survey, True)
+    found = stored(found.join(searches.select("sid", "depth_class"), "sid"), "found")
     order = [F.when(F.col("by_date"), F.col("crawled_at")).desc(), F.when(~F.col("by_date"), F.col("rank")).asc(),
              F.col("doc_id").asc()]
-    ranked = paging.top(found, "sid", order, paging.PAGE_SIZE * survey.deepest)
-    asked = (Q.searchable(queries).withColumn("sid", _sid())
-             .withColumn("page_no", F.greatest(F.coalesce("page", F.lit(1)), F.lit(1))))
-    searches = _searches(queries).select("sid", "sort_by", "exclude", Q.rank_terms().alias("rank_terms"), "phrases")
+    ranked = paging.top_by_depth(found, "sid", order, survey.classes)
+    searches = searches.select("sid", "sort_by", "exclude", "rank_terms", "phrases")
     rows = ranked.withColumn("page_no", paging.page_of(F.col("pos")))
     rows = rows.join(asked.select("sid", "page_no").distinct(), ["sid", "page_no"])
     rows = rows.select("sid", "page_no", "pos", "rank", F.col("doc_id").alias("id")).join(searches, "sid")
@@ -273,12 +310,10 @@ def search_batch(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_
             .select("query_id", *columns))
 
 
-def batch_summary(queries: DataFrame, pages: DataFrame, postings: DataFrame, doc_stats: DataFrame,
-                  now=None) -> DataFrame:
+def batch_summary(queries: DataFrame, pages: DataFrame, index: segments.Index, now=None) -> DataFrame:
     """One row for each searchable query, queries without hits included."""
-    totals = (batch_hits(queries, pages, postings, doc_stats, now).groupBy("sid")
-              .agg(F.count(F.lit(1)).alias("total_results")))
-    asked = Q.searchable(queries).withColumn("sid", _sid())
+    searches, asked = _parsed(queries, now)
+    totals = _batch_hits(searches, pages, index, _survey(searches), False).groupBy("sid").agg(F.count(F.lit(1)).alias("total_results"))
     rows = asked.join(totals, "sid", "left").fillna(0, ["total_results"])
     return (paging.with_summary(rows)
             .select("query_id", "total_results", "total_pages", "current_page", "has_next", "has_prev"))

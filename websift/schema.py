@@ -31,9 +31,6 @@ POSTINGS = T.StructType([
     T.StructField("doc_len", T.IntegerType()),
 ])
 
-# as stored, in folders of buckets
-STORED_POSTINGS = T.StructType([*POSTINGS.fields, T.StructField("bucket", T.IntegerType())])
-
 DOC_STATS = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("n_tokens", T.IntegerType()),

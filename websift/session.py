@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # terms of a lookup, named one by one in the scan of a stored index (see segments.named)
+    "spark.sql.parquet.pushdown.inFilterThreshold": "50",
     # pages are up to 5 MiB each
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
