@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 from rows import awkward, nothing, small  # noqa: F401
 
 from websift.llm import divergence_audit as audit
-from websift.llm import line_dedup, parts, token_alignment
+from websift.llm import common, line_dedup, ngram_join, parts, token_alignment
 
 
 def low(t):
@@ -269,3 +270,27 @@ def test_forgetting_changes_nothing(small, aligner, monkeypatch):
     once = [(s, h) for s, h, *_ in aligner.documents(texts)]
     monkeypatch.setattr(token_alignment, "KEPT_STRETCHES", 0)
     assert [(s, h) for t in texts for s, h, *_ in aligner.documents([t])] == once
+
+
+# ------------------------------------------------------------------------------------------ near copies
+
+def test_join_is_linear_in_a_group_whatever_its_ids(spark, monkeypatch):
+    """Copies of one text, each changed at other places, link with it alone; no step makes their pairs, and no table stays behind."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        changed = dict.fromkeys(rng.sample(range(300), 5 if i else 0))
+        rows.append((rng.randrange(1 << 60), " ".join(f"x{i}-{k}" if k in changed else w for k, w in enumerate(base))))
+    made, paths, plain = {}, [], common.Scratch.stored
+
+    def stored(self, df, what):
+        out = plain(self, df, what)
+        made[what] = max(made.get(what, 0), out.count())
+        paths.extend(self.paths)
+        return out
+    monkeypatch.setattr(common.Scratch, "stored", stored)
+    out = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert {r["component_id"] for r in out.collect()} == {min(r[0] for r in rows)}
+    assert made["join-pairs"] == made["join-links"] == 399 and made["join-trees"] == 0
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)

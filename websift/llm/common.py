@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from websift.session import scratch_path, stored
 
-__all__ = ["arrow_pass", "components", "documents", "heaviest", "mix64", "ready", "scratch_path", "shingles", "stored", "word_hashes"]
+__all__ = ["Scratch", "arrow_pass", "components", "documents", "heaviest", "mix64", "ready", "scratch_path", "shingles", "stored", "word_hashes"]
 
 # Executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -78,12 +78,33 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique((s >> np.uint64(8)) | ((255 - np.minimum(total, 255)).astype(np.uint64) << np.uint64(56)))
 
 
-def heaviest(counted: DataFrame, value: str, weight: str, most: int, what: str) -> np.ndarray:
+class Scratch:
+    """The intermediate tables of one operator, which deletes each after its last reader."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, what))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self, *whats: str) -> None:
+        """Deletes the tables whose names begin so; all for none."""
+        gone = [p for p in self.paths if not whats or p.rsplit("/", 1)[1].startswith(whats)]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for p in gone:
+            path = hadoop(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = [p for p in self.paths if p not in gone]
+
+
+def heaviest(counted: DataFrame, value: str, weight: str, most: int, what: str, store=stored) -> np.ndarray:
     """Values of the largest weights, lightest first: as many whole classes of weight (quarters of a power of two) as fit into ``most``.
 
     ``counted`` has a row for each value. Only the classes' sizes and then at most ``most`` rows reach the driver.
     """
-    counted = stored(counted.select(F.col(value).alias("v"), F.col(weight).alias("w"), F.floor(F.log2(weight) * 4).alias("c")), what)
+    counted = store(counted.select(F.col(value).alias("v"), F.col(weight).alias("w"), F.floor(F.log2(weight) * 4).alias("c")), what)
     held, lowest = 0, None
     for r in sorted(counted.groupBy("c").count().collect(), reverse=True):
         held += r["count"]
@@ -96,15 +117,15 @@ def heaviest(counted: DataFrame, value: str, weight: str, most: int, what: str)
     return rows["v"].to_numpy(np.int64).view(np.uint64)
 
 
-def components(edges: DataFrame, what: str = "components") -> DataFrame:
+def components(edges: DataFrame, what: str = "components", store=stored) -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) of every node of ``edges`` (``a``, ``b``).
 
     Each round takes the smallest label among neighbours, then the label of that label, so labels travel
     doubling distances. Every round is a written table: plans stay short, and a lost executor costs one
     round. Only a flag comes to the driver. Empty input gives an empty table.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{what}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")),
+    both = store(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{what}-edges")
+    labels = store(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")),
                     f"{what}-0")
     n = 0
     while True:
@@ -112,9 +133,9 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         near = (both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("m")))
         low = (labels.join(near, labels.id == near.a)
                .select("id", F.least("component", "m").alias("c"), F.col("component").alias("was")))
-        low = stored(low, f"{what}-{n}a")
+        low = store(low, f"{what}-{n}a")
         far = low.select(F.col("id").alias("of"), F.col("c").alias("next"))
-        new = stored(low.join(far, low.c == far.of).select("id", F.col("next").alias("component"), "was"), f"{what}-{n}b")
+        new = store(low.join(far, low.c == far.of).select("id", F.col("next").alias("component"), "was"), f"{what}-{n}b")
         labels = new.select("id", "component")
         if new.where("component <> was").isEmpty():
             return labels

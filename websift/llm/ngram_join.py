@@ -6,9 +6,11 @@ under one prefix shingle form one tree: leaves of a few sets, nodes above them,
 its sets' token bitmaps and its range of sizes. Two trees of a shingle are walked together; a pair of nodes is left
 when sizes or bitmaps show that no pair below can reach the threshold, or when all below is already one component.
 
-Large groups of near copies would give all their pairs. So each set is first held against the smallest
-set of each of its shingles; the links found make components, and the trees are walked only between
-different ones. No link between components is lost, and the pairs inside one are never made.
+Large groups of near copies would give all their pairs. So each set is first held against one hub for each of its shingles: of the
+sets under the shingle, the one whose own shingles stand in the most sets. Among copies that were each changed at other places this is
+the text they were copied from, whatever the ids are. The links found make components, and the trees are walked only between
+different ones. No link between components is lost, and the pairs inside one are never made. Intermediate tables are deleted
+after their last reader; the result is a table.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from websift.llm.common import arrow_pass, components, heaviest, shingles, stored
+from websift.llm.common import Scratch, arrow_pass, components, heaviest, shingles, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,7 +40,7 @@ def _bitmap(tokens: np.ndarray, width: int = BITS) -> np.ndarray:
     return np.packbits(bits)
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
+def _frequent(docs: DataFrame, width: int, store) -> np.ndarray:
     """The most frequent shingles, least frequent first: at most HOT rows reach the driver.
 
     Tasks report what two million shingles in a row hold four times or more, so reports shrink before the shuffle.
@@ -63,7 +65,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
         if parts:
             yield from sent(*folded())
     counted = arrow_pass(docs.select("text"), count, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
-    return heaviest(counted, "token", "df", HOT, "join-frequent")
+    return heaviest(counted, "token", "df", HOT, "join-frequent", store)
 
 
 def _walk(x: dict, y: dict, same: bool, per100: int) -> list[tuple[int, int]]:
@@ -114,8 +116,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
     A null id is returned without component. Rows of one id count as one document. Other columns are left out.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hot = _frequent(docs, width)
+    hot = _frequent(docs, width, scratch.stored)
+    scratch.drop()
     by_value = np.argsort(hot)
     hot_value, hot_rank = hot[by_value], (by_value + 1).astype(np.uint64)
     shared = spark.sparkContext.broadcast((hot_value, hot_rank))     # at most HOT entries of 16 bytes
@@ -145,15 +149,17 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
                 [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()),
                  pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "key", "n", "sig", "prefix"])
 
-    sets = stored(arrow_pass(docs, describe, "doc_id long, key binary, n long, sig binary, prefix array<long>"), "join-sets")
+    sets = scratch.stored(arrow_pass(docs, describe, "doc_id long, key binary, n long, sig binary, prefix array<long>"), "join-sets")
     # one node for each distinct set
-    nodes = stored(sets.where("n > 0 and doc_id is not null").groupBy("key")
-                   .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "join-nodes")
+    nodes = scratch.stored(sets.where("n > 0 and doc_id is not null").groupBy("key")
+                           .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "join-nodes")
     listed = (sets.join(nodes.select(F.col("id").alias("doc_id"), "key"), ["doc_id", "key"])
               .select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n"))
-    heads = (listed.groupBy("token").agg(F.min(F.struct("id", "n")).alias("head"), F.max("id").alias("last"))
-             .where("head.id < last").select("token", F.col("head.id").alias("head"), F.col("head.n").alias("head_n")))
-    under = stored(listed.join(heads, "token"), "join-candidates")
+    counts = listed.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    under = scratch.stored(listed.join(counts, "token").select("token", "id", "n", "df"), "join-candidates")
+    weights = under.groupBy("id").agg(F.sum("df").alias("weight"))
+    heads = (under.select("token", "id", "n").join(weights, "id").groupBy("token").agg(F.max(F.struct("weight", F.bitwise_not("id"), "id", "n")).alias("hub"))
+             .select("token", F.col("hub.id").alias("head"), F.col("hub.n").alias("head_n")))
 
     def plausible(batches):
         for b in batches:
@@ -196,16 +202,18 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
     def verified(pairs: DataFrame, what: str) -> DataFrame:
         """The pairs of ``a`` and ``b`` at or above the threshold. Sets are made again for just the documents in them."""
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        own = stored(arrow_pass(docs.join(wanted, "doc_id").select("doc_id", "text"), tokens_of,
+        own = scratch.stored(arrow_pass(docs.join(wanted, "doc_id").select("doc_id", "text"), tokens_of,
                                 "id long, n long, sig binary, tokens binary"), f"join-{what}-tokens")
-        pairs = stored(arrow_pass(sided(pairs, own, "n", "sig"), wide, "a long, b long").distinct(), f"join-{what}-close")
+        pairs = scratch.stored(arrow_pass(sided(pairs, own, "n", "sig"), wide, "a long, b long").distinct(), f"join-{what}-close")
         return arrow_pass(sided(pairs, own, "tokens"), exact, "a long, b long").distinct()
 
     compatible = f"{per100} * n <= 100 * {{0}} and {per100} * {{0}} <= 100 * n"
-    stars = under.where("id <> head").where(compatible.format("head_n")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stored(arrow_pass(sided(stars, nodes, "n", "sig"), plausible, "a long, b long"), "join-stars")
-    links = stored(verified(stars, "star"), "join-links")
-    labels = components(links, "join-star")
+    stars = under.join(heads, "token").where("id <> head").where(compatible.format("head_n"))
+    stars = stars.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
+    stars = scratch.stored(arrow_pass(sided(stars, nodes, "n", "sig"), plausible, "a long, b long"), "join-pairs")
+    links = scratch.stored(verified(stars, "pairs"), "join-links")
+    scratch.drop("join-pairs")
+    labels = components(links, "join-star", scratch.stored)
 
     # trees, only under shingles that still hold two components, of sets with a neighbour of fitting size
     placed = under.select("token", "id", "n").join(labels, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c"))
@@ -260,7 +268,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
         kinds = [pa.int64()] * 5 + [pa.binary()] * 4
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names)
 
-    blocks = stored(arrow_pass(rest.select("token", "id", "c", "n", "sig"), trees,
+    blocks = scratch.stored(arrow_pass(rest.select("token", "id", "c", "n", "sig"), trees,
                                "token long, block long, lo long, hi long, one long, ids binary, cs binary, ns binary, sigs binary"), "join-trees")
     x, y = (blocks.select("token", *(F.col(c).alias(f"{c}_{s}") for c in names[1:])) for s in "xy")
     met = x.join(y, "token").where("(block_x < block_y or (block_x = block_y and ids_x <= ids_y)) and (one_x is null or one_y is null or one_x <> one_y)"
@@ -277,13 +285,18 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())],
                                              names=["a", "b"])
     pairs = arrow_pass(met.select(*(f"{c}_{s}" for s in "xy" for c in ("ids", "cs", "ns", "sigs"))), walk, "a long, b long").distinct()
-    pairs = stored(pairs, "join-pairs")
-    links = stored(links.union(verified(pairs, "tree")), "join-all-links")
-    final = components(links, "join-final")
+    pairs = scratch.stored(pairs, "join-pairs")
+    scratch.drop("join-trees", "join-star", "join-candidates")
+    links = scratch.stored(links.union(verified(pairs, "pairs")), "join-all-links")
+    scratch.drop("join-pairs", "join-links")
+    final = components(links, "join-final", scratch.stored)
     counted = (links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
                .join(final, "id"))
     of_key = nodes.join(counted, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"),
                                                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return (sets.drop("prefix", "sig").join(of_key, "key", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    result = (sets.drop("prefix", "sig").join(of_key, "key", "left")
+              .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+                      F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    result = stored(result, "join-result")
+    scratch.drop()
+    return result
