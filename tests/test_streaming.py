@@ -59,6 +59,36 @@ def test_ids_are_unique_over_batches_numbered_alike(spark, tmp_path):
     assert sorted((r.id, r.url) for r in pages.collect())[4:] == [(4, "http://e/")] and pages.count() == 5
 
 
+def test_batches_ask_the_state_and_read_no_stored_page(spark, tmp_path, monkeypatch):
+    src, target, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    for n in range(20):                                         # each file has a new page, the last one, and one of all
+        write(spark, src, f"f{n:02}", [(3 * n, f"http://p/{n}", f"T{n}", LONG), (3 * n + 1, f"http://p/{max(n - 1, 0)}", "late", LONG),
+                                       (3 * n + 2, "http://hot/", f"H{n}", LONG)])
+    reads, batches = [], jobs._batches
+    monkeypatch.setattr(jobs, "_batches", lambda *a: reads.append(a) or batches(*a))
+    ingest(spark, src, target, state)
+    assert len(reads) == 1                                      # the state of a new run
+    pages = spark.read.parquet(f"{target}/pages")
+    assert pages.select("batch").distinct().count() >= 20
+    got = {r.url: r.title for r in pages.collect()}
+    assert len(got) == pages.count() == 21
+    assert all(got[f"http://p/{n}"] == f"T{n}" for n in range(20))
+    assert sorted(r.id for r in pages.collect()) == list(range(21))
+
+
+def test_a_batch_that_failed_before_its_commit_is_run_again(spark, tmp_path):
+    import os
+    src, target, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    write(spark, src, "one", [(0, "http://a/", "A", LONG), (1, "http://b/", "B", LONG)])
+    ingest(spark, src, target, state)
+    last = max(int(f) for f in os.listdir(f"{state}/commits") if f.isdigit())
+    for f in (f"{last}", f".{last}.crc"):
+        if os.path.exists(f"{state}/commits/{f}"):
+            os.unlink(f"{state}/commits/{f}")                   # written, but not committed
+    ingest(spark, src, target, state)
+    assert rows(spark.read.parquet(f"{target}/pages").select("id", "url", "title")) == [(0, "http://a/", "A"), (1, "http://b/", "B")]
+
+
 def test_progress_windows_close_with_the_watermark(spark, tmp_path):
     src = f"{tmp_path}/log"
     log = spark.createDataFrame([(0, "2024-01-01 00:10:00", "u", "crawled"), (1, "2024-01-01 00:50:00", "u", "failed"),

@@ -77,10 +77,10 @@ def strict_insert(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows
 
 
-def with_ids(rows: DataFrame, stored: DataFrame, now: Column | None = None) -> DataFrame:
-    """The store's columns for new ``rows``. Ids follow ``seq`` (unique, from 0) above the largest in use;
-    they need no total order of the rows in one task, and may leave gaps."""
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
+def with_ids(rows: DataFrame, stored: DataFrame | int, now: Column | None = None) -> DataFrame:
+    """The store's columns for new ``rows``. Ids follow ``seq`` (unique, from 0) above the largest in use, which ``stored``
+    has, or is; they need no total order of the rows in one task, and may leave gaps."""
+    top = F.lit(stored) if isinstance(stored, int) else stored.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
     return rows.select(
         (top + 1 + F.col("seq")).cast("long").alias("id"), "url", "title", "content",
         (F.localtimestamp() if now is None else now).alias("crawled_at"),
