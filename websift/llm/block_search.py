@@ -21,39 +21,47 @@ from websift.llm.common import arrow_pass
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUERIES_IN_TILE, ROWS_IN_TILE, STRIPES = 256, 1024, 64
+QUERIES_IN_TILE, ROWS_IN_TILE = 256, 1024
+STRIPES, ROWS_IN_STRIPE = 64, 1 << 18       # candidates are dealt to stripes: at least so many, of so many rows on average
+HEAPS = 1 << 16                             # heaps a task holds before it hands them on
 
 
 def _quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales, and the length of what rounding left over, of each row."""
+    """int8 codes, scales, and the length of what rounding left over, of each row. Lengths beyond the doubles are infinite."""
     scale = np.abs(v).max(axis=1) / 127
     scale[scale == 0] = 1
-    codes = np.rint(v / scale[:, None]).astype(np.int8)
-    return codes, scale, np.sqrt(((v - codes * scale[:, None]) ** 2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        codes = np.clip(np.rint(v / scale[:, None]), -127, 127).astype(np.int8)
+        return codes, scale, np.sqrt(((v - codes * scale[:, None]) ** 2).sum(axis=1))
 
 
 def _bounds(q: tuple, c: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest possible distance of every pair of a query tile and a candidate tile.
 
-    Products of int8 codes sum exactly in float32 while the dimension stays below 1,040; beyond, in float64.
+    Products of int8 codes sum exactly in float32 while the dimension stays below 1,040; beyond, in float64. Where squares leave
+    the doubles there is no bound: least 0, greatest infinite. Squares that vanish are in the absolute slack.
     """
     (qc, qs, qe), (cc, cs, ce) = q, c
     kind = np.float32 if qc.shape[1] < 1040 else np.float64
     dot = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64)
     length = lambda x, s: (x.astype(np.float64) ** 2).sum(axis=1) * s * s
-    near = length(qc, qs)[:, None] + length(cc, cs)[None, :] - 2 * dot * qs[:, None] * cs[None, :]
-    top = length(qc, qs)[:, None] + length(cc, cs)[None, :]
-    near = np.sqrt(np.maximum(near, 0))
-    slack = qe[:, None] + ce[None, :] + 1e-7 * np.sqrt(top)         # triangle inequality, and rounding of doubles
-    return np.maximum(near - slack, 0), near + slack
+    with np.errstate(over="ignore", invalid="ignore"):
+        top = length(qc, qs)[:, None] + length(cc, cs)[None, :]
+        near = np.sqrt(np.maximum(top - 2 * dot * qs[:, None] * cs[None, :], 0))
+        slack = qe[:, None] + ce[None, :] + 1e-7 * np.sqrt(top) + 1e-150    # triangle inequality, and rounding of doubles
+        low, high = np.maximum(near - slack, 0), near + slack
+    unknown = ~np.isfinite(high)
+    low[unknown], high[unknown] = 0, np.inf
+    return low, high
 
 
 def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Of each row of c to q: squares added component by component, in order, so that equal vectors get equal distances."""
     total = np.zeros(len(c))
-    for i in range(len(q)):
-        d = c[:, i] - q[i]
-        total += d * d
+    with np.errstate(over="ignore"):
+        for i in range(len(q)):
+            d = c[:, i] - q[i]
+            total += d * d
     return np.sqrt(total)
 
 
@@ -62,7 +70,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
 
     Candidates are all rows but those of the query's own id; with fewer than ``k`` all are returned. Ties go to the smaller id.
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids. Of rows with one id
-    the smallest vector counts. Vectors of another length than the query's are no candidates. Other columns are left out.
+    the smallest vector counts. Vectors of another length than the query's are no candidates. Distances whose squares leave the doubles
+    are infinite, as they are when added plainly, and tie. No rows give none. Other columns are left out.
     """
     good = vectors.withColumn("_q", is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), "_q")
     good = good.where("id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
@@ -99,13 +108,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     q = arrow_pass(good.where("q").select(*columns), tiles(QUERIES_IN_TILE), schema)
     c = arrow_pass(good.select(*columns), tiles(ROWS_IN_TILE), schema)
     # a query tile goes to every stripe, a candidate tile to one
-    q = q.select("d", F.explode(F.array(*[F.lit(i) for i in range(STRIPES)])).alias("stripe"), *(F.col(x).alias(f"q_{x}") for x in TILE[1:]))
-    c = c.select("d", F.pmod(F.xxhash64("ids"), F.lit(STRIPES)).cast("int").alias("stripe"), *(F.col(x).alias(f"c_{x}") for x in TILE[1:]))
+    stripes = max(STRIPES, -(-good.count() // ROWS_IN_STRIPE))
+    q = q.select("d", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), *(F.col(x).alias(f"q_{x}") for x in TILE[1:]))
+    c = c.select("d", F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int").alias("stripe"), *(F.col(x).alias(f"c_{x}") for x in TILE[1:]))
     met = c.join(q, ["d", "stripe"]).select("d", *(f"{s}_{x}" for s in "qc" for x in TILE[1:]))
 
     def search(batches):
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+        def heaps():
+            for i in range(0, len(best), 500):
+                part = list(best.items())[i:i + 500]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _ in part], [len(x[0]) for _, x in part])),
+                                                  pa.array(np.concatenate([x[0] for _, x in part])), pa.array(np.concatenate([x[1] for _, x in part]))],
+                                                 names=["query_id", "vec_id", "score"])
+
         def unpacked(d, ids, codes, scale, error, v):
             ids = np.frombuffer(ids, np.int64)
             return ids, (np.frombuffer(codes, np.int8).reshape(-1, d), np.frombuffer(scale), np.frombuffer(error)), np.frombuffer(v).reshape(-1, d)
@@ -126,15 +143,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
                         ids, dist = np.concatenate([ids, ci[at]]), np.concatenate([dist, _distances(qv[r], cv[at])])
                         top = np.lexsort((ids, dist))[:k]
                         best[i] = (ids[top], dist[top])
-        for i in range(0, len(best), 500):
-            part = list(best.items())[i:i + 500]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _ in part], [len(x[0]) for _, x in part])),
-                                              pa.array(np.concatenate([x[0] for _, x in part])), pa.array(np.concatenate([x[1] for _, x in part]))],
-                                             names=["query_id", "vec_id", "score"])
+                if len(best) >= HEAPS:              # another heap of the same query is merged with this one in the end
+                    yield from heaps()
+                    best.clear()
+        yield from heaps()
 
-    heaps = arrow_pass(met, search, "query_id long, vec_id long, score double")
+    found = arrow_pass(met, search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return heaps.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
