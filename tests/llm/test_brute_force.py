@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from rows import small  # noqa: F401
 
 from websift.llm import backoff_lm, gumbel_pieces, license_scan, ngram_join, order_minhash, queries, repeat_removal, source_mix, surrogates, weak_labels
@@ -153,13 +155,84 @@ def test_join_of_the_table(small, texts):
     assert got == brute_components(texts, 3, 90)
 
 
+def plain_blocks(w, templates, per100=85):
+    """(start, template): containment, of every block that meets the template, start by start."""
+    out = {}
+    for k, (_, t) in enumerate(templates):
+        t = license_scan.words(t)
+        s, width = set(t), max(40, 2 * len(t))
+        if len(s & set(w)) * 100 < per100 * len(s):
+            continue
+        for g in range(len(w)):
+            n = len(s & set(w[g:g + width]))
+            if 100 * n >= per100 * len(s):
+                out[g, k] = n / len(s)
+    return out
+
+
+def check_runs(runs, blocks):
+    got = [(g, r["template"]) for r in runs for g in range(r["first_start"], r["last_start"] + 1)]
+    assert sorted(got) == sorted(blocks)
+    for r in runs:
+        assert r["containment"] == max(blocks[g, r["template"]] for g in range(r["first_start"], r["last_start"] + 1))
+        assert (r["first_start"] - 1, r["template"]) not in blocks and (r["last_start"] + 1, r["template"]) not in blocks
+
+
+def test_license_blocks_at_every_start(spark):
+    long = " ".join(f"t{i}" for i in range(60))
+    short = " ".join(f"s{i}" for i in range(20))
+    templates = [("long", long), ("short", short), ("again", "a b a c")]
+    rnd = random.Random(4)
+    spread = " ".join(x for i in range(20) for x in (f"s{i}", "x"))         # 20 words over 39
+    texts = [long, " ".join(reversed(long.split())), *(" ".join(["y"] * o + [spread] + ["y"] * (16 - o)) for o in range(16)), "", "a b c",
+             *(" ".join(rnd.choice([f"s{rnd.randrange(20)}", f"t{rnd.randrange(60)}", "a", "b", "c", "z"]) for _ in range(rnd.choice([30, 200, 900])))
+               for _ in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in license_scan.license_scan(df, templates, per100=60).collect()}
+    for d, t in enumerate(texts):
+        check_runs(rows[d]["blocks"], plain_blocks(license_scan.words(t), templates, 60))
+    whole = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(df, templates).collect()}
+    assert [whole[d] for d in range(18)] == ["long", "long"] + ["short"] * 16
+
+
+def test_a_text_of_very_many_license_phrases(spark):
+    n = 100_000
+    df = spark.createDataFrame([(0, "mit license " * n)], "doc_id long, text string")
+    r = license_scan.license_scan(df).first()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (2 * n, n, 0, 2 * n - 2, "mit")
+
+
+def test_vectors_of_any_size(spark):
+    from websift.llm import block_search
+    rnd = random.Random(8)
+    sizes = [1e200, 1e308, 1.0, 1e-170, 5e-324, 1e154]
+    rows = [(i, [rnd.choice(sizes) * rnd.uniform(0.1, 1) * rnd.choice([-1, 1]) for _ in range(3)] if i % 3 else [rnd.choice(sizes)] * 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows = [(i, v) for i, v in rows if any(v)]
+    got = [tuple(r) for r in block_search.nearest(df, F.col("vec_id") % 10 == 0, 7).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, v in rows:
+        if q % 10 == 0:
+            near = sorted((math.sqrt(sum((x - y) * (x - y) for x, y in zip(c, v))), i) for i, c in rows if i != q)[:7]
+            want += [(q, n + 1, i, s) for n, (s, i) in enumerate(near)]
+    assert got == want
+
+
+def test_heaps_handed_on_early_merge(spark, monkeypatch):
+    from websift.llm import block_search
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(i, [rnd.random() for _ in range(4)]) for i in range(300)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, block_search.nearest(df, F.col("vec_id") % 10 == 0, 5).collect()))
+    monkeypatch.setattr(block_search, "HEAPS", 3)
+    assert sorted(map(tuple, block_search.nearest(df, F.col("vec_id") % 10 == 0, 5).collect())) == want
+
+
 def test_licenses(spark, small, texts):
     lines = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation files",
              "free software you can copy", "THIS WORK IS LICENSED under a Creative Commons Attribution 4.0 license"]
     texts = {**texts, **{10_000 + i: "lead " * 37 + t + " tail" * 20 for i, t in enumerate(lines)}}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = {r["doc_id"]: r for r in license_scan.license_scan(df).collect()}
-    sets = [(label, set(license_scan.words(t))) for label, t in license_scan.TEMPLATES]
     for d, t in texts.items():
         w = license_scan.words(t)
         assert w == [x for x in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x] or [x.decode() for x in w] == [
@@ -170,12 +243,11 @@ def test_licenses(spark, small, texts):
             at = [i for i in range(len(w)) if w[i:i + len(p)] == p]
             places += at
             base |= {label} if at else set()
-        blocks = {(g, k): len(s & set(w[g:g + license_scan.BLOCK])) / len(s) for g in range(0, len(w), license_scan.STEP) for k, (_, s) in enumerate(sets)}
-        blocks = {key: c for key, c in blocks.items() if 100 * round(c * len(sets[key[1]][1])) >= 85 * len(sets[key[1]][1])}
+        blocks = plain_blocks(w, license_scan.TEMPLATES)
         r = rows[d]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)))
-        assert {(b["first_word"], b["template"]): b["containment"] for b in r["blocks"]} == blocks
-        assert r["labels"] == ",".join(sorted(base | {sets[k][0] for _, k in blocks}))
+        check_runs(r["blocks"], blocks)
+        assert r["labels"] == ",".join(sorted(base | {license_scan.TEMPLATES[k][0] for _, k in blocks}))
         assert r["score"] == (1.0 if places else max(blocks.values(), default=0.0))
     assert rows[10_000]["labels"] == "mit" and rows[10_001]["labels"] == "" and rows[10_002]["labels"] == "cc-by"
 
