@@ -64,8 +64,8 @@ def test_workers_need_no_installed_package(tmp_path):
     """What is sent to a worker can be loaded where this package is not."""
     from pyspark import cloudpickle
 
-    from websift.functions import html, snippet, text
-    for i, udf in enumerate((html._parser_udf(), snippet._snippet_udf(), text._unescape_udf())):
+    from websift.functions import html, text
+    for i, udf in enumerate((html._parser_udf(), text._unescape_udf())):
         file = tmp_path / str(i)
         file.write_bytes(cloudpickle.dumps(udf.func))
         code = f"import sys, pickle; sys.path = [p for p in sys.path if 'repo' not in p]; " \

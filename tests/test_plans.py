@@ -49,6 +49,12 @@ def test_a_search_reads_text_for_its_page_alone(spark, name):
     assert re.search(r"PushedFilters: \[[^]]*(In|EqualTo)\((page|doc)_id", p) or "LocalTableScan" in p
 
 
+def test_snippets_need_no_worker(spark):
+    assert "EvalPython" not in plan(spark, "search_snippet")
+    p = plan(spark, "search_exclude")
+    assert p.count("EvalPython") == 1           # the page's parser
+
+
 def test_a_ranking_moves_no_text(spark):
     pages = catalog._corpus(spark, SMALL)
     found = search._hits(pages, search.parse(spark, "the"), None, None, False).select("id", "rank", "crawled_at").withColumn("_all", F.lit(0))

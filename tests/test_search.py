@@ -5,6 +5,7 @@ from helpers import sqlite_index, sqlite_search, store
 from pyspark.sql import functions as F
 
 from websift import schema as S
+from websift.functions.snippet import snippet
 from websift.operators import paging, segments
 from websift.plans import search
 
@@ -59,6 +60,21 @@ def test_an_empty_phrase_finds_nothing_and_no_phrase_finds_all(pages):
         0, 0, 0, 0, len(ROWS), sum("example.com" in r[1] for r in ROWS)]
 
 
+def test_snippets_of_any_text_are_sqlites(spark):
+    rnd = random.Random(3)
+    words = "the of a cat cats blue one. two: end! of of of the x".split()
+    rows = [(i, "", " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 3, 12, 15, 16, 40, 300, 3000])))) for i in range(300)]
+    judge = sqlite_index(rows)
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "id int, t string").repartition(4)
+    for phrases in ([["the"]], [["of", "of"]], [["of", "of"], ["the", "cat"], ["blue"]], [["of", "of", "of"], ["of", "the"]]):
+        want = sqlite_search(judge, " AND ".join(f'"{" ".join(p)}"' for p in phrases))
+        made = snippet(F.col("t"), F.array(*[F.array(*map(F.lit, p)) for p in phrases]))
+        got = {r.id: r.s for r in df.select("id", made.alias("s")).collect()}
+        assert want and {i: got[i] for i in want} == {i: s for i, (_, s) in want.items()}, phrases
+    none = df.filter("t = ''").select(snippet(F.col("t"), F.lit([["the"]])).alias("s")).first()
+    assert none.s == "" and df.limit(1).select(snippet(F.lit(None).cast("string"), F.lit([["the"]]))).first()[0] == ""
+
+
 def test_snippets_are_sqlites(pages, judge):
     for q in ("the", '"of the"', "THE cat", '"of of" the', "été"):
         want = sqlite_search(judge, MATCHES[q])
