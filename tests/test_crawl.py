@@ -71,6 +71,7 @@ def test_frontier(spark):
     assert C.count_seen(offers, visited).first()[0] == 2
     got = [tuple(r) for r in C.next_batch(new, 10).collect()]
     assert got == [("http://a/news", "high", 3), ("http://a/docs", "medium", 2), ("http://a/x", "low", 0)]
+    assert [C.batch_size(visited, w, m) for w, m in ((1, 100), (50, visited.count() + 3), (50, 0))] == [2, 3, 0]
     assert [r.url for r in C.next_batch(new, 1).collect()] == ["http://a/news"]
     assert {tuple(r) for r in C.frontier_sizes(new).collect()} == {("high", 1), ("medium", 1), ("low", 1)}
 

@@ -30,7 +30,7 @@ CASES = {
     "one<p>two<br>three": ("Untitled", "onetwothree"),
     "": ("Untitled", ""),
     None: ("Untitled", ""),
-    "<title>" + "x" * 300 + "</title>": ("x" * 200, "x" * 300),
+    "<title>" + "x" * 300 + "</title>": ("x" * 300, "x" * 300),
 }
 
 
@@ -44,6 +44,11 @@ def test_title_and_content(spark):
         assert (row.title, row.content) == want, h
 
 
+def test_a_title_is_cut_on_request(spark):
+    df = pages(spark, ["<title>" + "x" * 300 + "</title>", "<title></title>"])
+    assert [r.title for r in with_content(df, want=("title",), max_title=200).orderBy("page_id").collect()] == ["x" * 200, "Untitled"]
+
+
 def test_links(spark):
     h = """<a href="/x/">1</a><A HREF='y'>2</A><a href=../z#f>3</a><a name=n>4</a><a href>5</a><nav><a href="//o.net/?a=1&amp;b">6</a>
     </nav><a href="mailto:a@b">7</a><a href="pic.JPG">8</a><!-- <a href="/c">c</a> --><a href="?utm_source=1">9</a>"""

@@ -1,9 +1,11 @@
+import datetime as dt
+
 import pytest
 from helpers import store as make
 from pyspark.sql import functions as F
 
 from websift import schema as S
-from websift.operators import index, store
+from websift.operators import index, manifest, store, urlset
 from websift.sources import pages as P
 
 NEW = "seq long, url string, title string, content string, status_code int"
@@ -78,6 +80,42 @@ def test_append_read_measure_clear(spark, stored, tmp_path):
         store.append(stored.withColumn("id", F.col("id").cast("int")), path)
 
 
+def test_a_set_of_urls_grows_and_opens_again(spark, tmp_path):
+    path = f"{tmp_path}/urls"
+    urls = spark.createDataFrame([("http://a/",), ("http://b/",), ("http://a/",), (None,)], "url string")
+    assert ids(urlset.create(urls, path, buckets=3)) == ["http://a/", "http://b/"]
+    grown = urlset.add(spark.createDataFrame([("http://b/",), ("http://c/",), ("http://c/",)], "url string"), path)
+    assert ids(grown) == ["http://a/", "http://b/", "http://c/"]
+    assert "Bucketed: true" in grown.groupBy("url").count()._jdf.queryExecution().executedPlan().toString()
+    spark.sql(f"DROP TABLE {urlset._name(path)}")                # a session that does not know the table
+    assert ids(urlset.open_set(spark, path)) == ["http://a/", "http://b/", "http://c/"]
+    assert ids(urlset.kept(urls, path)) == ["http://a/", "http://b/", "http://c/"]
+    assert ids(urlset.create(urls.limit(0), f"{tmp_path}/none", buckets=2)) == []
+    with pytest.raises(ValueError):
+        urlset.open_set(spark, f"{tmp_path}/missing")
+
+
+def test_the_manifest_knows_the_store(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    old = make(spark, [(i, f"http://a/{i}", "t", "c", f"2024-01-{1 + i:02d} 00:00:00") for i in range(20)])
+    new = make(spark, [(100 + i, f"http://b/{i}", "t", "c", f"2024-03-{1 + i:02d} 00:00:00") for i in range(20)])
+    assert (manifest.exists(spark, path), manifest.read(spark, path).count(), manifest.totals(spark, path).first()["total_pages"]) == (False, 0, 0)
+    manifest.append(old, path)
+    manifest.append(new, path)
+    t = manifest.totals(spark, path).first()
+    sizes = sum(f.stat().st_size for f in (tmp_path / "s" / "data").rglob("*.parquet"))
+    assert (t.total_pages, t.bytes, str(t.first_crawl), str(t.last_crawl)) == (40, sizes, "2024-01-01 00:00:00", "2024-03-20 00:00:00")
+    since = manifest.read(spark, path, since=dt.datetime(2024, 3, 5))
+    assert ids(since, "id") == list(range(104, 120))
+    of_all = manifest.files(spark, path).count()
+    assert 0 < len(since.inputFiles()) < of_all                 # the others are not opened
+    manifest.clear(spark, path)
+    assert (manifest.read(spark, path).count(), manifest.totals(spark, path).first()["bytes"]) == (0, 0)
+    assert manifest.read(spark, path, version=1).count() == 40
+    manifest.append(old.limit(3), path)
+    assert manifest.totals(spark, path).first()["total_pages"] == 3
+
+
 def test_seeds(spark, tmp_path):
     (tmp_path / "seeds.txt").write_text("http://a.com/\n\nhttp://b.com/x/\n http://a.com\nhttp://a.com/#top\n")
     seeds = P.seed_file(spark, f"{tmp_path}/seeds.txt")

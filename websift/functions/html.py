@@ -54,14 +54,15 @@ def with_parts(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
 
 def with_content(pages: DataFrame, html: str = "html", url: str = "url",
-                 want: tuple[str, ...] = ("title", "content", "links")) -> DataFrame:
+                 want: tuple[str, ...] = ("title", "content", "links"), max_title: int | None = None) -> DataFrame:
     """``pages`` plus ``readable`` and, of cleaned ``title`` and ``content`` and the page's valid ``links`` in
-    order, what ``want`` names.
+    order, what ``want`` names. Titles are whole unless a maximum of characters is given.
 
     A page that cannot be read has null title and content and no links.
     """
     df = with_parts(pages, html, url)
-    title = F.nullif(F.substr(X.tidy(F.col("raw_title")), F.lit(1), F.lit(200)), F.lit(""))
+    title = X.tidy(F.col("raw_title"))
+    title = F.nullif(title if max_title is None else F.substr(title, F.lit(1), F.lit(max_title)), F.lit(""))
     made = {
         "title": F.when(F.col("readable"), F.coalesce(title, F.lit("Untitled"))),
         "content": F.when(F.col("readable"), X.tidy(F.col("raw_text"))),

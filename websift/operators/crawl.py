@@ -80,6 +80,11 @@ def next_batch(frontier: DataFrame, n: int) -> DataFrame:
     return paging.top(frontier.withColumn("_all", F.lit(0)), "_all", order, n).drop("_all", "pos")
 
 
+def batch_size(visited: DataFrame, workers: int, max_pages: int) -> int:
+    """How many URLs to fetch next: two for each worker, but no more than the budget of pages leaves."""
+    return max(min(2 * workers, max_pages - visited.count()), 0)
+
+
 def frontier_sizes(frontier: DataFrame) -> DataFrame:
     return frontier.groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
 

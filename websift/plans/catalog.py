@@ -13,7 +13,7 @@ from websift.functions import text as X
 from websift.functions import urls as U
 from websift.functions.html import with_content
 from websift.operators import crawl as C
-from websift.operators import filters, index, lookup, match, paging, segments, store
+from websift.operators import filters, index, lookup, manifest, match, paging, segments, store, urlset
 from websift.operators import querylog as Q
 from websift.plans import search
 from websift.plans import oracle as O
@@ -56,9 +56,18 @@ def _kept_index(pages: DataFrame, path: str) -> segments.Index:
     """The stored index of ``pages``, which are read from ``path``; made when it is first asked for. It is known by the names, times and
     sizes of the files there, so changed files have an index of their own."""
     spark = pages.sparkSession
+    return segments.kept(pages, f"{shared_dir(spark)}/index-{_files(spark, path)}")
+
+
+def _files(spark: SparkSession, path: str) -> str:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
     n, size, names = files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
-    return segments.kept(pages, f"{shared_dir(spark)}/index-{n}-{size}-{names & (1 << 64) - 1:x}")
+    return f"{n}-{size}-{names & (1 << 64) - 1:x}"
+
+
+def _kept_urls(urls: DataFrame, path: str, what: str) -> DataFrame:
+    """The bucketed set of ``urls``, which are made of the files at ``path``; written when it is first asked for."""
+    return urlset.kept(urls, f"{shared_dir(urls.sparkSession)}/{what}-{_files(urls.sparkSession, path)}")
 
 
 def _now(table: DataFrame, key: str) -> dt.datetime:
@@ -83,9 +92,9 @@ def page_text(spark, d):
     return _content(spark, d, "content").select("page_id", "content")
 
 
-@query("page_title", f"WITH {O.CORPUS} SELECT id AS page_id, title FROM corpus")
+@query("page_title", f"WITH {O.CORPUS} SELECT id AS page_id, substr(title, 1, 200) AS title FROM corpus")
 def page_title(spark, d):
-    return _content(spark, d, "title").select("page_id", "title")
+    return with_content(_raw(spark, d), want=("title",), max_title=200).select("page_id", "title")
 
 
 @query("page_links", f"WITH {O.LINKS} SELECT src_url, pos, dst_url FROM links WHERE pos < 20")
@@ -653,10 +662,11 @@ def _incoming(spark, d):
 
 
 @query("save_pages", f"""WITH {_INCOMING}
-SELECT seq, url, title, substr(content, 1, 50000) AS content, 200 AS status_code FROM firsts
+SELECT seq, url, substr(title, 1, 500) AS title, substr(content, 1, 50000) AS content, 200 AS status_code FROM firsts
 WHERE url NOT IN (SELECT url FROM stored)""")
 def save_pages(spark, d):
-    return store.new_pages(*_incoming(spark, d), max_title=500, max_content=50_000)
+    rows, stored = _incoming(spark, d)
+    return store.new_pages(rows, _kept_urls(stored, f"{d}/pages.parquet", "stored-urls"), max_title=500, max_content=50_000)
 
 
 @query("save_pages_ids", f"""WITH {_INCOMING}
@@ -674,7 +684,8 @@ def insert_or_ignore(spark, d):
     p = _raw(spark, d)
     rows = p.select((F.col("page_id") * 2).alias("seq"), "url").unionByName(
         p.select((F.col("page_id") * 2 + 1).alias("seq"), U.normalize_url(F.col("url")).alias("url")))
-    return store.insert_or_ignore(rows, p.filter(F.col("url").contains(".org/")))
+    stored = p.filter(F.col("url").contains(".org/"))
+    return store.insert_or_ignore(rows, _kept_urls(stored, f"{d}/pages.parquet", "stored-urls"))
 
 
 @query("duplicate_url_check", f"WITH {O.LINKS} SELECT dst_url AS url, count(*) AS n FROM links GROUP BY dst_url HAVING count(*) > 1")
@@ -689,6 +700,41 @@ def store_stats(spark, d):
     return store.store_stats(c, index.build_doc_stats(c))
 
 
+def _kept_store(spark, d) -> str:
+    """The pages as a store, in two appends; made when it is first asked for."""
+    path = f"{shared_dir(spark)}/store-{_files(spark, f'{d}/pages.parquet')}"
+    if not manifest.exists(spark, path):
+        c = _corpus(spark, d)
+        manifest.append(c.filter(F.col("id") % 2 == 0), path)
+        manifest.append(c.filter(F.col("id") % 2 == 1), path)
+    return path
+
+
+@query("store_totals", f"WITH {O.CORPUS} SELECT count(*) AS total_pages, min(crawled_at) AS first_crawl, max(crawled_at) AS last_crawl FROM corpus")
+def store_totals(spark, d):
+    """From the store's manifest: no page is read. Bytes depend on the files and are compared with them in tests."""
+    return manifest.totals(spark, _kept_store(spark, d)).select("total_pages", "first_crawl", "last_crawl")
+
+
+@query("store_since", f"""WITH {O.CORPUS} SELECT id, url, crawled_at FROM corpus
+WHERE crawled_at >= (SELECT max(crawled_at) - INTERVAL 30 DAY FROM corpus)""")
+def store_since(spark, d):
+    path = _kept_store(spark, d)
+    since = manifest.totals(spark, path).first()["last_crawl"] - dt.timedelta(days=30)
+    return manifest.read(spark, path, since=since).select("id", "url", "crawled_at")
+
+
+@query("store_cleared", f"WITH {O.CORPUS} SELECT id, url, title FROM corpus WHERE id % 3 = 0")
+def store_cleared(spark, d):
+    """A store that was cleared and filled again: what was there before is gone for later readers."""
+    path = scratch_path(spark, "store")
+    c = _corpus(spark, d)
+    manifest.append(c, path)
+    manifest.clear(spark, path)
+    manifest.append(c.filter(F.col("id") % 3 == 0), path)
+    return manifest.read(spark, path).select("id", "url", "title")
+
+
 # ---------------------------------------------------------------------------------------- crawl
 
 # Robots rules made from the pages: each host has one rule for each first segment of a path on it; even numbers allow.
@@ -732,7 +778,7 @@ def _offers(spark, d):
     offers = p.select(F.explode(F.col("links")).alias("url"), F.col("page_id").alias("seq"))
     visited = _raw(spark, d).select(U.normalize_url(F.col("url")).alias("url")).unionByName(
         offers.select("url").filter(F.col("url").contains("/the")))
-    return offers, visited.distinct()
+    return offers, _kept_urls(visited, f"{d}/pages.parquet", "visited-urls")
 
 
 @query("frontier_new", f"WITH {_OFFERS} SELECT url, priority, seq FROM fresh")
@@ -751,10 +797,14 @@ def frontier_sizes(spark, d):
     return C.frontier_sizes(C.unseen(*_offers(spark, d)))
 
 
+# 50 workers; the budget is twice the pages there are
 @query("frontier_batch", f"""WITH {_OFFERS} SELECT url, priority, seq FROM fresh
-ORDER BY CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, seq, url LIMIT 100""")
+QUALIFY row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, seq, url)
+        <= least(100, (SELECT 2 * count(*) FROM pages) - (SELECT count(*) FROM visited))""")
 def frontier_batch(spark, d):
-    return C.next_batch(C.unseen(*_offers(spark, d)), 100)
+    offers, visited = _offers(spark, d)
+    n = C.batch_size(visited, workers=50, max_pages=2 * _raw(spark, d).count())
+    return C.next_batch(C.unseen(offers, visited), n)
 
 
 _FETCH_LOG = """

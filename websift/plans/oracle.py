@@ -74,7 +74,7 @@ _CONTENT = tidy(unescape(unescape(_BODY)))
 CORPUS = f"""
 raw AS (SELECT page_id, url, {_BARE} AS bare FROM pages),
 corpus AS (
-  SELECT page_id AS id, url, coalesce(nullif(substr({_TITLE}, 1, 200), ''), 'Untitled') AS title,
+  SELECT page_id AS id, url, coalesce(nullif({_TITLE}, ''), 'Untitled') AS title,
          {_CONTENT} AS content, TIMESTAMP '2024-01-01' + to_hours(page_id * 7) AS crawled_at,
          200 AS status_code
   FROM raw)"""
@@ -82,7 +82,7 @@ corpus AS (
 DOC_CORPUS = """
 corpus AS (
   SELECT doc_id AS id, 'https://' || source || '.example.com/' || doc_id AS url,
-         substr(split_part(text, chr(10), 1), 1, 200) AS title, text AS content,
+         split_part(text, chr(10), 1) AS title, text AS content,
          TIMESTAMP '2024-01-01' + to_hours(doc_id * 7) AS crawled_at, 200 AS status_code
   FROM documents)"""
 

@@ -49,14 +49,14 @@ def as_store(pages: DataFrame) -> DataFrame:
                     F.lit(200).alias("status_code"))
 
 
-def documents_as_store(documents: DataFrame) -> DataFrame:
-    """Plain documents as stored pages: the first line is the title."""
+def documents_as_store(documents: DataFrame, max_title: int | None = None) -> DataFrame:
+    """Plain documents as stored pages: the first line is the title, whole unless a maximum of characters is given."""
     first = F.substring_index(F.col("text"), "\n", 1)
     return documents.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"),
                  F.col("doc_id").cast("string")).alias("url"),
-        F.substr(first, F.lit(1), F.lit(200)).alias("title"),
+        (first if max_title is None else F.substr(first, F.lit(1), F.lit(max_title))).alias("title"),
         F.col("text").alias("content"),
         arrival(F.col("doc_id")).alias("crawled_at"),
         F.lit(200).alias("status_code"))
