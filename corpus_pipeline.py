@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities in the texts become surrogates; every document stays."""
-    return replace_entities(docs, carried=("lang", "source")).withColumn("n_chars", F.length("text").cast("long")).select(*DOC_COLUMNS)
+    return replace_entities(docs, key="surrogates", carried=("lang", "source")).withColumn("n_chars", F.length("text").cast("long")).select(*DOC_COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
