@@ -69,12 +69,17 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def _pack_counts(v: np.ndarray) -> bytes:
-    return zlib.compress(v.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Numbers of up to 64 bits, byte by byte of equal weight; highest bytes that are zero in all are left out."""
+    d = np.ascontiguousarray(v, "<i8").view(np.uint8).reshape(-1, 8)
+    used = max([i + 1 for i in range(8) if d[:, i].any()], default=1)
+    return bytes([used]) + zlib.compress(d[:, :used].T.tobytes(), 1)
 
 
 def _unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    d = np.zeros((planes.shape[1], 8), np.uint8)
+    d[:, :data[0]] = planes.T
+    return d.reshape(-1).view("<i8")
 
 
 def _pack_words(h: np.ndarray) -> tuple[bytes, bytes]:
@@ -155,7 +160,7 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, alpha: float = 0.4, id_c
             totals = np.empty(len(every), np.int64)
             totals[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(s))))
             ends = np.cumsum([len(p) for p in parts])[:-1]
-            out = [(0, i, bucket, _pack_counts(np.minimum(t, 2 ** 32 - 1)), None, None, None) for (i, _, _), t in zip(rows, np.split(totals, ends))]
+            out = [(0, i, bucket, _pack_counts(t), None, None, None) for (i, _, _), t in zip(rows, np.split(totals, ends))]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], names=names)
         for b in batches:
             own = b.column(0).to_numpy() == 1
