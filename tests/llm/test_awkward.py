@@ -15,7 +15,7 @@ from websift.llm import backoff_lm, block_search, gumbel_pieces, license_scan, n
 BY_DOCUMENT = {
     "pieces": lambda d: gumbel_pieces.sample_pieces(d, k=2), "repeats": lambda d: repeat_removal.remove_repeats(d, 20),
     "join": lambda d: ngram_join.ngram_jaccard_join(d, 3, 90), "licenses": license_scan.license_scan, "fingerprints": order_minhash.neighbour_fingerprints,
-    "mix": lambda d: source_mix.mix_sources(d)[0], "surrogates": surrogates.replace_entities, "backoff": backoff_lm.backoff_scores,
+    "mix": lambda d: source_mix.mix_sources(d)[0], "surrogates": lambda d: surrogates.replace_entities(d, "k"), "backoff": backoff_lm.backoff_scores,
     "quality": weak_labels.weak_label_quality,
 }
 

@@ -323,16 +323,16 @@ def test_mix_takes_slots_in_step(small):
 
 
 def test_surrogates_are_distinct_and_consistent(spark, small, texts):
-    rows = surrogates.replace_entities(small).collect()
+    rows = surrogates.replace_entities(small, "k").collect()
     find = re.compile(r"[\w.]+@[\w.]+\w|AKIA\w{16}|[0-9a-f]{40}|\d{16}|\d+\.\d+\.\d+\.\d+|\(\d{3}\) 555-\d{4}")
     old = {m.group() for t in texts.values() for m in find.finditer(t)}
     assert old and not any(o in r["text"] for r in rows for o in old)
     assert all(r["text"] == texts[r["doc_id"]] for r in rows if not r["n_entities"])
     many = spark.createDataFrame([(i, f"Mr. Person{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} x@y{i}.org 10.0.{i // 250}.{i % 250}") for i in range(3000)], "doc_id long, text string")
-    parts = [tuple(r["text"].split(" ")) for r in surrogates.replace_entities(many).collect()]
+    parts = [tuple(r["text"].split(" ")) for r in surrogates.replace_entities(many, "k").collect()]
     for i in (1, 2, 3):
         assert len({p[i] for p in parts}) == 3000            # more names than given ones, and none twice
-    again = {r["text"] for r in surrogates.replace_entities(many).collect()}
+    again = {r["text"] for r in surrogates.replace_entities(many, "k").collect()}
     assert again == {" ".join(p) for p in parts}
     assert again.isdisjoint(r["text"] for r in surrogates.replace_entities(many, key="other").collect())
 
@@ -344,7 +344,7 @@ def test_long_secrets_are_replaced_whole(spark, n):
     late = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n - 1)) + "7"      # its only digit is the last character
     digits = "".join(rng.choice(list("0123456789abcdef"), n))
     df = spark.createDataFrame([(1, f"a token={mixed} b"), (2, f"password: {late}"), (3, f"see {digits}, end"), (4, f"token={'a1' * (n // 2)}")], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in surrogates.replace_entities(df).collect()}
+    rows = {r["doc_id"]: r for r in surrogates.replace_entities(df, "k").collect()}
     assert all(r["n_entities"] == 1 for r in rows.values())
     for d, (before, old, after) in enumerate((("a token=", mixed, " b"), ("password: ", late, ""), ("see ", digits, ", end")), 1):
         t = rows[d]["text"]
@@ -358,7 +358,7 @@ def test_long_secrets_are_replaced_whole(spark, n):
 def test_names_of_many_parts_are_replaced_whole(spark):
     texts = ["Mr. John Quincy Adams left.", "Mrs Anna Maria Luisa Medici, too", "Mr. John Q. Adams left.", "Mr. John Roe Mrs. Jane Mary Doe", "Ms Amy Ng."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = [r for r in sorted(surrogates.replace_entities(df).collect())]
+    rows = [r for r in sorted(surrogates.replace_entities(df, "k").collect())]
     assert [r["n_entities"] for r in rows] == [1, 1, 1, 2, 1]
     shapes = [r"Mr\. X X X left\.", "Mrs X X X X, too", r"Mr\. X X\. X left\.", r"Mr\. X X Mrs\. X X X", r"Ms X X\."]
     for r, t, shape in zip(rows, texts, shapes):
@@ -368,11 +368,37 @@ def test_names_of_many_parts_are_replaced_whole(spark):
 
 def test_surrogate_cards_pass_their_check(spark):
     df = spark.createDataFrame([(i, f"card {4000000000000000 + i * 7919}") for i in range(50)], "doc_id long, text string")
-    for r in surrogates.replace_entities(df).collect():
+    for r in surrogates.replace_entities(df, "k").collect():
         digits = [int(c) for c in r["text"][5:]]
         assert sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0 and digits[0] == 4
 
 
+def test_accounts_are_replaced_whole_and_checked(spark):
+    texts = ["DE89 3704 0044 0532 0130 00", "to DE89370400440532013000.", "GB29 NWBK 6016 1331 9268 19, GB", "1234 5678 9012 3456 7890 1234", "AB12 IS FINE"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(df, "k").collect()}
+    assert [got[i]["n_entities"] for i in range(5)] == [1, 1, 1, 1, 0]
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", got[0]["text"]) and got[1]["text"] == f"to {got[0]['text'].replace(' ', '')}."
+    assert re.fullmatch(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d, GB", got[2]["text"]) and re.fullmatch(r"\d{4}( \d{4}){5}", got[3]["text"])
+    for i, cut in ((0, None), (2, -4)):
+        x = got[i]["text"][:cut].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+        assert not set(texts[i].split(",")[0].split()[1:]) & set(got[i]["text"].split())
+
+
+def test_the_key_is_needed_and_not_in_the_plan(spark):
+    e = spark.createDataFrame([("email", "a@b.org", "m", "latin", 0)], "kind string, canon string, gender string, script string, attempt int")
+    assert "very-secret" not in surrogates._drawn(e, "very-secret")._jdf.queryExecution().toString()
+    for bad in ("", None):
+        with pytest.raises(ValueError):
+            surrogates._drawn(e, bad)
+
+
+def test_counts_of_64_bits():
+    for v in ([], [0], [1, 255, 256], [2 ** 32 - 1, 2 ** 32, 2 ** 40 + 7, 3], [2 ** 62]):
+        assert backoff_lm._unpack_counts(backoff_lm._pack_counts(np.array(v, np.int64))).tolist() == v
+
+
 @pytest.mark.parametrize("batch", [2_000, 10_000_000])
 def test_backoff(small, texts, batch, monkeypatch):
     monkeypatch.setattr(backoff_lm, "BATCH_WORDS", batch)

@@ -44,7 +44,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(documents(spark, sf_dir))
+    return replace_entities(documents(spark, sf_dir), key="surrogates")
 
 
 def op8_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """PII: detected entities are replaced by keyed surrogates of the same type and form.
 
 An entity's canonical form (lower-case e-mail, digits of a phone number or card ...) and a secret key give its surrogate by
-SHA-256: letters become letters, digits digits, hexadecimal digits hexadecimal digits; addresses, cards (with a valid check digit) and
-personal names (same title, gender, script and number of parts) have rules of their own. So one entity has one surrogate in the whole
+SHA-256: letters become letters, digits digits, hexadecimal digits hexadecimal digits; addresses, cards and bank accounts (with valid
+check digits) and personal names (same title, gender, script and number of parts) have rules of their own. So one entity has one surrogate in the whole
 corpus however it is written, and each place keeps its punctuation and case. Surrogates that two entities share, or that
 are an entity themselves, are drawn again until all are distinct.
 
@@ -11,6 +11,8 @@ Native DataFrame operations only.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,12 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "access_key": r"AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "hex": r"[0-9a-f]{32,}+(?![0-9A-Za-z])",
+    # accounts with a country's code; as many groups as follow
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z]{4})?(?: ?\d{4}){2,}(?: ?\d{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
-    "card": r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,4}(?![0-9A-Za-z])",
+    "card": r"\d{4}(?:[ -]?\d{4}){2,}[ -]?\d{1,4}(?![0-9A-Za-z])",
     # as many names as follow, with initials between them, up to another person's title
     "person": rf"{_TITLE} \p{{Lu}}[\p{{L}}'-]+(?:(?: \p{{Lu}}\.)*+ (?!{_TITLE} \p{{Lu}})\p{{Lu}}[\p{{L}}'-]+)*+",
 }
@@ -68,13 +72,21 @@ def _canonical() -> str:
     """The form that all spellings of an entity share. Secrets are told apart by case, all else is not."""
     return r"""case when kind in ('phone', 'card', 'ssn') then regexp_replace(part, '[^0-9]', '')
                when kind in ('keyed', 'access_key', 'hex') then part
+               when kind = 'iban' then replace(part, ' ', '')
                when kind = 'ip' then array_join(transform(split(part, '\\.'), x -> cast(cast(x as int) as string)), '.')
                when kind = 'person' then concat(if(gender = 'f', 'f:', 'm:'), lower(part)) else lower(part) end"""
 
 
-def _draw(key: str) -> str:
+def _derived(key: str) -> str:
+    """What the plan sees of the key."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    return hashlib.sha256(b"surrogates\0" + key.encode()).hexdigest()
+
+
+def _draw(key: str) -> tuple[str, ...]:
     """SQL of the surrogate of ``canon`` in draw ``attempt``."""
-    seed = "concat_ws('\\u0001', '%s', kind, canon, attempt, '{0}')" % key.replace("\\", "\\\\").replace("'", "\\'")
+    seed = "concat_ws('\\u0001', '%s', kind, canon, attempt, '{0}')" % _derived(key)
     first = f"sha2({seed.format(0)}, 256)"
     # two hexadecimal digits for each character; further hashes are of the first one, as entities can be long
     stream = f"""concat(first, sha2({seed.format(1)}, 256), if(length(canon) <= 64, '',
@@ -82,7 +94,7 @@ def _draw(key: str) -> str:
     pairs = "transform(regexp_extract_all(stream, '..', 0), x -> cast(conv(x, 16, 10) as int))"
     number = "element_at(pairs, i + 1)"
     chars = f"""array_join(transform(split(canon, ''), (c, i) -> case
-        when (kind = 'phone' and i < length(canon) - 10) or (kind = 'card' and i = 0) or (kind = 'access_key' and i < 4) then c
+        when (kind = 'phone' and i < length(canon) - 10) or (kind = 'card' and i = 0) or (kind = 'access_key' and i < 4) or (kind = 'iban' and i < 2) then c
         when kind = 'email' and i >= length(substring_index(canon, '.', size(split(canon, '\\\\.')) - 1)) then c
         when c between '0' and '9' then cast({number} % 10 as string)
         when c between 'a' and 'z' and is_hex then substr('abcdef', {number} % 6 + 1, 1)
@@ -95,6 +107,11 @@ def _draw(key: str) -> str:
         when j % 2 = 1 then (2 * cast(substr(chars, -1 - j, 1) as int)) div 10 + (2 * cast(substr(chars, -1 - j, 1) as int)) % 10
         else cast(substr(chars, -1 - j, 1) as int) end) % 10) % 10 as string))"""
 
+    # the check digits make country and account, as a number, 1 more than a multiple of 97
+    iban = """concat(substr(chars, 1, 2), lpad(cast(98 - aggregate(split(concat(substr(chars, 5), substr(chars, 1, 2), '00'), ''), 0, (r, c) -> case
+        when c between '0' and '9' then (r * 10 + cast(c as int)) % 97 when c between 'A' and 'Z' then (r * 100 + ascii(c) - 55) % 97 else r end) as string), 2, '0'),
+        substr(chars, 5))"""
+
     def pick(lists: dict, at: int | str) -> str:
         n = f"cast(conv(substr(stream, {at}, 4), 16, 10) as int)"      # ``at``: a place or SQL of one
         whens = " ".join("when script = '{}' and gender = '{}' then element_at(array({}), {} % {} + 1)".format(
@@ -108,14 +125,14 @@ def _draw(key: str) -> str:
     middle = f"""array_join(transform(slice(split(canon, ' '), 2, size(split(canon, ' ')) - 2), (p, i) ->
         if(p like '%.', concat(substr({pick(GIVEN, "(85 + 4 * i) % 124 + 1")}, 1, 1), '. '), concat({pick(GIVEN, "(85 + 4 * i) % 124 + 1")}, ' '))), '')"""
     person = f"case when canon like '% % %' then concat({pick(GIVEN, 1)}, ' ', {middle}, {more}) when canon like '% %' then concat({pick(GIVEN, 1)}, ' ', {more}) else {more} end"
-    return first, stream, pairs, chars, octets, luhn, surname, person
+    return first, stream, pairs, chars, octets, luhn, iban, surname, person
 
 
 def _drawn(entities: DataFrame, key: str) -> DataFrame:
-    first, stream, pairs, chars, octets, luhn, surname, person = _draw(key)
+    first, stream, pairs, chars, octets, luhn, iban, surname, person = _draw(key)
     return (entities.withColumn("first", F.expr(first)).withColumn("stream", F.expr(stream)).withColumn("pairs", F.expr(pairs))
             .withColumn("is_hex", F.expr("canon rlike '^[0-9a-f]+$'")).withColumn("chars", F.expr(chars)).withColumn("surname", F.expr(surname))
-            .withColumn("surrogate", F.expr(f"case kind when 'ip' then {octets} when 'card' then {luhn} when 'person' then {person} else chars end"))
+            .withColumn("surrogate", F.expr(f"case kind when 'ip' then {octets} when 'card' then {luhn} when 'iban' then {iban} when 'person' then {person} else chars end"))
             .drop("first", "stream", "pairs", "is_hex", "chars", "surname"))
 
 
@@ -145,16 +162,21 @@ def _written() -> str:
     """SQL of ``surrogate`` written as ``part`` is: its punctuation, its capitals."""
     digits = """array_join(transform(split(part, ''), (c, i) -> case when c between '0' and '9'
         then substr(surrogate, 1 + length(regexp_replace(substr(part, 1, i), '[^0-9]', '')), 1) else c end), '')"""
+    groups = "array_join(transform(split(part, ''), (c, i) -> if(c = ' ', c, substr(surrogate, 1 + length(replace(substr(part, 1, i), ' ', '')), 1))), '')"
     capitals = "array_join(transform(split(part, ''), (c, i) -> case when c between 'A' and 'Z' then upper(substr(surrogate, i + 1, 1)) else substr(surrogate, i + 1, 1) end), '')"
     return f"""concat(substr(value, 1, length(value) - length(part)), case when kind in ('phone', 'card', 'ssn') then {digits}
-        when kind = 'email' then {capitals} when kind = 'person' and part = upper(part) then upper(surrogate) else surrogate end)"""
+        when kind = 'iban' then {groups} when kind = 'email' then {capitals} when kind = 'person' and part = upper(part) then upper(surrogate) else surrogate end)"""
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``text`` with surrogates, the ``carried`` columns, and ``n_entities`` (places replaced) of every row.
 
     Null texts stay null with 0 entities, empty ones empty; all else of a text stays as it is. Equal rows get equal results. Columns
-    not named are left out; ``carried`` may not name an output column. The entities themselves are in no output.
+    not named are left out; ``carried`` may not name an output column. The entities themselves are in no output. Long texts are searched
+    whole; no rows give none.
+
+    ``key`` is a secret: who has it can draw the same surrogates. Plans and logs show only a hash derived from it, which is as good for
+    drawing, so keep these too. The same key gives the same surrogates in every run over the same entities.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
     # the texts are searched once; what has no entity goes on from here as it is
