@@ -16,6 +16,7 @@ after their last reader; the result is a table.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BITS = 1024                 # of a set's token bitmap in the trees
 WIDE = 8192                 # of the bitmap that pairs are held to before their sets meet
 HOT = 1 << 17               # shingles whose frequency orders them last; only the order, never the result, depends on it
-LEAF, BLOCK = 32, 1024      # sets in a leaf, and in one tree
+LEAF, FAN, BLOCK = 32, 8, 1024      # sets in a leaf, nodes below one above the leaves, sets in one tree
+OPENED = 64                 # pairs of nodes opened together
 
 
 def _bitmap(tokens: np.ndarray, width: int = BITS) -> np.ndarray:
@@ -68,51 +70,73 @@ def _frequent(docs: DataFrame, width: int, store) -> np.ndarray:
     return heaviest(counted, "token", "df", HOT, "join-frequent", store)
 
 
-def _walk(x: dict, y: dict, same: bool, per100: int) -> list[tuple[int, int]]:
-    """Pairs of ids below two trees that sizes and bitmaps leave possible, of different components."""
-    def missing(a_and, b_or):
-        return np.bitwise_count(a_and[:, None] & ~b_or[None, :]).sum(axis=2, dtype=np.int64)
-
-    out: list[tuple[int, int]] = []
-    lx, ly = x["leaves"], y["leaves"]
-    one = (lx["c_lo"][:, None] == lx["c_hi"][:, None]) & (ly["c_lo"] == ly["c_hi"])[None, :] & (lx["c_lo"][:, None] == ly["c_lo"][None, :])
-    ok = ~one & (per100 * lx["lo"][:, None] <= 100 * ly["hi"][None, :]) & (per100 * ly["lo"][None, :] <= 100 * lx["hi"][:, None])
-    # a set of size a may miss a * (100 - per100) / 100 tokens of its partner at most: the partner is no larger than a * 100 / per100
-    ok &= 100 * missing(lx["and"], ly["or"]) <= (100 - per100) * lx["hi"][:, None]
-    ok &= 100 * missing(ly["and"], lx["or"]).T <= (100 - per100) * ly["hi"][None, :]
-    for i, j in zip(*np.nonzero(ok)):
-        if same and j < i:
-            continue
-        a, b = slice(*lx["span"][i]), slice(*ly["span"][j])
-        n_a, n_b = x["n"][a][:, None], y["n"][b][None, :]
-        need = -(-per100 * (n_a + n_b) // (100 + per100))
-        good = (x["c"][a][:, None] != y["c"][b][None, :])
-        good &= need <= np.minimum(n_a, n_b)
-        good &= missing(x["sig"][a], y["sig"][b]) <= n_a - need
-        good &= missing(y["sig"][b], x["sig"][a]).T <= n_b - need
-        for k, m in zip(*np.nonzero(good)):
-            u, v = int(x["id"][a][k]), int(y["id"][b][m])
-            if u != v:
-                out.append((min(u, v), max(u, v)))
+def _levels(n: np.ndarray, c: np.ndarray, sig: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """The nodes of a tree, from its sets up to one root: OR and AND of the bitmaps, ranges of sizes and components."""
+    level = {"lo": n, "hi": n, "c_lo": c, "c_hi": c, "or": sig, "and": sig}
+    out, fan = [level], LEAF
+    while len(level["lo"]) > 1:
+        cuts = np.arange(0, len(level["lo"]), fan)
+        level = {k: f.reduceat(level[k], cuts, axis=0) for k, f in (("lo", np.minimum), ("hi", np.maximum), ("c_lo", np.minimum),
+                                                                   ("c_hi", np.maximum), ("or", np.bitwise_or), ("and", np.bitwise_and))}
+        out.append(level)
+        fan = FAN
     return out
 
 
-def _tree(ids: np.ndarray, n: np.ndarray, c: np.ndarray, sig: np.ndarray) -> dict:
-    cuts = np.arange(0, len(ids), LEAF)
-    ends = np.minimum(cuts + LEAF, len(ids))
-    red = lambda f, v: f.reduceat(v, cuts, axis=0)
-    return {"id": ids, "n": n, "c": c, "sig": sig,
-            "leaves": {"span": list(zip(cuts, ends)), "lo": red(np.minimum, n), "hi": red(np.maximum, n), "c_lo": red(np.minimum, c),
-                       "c_hi": red(np.maximum, c), "or": red(np.bitwise_or, sig), "and": red(np.bitwise_and, sig)}}
+def _below(nodes: np.ndarray, height: int, levels: list) -> tuple[np.ndarray, np.ndarray]:
+    """First child of each node and how many it has."""
+    fan = LEAF if height == 1 else FAN
+    first = nodes * fan
+    return first, np.minimum(fan, len(levels[height - 1]["lo"]) - first)
+
+
+def _possible(a: dict, b: dict, i: np.ndarray, j: np.ndarray, per100: int) -> np.ndarray:
+    """Whether sets of different components below nodes ``i`` and ``j`` may overlap as much as the threshold wants.
+
+    A set of size u that lacks at least m of its tokens in a set of size v can share u - m with it; needed are
+    per100 * (u + v) / (100 + per100). The largest u and smallest v below the nodes ask least.
+    """
+    def lacks(x, y):
+        return np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+    one = (a["c_lo"][i] == a["c_hi"][i]) & (b["c_lo"][j] == b["c_hi"][j]) & (a["c_lo"][i] == b["c_lo"][j])
+    room = np.minimum(100 * a["hi"][i] - per100 * b["lo"][j], 100 * b["hi"][j] - per100 * a["lo"][i])
+    ok = ~one & (room >= 0)
+    i, j = i[ok], j[ok]
+    ok[ok] = (((100 + per100) * lacks(a["and"][i], b["or"][j]) <= 100 * a["hi"][i] - per100 * b["lo"][j])
+              & ((100 + per100) * lacks(b["and"][j], a["or"][i]) <= 100 * b["hi"][j] - per100 * a["lo"][i]))
+    return ok
+
+
+def _walk(x: list, y: list, same: bool, per100: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets, by their places below two roots, that sizes and bitmaps leave possible: a dual traversal.
+
+    A pair of nodes that passes is opened: the higher node, or both of one height.
+    """
+    open_ = [(len(x) - 1, len(y) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while open_:
+        u, v, i, j = open_.pop()
+        ok = _possible(x[u], y[v], i, j, per100)
+        if same:                    # both sides are one tree, so always at one height
+            ok &= i <= j
+        i, j = i[ok], j[ok]
+        if not u and not v:
+            yield i, j
+            continue
+        for at in range(0, len(i), OPENED):
+            k, m = i[at:at + OPENED], j[at:at + OPENED]
+            first_k, n_k = _below(k, u, x) if u >= v else (k, np.ones(len(k), np.int64))
+            first_m, n_m = _below(m, v, y) if v >= u else (m, np.ones(len(m), np.int64))
+            of = np.repeat(np.arange(len(k)), n_k * n_m)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(n_k * n_m) - n_k * n_m, n_k * n_m)
+            open_.append((u - (u >= v), v - (v >= u), first_k[of] + nth // n_m[of], first_m[of] + nth % n_m[of]))
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``n_links`` of every row.
+    """``doc_id``, ``n_shingles``, ``component_id`` of every row.
 
     Rows link when ``100 * |A and B| >= per100 * |A or B|`` for their sets of ``width``-word shingles (the whole
-    sequence where it has fewer words). ``component_id`` is the smallest id reachable; ``n_links`` counts the links that
-    were kept to connect the row's set with others. Null and empty texts have an empty set and link with nothing.
+    sequence where it has fewer words). ``component_id`` is the smallest id reachable. Null and empty texts have an empty set and link with nothing.
     A null id is returned without component. Rows of one id count as one document. Other columns are left out.
     """
     spark = docs.sparkSession
@@ -276,12 +300,17 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
 
     def walk(batches):
         def built(ids, cs, ns, sigs):
-            return _tree(*(np.frombuffer(v, np.int64) for v in (ids, ns, cs)), np.frombuffer(sigs, np.uint8).reshape(-1, BITS // 8))
+            return np.frombuffer(ids, np.int64), _levels(np.frombuffer(ns, np.int64), np.frombuffer(cs, np.int64),
+                                                         np.frombuffer(sigs, np.uint64).reshape(-1, BITS // 64))
         for b in batches:
             found: set[tuple[int, int]] = set()
             for px, py in zip(zip(*(b.column(k).to_pylist() for k in range(4))), zip(*(b.column(k).to_pylist() for k in range(4, 8)))):
-                tx = built(*px)
-                found.update(_walk(tx, tx if px[0] == py[0] else built(*py), px[0] == py[0], per100))
+                ids_x, x = built(*px)
+                same = px[0] == py[0]
+                ids_y, y = (ids_x, x) if same else built(*py)
+                for i, j in _walk(x, y, same, per100):
+                    u, v = ids_x[i], ids_y[j]
+                    found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())],
                                              names=["a", "b"])
     pairs = arrow_pass(met.select(*(f"{c}_{s}" for s in "xy" for c in ("ids", "cs", "ns", "sigs"))), walk, "a long, b long").distinct()
@@ -290,13 +319,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
     links = scratch.stored(links.union(verified(pairs, "pairs")), "join-all-links")
     scratch.drop("join-pairs", "join-links")
     final = components(links, "join-final", scratch.stored)
-    counted = (links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-               .join(final, "id"))
-    of_key = nodes.join(counted, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"),
-                                                     F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_key = nodes.join(final, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     result = (sets.drop("prefix", "sig").join(of_key, "key", "left")
-              .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links")))
+              .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
     result = stored(result, "join-result")
     scratch.drop()
     return result
