@@ -91,15 +91,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
                 carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """``(taken, pieces)``.
 
-    ``taken``: per row ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` (words of the mix, repeats counted)
-    and the ``carried`` columns, which may not name another one.
+    ``taken``: per row ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` (words of the mix, repeats counted),
+    ``first_slot`` and ``last_slot`` (of the schedule; null where nothing is taken) and the ``carried`` columns, which may not name another one.
     ``pieces``: ``slot``, ``source``, ``doc_id``, ``pass`` (0 or 1), ``words``: the schedule itself.
 
     Null texts have no words and are never taken; a null source is a source. Rows of one id are told apart by text; equal
-    rows share their result in any order. Reruns agree: the shuffle is a hash of ``seed`` and id.
+    rows share their result in any order. Long texts are counted whole; no rows give none. Reruns agree: the shuffle is a hash of ``seed``, id and text,
+    so rows without an id spread as well.
     """
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-                        F.xxhash64(text_col).alias("tie"), F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 16).alias("h"), *carried)
+                        F.xxhash64(text_col).alias("tie"), F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(text_col, F.lit("")))), 1, 16).alias("h"), *carried)
     sizes = stored(sizes.repartition("h"), "mix-sizes")          # the words are counted once
     targets = stored(source_targets(sizes, weights, share, most), "mix-targets")
     placed = _offsets(sizes).join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "weight")
@@ -113,16 +114,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     met = spans.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")))
     pieces = met.select("row", "slot", "source", "doc_id", "pass",
                         (F.least("hi", (F.col("rank") + 1) * block_words) - F.greatest("lo", F.col("rank") * block_words)).alias("words"))
-    sums = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    taken = placed.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *carried)
+    sums = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    taken = placed.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                                                    "first_slot", "last_slot", *carried)
     return taken, pieces.drop("row")
 
 
-# The same rows in closed form: a source's stream is taken from its start up to the target.
+# Words taken in closed form (a source's stream from its start up to the target); the schedule's slots point by point.
 ORACLE = r"""
 with sizes as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         md5('mix:' || coalesce(doc_id::varchar, ''))[1:16] as h
+         md5('mix:' || coalesce(doc_id::varchar, '') || ':' || coalesce(text, ''))[1:16] as h
   from documents),
 named as (
   select source, sum(size)::bigint as source_size,
@@ -139,11 +141,35 @@ levels as (
 targets as (
   select source, source_size,
          least(cap, coalesce((select level from levels where ratio >= level order by place limit 1) * weight, cap)) as target from levels),
+needs as (
+  select source, ceil(floor(target) / 256)::bigint as need, (sum(ceil(floor(target) / 256)) over ())::bigint as total from targets),
+parts as (
+  select source, need, total, (sum(need) over (order by source nulls last rows unbounded preceding))::double / greatest(total, 1) as hi,
+         need::double / greatest(total, 1) as part from needs),
+points as (
+  select slot, (slot + 1) * 6.180339887498949e-1 - floor((slot + 1) * 6.180339887498949e-1) as x
+  from (select unnest(range((select max(total) from needs))) as slot)),
+hit as (
+  select slot, source, need, row_number() over (partition by source order by slot) - 1 as rank
+  from points join parts on x >= hi - part and x < hi where need > 0),
+had as (select source, count(*) as n from hit group by source),
+slots as (
+  select slot, source, rank from hit where rank < need
+  union all
+  select total + rank, source, rank
+  from (select total, needs.source, unnest(range(coalesce(n, 0), need)) as rank from needs left join had on needs.source is not distinct from had.source)),
 placed as (
-  select doc_id, source, size, coalesce(sum(size) over (partition by source order by h, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from sizes)
-select doc_id, size, source_size, target,
-       (greatest(0, least(start + size, floor(target)::bigint) - start)
-        + greatest(0, least(source_size + start + size, floor(target)::bigint) - source_size - start))::bigint as taken
-from placed join targets on placed.source is not distinct from targets.source
+  select row_number() over () as r, doc_id, source, size,
+         coalesce(sum(size) over (partition by source order by h, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from sizes),
+passes as (
+  select r, placed.source, start + pass * source_size as lo, least(start + pass * source_size + size, floor(target)::bigint) as hi
+  from placed join targets on placed.source is not distinct from targets.source, (values (0), (1)) as t(pass)),
+spans as (select r, source, unnest(range(lo // 256, (hi - 1) // 256 + 1)) as rank from passes where hi > lo),
+seen as (
+  select r, min(slot) as first_slot, max(slot) as last_slot
+  from spans join slots on spans.source is not distinct from slots.source and spans.rank = slots.rank group by r),
+words as (select r, sum(greatest(0, hi - lo))::bigint as taken from passes group by r)
+select doc_id, size, source_size, target, taken, first_slot, last_slot
+from placed join targets on placed.source is not distinct from targets.source join words using (r) left join seen using (r)
 """
