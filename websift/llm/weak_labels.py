@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from websift.llm.common import arrow_pass, stored
@@ -138,7 +138,8 @@ def weak_label_quality(docs: DataFrame, train_rows: int = 20_000, threshold: flo
                        carried: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the ``carried`` columns, ``votes``, ``posterior``, ``score`` and ``keep`` of every row.
 
-    ``train_rows`` bounds (in expectation, by a hash of the text) the rows that the scorer is fitted on. A text that is null or
+    ``train_rows`` bounds the distinct texts that the scorer is fitted on: drawn by a hash of the text, each once, however
+    many copies it has. No rows give none; long texts are measured whole. A text that is null or
     has no words gets no votes, the prior as posterior, score 0, and is not kept. Equal texts get equal results. With nothing
     to fit on, the score is the posterior. Columns not named are left out; ``carried`` may not name an output column.
     """
@@ -147,24 +148,27 @@ def weak_label_quality(docs: DataFrame, train_rows: int = 20_000, threshold: flo
 
     def look(batches):
         for b in batches:
-            found, index, value, shard = [], [], [], []
+            found, index, value, shard, drawn = [], [], [], [], []
             for t in b.column(0).to_pylist():
                 m, shapes = measures(t)
                 found.append(votes(m))
                 h = xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace"))
                 i, x = features(m, shapes) if m["n"] and h < share * 2 ** 64 else (None, None)
-                index.append(i), value.append(x), shard.append(None if i is None else h % SHARDS)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(shard, pa.int32()), pa.array(index, pa.list_(pa.int32())),
-                                              pa.array(value, pa.list_(pa.float32()))], names=["votes", "shard", "index", "value"])
-    seen = stored(arrow_pass(docs.select("_text"), look, "votes string, shard int, index array<int>, value array<float>"), "votes")
+                index.append(i), value.append(x), shard.append(None if i is None else h % SHARDS), drawn.append(None if i is None else h >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(shard, pa.int32()), pa.array(drawn, pa.int64()), pa.array(index, pa.list_(pa.int32())),
+                                              pa.array(value, pa.list_(pa.float32()))], names=["votes", "shard", "drawn", "index", "value"])
+    seen = stored(arrow_pass(docs.select("_text"), look, "votes string, shard int, drawn long, index array<int>, value array<float>"), "votes")
     # at most 3 ** len(LABELLERS) patterns
     post, _ = estimate({r["votes"]: r["count"] for r in seen.groupBy("votes").count().collect()})
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["votes", "n"], kind="stable")
+        rows = rows.sort_values("drawn")
         w = _fit(list(rows["index"]), list(rows["value"]), rows["votes"].map(post).to_numpy(float))
         return pd.DataFrame({"rows": [len(rows)], "w": [w.tolist()]})
-    sample = seen.where("shard is not null").select("*", F.xxhash64("index", "value").alias("n"))
+    # a text is drawn with all its copies, and then counts once; a shard holds no more than its part of ``train_rows``
+    first = Window.partitionBy("shard").orderBy("drawn")
+    sample = (seen.where("shard is not null").dropDuplicates(["shard", "drawn"])
+              .withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(1, train_rows // SHARDS)).drop("place"))
     fitted = sorted(map(tuple, sample.groupBy("shard").applyInPandas(fit, "rows long, w array<double>").collect()))    # SHARDS rows
     weights = np.average([w for _, w in fitted], axis=0, weights=[n for n, _ in fitted]) if fitted else None
 
