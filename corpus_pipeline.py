@@ -17,14 +17,14 @@ from websift.llm.weak_labels import weak_label_quality
 
 
 def row_key() -> Column:
-    """A stage's own key of a row: 64 bits of id, text and source, nulls told apart. Equal rows share it."""
-    columns = ("doc_id", "text", "source")
-    return F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+    """A stage's own key of a row: 128 bits of its columns, nulls told apart. Only equal rows share it."""
+    written = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (F.col(c).cast("string") for c in DOC_COLUMNS)]
+    return F.md5(F.concat(*written))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``key`` and ``n``, the number of the row among those of its key."""
-    return docs.withColumn("key", row_key()).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("lang", "n_chars")))
+def set_key() -> Column:
+    """The id that the join over shingle sets has for a row: 64 bits of id and text, nulls told apart."""
+    return F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +39,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are judged by their own texts: of equal rows one stays, rows of one id with different texts are told apart, and rows with
     a null id are compared like others. Texts without words are near nothing; all their rows stay.
     """
-    keyed = docs.select("doc_id", "text", row_key().alias("key"))
-    joined = ngram_jaccard_join(keyed, width=5, per100=80, id_col="key")
-    groups = joined.select(F.col("doc_id").alias("key"), "component_id", "n_shingles").distinct()
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", set_key())
+    groups = (ngram_jaccard_join(worded.select("key", "text"), width=5, per100=80, id_col="key")
+              .select(F.col("doc_id").alias("key"), "component_id").distinct())
     smallest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
-    stay = (keyed.select("key", "doc_id").distinct().join(groups.where("n_shingles > 0"), "key").groupBy("component_id").agg(smallest.alias("key"))
-            .select("key", F.lit(False).alias("every"))
-            .union(groups.where("n_shingles = 0").select("key", F.lit(True))))
-    return numbered(docs).join(stay, "key").where("n = 1 or every").select(*DOC_COLUMNS)
+    stay = worded.select("key", "doc_id").distinct().join(groups, "key").groupBy("component_id").agg(smallest.alias("key")).select("key")
+    # of the rows of one key each task keeps one before they meet
+    first = Window.partitionBy("key").orderBy("source", "lang", "n_chars")
+    one = worded.join(stay, "key").withColumn("n", F.row_number().over(first)).where("n = 1")
+    return one.select(*DOC_COLUMNS).unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(*DOC_COLUMNS))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities in the texts become surrogates; every document stays."""
+    """Entities in the texts become surrogates; every document stays. Null texts stay null, repeated rows are treated alike."""
     return replace_entities(docs, key="surrogates", carried=("lang", "source")).withColumn("n_chars", F.length("text").cast("long")).select(*DOC_COLUMNS)
 
 
@@ -60,14 +61,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row has its own decision, also with a null id or an id that other rows have; equal rows share theirs in any order.
     """
     taken, _ = mix_sources(docs.withColumn("key", row_key()), carried=("key",))
-    times = (taken.where("taken > 0").groupBy("key")
-             .agg(F.sort_array(F.collect_list(F.round(F.col("taken") / F.col("size")).cast("int")), asc=False).alias("times")))
-    return (numbered(docs).join(times, "key").withColumn("times", F.get("times", F.col("n") - 1)).where("times > 0")
+    times = F.round(F.col("taken") / F.col("size"))
+    counts = taken.where("taken > 0").groupBy("key").agg(F.count_if(times == 2).alias("twice"), F.count_if(times == 1).alias("once"))
+    # equal rows are counted, then numbered: the first ones stand in the mix twice, the next once
+    number = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+    return (docs.withColumn("key", row_key()).join(counts.where("twice + once > 0"), "key").withColumn("n", number)
+            .withColumn("times", F.when(F.col("n") <= F.col("twice"), 2).when(F.col("n") <= F.col("twice") + F.col("once"), 1).otherwise(0)).where("times > 0")
             .withColumn("pass", F.explode(F.sequence(F.lit(1), "times"))).select(*DOC_COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every document in the mix, as ids."""
+    """Two sampled segmentations of every document in the mix, as ids; whole texts. A row that stands in the mix twice is encoded twice, alike."""
     return sample_pieces(docs, k=2)
 
 
