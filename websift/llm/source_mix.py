@@ -92,7 +92,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     """``(taken, pieces)``.
 
     ``taken``: per row ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` (words of the mix, repeats counted),
-    ``first_slot`` and ``last_slot`` (of the schedule; null where nothing is taken) and the ``carried`` columns, which may not name another one.
+    ``first_slot`` and ``last_slot`` (of the schedule; -1 where nothing is taken) and the ``carried`` columns, which may not name another one.
     ``pieces``: ``slot``, ``source``, ``doc_id``, ``pass`` (0 or 1), ``words``: the schedule itself.
 
     Null texts have no words and are never taken; a null source is a source. Rows of one id are told apart by text; equal
@@ -116,7 +116,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
                         (F.least("hi", (F.col("rank") + 1) * block_words) - F.greatest("lo", F.col("rank") * block_words)).alias("words"))
     sums = pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     taken = placed.join(sums, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-                                                    "first_slot", "last_slot", *carried)
+                                                    F.coalesce("first_slot", F.lit(-1)).alias("first_slot"), F.coalesce("last_slot", F.lit(-1)).alias("last_slot"), *carried)
     return taken, pieces.drop("row")
 
 
@@ -170,6 +170,6 @@ seen as (
   select r, min(slot) as first_slot, max(slot) as last_slot
   from spans join slots on spans.source is not distinct from slots.source and spans.rank = slots.rank group by r),
 words as (select r, sum(greatest(0, hi - lo))::bigint as taken from passes group by r)
-select doc_id, size, source_size, target, taken, first_slot, last_slot
+select doc_id, size, source_size, target, taken, coalesce(first_slot, -1) as first_slot, coalesce(last_slot, -1) as last_slot
 from placed join targets on placed.source is not distinct from targets.source join words using (r) left join seen using (r)
 """
