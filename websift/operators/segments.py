@@ -18,6 +18,9 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +30,12 @@ from websift.operators import filters
 from websift.session import stored
 
 SLICE_DOCS = 512            # pages in a slice, about
+SLICE_TOKENS = 2_000_000    # tokens in a slice, about; what a task holds at once
+FILE_SLICES = 1024          # slices whose blocks share a file in each bucket, about
 FREQUENT = 8                # a word is frequent if it stands in more than one of so many pages
 TITLE = 1 << 30             # added to positions in titles
 PUSHED = 2_000              # terms at most that are named in the scan's filter
-BUCKET_TOKENS = 4_000_000   # tokens in a folder of blocks, about
+BUCKET_TOKENS = 2_000_000   # tokens in a folder of blocks, about
 GRAM = "\x01"               # before trigrams of URLs
 
 BLOCK_COLUMNS = "term string, slice long, n int, ids array<long>, lens array<int>, fs array<int>, ts array<int>, pos array<array<int>>, peaks array<struct<f: int, len: int>>"
@@ -155,11 +160,16 @@ def grams_of(low: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-def _write_docs(pages: DataFrame, path: str) -> DataFrame:
+def _tokenised(pages: DataFrame) -> DataFrame:
+    """``_tokens`` written down, with ``n_tokens``: pages are parsed and cut once, however many tables are made of them."""
     t = _tokens(pages)
-    t.select("doc_id", (F.size("tt") + F.size("ct")).alias("n_tokens"), F.array_distinct(F.concat("tt", "ct", "grams")).alias("terms"),
+    return stored(t.select("doc_id", (F.size("tt") + F.size("ct")).alias("n_tokens"), "tt", "ct", "grams"), "index-tokens")
+
+
+def _write_docs(t: DataFrame, path: str) -> DataFrame:
+    t.select("doc_id", "n_tokens", F.array_distinct(F.concat("tt", "ct", "grams")).alias("terms"),
              F.array_distinct("tt").alias("title_terms")).write.mode("errorifexists").parquet(f"{path}/docs")
-    return pages.sparkSession.read.schema(DOC_COLUMNS).parquet(f"{path}/docs")
+    return t.sparkSession.read.schema(DOC_COLUMNS).parquet(f"{path}/docs")
 
 
 def _count_terms(docs: DataFrame) -> DataFrame:
@@ -172,17 +182,18 @@ def _band(n_tokens: Column) -> Column:
     return F.floor(F.log2(n_tokens + 1) * 2).cast("int")
 
 
-def _slice(sizes: dict[int, int], slice_docs: int) -> Column:
-    """Pages of like length share slices, so that bounds of blocks differ. ``sizes``: pages in each band of length."""
+def _slice(sizes: dict[int, tuple[int, int]], slice_docs: int) -> Column:
+    """Pages of like length share slices, so that bounds of blocks differ. ``sizes``: pages and tokens in each band of length."""
     band, parts = _band(F.col("n_tokens")), F.lit(1)
-    for b, n in sizes.items():
-        parts = F.when(band == b, -(-n // slice_docs)).otherwise(parts)
+    for b, (n, tokens) in sizes.items():
+        parts = F.when(band == b, max(-(-n // slice_docs), -(-tokens // SLICE_TOKENS))).otherwise(parts)
     return band.cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), parts)
 
 
-def _sizes(docs: DataFrame) -> dict[int, int]:
-    """Pages by band of length: as many rows as twice the logarithm of the longest page."""
-    return {r["b"]: r["n"] for r in docs.groupBy(_band(F.col("n_tokens")).alias("b")).agg(F.count("*").alias("n")).collect()}
+def _sizes(docs: DataFrame) -> dict[int, tuple[int, int]]:
+    """Pages and tokens by band of length: as many rows as twice the logarithm of the longest page."""
+    by_band = docs.groupBy(_band(F.col("n_tokens")).alias("b")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+    return {r["b"]: (r["n"], r["tokens"]) for r in by_band.collect()}
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -210,24 +221,95 @@ def _blocks(each: DataFrame) -> DataFrame:
     return b.withColumn("peaks", peaks(F.col("fs"), F.col("lens")))
 
 
-def _write_blocks(each: DataFrame, path: str) -> None:
-    _blocks(each).sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").parquet(f"{path}/blocks")
-
-
-def _occurrences(pages: DataFrame, frequent: list[str], buckets: int, slices: Column) -> DataFrame:
-    t = _tokens(pages).withColumn("n_tokens", F.size("tt") + F.size("ct")).withColumn("slice", slices)
-
-    def placed(field: str, base: int) -> Column:
-        return F.transform(field, lambda x, i: F.struct(x.alias("term"), (i + base).alias("pos"), F.get(F.col(field), i + 1).alias("next")))
-    rows = t.select("doc_id", "n_tokens", "slice", F.explode(F.concat(placed("tt", TITLE), placed("ct", 0))).alias("x"))
-    word, follows = F.col("x.term"), F.col("x.next")
-    both = F.expr(f"x.term in ({listed(frequent)}) and x.next in ({listed(frequent)})") if frequent else F.lit(False)
-    pair = F.when(both, F.concat(word, F.lit(" "), follows))
-    rows = rows.select("doc_id", "n_tokens", "slice", F.explode(F.array_compact(F.array(word, pair))).alias("term"), F.col("x.pos").alias("pos"))
-    grams = t.select("doc_id", "n_tokens", "slice", F.explode("grams").alias("term"), F.lit(None).cast("int").alias("pos"))
-    rows = rows.unionByName(grams).withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition("bucket", "slice")
-    # dealt by bucket and slice: both groupings go without another shuffle
-    return rows.groupBy("bucket", "slice", "term", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+def _write_blocks(blocks: DataFrame, path: str) -> None:
+    blocks.sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").parquet(f"{path}/blocks")
+
+
+def _slice_blocks(frequent: list[str]):
+    """The blocks of one slice, from a table of its pages (``doc_id, n_tokens, tt, ct, grams, slice``): occurrences are numbers, sorted at once."""
+    title, gram = TITLE, GRAM
+
+    def blocks(pages: pa.Table) -> pa.Table:
+        null = pages["doc_id"].is_null().to_numpy()
+        ids, lens = pages["doc_id"].fill_null(0).to_numpy(), pages["n_tokens"].to_numpy()
+        # rows of one page (id and length) are one entry; pages in order of id, null first
+        order = np.lexsort((lens, ids, ~null))
+        ids, lens, null = ids[order], lens[order], null[order]
+        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (lens[1:] != lens[:-1]) | (null[1:] != null[:-1])))
+        page_of = np.empty(len(order), np.int64)
+        page_of[order] = np.cumsum(new) - 1
+        ids, lens, null = ids[new], lens[new], null[new]
+        words, page, at, ends = [], [], [], []
+        for column, base in (("tt", title), ("ct", 0), ("grams", 0)):
+            lists = pages[column].combine_chunks()
+            n = lists.value_lengths().to_numpy()
+            words.append(lists.flatten())
+            page.append(np.repeat(page_of, n))
+            at.append(np.zeros(n.sum(), np.int64) if column == "grams" else np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + base)
+            last = np.zeros(n.sum(), bool)
+            last[np.cumsum(n)[n > 0] - 1] = True
+            ends.append(last)
+        page, at, ends = np.concatenate(page), np.concatenate(at), np.concatenate(ends)
+        coded = pa.concat_arrays(words).dictionary_encode()
+        terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        # pairs of neighbouring frequent words
+        often = pc.is_in(terms, value_set=pa.array(frequent, pa.string())).to_numpy(zero_copy_only=False)[code]
+        first = np.flatnonzero(often[:-1] & often[1:] & ~ends[:-1])
+        pairs, pair = np.unique(code[first] * len(terms) + code[first + 1], return_inverse=True)
+        names = pc.binary_join_element_wise(terms.take(pa.array(pairs // max(len(terms), 1))), terms.take(pa.array(pairs % max(len(terms), 1))), " ")
+        code, page, at = np.concatenate((code, pair + len(terms))), np.concatenate((page, page[first])), np.concatenate((at, at[first]))
+        terms = pa.concat_arrays([terms, names])
+        # in order of term, page, position
+        key = code * len(ids) + page
+        if len(terms) * len(ids) < 1 << 32:
+            key = np.sort(key << 31 | at)
+            key, at = key >> 31, key & (1 << 31) - 1
+        else:
+            order = np.lexsort((at, key))
+            key, at = key[order], at[order]
+        # entries: a term in a page
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        code, page = key[starts] // max(len(ids), 1), key[starts] % max(len(ids), 1)
+        is_gram = pc.starts_with(terms, gram).to_numpy(zero_copy_only=False)[code]
+        fs = np.diff(np.append(starts, len(key)))
+        ts = np.diff(np.append(0, np.cumsum(at >= title))[np.append(starts, len(key))])
+        at = at[~np.repeat(is_gram, fs)]
+        places = np.append(0, np.cumsum(np.where(is_gram, 0, fs)))
+        fs = np.where(is_gram, 1, fs)
+        # blocks: a term's entries
+        begins = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
+        ranges = pa.array(np.append(begins, len(code)), pa.int32())
+        block = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(code))))
+        # peaks: see ``peaks``
+        group = block * 64 + np.frexp(fs)[1]
+        order = np.argsort(group, kind="stable")
+        peak = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0))) if len(group) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(fs[order], peak) if len(peak) else fs
+        least = np.minimum.reduceat(lens[page][order], peak) if len(peak) else fs
+        peak_ranges = np.searchsorted(group[order][peak] // 64, np.arange(len(begins) + 1))
+
+        def lists(values, kind, mask=None):
+            return pa.ListArray.from_arrays(ranges, pa.array(values, kind, mask=mask))
+        return pa.table({
+            "term": terms.take(pa.array(code[begins])), "slice": pa.repeat(pages["slice"][0], len(begins)), "n": pa.array(np.diff(np.append(begins, len(code))), pa.int32()),
+            "ids": lists(ids[page], pa.int64(), null[page]), "lens": lists(lens[page], pa.int32()), "fs": lists(fs, pa.int32()), "ts": lists(ts, pa.int32()),
+            "pos": pa.ListArray.from_arrays(ranges, pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(at, pa.int32()))),
+            "peaks": pa.ListArray.from_arrays(pa.array(peak_ranges, pa.int32()), pa.StructArray.from_arrays([pa.array(most, pa.int32()), pa.array(least, pa.int32())], ["f", "len"]))})
+
+    blocks.__module__ = "__main__"      # pickled by value: executors need no copy of this package
+    return blocks
+
+
+def _page_blocks(t: DataFrame, frequent: list[str], buckets: int, slices: Column, files: int) -> DataFrame:
+    """Blocks of tokenised pages: these are shuffled by slice, and the blocks then by bucket, in ``files`` files each."""
+    made = t.withColumn("slice", slices).groupBy("slice").applyInArrow(_slice_blocks(frequent), BLOCK_COLUMNS)
+    made = made.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    return made.repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(files)))
+
+
+def _files(n: int, slice_docs: int) -> int:
+    """Files in a bucket, so that a word that is everywhere stays in none alone."""
+    return max(1, -(-n // (slice_docs * FILE_SLICES)))
 
 
 def _totals(docs: DataFrame) -> tuple[int, int]:
@@ -238,13 +320,14 @@ def _totals(docs: DataFrame) -> tuple[int, int]:
 def create(pages: DataFrame, path: str, slice_docs: int = SLICE_DOCS) -> Index:
     """Index ``pages`` (``id, url, title, content``) under a new ``path``."""
     spark, name, words = pages.sparkSession, _part(path, "segment"), _part(path, "frequent")
-    docs = _write_docs(pages, name)
+    t = _tokenised(pages)
+    docs = _write_docs(t, name)
     n, tokens = _totals(docs)
     _count_terms(docs).sortWithinPartitions("term").write.parquet(f"{name}/terms")
     counted = spark.read.schema(TERM_COLUMNS).parquet(f"{name}/terms")
     frequent = _write_frequent(counted, n, words)
     buckets = max(8, -(-tokens // BUCKET_TOKENS))
-    _write_blocks(_occurrences(pages, frequent, buckets, _slice(_sizes(docs), slice_docs)), name)
+    _write_blocks(_page_blocks(t, frequent, buckets, _slice(_sizes(docs), slice_docs), _files(n, slice_docs)), name)
     return _commit(spark, path, 1, [_row("segment", name, 1, n, tokens, buckets), _row("frequent", words, 0, 0, 0, buckets)])
 
 
@@ -269,10 +352,11 @@ def apply_changes(index: Index, changes: DataFrame, slice_docs: int = SLICE_DOCS
     last = stored(last, "index-changes")
     name, tombs = _part(path, "segment"), _part(path, "tombs")
     new = last.where("op <> 'delete'").select("id", "url", "title", "content")
-    docs = _write_docs(new, name)
+    t = _tokenised(new)
+    docs = _write_docs(t, name)
     n, tokens = _totals(docs)
     _count_terms(docs).write.parquet(f"{name}/terms")
-    _write_blocks(_occurrences(new, index.frequent(), index.buckets, _slice(_sizes(docs), slice_docs)), name)
+    _write_blocks(_page_blocks(t, index.frequent(), index.buckets, _slice(_sizes(docs), slice_docs), _files(n, slice_docs)), name)
     ended = stored(index.docs().join(last.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").drop("seq"), "index-ended")
     gone, gone_tokens = _totals(ended)
     ended.select("doc_id").write.parquet(f"{tombs}/ended")
@@ -292,7 +376,7 @@ def merge(index: Index, slice_docs: int = SLICE_DOCS) -> Index:
     counters.sortWithinPartitions("term").write.parquet(f"{name}/terms")
     entry = F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("lens").alias("n_tokens"), "pos"))
     each = index.living(index.blocks().select("bucket", "term", "seq", entry.alias("x")).select("bucket", "term", "seq", "x.*"))
-    _write_blocks(each.drop("seq").withColumn("slice", _slice(_sizes(docs), slice_docs)).repartition("bucket", "slice"), name)
+    _write_blocks(_blocks(each.drop("seq").withColumn("slice", _slice(_sizes(docs), slice_docs)).repartition("bucket", "slice")), name)
     words = next(r for r in index.rows if r["kind"] == "frequent")
     return _commit(spark, path, index.version + 1, [_row("segment", name, seq, n, tokens, index.buckets), words])
 
