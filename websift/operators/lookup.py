@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from websift.functions import rank as R
 from websift.operators import segments as G
+from websift.operators.salt import salted_join
 from websift.session import stored
 
 PLACE = ["seq", "slice"]
@@ -152,25 +153,51 @@ def weighed(index: G.Index, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return G.held(need.select("sid", "n_phrases", "phrase", "df", "weight"), "need")[0], blocks
 
 
+def _members(wanted: DataFrame, parts: Column, *more: str) -> DataFrame:
+    """``wanted`` with ``set``, the name of what a search looks for (its ``parts``, in any order): equal for searches that find the same."""
+    name = F.sha1(F.concat_ws("\x1f", F.sort_array(parts), *[F.col(c).cast("string") for c in more]))
+    return G.held(wanted.withColumn("set", name), "members")[0]
+
+
+def score_sets(index: G.Index, wanted: DataFrame, depth: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``score_searches`` before its hits are dealt out: ``set, doc_id, rank``, and ``set, sid``. Searches for the same phrases (and of the
+    same depth) share a set, which is looked up once, however many searches there are."""
+    keys = F.transform("phrases", lambda p: phrase_key(p.title_only, p.tokens))
+    members = _members(wanted.select("sid", "phrases"), keys) if depth is None else _members(wanted.select("sid", "phrases").join(depth, "sid"), keys, "depth")
+    need, blocks = weighed(index, members.groupBy("set").agg(F.first("phrases").alias("phrases")).withColumnRenamed("set", "sid"))
+    met = _met(index, need, blocks)
+    if depth is None:
+        found = _evaluated(index, need, blocks, met.select("sid", "n_phrases", *PLACE))
+    else:
+        found = _best(index, need, blocks, met, members.select(F.col("set").alias("sid"), "depth").distinct())
+    return found.withColumnRenamed("sid", "set"), members.select("set", "sid")
+
+
 def score_searches(index: G.Index, wanted: DataFrame, depth: DataFrame | None = None) -> DataFrame:
     """``sid, doc_id, rank``: the pages that hold all phrases of each search, with BM25.
 
     With ``depth`` (``sid, depth``), pages that cannot be among a search's first ``depth`` may be missing, and the slices that hold
     only such are not read.
     """
-    need, blocks = weighed(index, wanted)
-    met = _met(index, need, blocks)
-    if depth is None:
-        return _evaluated(index, need, blocks, met.select("sid", "n_phrases", *PLACE))
-    return _best(index, need, blocks, met, depth)
+    found, members = score_sets(index, wanted, depth)
+    return salted_join(found, members, ["set"], "doc_id").select("sid", "doc_id", "rank")
 
 
-def pages_with_all(index: G.Index, wanted: DataFrame) -> DataFrame:
-    """``sid, doc_id``: the pages that hold all terms of each search (``sid, terms``, at least one each)."""
-    each = wanted.select("sid", F.explode(F.array_distinct("terms")).alias("phrase"), F.size(F.array_distinct("terms")).alias("n_phrases"))
+def sets_with_all(index: G.Index, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pages_with_all`` before its pages are dealt out: ``set, doc_id``, and ``set, sid``."""
+    members = _members(wanted.select("sid", F.array_distinct("terms").alias("terms")), F.col("terms"))
+    sets = members.groupBy("set").agg(F.first("terms").alias("terms"))
+    each = sets.select(F.col("set").alias("sid"), F.explode("terms").alias("phrase"), F.size("terms").alias("n_phrases"))
     each, _ = G.held(each, "searches")
     terms, rows = G.held(each.select(F.col("phrase").alias("term")).distinct(), "terms")
     df = G.counts_of(index, terms, rows).select(F.col("term").alias("phrase"), F.col("n_docs").alias("df")).where("df > 0")
     need = G.held(each.join(df, "phrase").withColumn("weight", F.lit(0.0)), "need")[0]
     blocks = G.blocks_of(index, terms, rows).withColumnRenamed("term", "phrase").select(*PHRASE_BLOCKS)
-    return _evaluated(index, need, blocks, _met(index, need, blocks).select("sid", "n_phrases", *PLACE)).select("sid", "doc_id")
+    found = _evaluated(index, need, blocks, _met(index, need, blocks).select("sid", "n_phrases", *PLACE))
+    return found.select(F.col("sid").alias("set"), "doc_id"), members.select("set", "sid")
+
+
+def pages_with_all(index: G.Index, wanted: DataFrame) -> DataFrame:
+    """``sid, doc_id``: the pages that hold all terms of each search (``sid, terms``, at least one each)."""
+    found, members = sets_with_all(index, wanted)
+    return salted_join(found, members, ["set"], "doc_id").select("sid", "doc_id")
