@@ -261,17 +261,19 @@ def _batch_hits(searches: DataFrame, pages: DataFrame, index: segments.Index, su
     named = searches.filter(F.size("phrases") > 0)
     by_rank = F.col("site").isNull() & (F.size("inurl") == 0) & F.col("since").isNull() & ~F.col("by_date")
     depths = named.select("sid", F.when(by_rank, F.col("depth")).otherwise(F.lit(2**31 - 1)).alias("depth")) if best else None
-    found = lookup.score_searches(index, named, depths)
+    found, members = lookup.score_sets(index, named, depths)
     cols = ["sid", "doc_id", "rank", "by_date", "crawled_at"]
     if survey.by_url:
         unnamed = searches.filter((F.size("phrases") == 0) & (F.size("grams") > 0)).select("sid", F.col("grams").alias("terms"))
-        found = found.unionByName(lookup.pages_with_all(index, unnamed).withColumn("rank", F.lit(0.0)))
-    if survey.need_pages:
-        tests = searches.select("sid", "site", "inurl", "since", "by_date")
-        found = salted_join(found.join(facts, "doc_id"), tests, ["sid"], "doc_id")
+        more, more_members = lookup.sets_with_all(index, unnamed)
+        found, members = found.unionByName(more.withColumn("rank", F.lit(0.0))), members.unionByName(more_members)
+    if survey.need_pages:      # a hit meets its page before it is dealt out to the searches that share it
+        tests = searches.select("sid", "site", "inurl", "since", "by_date").join(members, "sid")
+        found = salted_join(found.join(facts, "doc_id"), tests, ["set"], "doc_id")
         found = found.filter(filters.conditions(F.col("low_url"), F.col("crawled_at"), F.col("site"),
                                                 F.col("inurl"), F.col("since"))).select(*cols)
     else:
+        found = salted_join(found, members, ["set"], "doc_id")
         found = found.select("sid", "doc_id", "rank", F.lit(False).alias("by_date"),
                              F.lit(None).cast("timestamp_ntz").alias("crawled_at"))
     for some in _bare(searches, facts, survey.bare):
@@ -312,7 +314,7 @@ def search_batch(queries: DataFrame, pages: DataFrame, index: segments.Index, no
 
 def batch_summary(queries: DataFrame, pages: DataFrame, index: segments.Index, now=None) -> DataFrame:
     """One row for each searchable query, queries without hits included."""
-    searches, asked = _parsed(queries, now)
+    searches, asked = _parsed(queries.withColumn("sort_by", F.lit("relevance")), now)      # totals are the same in any order
     totals = _batch_hits(searches, pages, index, _survey(searches), False).groupBy("sid").agg(F.count(F.lit(1)).alias("total_results"))
     rows = asked.join(totals, "sid", "left").fillna(0, ["total_results"])
     return (paging.with_summary(rows)
