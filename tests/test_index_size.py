@@ -79,3 +79,16 @@ def test_equal_searches_are_looked_up_once(spark, tmp_path, monkeypatch):
     looked.clear()
     total = search.batch_summary(queries, p, ix)
     assert looked == [1] and {r["total_results"] for r in total.collect()} == {20}
+
+
+def test_changes_are_cut_once(spark, tmp_path, monkeypatch):
+    cut = []
+    plain = G._tokens
+    monkeypatch.setattr(G, "_tokens", lambda pages: cut.append(1) or plain(pages))
+    ix = G.create(store(spark, [(i, "", "", f"a b w{i}") for i in range(9)]), f"{tmp_path}/i")
+    assert len(cut) == 1
+    ix = G.apply_changes(ix, spark.createDataFrame([(0, "update", 3, "", "new", "a c"), (1, "delete", 4, "", "", "")],
+                                                   "seq long, op string, id long, url string, title string, content string"))
+    assert len(cut) == 2 and ix.n_docs == 8
+    terms = ix.counters().groupBy("term").agg(F.sum("n_docs").alias("n")).where("n > 0")
+    assert {r["term"]: r["n"] for r in terms.collect()} == {"a": 8, "b": 7, "c": 1, "new": 1, **{f"w{i}": 1 for i in range(9) if i not in (3, 4)}}
