@@ -37,6 +37,7 @@ _FINE = re.compile(rf"\n|{BLANK}*{_LETTER}+|{BLANK}*{_OTHER}+|{BLANK}+|\d")
 _BASE, _STEP, _TURN, _WORD, _BRANCH = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 EDGES = 7_000_000           # of word lattices kept in a task before they are built anew
 GROUP = 100                 # texts walked together
+SLOTS = 16                  # bits of a hash that name its slot in a table of pieces
 
 
 def load_pieces(model: str = MODEL) -> list[str]:
@@ -60,14 +61,18 @@ class Lattices:
         self.byte_log = -np.log((len(normal) + 3) * mass)
         self.cut = _FINE if all(_FINE.fullmatch(pieces[i]) for i in normal) else _WORDS
         self.longest = max((len(pieces[i]) for i in normal), default=1)
-        # by length: hashes of the pieces in order with ids and logarithms, and of what longer pieces begin with
+        # by length: tables of the pieces' hashes with ids and logarithms, and of what longer pieces begin with
         self.tables, self.prefixes = {}, {}
-        for n in range(1, self.longest + 1):
-            own = [i for i in normal if len(pieces[i]) == n]
-            h = self._hash([pieces[i] for i in own], n)
-            o = np.argsort(h)
-            self.tables[n] = h[o], np.array(own, np.int32)[o], np.array([log[i] for i in own])[o]
-            self.prefixes[n] = np.unique(self._hash([pieces[i][:n] for i in normal if len(pieces[i]) > n], n))
+        by_length: dict[int, list[int]] = {}
+        for i in normal:
+            by_length.setdefault(len(pieces[i]), []).append(i)
+        begun: set[str] = set()
+        for n in range(self.longest, 0, -1):
+            own = by_length.get(n, [])
+            table, o = self._table(self._hash([pieces[i] for i in own], n))
+            self.tables[n] = table, np.array(own, np.int32)[o], np.array([log[i] for i in own], float)[o]
+            self.prefixes[n] = self._table(np.unique(self._hash(list(begun), n)))[0]
+            begun = {p[:n - 1] for p in begun}.union(pieces[i][:n - 1] for i in own)
         self.clear()
 
     @staticmethod
@@ -78,6 +83,30 @@ class Lattices:
             h = h * _BASE + codes[:, k] + np.uint64(1)
         return h
 
+    @staticmethod
+    def _table(hashes: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Hashes in order of their slots, each slot's first one (-1: none) and which are their slot's last; and that order."""
+        slot = _slot(hashes)
+        order = np.argsort(slot, kind="stable")
+        slot, first = slot[order], np.full(1 << SLOTS, -1, np.int32)
+        first[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        return (hashes[order], first, np.append(slot[1:] != slot[:-1], True)), order
+
+    @staticmethod
+    def _hits(hashes: np.ndarray, slots: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are in ``table``, and where."""
+        keys, first, last = table
+        i = first[slots]
+        some = np.flatnonzero(i >= 0)
+        h, i = hashes[some], i[some]
+        wrong = np.flatnonzero(keys[i] != h)
+        while len(wrong):
+            wrong = wrong[~last[i[wrong]]]
+            i[wrong] += 1
+            wrong = wrong[keys[i[wrong]] != h[wrong]]
+        same = keys[i] == h
+        return some[same], i[same]
+
     def clear(self) -> None:
         self.words: dict[str, int] = {}
         self.n_edges = self.n_nodes = 0
@@ -103,18 +132,18 @@ class Lattices:
         single = np.zeros(n, bool)
         for k in range(1, self.longest + 1):
             h = h * _BASE + codes[at + k - 1] + np.uint64(1)
-            keys, ids, logs = self.tables[k]
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[i] == h
-                found.append((at[hit], np.full(int(hit.sum()), k), ids[i[hit]], logs[i[hit]]))
+            slots = _slot(h)
+            table, ids, logs = self.tables[k]
+            if len(ids):
+                hit, i = self._hits(h, slots, table)
+                found.append((at[hit], np.full(len(hit), k), ids[i], logs[i]))
                 if k == 1:
                     single[at[hit]] = True
             begins = self.prefixes[k]
-            if not len(begins):
+            if not len(begins[0]):
                 break
-            more = begins[np.minimum(np.searchsorted(begins, h), len(begins) - 1)] == h
-            more &= at + k < end[at]
+            more = np.flatnonzero(at + k < end[at])
+            more = more[self._hits(h[more], slots[more], begins)[0]]
             at, h = at[more], h[more]
         # a character that is no piece is spelt in bytes
         odd = np.flatnonzero(~single)
@@ -263,6 +292,10 @@ class Lattices:
         return np.array(out, np.int32)
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes ^ (hashes >> np.uint64(29))) * _BASE >> np.uint64(64 - SLOTS)).view(np.int64)
+
+
 def _times(n: int, factor: np.uint64) -> np.uint64:
     return np.uint64(n * int(factor) & (1 << 64) - 1)
 
@@ -285,9 +318,16 @@ def decoder(pieces: list[str]):
     """A function from ids to text: blanks for blank signs, bytes to characters (broken ones to U+FFFD), without the blank in front."""
     spelt = {i: int(p[3:5], 16) for i, p in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}
     data = [bytes([spelt[i]]) if i in spelt else b"" if p in ("<s>", "</s>") else b" \xe2\x81\x87 " if p == "<unk>" else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+    flat, size = np.frombuffer(b"".join(data), np.uint8), np.fromiter(map(len, data), np.int64, len(data))
+    start = np.cumsum(size) - size
 
     def decode(ids) -> str:
-        text = b"".join(map(data.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        n = size[ids]
+        ends = np.cumsum(n)
+        at = np.repeat(start[ids] - ends + n, n)
+        at += np.arange(len(at))
+        text = flat[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
     return decode
 
@@ -320,7 +360,7 @@ def sample_pieces(docs: DataFrame, k: int = 2, model: str = MODEL, seed: str = "
                 for (d, t), ways in zip(part, lattices.top([lattices.starts(w) for w in words], keys, k)):
                     for i, (edges, log, value, inclusion) in enumerate(ways):
                         got = lattices.ids(edges)
-                        rows.append((d, i + 1, len(got), log, value, inclusion, decode(got.tolist()) == t))
+                        rows.append((d, i + 1, len(got), log, value, inclusion, decode(got) == t))
                         flat.append(got)
                 columns = list(zip(*rows))
                 offsets = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
