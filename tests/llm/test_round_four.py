@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from websift.llm import gumbel_pieces
+from websift.llm import gumbel_pieces, ngram_join
 
 
 def test_tables_of_pieces_find_each_piece_and_no_other():
@@ -26,3 +26,67 @@ def test_decoder_takes_arrays_and_lists():
     for ids in ([259, 260, 3 + 0xC3, 3 + 0xA9], [1], [0], []):
         assert decode(np.array(ids, np.int32)) == decode(ids)
     assert decode([259, 260, 3 + 0xC3, 3 + 0xA9]) == "aéé"
+
+
+def _variants(spark, rng, groups: int, size: int, changed: int):
+    """Groups of texts of 300 words, each with ``changed`` of them replaced at other places than in the others."""
+    rows = []
+    for g in range(groups):
+        words = [f"w{g}x{i}" for i in range(300)]
+        for k in range(size):
+            own = list(words)
+            for at in rng.choice(300, changed, replace=False):
+                own[at] = f"v{g}x{k}x{at}"
+            rows.append((len(rows), " ".join(own)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def _linked(rows, width, per100):
+    sets = [set(zip(*(t.split()[i:] for i in range(width)))) for _, t in rows]
+    low = list(range(len(rows)))
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= per100 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                low[b] = a
+    return {i: root(i) for i in range(len(rows))}
+
+
+def test_join_passes_on_few_pairs_of_what_is_nearly_near(spark, monkeypatch):
+    """Pairs just below the threshold that share very many shingles reach the bitmaps of whole sets a few times at most, not once for each shingle."""
+    made = {}
+    arrow_pass = ngram_join.arrow_pass
+
+    def counted(df, fn, schema):
+        out = arrow_pass(df, fn, schema)
+        if fn.__name__ in ("walk", "dealt"):
+            out = out.persist()
+            made[fn.__name__] = out.count() if fn.__name__ == "walk" else out.where("other is not null").count()
+        return out
+    monkeypatch.setattr(ngram_join, "arrow_pass", counted)
+    for size, changed in ((30, 4), (6, 4)):
+        rows, df = _variants(spark, np.random.default_rng(size + changed), 3, size, changed)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(df, 5, 80).collect()}
+        assert got == _linked(rows, 5, 80)
+        assert made["walk"] <= 2 * 3 * size * (size - 1) // 2, made
+
+
+def test_join_meets_all_sets_of_a_frequent_shingle(spark):
+    """Shingles with more sets than are paired at once, shared by sets that have no hub in common otherwise."""
+    rng, rows = np.random.default_rng(5), []
+    for g in range(6):
+        base = [f"b{g}x{i}" for i in range(60)]
+        for k in range(12):
+            own = list(base)
+            own[int(rng.integers(60))] = f"c{g}x{k}"
+            own[int(rng.integers(60))] = "common"
+            rows.append((len(rows), " ".join(["shared long words here"] * 2 + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for per100 in (60, 80, 90):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(df, 3, per100).collect()}
+        assert got == _linked(rows, 3, per100)

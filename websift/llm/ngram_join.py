@@ -1,9 +1,10 @@
 """N-gram Jaccard join by signature trees.
 
 Documents become sets of word shingles. Equal sets are one node of the join. Sets are ordered by one global order,
-long shingles first and the most frequent last; two sets at or above the threshold then share a shingle of their prefixes, so the sets
-under one prefix shingle form one tree: leaves of a few sets, nodes above them, each with the OR and the AND of
-its sets' token bitmaps and its range of sizes. Two trees of a shingle are walked together; a pair of nodes is left
+long shingles first and the most frequent last; two sets at or above the threshold then share a shingle of their prefixes. Few sets under
+one prefix shingle are paired at once. Where there are more, shingles with one hub (see below) hold mostly the same sets, so the sets of
+all these shingles together form one tree: leaves of a few sets, nodes above them, each with the OR and the AND of
+its sets' token bitmaps and its range of sizes. Two trees of a hub are walked together; a pair of nodes is left
 when sizes or bitmaps show that no pair below can reach the threshold, or when all below is already one component.
 
 Large groups of near copies would give all their pairs. So each set is first held against one hub for each of its shingles: of the
@@ -22,15 +23,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from websift.llm.common import Scratch, arrow_pass, components, heaviest, shingles, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BITS = 1024                 # of a set's token bitmap in the trees
-WIDE = 8192                 # of the bitmap that pairs are held to before their sets meet
+BITS = 1024                 # of the token bitmap that each set has
+WIDE = 8192                 # of the bitmap in the trees, which pairs are held to before their sets meet
+FEW = 8                     # sets under one shingle that are paired without a tree
 HOT = 1 << 17               # shingles whose frequency orders them last; only the order, never the result, depends on it
 LEAF, FAN, BLOCK = 32, 8, 1024      # sets in a leaf, nodes below one above the leaves, sets in one tree
 OPENED = 64                 # pairs of nodes opened together
@@ -176,14 +178,12 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
     sets = scratch.stored(arrow_pass(docs, describe, "doc_id long, key binary, n long, sig binary, prefix array<long>"), "join-sets")
     # one node for each distinct set
     nodes = scratch.stored(sets.where("n > 0 and doc_id is not null").groupBy("key")
-                           .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "join-nodes")
-    listed = (sets.join(nodes.select(F.col("id").alias("doc_id"), "key"), ["doc_id", "key"])
-              .select(F.explode("prefix").alias("token"), F.col("doc_id").alias("id"), "n"))
-    counts = listed.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    under = scratch.stored(listed.join(counts, "token").select("token", "id", "n", "df"), "join-candidates")
+                           .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix")), "join-nodes")
+    listed = nodes.select(F.explode("prefix").alias("token"), "id", "n")
+    under = scratch.stored(listed.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1"), "join-candidates")
     weights = under.groupBy("id").agg(F.sum("df").alias("weight"))
-    heads = (under.select("token", "id", "n").join(weights, "id").groupBy("token").agg(F.max(F.struct("weight", F.bitwise_not("id"), "id", "n")).alias("hub"))
-             .select("token", F.col("hub.id").alias("head"), F.col("hub.n").alias("head_n")))
+    heads = scratch.stored(under.select("token", "id", "n").join(weights, "id").groupBy("token").agg(F.max(F.struct("weight", F.bitwise_not("id"), "id", "n")).alias("hub"))
+                           .select("token", F.col("hub.id").alias("head"), F.col("hub.n").alias("head_n")), "join-heads")
 
     def plausible(batches):
         for b in batches:
@@ -212,23 +212,32 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
                     a.append(i), c.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    def tokens_of(batches):
+    def bitmaps_of(batches):
         for b in batches:
             sets = [shingles(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s, WIDE).tobytes() for s in sets], pa.binary()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "sig", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s, WIDE).tobytes() for s in sets], pa.binary())],
+                                             names=["id", "n", "sig"])
+
+    def tokens_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "tokens"])
 
     def sided(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(table.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
         return pairs.select(*(c for side in ("a", "b") for c in (side, *(f"{x}_{side}" for x in columns))))
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return docs.join(ids.distinct(), "doc_id").select("doc_id", "text")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
     def verified(pairs: DataFrame, what: str) -> DataFrame:
-        """The pairs of ``a`` and ``b`` at or above the threshold. Sets are made again for just the documents in them."""
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        own = scratch.stored(arrow_pass(docs.join(wanted, "doc_id").select("doc_id", "text"), tokens_of,
-                                "id long, n long, sig binary, tokens binary"), f"join-{what}-tokens")
+        """The pairs of ``a`` and ``b`` at or above the threshold. Wide bitmaps are made for just the documents in them, sets for those in what these leave."""
+        own = scratch.stored(arrow_pass(texts_of(ends(pairs)), bitmaps_of, "id long, n long, sig binary"), f"join-{what}-wide")
         pairs = scratch.stored(arrow_pass(sided(pairs, own, "n", "sig"), wide, "a long, b long").distinct(), f"join-{what}-close")
+        own = scratch.stored(arrow_pass(texts_of(ends(pairs)), tokens_of, "id long, tokens binary"), f"join-{what}-tokens")
         return arrow_pass(sided(pairs, own, "tokens"), exact, "a long, b long").distinct()
 
     compatible = f"{per100} * n <= 100 * {{0}} and {per100} * {{0}} <= 100 * n"
@@ -239,7 +248,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
     scratch.drop("join-pairs")
     labels = components(links, "join-star", scratch.stored)
 
-    # trees, only under shingles that still hold two components, of sets with a neighbour of fitting size
+    # pairs and trees, only under shingles that still hold two components, of sets with a neighbour of fitting size
     placed = under.select("token", "id", "n").join(labels, "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c"))
     open_tokens = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
 
@@ -260,17 +269,57 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
         if held is not None:
             yield held
 
-    fit = arrow_pass(placed.join(open_tokens, "token").select("token", "id", "c", "n").repartitionByRange("token", "n", "id")
-                     .sortWithinPartitions("token", "n", "id"), fitting, "token long, id long, c long, n long")
-    rest = (fit.join(nodes.select("id", "sig"), "id").repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id"))
+    def dealt(batches):
+        """Pairs (``id``, ``other``) of the sets under shingles with few; the rows of other shingles, and of those at the ends, which may go on elsewhere."""
+        def cut(t, all_rows):
+            token, id_, c, n = (t.column(k).to_numpy() for k in range(4))
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            sizes = np.diff(np.append(starts, len(token)))
+            many = (sizes > FEW) | np.isin(token[starts], list(all_rows))
+            alone = np.repeat(many, sizes)
+            first, second = [], []
+            for k in range(1, FEW):
+                i = np.flatnonzero((token[k:] == token[:-k]) & ~alone[k:] & (c[k:] != c[:-k]) & (per100 * n[k:] <= 100 * n[:-k]))
+                first.append(i), second.append(i + k)
+            first, second = np.concatenate(first), np.concatenate(second)
+            rows = np.flatnonzero(alone)
+            at = np.concatenate([rows, first])
+            other = pa.array(np.concatenate([np.zeros(len(rows), np.int64), id_[second]]), mask=np.arange(len(at)) < len(rows))
+            return pa.RecordBatch.from_arrays([*(pa.array(v[at]) for v in (token, id_, c)), other], names=["token", "id", "c", "other"])
+        held, ends = None, set()            # the rows of the last shingle so far; shingles whose rows are not paired here
+        for b in fitting(batches):
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+            token = t.column(0).to_numpy()
+            if held is None and not ends:
+                ends = {int(token[0])}
+            last = int(token[-1])
+            start = int(np.searchsorted(token, last))
+            if len(token) - start > FEW or last in ends:        # enough is known of the last one, too
+                start, ends = len(token), ends | {last}
+            if start:
+                yield cut(t.slice(0, start), ends)
+                ends = {last} if start == len(token) else {int(token[0])}
+            held = t.slice(start)
+        if held is not None and held.num_rows:
+            yield cut(held, {int(held.column(0)[0].as_py())})
+
+    fit = scratch.stored(arrow_pass(placed.join(open_tokens, "token").select("token", "id", "c", "n").repartitionByRange("token", "n", "id")
+                                    .sortWithinPartitions("token", "n", "id"), dealt, "token long, id long, c long, other long"), "join-fit")
+    few = fit.where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    few = arrow_pass(sided(few, nodes, "n", "sig"), plausible, "a long, b long").distinct()
+    many = scratch.stored(fit.where("other is null").join(heads, "token").select(F.col("head").alias("token"), "id", "c").distinct(), "join-many")
+    broad = scratch.stored(arrow_pass(texts_of(many.select(F.col("id").alias("doc_id"))), bitmaps_of, "id long, n long, sig binary").where("n > 0").distinct(), "join-broad")
+    rest = many.join(broad, "id").repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
 
     def trees(batches):
-        """Runs of one shingle's sets, cut into blocks; a block is one tree."""
+        """Runs of one hub's sets, cut into blocks; a block is one tree."""
         def packed(t, rows):
             i, c, n, s = zip(*rows)
             pack = lambda v: np.array(v, np.int64).tobytes()
             return t, i[0], min(n), max(n), c[0] if min(c) == max(c) else None, pack(i), pack(c), pack(n), b"".join(s)
-        out, token, run = [], None, []
+        out, token, run, held = [], None, [], 0
         for b in batches:
             for t, i, c, n, s in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if t != token or len(run) == BLOCK:
@@ -278,9 +327,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
                         out.append(packed(token, run))
                     token, run = t, []
                 run.append((i, c, n, s))
-            if len(out) > 500:
+            held += b.num_rows
+            if out and held > 4 * BLOCK:
                 yield batch(out)
-                out = []
+                out, held = [], 0
         if run:
             out.append(packed(token, run))
         if out:
@@ -301,7 +351,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
     def walk(batches):
         def built(ids, cs, ns, sigs):
             return np.frombuffer(ids, np.int64), _levels(np.frombuffer(ns, np.int64), np.frombuffer(cs, np.int64),
-                                                         np.frombuffer(sigs, np.uint64).reshape(-1, BITS // 64))
+                                                         np.frombuffer(sigs, np.uint64).reshape(-1, WIDE // 64))
         for b in batches:
             found: set[tuple[int, int]] = set()
             for px, py in zip(zip(*(b.column(k).to_pylist() for k in range(4))), zip(*(b.column(k).to_pylist() for k in range(4, 8)))):
@@ -313,9 +363,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
                     found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())],
                                              names=["a", "b"])
-    pairs = arrow_pass(met.select(*(f"{c}_{s}" for s in "xy" for c in ("ids", "cs", "ns", "sigs"))), walk, "a long, b long").distinct()
-    pairs = scratch.stored(pairs, "join-pairs")
-    scratch.drop("join-trees", "join-star", "join-candidates")
+    pairs = arrow_pass(met.select(*(f"{c}_{s}" for s in "xy" for c in ("ids", "cs", "ns", "sigs"))), walk, "a long, b long")
+    pairs = scratch.stored(pairs.union(few).distinct(), "join-pairs")
+    scratch.drop("join-trees", "join-star", "join-candidates", "join-heads", "join-fit", "join-many", "join-broad")
     links = scratch.stored(links.union(verified(pairs, "pairs")), "join-all-links")
     scratch.drop("join-pairs", "join-links")
     final = components(links, "join-final", scratch.stored)
