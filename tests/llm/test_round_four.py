@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from websift.llm import gumbel_pieces, ngram_join
+from websift.llm import gumbel_pieces, ngram_join, run_index
 
 
 def test_tables_of_pieces_find_each_piece_and_no_other():
@@ -90,3 +90,28 @@ def test_join_meets_all_sets_of_a_frequent_shingle(spark):
     for per100 in (60, 80, 90):
         got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(df, 3, per100).collect()}
         assert got == _linked(rows, 3, per100)
+
+
+def test_index_looks_only_at_what_is_still_equal(monkeypatch):
+    """Suffixes that differ early are not sorted again in later rounds, and results are those of all windows compared."""
+    rng = np.random.default_rng(3)
+    strings = [bytes(rng.integers(97, 123, 150).astype(np.uint8)) for _ in range(60)]
+    strings += [s[10:] for s in strings[:5]] + [b"", b"a" * 300, strings[0]]
+    sorted_sizes, plain = [], np.argsort
+
+    def counted(a, *args, **kw):
+        sorted_sizes.append(len(a))
+        return plain(a, *args, **kw)
+    monkeypatch.setattr(run_index.np, "argsort", counted)
+    places = []
+    monkeypatch.setattr(run_index.np, "arange", lambda *a, made=np.arange: places.append(a[-1]) or made(*a))
+    index = run_index.RunIndex(b"".join(strings), np.array([len(s) for s in strings]))
+    assert places.count(index.n) <= 2 and max(sorted_sizes[1:-1]) < index.n // 4
+    monkeypatch.undo()
+    got = index.repeated(100)
+    seen, want = set(), np.zeros(index.n, bool)
+    for start, s in zip(index.starts.tolist(), strings):
+        for k in range(len(s) - 99):
+            want[start + k] = s[k:k + 100] in seen
+            seen.add(s[k:k + 100])
+    assert (got == want).all()

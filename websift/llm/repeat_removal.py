@@ -101,7 +101,8 @@ def _varied(docs: DataFrame, length: int) -> np.ndarray:
         got: list[np.ndarray] = []
 
         def distinct(parts):
-            return np.unique(np.concatenate(parts), axis=0)
+            rows = np.concatenate(parts)                        # a snippet's hash stands for one anchor, too
+            return rows[np.unique(rows[:, 1], return_index=True)[1]]
         for b in batches:
             for t in b.column(0).to_pylist():
                 for _, data in _pieces(t, length):
@@ -137,7 +138,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         def sent():
             d, tag, a, s, lo, hi = (np.concatenate(c) for c in zip(*rows))
             rows.clear()
-            order = np.lexsort((tag, lo, d, s, a))
+            order = np.argsort(s)
+            tied = s[order[1:]] == s[order[:-1]]
+            tied = np.flatnonzero(np.append(tied, False) | np.append(False, tied))
+            own = order[tied]                                   # most snippets stand here once; the others' rows are put in order
+            order[tied] = own[np.lexsort((tag[own], lo[own], d[own], a[own], s[own]))]
             d, tag, a, s, lo, hi = (v[order] for v in (d, tag, a, s, lo, hi))
             keep = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
             of = np.flatnonzero(keep)[np.cumsum(keep) - 1]

@@ -52,30 +52,35 @@ class RunIndex:
     def _suffixes(self) -> np.ndarray:
         """Order of all suffixes by doubling. Suffixes that meet their separators at once are told apart by position."""
         n = self.n
-        sa = np.argsort(self.words, kind="stable")
+        sa = np.argsort(self.words)
         w = self.words[sa]
         new = np.ones(n, bool)
-        new[1:] = (w[1:] != w[:-1]) | (self.left[sa[1:]] < PACK)
+        new[1:] = w[1:] != w[:-1]
+        # equal ones in order of position: only the values are sorted
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        sa[at] = np.sort(np.cumsum(new)[at] << 32 | sa[at]) & ((1 << 32) - 1)
+        new[1:] |= self.left[sa[1:]] < PACK
+        places = np.arange(n)
         rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(new) - 1
-        width = PACK
-        while not new.all():
-            after = np.zeros(n, np.int64)
-            after[:max(0, n - width)] = rank[width:] + 1
-            # only runs of equal ranks are ordered again
-            tied = ~new
-            tied[:-1] |= ~new[1:]
-            at = np.flatnonzero(tied)
-            sub = sa[at]
-            key = rank[sub] * np.int64(n + 1) + after[sub]
-            o = np.argsort(key, kind="stable")
+        rank[sa] = np.maximum.accumulate(np.where(new, places, 0))      # the place of the first of equal ones
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at, width = np.flatnonzero(tied), PACK
+        sub = sa[at]
+        while len(at):                                           # only what is still equal is ordered again
+            after = sub + width
+            key = rank[sub] * np.int64(n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            o = np.argsort(key)                                  # what stays equal is ordered in a later round
             sub, key = sub[o], key[o]
             sa[at] = sub
             fresh = np.ones(len(at), bool)
             fresh[1:] = key[1:] != key[:-1]
-            new[at] = fresh
-            # a rank is the place of its run's first suffix
-            rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            rank[sub] = np.maximum.accumulate(np.where(fresh, at, 0))
+            tied = ~fresh
+            tied[:-1] |= ~fresh[1:]
+            at, sub = at[tied], sub[tied]
             width *= 2
         return sa
 
@@ -104,7 +109,9 @@ class RunIndex:
         lcp = np.zeros(len(p), np.int64)
         some = q >= 0
         lcp[some] = self._common(p[some], q[some])
-        nearest = np.searchsorted(p, np.arange(self.n), side="right") - 1
+        held = np.zeros(self.n, bool)
+        held[p] = True
+        nearest = np.cumsum(held) - 1                            # the sample at a position or to its left
         gone = np.arange(self.n) - p[nearest]
         phi = np.where(q[nearest] >= 0, q[nearest] + gone, -1)
         return phi, np.maximum(lcp[nearest] - gone, 0)
@@ -112,11 +119,15 @@ class RunIndex:
     def repeated(self, length: int) -> np.ndarray:
         """Whether the ``length`` symbols from a position also start at an earlier one."""
         phi, shared = self.matching_statistics()
-        long = shared >= length
+        long = np.flatnonzero(shared >= length)
         # positions with equal windows form chains along phi; the smallest of a chain is the first occurrence
-        first = np.arange(self.n)
-        up = np.where(long, phi, first)
-        low = np.minimum(first, up)
+        chained = np.zeros(self.n, bool)
+        chained[long] = chained[phi[long]] = True
+        first = np.flatnonzero(chained)                          # only these are looked at; they are known by their places here
+        place = np.cumsum(chained) - 1
+        up = np.arange(len(first))
+        up[place[long]] = place[phi[long]]
+        low = np.minimum(np.arange(len(first)), up)
         while True:                                              # doubling: low covers 2, 4, 8 ... links
             further = np.minimum(low, low[up])
             jump = up[up]
@@ -124,7 +135,8 @@ class RunIndex:
                 break
             low, up = further, jump
         # the smallest seen from a chain's far end holds for all of it
-        top = up
-        best = np.full(self.n, self.n)
-        np.minimum.at(best, top, first)
-        return best[top] < first
+        best = np.full(len(first), len(first))
+        np.minimum.at(best, up, np.arange(len(first)))
+        out = np.zeros(self.n, bool)
+        out[first] = best[up] < np.arange(len(first))
+        return out
