@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from websift.llm import gumbel_pieces, ngram_join, run_index
+from websift.llm import common, gumbel_pieces, ngram_join, run_index
 
 
 def test_tables_of_pieces_find_each_piece_and_no_other():
@@ -57,23 +57,19 @@ def _linked(rows, width, per100):
     return {i: root(i) for i in range(len(rows))}
 
 
-def test_join_passes_on_few_pairs_of_what_is_nearly_near(spark, monkeypatch):
-    """Pairs just below the threshold that share very many shingles reach the bitmaps of whole sets a few times at most, not once for each shingle."""
-    made = {}
-    arrow_pass = ngram_join.arrow_pass
+def test_trees_stand_for_all_shingles_of_a_hub(spark, monkeypatch):
+    """Sets just below the threshold that share very many shingles meet in a few trees, not once for each shingle."""
+    made, plain = {}, common.Scratch.stored
 
-    def counted(df, fn, schema):
-        out = arrow_pass(df, fn, schema)
-        if fn.__name__ in ("walk", "dealt"):
-            out = out.persist()
-            made[fn.__name__] = out.count() if fn.__name__ == "walk" else out.where("other is not null").count()
+    def stored(self, df, what):
+        out = plain(self, df, what)
+        made[what] = out.count() if what == "join-trees" else 0
         return out
-    monkeypatch.setattr(ngram_join, "arrow_pass", counted)
-    for size, changed in ((30, 4), (6, 4)):
-        rows, df = _variants(spark, np.random.default_rng(size + changed), 3, size, changed)
-        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(df, 5, 80).collect()}
-        assert got == _linked(rows, 5, 80)
-        assert made["walk"] <= 2 * 3 * size * (size - 1) // 2, made
+    monkeypatch.setattr(common.Scratch, "stored", stored)
+    rows, df = _variants(spark, np.random.default_rng(7), 3, 30, 5)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(df, 5, 80).collect()}
+    assert got == _linked(rows, 5, 80)
+    assert 0 < made["join-trees"] < 60, made["join-trees"]
 
 
 def test_join_meets_all_sets_of_a_frequent_shingle(spark):
