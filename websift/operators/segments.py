@@ -36,6 +36,7 @@ FREQUENT = 8                # a word is frequent if it stands in more than one o
 TITLE = 1 << 30             # added to positions in titles
 PUSHED = 2_000              # terms at most that are named in the scan's filter
 BUCKET_TOKENS = 2_000_000   # tokens in a folder of blocks, about
+MERGED_ROWS = 50_000        # entries that a merge makes blocks of at once, about
 GRAM = "\x01"               # before trigrams of URLs
 
 BLOCK_COLUMNS = "term string, slice long, n int, ids array<long>, lens array<int>, fs array<int>, ts array<int>, pos array<array<int>>, peaks array<struct<f: int, len: int>>"
@@ -184,9 +185,9 @@ def _band(n_tokens: Column) -> Column:
 
 def _slice(sizes: dict[int, tuple[int, int]], slice_docs: int) -> Column:
     """Pages of like length share slices, so that bounds of blocks differ. ``sizes``: pages and tokens in each band of length."""
-    band, parts = _band(F.col("n_tokens")), F.lit(1)
-    for b, (n, tokens) in sizes.items():
-        parts = F.when(band == b, max(-(-n // slice_docs), -(-tokens // SLICE_TOKENS))).otherwise(parts)
+    band = _band(F.col("n_tokens"))
+    of_band = [max(1, -(-n // slice_docs), -(-tokens // SLICE_TOKENS)) for n, tokens in (sizes.get(b, (0, 0)) for b in range(max(sizes, default=0) + 1))]
+    parts = F.coalesce(F.get(F.array(*map(F.lit, of_band)), band), F.lit(1))
     return band.cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), parts)
 
 
@@ -212,13 +213,68 @@ def peaks(fs: Column, lens: Column) -> Column:
     return F.when(F.size(fs) == 1, one).otherwise(F.array_compact(F.transform(powers, peak)))
 
 
-def _blocks(each: DataFrame) -> DataFrame:
-    """Blocks of ``bucket, slice, term, doc_id, n_tokens, pos`` (one row for each page and term), dealt by bucket and slice already."""
-    entry = F.struct("doc_id", "n_tokens", F.greatest(F.size("pos"), F.lit(1)).alias("f"), F.size(F.filter("pos", lambda p: p >= TITLE)).alias("t"), "pos")
-    b = each.groupBy("bucket", "slice", "term").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    b = b.select("bucket", "term", "slice", F.size("e").alias("n"), F.col("e.doc_id").alias("ids"), F.col("e.n_tokens").alias("lens"),
-                 F.col("e.f").alias("fs"), F.col("e.t").alias("ts"), F.col("e.pos").alias("pos"))
-    return b.withColumn("peaks", peaks(F.col("fs"), F.col("lens")))
+def _block_table():
+    """Makes blocks of entries (a term in a page, in order): block ``k`` begins with entry ``begins[k]``."""
+    def table(heads: dict, begins: np.ndarray, ids: pa.Array, lens: np.ndarray, fs: np.ndarray, ts: np.ndarray, pos: pa.Array) -> pa.Table:
+        ranges = pa.array(np.append(begins, len(fs)), pa.int32())
+        block = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(fs))))
+        # peaks: see ``peaks``
+        group = block * 64 + np.frexp(fs)[1]
+        order = np.argsort(group, kind="stable")
+        peak = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0))) if len(group) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(fs[order], peak) if len(peak) else fs
+        least = np.minimum.reduceat(lens[order], peak) if len(peak) else fs
+        peak_ranges = np.searchsorted(group[order][peak] // 64, np.arange(len(begins) + 1))
+
+        def lists(values):
+            return pa.ListArray.from_arrays(ranges, pa.array(values, pa.int32()))
+        return pa.table({
+            **heads, "n": pa.array(np.diff(np.append(begins, len(fs))), pa.int32()),
+            "ids": pa.ListArray.from_arrays(ranges, ids), "lens": lists(lens), "fs": lists(fs), "ts": lists(ts), "pos": pa.ListArray.from_arrays(ranges, pos),
+            "peaks": pa.ListArray.from_arrays(pa.array(peak_ranges, pa.int32()), pa.StructArray.from_arrays([pa.array(most, pa.int32()), pa.array(least, pa.int32())], ["f", "len"]))})
+
+    table.__module__ = "__main__"       # pickled by value, like what calls it
+    return table
+
+
+def _merged_blocks():
+    """Blocks of ``term, slice, bucket, doc_id, n_tokens, pos`` (one row for each page and term) that come in order of block and page."""
+    title, held_rows, table = TITLE, MERGED_ROWS, _block_table()
+
+    def made(rows: pa.Table) -> pa.RecordBatch:
+        at = [rows[c].combine_chunks() for c in ("term", "slice", "bucket")]
+        new = np.concatenate(([True], np.any([pc.not_equal(a[1:], a[:-1]).to_numpy(zero_copy_only=False) for a in at], axis=0)))
+        begins = np.flatnonzero(new)
+        pos = rows["pos"].combine_chunks()
+        n = pos.value_lengths().to_numpy()
+        ends = np.cumsum(n)
+        in_title = np.append(0, np.cumsum(pos.flatten().to_numpy() >= title))
+        heads = {c: a.take(pa.array(begins)) for c, a in zip(("term", "slice", "bucket"), at)}
+        t = table(heads, begins, rows["doc_id"].combine_chunks(), rows["n_tokens"].to_numpy(), np.maximum(n, 1), in_title[ends] - in_title[ends - n], pos)
+        return t.select(["term", "slice", "n", "ids", "lens", "fs", "ts", "pos", "peaks", "bucket"]).combine_chunks().to_batches()[0]
+
+    def blocks(batches):
+        held, n, most = [], 0, held_rows
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= most:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                last = rows.slice(rows.num_rows - 1)
+                # the last block may go on in the next batch
+                same = np.logical_and.reduce([pc.equal(rows[c].combine_chunks(), last[c][0]).to_numpy(zero_copy_only=False) for c in ("term", "slice", "bucket")])
+                whole = int(np.argmax(same))
+                if whole:
+                    yield made(rows.slice(0, whole))
+                held, n = rows.slice(whole).combine_chunks().to_batches(), rows.num_rows - whole
+                most = max(held_rows, 2 * n)
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    blocks.__module__ = "__main__"
+    made.__module__ = "__main__"
+    return blocks
 
 
 def _write_blocks(blocks: DataFrame, path: str) -> None:
@@ -227,7 +283,7 @@ def _write_blocks(blocks: DataFrame, path: str) -> None:
 
 def _slice_blocks(frequent: list[str]):
     """The blocks of one slice, from a table of its pages (``doc_id, n_tokens, tt, ct, grams, slice``): occurrences are numbers, sorted at once."""
-    title, gram = TITLE, GRAM
+    title, gram, table = TITLE, GRAM, _block_table()
 
     def blocks(pages: pa.Table) -> pa.Table:
         null = pages["doc_id"].is_null().to_numpy()
@@ -278,23 +334,9 @@ def _slice_blocks(frequent: list[str]):
         fs = np.where(is_gram, 1, fs)
         # blocks: a term's entries
         begins = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
-        ranges = pa.array(np.append(begins, len(code)), pa.int32())
-        block = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(code))))
-        # peaks: see ``peaks``
-        group = block * 64 + np.frexp(fs)[1]
-        order = np.argsort(group, kind="stable")
-        peak = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0))) if len(group) else np.zeros(0, np.int64)
-        most = np.maximum.reduceat(fs[order], peak) if len(peak) else fs
-        least = np.minimum.reduceat(lens[page][order], peak) if len(peak) else fs
-        peak_ranges = np.searchsorted(group[order][peak] // 64, np.arange(len(begins) + 1))
-
-        def lists(values, kind, mask=None):
-            return pa.ListArray.from_arrays(ranges, pa.array(values, kind, mask=mask))
-        return pa.table({
-            "term": terms.take(pa.array(code[begins])), "slice": pa.repeat(pages["slice"][0], len(begins)), "n": pa.array(np.diff(np.append(begins, len(code))), pa.int32()),
-            "ids": lists(ids[page], pa.int64(), null[page]), "lens": lists(lens[page], pa.int32()), "fs": lists(fs, pa.int32()), "ts": lists(ts, pa.int32()),
-            "pos": pa.ListArray.from_arrays(ranges, pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(at, pa.int32()))),
-            "peaks": pa.ListArray.from_arrays(pa.array(peak_ranges, pa.int32()), pa.StructArray.from_arrays([pa.array(most, pa.int32()), pa.array(least, pa.int32())], ["f", "len"]))})
+        heads = {"term": terms.take(pa.array(code[begins])), "slice": pa.repeat(pages["slice"][0], len(begins))}
+        return table(heads, begins, pa.array(ids[page], pa.int64(), mask=null[page]), lens[page], fs, ts,
+                     pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(at, pa.int32())))
 
     blocks.__module__ = "__main__"      # pickled by value: executors need no copy of this package
     return blocks
@@ -304,7 +346,12 @@ def _page_blocks(t: DataFrame, frequent: list[str], buckets: int, slices: Column
     """Blocks of tokenised pages: these are shuffled by slice, and the blocks then by bucket, in ``files`` files each."""
     made = t.withColumn("slice", slices).groupBy("slice").applyInArrow(_slice_blocks(frequent), BLOCK_COLUMNS)
     made = made.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    return made.repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(files)))
+    return _dealt(made, files)
+
+
+def _dealt(blocks: DataFrame, files: int) -> DataFrame:
+    """A bucket's rows in ``files`` files; a block's rows together."""
+    return blocks.repartition("bucket", F.pmod(F.xxhash64("slice"), F.lit(files)))
 
 
 def _files(n: int, slice_docs: int) -> int:
@@ -376,7 +423,10 @@ def merge(index: Index, slice_docs: int = SLICE_DOCS) -> Index:
     counters.sortWithinPartitions("term").write.parquet(f"{name}/terms")
     entry = F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("lens").alias("n_tokens"), "pos"))
     each = index.living(index.blocks().select("bucket", "term", "seq", entry.alias("x")).select("bucket", "term", "seq", "x.*"))
-    _write_blocks(_blocks(each.drop("seq").withColumn("slice", _slice(_sizes(docs), slice_docs)).repartition("bucket", "slice")), name)
+    # dealt like the blocks of new pages: a bucket has as many files as its slices need, not one for each task
+    each = each.select("term", _slice(_sizes(docs), slice_docs).alias("slice"), "bucket", "doc_id", "n_tokens", "pos")
+    each = _dealt(each, _files(n, slice_docs)).sortWithinPartitions("bucket", "term", "slice", "doc_id", "n_tokens", "pos")
+    _write_blocks(each.mapInArrow(_merged_blocks(), f"{BLOCK_COLUMNS}, bucket int"), name)
     words = next(r for r in index.rows if r["kind"] == "frequent")
     return _commit(spark, path, index.version + 1, [_row("segment", name, seq, n, tokens, index.buckets), words])
 
