@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from websift.llm.common import Scratch, arrow_pass, components, heaviest, shingles, stored
+from websift.llm.common import Scratch, arrow_pass, components, heaviest, likely, shingles, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -227,17 +227,19 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
             pairs = pairs.join(table.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
         return pairs.select(*(c for side in ("a", "b") for c in (side, *(f"{x}_{side}" for x in columns))))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        return docs.join(ids.distinct(), "doc_id").select("doc_id", "text")
+    def made_of(ids: DataFrame, fn, schema: str) -> DataFrame:
+        """``fn`` over the texts of ``ids``, where they are read: what is made of them is shuffled, not the texts."""
+        made = arrow_pass(likely(docs, ids, "doc_id").select("doc_id", "text"), fn, schema)
+        return made.join(ids.distinct().withColumnRenamed("doc_id", "id"), "id")
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
 
     def verified(pairs: DataFrame, what: str) -> DataFrame:
         """The pairs of ``a`` and ``b`` at or above the threshold. Wide bitmaps are made for just the documents in them, sets for those in what these leave."""
-        own = scratch.stored(arrow_pass(texts_of(ends(pairs)), bitmaps_of, "id long, n long, sig binary"), f"join-{what}-wide")
+        own = scratch.stored(made_of(ends(pairs), bitmaps_of, "id long, n long, sig binary"), f"join-{what}-wide")
         pairs = scratch.stored(arrow_pass(sided(pairs, own, "n", "sig"), wide, "a long, b long").distinct(), f"join-{what}-close")
-        own = scratch.stored(arrow_pass(texts_of(ends(pairs)), tokens_of, "id long, tokens binary"), f"join-{what}-tokens")
+        own = scratch.stored(made_of(ends(pairs), tokens_of, "id long, tokens binary"), f"join-{what}-tokens")
         return arrow_pass(sided(pairs, own, "tokens"), exact, "a long, b long").distinct()
 
     compatible = f"{per100} * n <= 100 * {{0}} and {per100} * {{0}} <= 100 * n"
@@ -310,7 +312,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, per100: int = 80, id_col
     few = fit.where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     few = arrow_pass(sided(few, nodes, "n", "sig"), plausible, "a long, b long").distinct()
     many = scratch.stored(fit.where("other is null").join(heads, "token").select(F.col("head").alias("token"), "id", "c").distinct(), "join-many")
-    broad = scratch.stored(arrow_pass(texts_of(many.select(F.col("id").alias("doc_id"))), bitmaps_of, "id long, n long, sig binary").where("n > 0").distinct(), "join-broad")
+    broad = scratch.stored(made_of(many.select(F.col("id").alias("doc_id")), bitmaps_of, "id long, n long, sig binary").where("n > 0").distinct(), "join-broad")
     rest = many.join(broad, "id").repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id")
 
     def trees(batches):
