@@ -16,6 +16,7 @@ version, written last; readers keep their version. ``merge`` makes one segment o
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,18 +28,23 @@ from pyspark.sql import functions as F
 
 from websift.functions import text as X
 from websift.operators import filters
-from websift.session import stored
+from websift.session import SHUFFLES_GO, dropped, scratch_path, setting, stored
 
 SLICE_DOCS = 512            # pages in a slice, about
 SLICE_TOKENS = 2_000_000    # tokens in a slice, about; what a task holds at once
 FILE_SLICES = 1024          # slices whose blocks share a file in each bucket, about
+ROUND_SLICES = 128          # slices at least of which a round makes blocks
+ROUNDS = 4                  # rounds at most: each reads the tokens once more, and leaves its shuffles behind
 FREQUENT = 8                # a word is frequent if it stands in more than one of so many pages
 TITLE = 1 << 30             # added to positions in titles
 PUSHED = 2_000              # terms at most that are named in the scan's filter
 BUCKET_TOKENS = 2_000_000   # tokens in a folder of blocks, about
 MERGED_ROWS = 50_000        # entries that a merge makes blocks of at once, about
+PACKED_ROWS, PACKED_BYTES = 20_000, 1 << 22     # packed blocks that are opened at once, at most or about
+WRITERS = "32"              # files that a task has open at most
 GRAM = "\x01"               # before trigrams of URLs
 
+PACKED_COLUMNS = "bucket int, slice long, blocks binary"
 BLOCK_COLUMNS = "term string, slice long, n int, ids array<long>, lens array<int>, fs array<int>, ts array<int>, pos array<array<int>>, peaks array<struct<f: int, len: int>>"
 DOC_COLUMNS = "doc_id long, n_tokens int, terms array<string>, title_terms array<string>"
 TERM_COLUMNS = "term string, n_docs long, n_title_docs long"
@@ -161,15 +167,25 @@ def grams_of(low: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-def _tokenised(pages: DataFrame) -> DataFrame:
-    """``_tokens`` written down, with ``n_tokens``: pages are parsed and cut once, however many tables are made of them."""
-    t = _tokens(pages)
-    return stored(t.select("doc_id", (F.size("tt") + F.size("ct")).alias("n_tokens"), "tt", "ct", "grams"), "index-tokens")
+@contextmanager
+def _tokenised(pages: DataFrame):
+    """``_tokens`` written down, with ``n_tokens``: pages are parsed and cut once, however many tables are made of them. Deleted after its readers."""
+    t, path = _tokens(pages), scratch_path(pages.sparkSession, "index-tokens")
+    t = t.select("doc_id", (F.size("tt") + F.size("ct")).alias("n_tokens"), "tt", "ct", "grams")
+    _write(t, path)
+    yield t.sparkSession.read.schema(t.schema).parquet(path)
+    dropped(t.sparkSession, path)
+
+
+def _write(df: DataFrame, path: str, by: str | None = None, mode: str = "error") -> None:
+    """A table of the index. Parts by a column are written side by side: rows that are in order already are not sorted again."""
+    with setting(df.sparkSession, SHUFFLES_GO, "true"), setting(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
+        df.write.mode(mode).parquet(path, partitionBy=by, compression="zstd")
 
 
 def _write_docs(t: DataFrame, path: str) -> DataFrame:
-    t.select("doc_id", "n_tokens", F.array_distinct(F.concat("tt", "ct", "grams")).alias("terms"),
-             F.array_distinct("tt").alias("title_terms")).write.mode("errorifexists").parquet(f"{path}/docs")
+    _write(t.select("doc_id", "n_tokens", F.array_distinct(F.concat("tt", "ct", "grams")).alias("terms"),
+                    F.array_distinct("tt").alias("title_terms")), f"{path}/docs")
     return t.sparkSession.read.schema(DOC_COLUMNS).parquet(f"{path}/docs")
 
 
@@ -277,13 +293,26 @@ def _merged_blocks():
     return blocks
 
 
-def _write_blocks(blocks: DataFrame, path: str) -> None:
-    blocks.sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").parquet(f"{path}/blocks")
+def _write_blocks(blocks: DataFrame, path: str, mode: str = "error") -> None:
+    """``blocks`` come in order of bucket, term and slice."""
+    _write(blocks, f"{path}/blocks", "bucket", mode)
+
 
+def _slice_blocks(frequent: list[str], buckets: int):
+    """The packed blocks of one slice, a row for each bucket, from a table of its pages (``doc_id, n_tokens, tt, ct, grams, slice``; tokens joined by blanks, trigrams
+    one after another): occurrences are numbers, sorted at once."""
+    title, gram, pack, bucket_in = TITLE, GRAM, _pack(), _bucket_in()
+    size = len(GRAM) + 3
 
-def _slice_blocks(frequent: list[str]):
-    """The blocks of one slice, from a table of its pages (``doc_id, n_tokens, tt, ct, grams, slice``): occurrences are numbers, sorted at once."""
-    title, gram, table = TITLE, GRAM, _block_table()
+    def cut(column: str, rows: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+        """All tokens, and how many there are in each row."""
+        if column == "grams":
+            each = [[s[i:i + size] for i in range(0, len(s), size)] for s in rows.to_pylist()]
+            return pa.array([g for gs in each for g in gs], pa.string()), np.array([len(gs) for gs in each], np.int64)
+        lists = pc.split_pattern(rows.combine_chunks(), " ")
+        n, words = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+        none = pc.equal(rows, "").to_numpy()            # nothing is cut to one empty string
+        return words.filter(pa.array(np.repeat(~none, n))), np.where(none, 0, n)
 
     def blocks(pages: pa.Table) -> pa.Table:
         null = pages["doc_id"].is_null().to_numpy()
@@ -297,9 +326,8 @@ def _slice_blocks(frequent: list[str]):
         ids, lens, null = ids[new], lens[new], null[new]
         words, page, at, ends = [], [], [], []
         for column, base in (("tt", title), ("ct", 0), ("grams", 0)):
-            lists = pages[column].combine_chunks()
-            n = lists.value_lengths().to_numpy()
-            words.append(lists.flatten())
+            found, n = cut(column, pages[column])
+            words.append(found)
             page.append(np.repeat(page_of, n))
             at.append(np.zeros(n.sum(), np.int64) if column == "grams" else np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + base)
             last = np.zeros(n.sum(), bool)
@@ -334,19 +362,210 @@ def _slice_blocks(frequent: list[str]):
         fs = np.where(is_gram, 1, fs)
         # blocks: a term's entries
         begins = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
-        heads = {"term": terms.take(pa.array(code[begins])), "slice": pa.repeat(pages["slice"][0], len(begins))}
-        return table(heads, begins, pa.array(ids[page], pa.int64(), mask=null[page]), lens[page], fs, ts,
-                     pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(at, pa.int32())))
+        terms = terms.take(pa.array(code[begins]))
+        made = pa.table({"term": terms, "n": pa.array(np.diff(np.append(begins, len(fs))), pa.int32()), "packed": pack(begins, ids[page], null[page], lens[page], fs, ts, places, at)})
+        bucket = bucket_in(terms, buckets)
+        order = np.argsort(bucket, kind="stable")
+        made, bucket = made.take(pa.array(order)).combine_chunks(), bucket[order]
+        firsts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        sealed = []
+        for a, b in zip(firsts, np.append(firsts[1:], len(bucket))):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(made.slice(a, b - a))
+            sealed.append(sink.getvalue().to_pybytes())
+        return pa.table({"bucket": pa.array(bucket[firsts], pa.int32()), "slice": pa.repeat(pages["slice"][0], len(firsts)), "blocks": pa.array(sealed, pa.binary())})
+
+    cut.__module__ = blocks.__module__ = "__main__"      # pickled by value: executors need no copy of this package
+    return blocks
+
+
+def _bucket_in():
+    """``bucket_of`` for an array of terms: Spark's xxhash64 of their bytes. Terms of one length are hashed side by side."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, k: int) -> np.ndarray:
+        return x << np.uint64(k) | x >> np.uint64(64 - k)
+
+    def hashed(rows: np.ndarray) -> np.ndarray:
+        length, n = rows.shape[1], len(rows)
+        words = np.ascontiguousarray(rows[:, :length // 8 * 8]).view("<u8").reshape(n, length // 8)
+        seed, done = np.full(n, 42, np.uint64), length // 32 * 4
+        h = seed + p5
+        if done:
+            lanes = [seed + p1 + p2, seed + p2, seed, seed - p1]
+            for k in range(done):
+                lanes[k % 4] = turned(lanes[k % 4] + words[:, k] * p2, 31) * p1
+            h = turned(lanes[0], 1) + turned(lanes[1], 7) + turned(lanes[2], 12) + turned(lanes[3], 18)
+            for v in lanes:
+                h = (h ^ turned(v * p2, 31) * p1) * p1 + p4
+        h = h + np.uint64(length)
+        for k in range(done, length // 8):
+            h = turned(h ^ turned(words[:, k] * p2, 31) * p1, 27) * p1 + p4
+        at = length // 8 * 8
+        if at + 4 <= length:
+            h = turned(h ^ np.ascontiguousarray(rows[:, at:at + 4]).view("<u4").reshape(n).astype(np.uint64) * p1, 23) * p2 + p3
+            at += 4
+        for k in range(at, length):
+            h = turned(h ^ rows[:, k].astype(np.uint64) * p5, 11) * p1
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        return h ^ h >> np.uint64(32)
+
+    def bucket_in(terms: pa.Array, buckets: int) -> np.ndarray:
+        terms = terms.cast(pa.large_binary())
+        offsets = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset:terms.offset + len(terms) + 1] if len(terms) else np.zeros(1, np.int64)
+        data, lengths, out = np.frombuffer(terms.buffers()[2] or b"", np.uint8), np.diff(offsets), np.zeros(len(terms), np.uint64)
+        order = np.argsort(lengths, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            if len(same):
+                out[same] = hashed(data[offsets[same][:, None] + np.arange(lengths[same[0]])])
+        return out.view(np.int64) % buckets
+
+    turned.__module__ = hashed.__module__ = bucket_in.__module__ = "__main__"
+    return bucket_in
+
+
+def _layout():
+    """Where the numbers of packed blocks stand, for blocks of ``n`` entries and ``p`` positions each: a block's ids, lengths, counts, counts in titles
+    (places of the first of each entry, and the width of the steps between these four), and its positions."""
+    def layout(n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.append(0, np.cumsum(4 * n + p))
+        entry = np.arange(n.sum()) + np.repeat(starts[:-1] - np.cumsum(n) + n, n)
+        place = np.arange(p.sum()) + np.repeat(starts[:-1] + 4 * n - np.cumsum(p) + p, p)
+        return starts, entry, np.repeat(n, n), place
+
+    layout.__module__ = "__main__"
+    return layout
+
+
+def _pack():
+    """Blocks as strings of bytes, for the shuffle: differences of ids and positions, and all other numbers, seven bits in a byte."""
+    layout, most, seven = _layout(), np.uint64(127), np.uint64(7)
+
+    def steps(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Differences; at ``begins`` the numbers themselves."""
+        out = np.diff(x, prepend=x[:1])
+        out[begins] = x[begins]
+        return out
+
+    def pack(begins: np.ndarray, ids: np.ndarray, null: np.ndarray, lens: np.ndarray, fs: np.ndarray, ts: np.ndarray, places: np.ndarray, at: np.ndarray) -> pa.Array:
+        n = np.diff(np.append(begins, len(fs)))
+        starts, entry, width, place = layout(n, np.diff(places[np.append(begins, len(fs))]))
+        v = np.empty(starts[-1], np.uint64)
+        d = steps(ids, begins)
+        v[entry] = (d << 1 ^ d >> 63).view(np.uint64)       # the sign goes last
+        v[entry + width], v[entry + 2 * width], v[entry + 3 * width] = lens, fs, ts * 2 + null
+        v[place] = steps(at, places[:-1][np.diff(places) > 0])
+        size = np.ones(len(v), np.int64)
+        more = np.flatnonzero(v > most)
+        rest = v[more]
+        while len(more):
+            size[more] += 1
+            rest = rest >> seven
+            more, rest = more[rest > most], rest[rest > most]
+        ends = np.append(0, np.cumsum(size))
+        out = np.empty(ends[-1], np.uint8)
+        at, rest = ends[:-1], v
+        while len(at):
+            on = rest > most
+            out[at] = (rest & most).astype(np.uint8) | on.astype(np.uint8) << 7
+            at, rest = at[on] + 1, rest[on] >> seven
+        return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(ends[starts].astype(np.int32)), pa.py_buffer(out)])
+
+    steps.__module__ = pack.__module__ = "__main__"
+    return pack
+
+
+def _opened():
+    """Blocks of packed ones (``PACKED_COLUMNS``, that come in order of bucket), in order of bucket, term and slice."""
+    layout, table, most_rows, most_bytes = _layout(), _block_table(), PACKED_ROWS, PACKED_BYTES
+
+    def sums(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The numbers whose differences are ``steps``, in groups of so many."""
+        total = np.cumsum(steps)
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        return total - np.repeat(total[first] - steps[first], counts[counts > 0])
+
+    def opened(rows: pa.Table) -> pa.RecordBatch:
+        packed = rows["packed"].combine_chunks()
+        offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1].astype(np.int64)
+        data = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        ends = np.flatnonzero(data < 128)
+        begins = np.append(0, ends[:-1] + 1)
+        v = (data[begins] & 127).astype(np.uint64)
+        more = np.flatnonzero(ends > begins)
+        for k in range(1, 10):
+            v[more] |= (data[begins[more] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+            more = more[ends[more] - begins[more] > k]
+        n = rows["n"].to_numpy().astype(np.int64)
+        p = np.diff(np.searchsorted(ends, offsets)) - 4 * n
+        _, entry, width, place = layout(n, p)
+        d = v[entry]
+        ids = sums((d >> np.uint64(1)).view(np.int64) ^ -(d & np.uint64(1)).view(np.int64), n)
+        lens, fs, ts = (v[entry + k * width].astype(np.int64) for k in (1, 2, 3))
+        counts = np.where(np.repeat(p, n) > 0, fs, 0)       # trigrams have no positions
+        pos = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(sums(v[place].view(np.int64), counts), pa.int32()))
+        heads = {c: rows[c].combine_chunks() for c in ("term", "slice", "bucket")}
+        t = table(heads, np.cumsum(n) - n, pa.array(ids, pa.int64(), mask=(ts & 1).astype(bool)), lens, fs, ts >> 1, pos)
+        return t.select(["term", "slice", "n", "ids", "lens", "fs", "ts", "pos", "peaks", "bucket"]).combine_chunks().to_batches()[0]
+
+    def in_order(bucket: int, slices: list) -> pa.Table:
+        """All blocks of a bucket, still packed."""
+        found = []
+        for of_slice, sealed in slices:
+            t = pa.ipc.open_stream(sealed).read_all()
+            found.append(t.append_column("slice", pa.array(np.full(len(t), of_slice, np.int64))))
+        rows = pa.concat_tables(found).combine_chunks()
+        rows = rows.append_column("bucket", pa.array(np.full(len(rows), bucket, np.int32)))
+        return rows.take(pc.sort_indices(rows, [("term", "ascending"), ("slice", "ascending")])).combine_chunks()
+
+    def bucket_blocks(bucket: int, slices: list):
+        rows = in_order(bucket, slices)
+        # so many rows at once as hold about so many bytes
+        size = np.cumsum(pc.binary_length(rows["packed"]).to_numpy().astype(np.int64))
+        part = np.maximum(size // most_bytes, np.arange(len(rows)) // most_rows)
+        firsts = np.flatnonzero(np.diff(part, prepend=-1))
+        for a, b in zip(firsts, np.append(firsts[1:], len(rows))):
+            yield opened(rows.slice(a, b - a))
 
-    blocks.__module__ = "__main__"      # pickled by value: executors need no copy of this package
+    def blocks(batches):
+        bucket, held = None, []
+        for batch in batches:
+            for b, of_slice, sealed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "slice", "blocks"))):
+                if b != bucket and held:
+                    yield from bucket_blocks(bucket, held)
+                    held = []
+                bucket = b
+                held.append((of_slice, sealed))
+        if held:
+            yield from bucket_blocks(bucket, held)
+
+    in_order.__module__ = bucket_blocks.__module__ = "__main__"
+    sums.__module__ = opened.__module__ = blocks.__module__ = "__main__"
     return blocks
 
 
 def _page_blocks(t: DataFrame, frequent: list[str], buckets: int, slices: Column, files: int) -> DataFrame:
-    """Blocks of tokenised pages: these are shuffled by slice, and the blocks then by bucket, in ``files`` files each."""
-    made = t.withColumn("slice", slices).groupBy("slice").applyInArrow(_slice_blocks(frequent), BLOCK_COLUMNS)
-    made = made.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    return _dealt(made, files)
+    """Blocks of tokenised pages: these are shuffled by slice, and the blocks then by bucket, in ``files`` files each, packed in a row for a slice's
+    blocks of a bucket. What a task opens at once does not grow with the bucket."""
+    packed = t.select("doc_id", "n_tokens", F.array_join("tt", " ").alias("tt"), F.array_join("ct", " ").alias("ct"), F.array_join("grams", "").alias("grams"),
+                      slices.alias("slice"))
+    made = packed.groupBy("slice").applyInArrow(_slice_blocks(frequent, buckets), PACKED_COLUMNS)
+    return _dealt(made, files).sortWithinPartitions("bucket", "slice").mapInArrow(_opened(), f"{BLOCK_COLUMNS}, bucket int")
+
+
+def _write_page_blocks(t: DataFrame, frequent: list[str], buckets: int, slices: Column, rounds: int, files: int, path: str) -> None:
+    """``_page_blocks`` of many slices in rounds, so that the shuffles of all are not there at once. A round has files of its own."""
+    files = -(-files // rounds) * rounds
+    for r in range(rounds):
+        some = t.where(F.pmod(F.pmod(F.xxhash64(slices), F.lit(files)), F.lit(rounds)) == r) if rounds > 1 else t
+        _write_blocks(_page_blocks(some, frequent, buckets, slices, files), path, "append")
+
+
+def _rounds(n: int, slice_docs: int) -> int:
+    return min(ROUNDS, max(1, n // (slice_docs * ROUND_SLICES)))
 
 
 def _dealt(blocks: DataFrame, files: int) -> DataFrame:
@@ -367,14 +586,14 @@ def _totals(docs: DataFrame) -> tuple[int, int]:
 def create(pages: DataFrame, path: str, slice_docs: int = SLICE_DOCS) -> Index:
     """Index ``pages`` (``id, url, title, content``) under a new ``path``."""
     spark, name, words = pages.sparkSession, _part(path, "segment"), _part(path, "frequent")
-    t = _tokenised(pages)
-    docs = _write_docs(t, name)
-    n, tokens = _totals(docs)
-    _count_terms(docs).sortWithinPartitions("term").write.parquet(f"{name}/terms")
-    counted = spark.read.schema(TERM_COLUMNS).parquet(f"{name}/terms")
-    frequent = _write_frequent(counted, n, words)
-    buckets = max(8, -(-tokens // BUCKET_TOKENS))
-    _write_blocks(_page_blocks(t, frequent, buckets, _slice(_sizes(docs), slice_docs), _files(n, slice_docs)), name)
+    with _tokenised(pages) as t:
+        docs = _write_docs(t, name)
+        n, tokens = _totals(docs)
+        _write(_count_terms(docs).sortWithinPartitions("term"), f"{name}/terms")
+        counted = spark.read.schema(TERM_COLUMNS).parquet(f"{name}/terms")
+        frequent = _write_frequent(counted, n, words)
+        buckets = max(8, -(-tokens // BUCKET_TOKENS))
+        _write_page_blocks(t, frequent, buckets, _slice(_sizes(docs), slice_docs), _rounds(n, slice_docs), _files(n, slice_docs), name)
     return _commit(spark, path, 1, [_row("segment", name, 1, n, tokens, buckets), _row("frequent", words, 0, 0, 0, buckets)])
 
 
@@ -399,16 +618,16 @@ def apply_changes(index: Index, changes: DataFrame, slice_docs: int = SLICE_DOCS
     last = stored(last, "index-changes")
     name, tombs = _part(path, "segment"), _part(path, "tombs")
     new = last.where("op <> 'delete'").select("id", "url", "title", "content")
-    t = _tokenised(new)
-    docs = _write_docs(t, name)
-    n, tokens = _totals(docs)
-    _count_terms(docs).write.parquet(f"{name}/terms")
-    _write_blocks(_page_blocks(t, index.frequent(), index.buckets, _slice(_sizes(docs), slice_docs), _files(n, slice_docs)), name)
+    with _tokenised(new) as t:
+        docs = _write_docs(t, name)
+        n, tokens = _totals(docs)
+        _write(_count_terms(docs), f"{name}/terms")
+        _write_page_blocks(t, index.frequent(), index.buckets, _slice(_sizes(docs), slice_docs), _rounds(n, slice_docs), _files(n, slice_docs), name)
     ended = stored(index.docs().join(last.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").drop("seq"), "index-ended")
     gone, gone_tokens = _totals(ended)
     ended.select("doc_id").write.parquet(f"{tombs}/ended")
     less = _count_terms(ended).select("term", (-F.col("n_docs")).alias("n_docs"), (-F.col("n_title_docs")).alias("n_title_docs"))
-    less.write.parquet(f"{tombs}/terms")
+    _write(less, f"{tombs}/terms")
     return _commit(spark, path, index.version + 1, [*index.rows, _row("segment", name, seq, n, tokens, index.buckets),
                                                     _row("tombs", tombs, seq, -gone, -gone_tokens, index.buckets)])
 
@@ -416,11 +635,11 @@ def apply_changes(index: Index, changes: DataFrame, slice_docs: int = SLICE_DOCS
 def merge(index: Index, slice_docs: int = SLICE_DOCS) -> Index:
     """The next version: one segment of all living pages, made from the blocks. Text is not read; which pairs are indexed stays."""
     spark, path, seq, name = index.spark, index.path, index.seq + 1, _part(index.path, "segment")
-    index.docs().drop("seq").write.parquet(f"{name}/docs")
+    _write(index.docs().drop("seq"), f"{name}/docs")
     docs = spark.read.schema(DOC_COLUMNS).parquet(f"{name}/docs")
     n, tokens = _totals(docs)
     counters = index.counters().groupBy("term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_title_docs").alias("n_title_docs")).where("n_docs > 0")
-    counters.sortWithinPartitions("term").write.parquet(f"{name}/terms")
+    _write(counters.sortWithinPartitions("term"), f"{name}/terms")
     entry = F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("lens").alias("n_tokens"), "pos"))
     each = index.living(index.blocks().select("bucket", "term", "seq", entry.alias("x")).select("bucket", "term", "seq", "x.*"))
     # dealt like the blocks of new pages: a bucket has as many files as its slices need, not one for each task
@@ -433,7 +652,8 @@ def merge(index: Index, slice_docs: int = SLICE_DOCS) -> Index:
 
 def held(df: DataFrame, what: str) -> tuple[DataFrame, list | None]:
     """A table that plans read again and again, made once: with its rows if there are no more than PUSHED, else written down."""
-    rows = df.limit(PUSHED + 1).collect()
+    with setting(df.sparkSession, SHUFFLES_GO, "true"):
+        rows = df.limit(PUSHED + 1).collect()
     if len(rows) <= PUSHED:
         return df.sparkSession.createDataFrame(rows, df.schema), rows
     return stored(df, what), None
