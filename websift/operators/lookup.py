@@ -17,6 +17,8 @@ from websift.operators.salt import salted_join
 from websift.session import stored
 
 PLACE = ["seq", "slice"]
+FEW = 64                    # pages of a slice's smallest block at most for the other blocks to be cut down to them
+MET = ["sid", "n_phrases", *PLACE, "rare"]      # slices in which a search is evaluated
 PHRASE_BLOCKS = ["phrase", "seq", "slice", "n", "ids", "lens", "fs", "peaks"]
 
 
@@ -41,11 +43,24 @@ def phrase_parts(index: G.Index, phrases: DataFrame) -> DataFrame:
     return each.select("phrase", "title_only", F.size("parts").alias("n_parts"), F.explode("parts").alias("p")).select("phrase", "title_only", "n_parts", "p.*")
 
 
+def _with_few(at: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
+    """``at`` with ``few``, the pages of the smallest block of a slice (``rare``, seen by ``name``), if these are FEW at most."""
+    small = blocks.where(F.col("n") <= FEW).select(F.col(name).alias("rare"), *PLACE, F.col("ids").alias("few"))
+    return at.join(small, ["rare", *PLACE], "left").drop("rare")
+
+
+def _among_few(entries: Column) -> Column:
+    """The entries of a block (``doc_id``) that can be hits; others are not sent on."""
+    some = F.filter(entries, lambda x: x["doc_id"].isNull() | F.array_contains("few", x["doc_id"]))
+    return F.when(F.col("few").isNull(), entries).otherwise(some)
+
+
 def phrase_blocks(index: G.Index, phrases: DataFrame) -> DataFrame:
     """``PHRASE_BLOCKS``: for each phrase and slice the pages that hold it, in order of id, and how often.
 
     The blocks of a single word, or of a pair that is indexed, are the index's own. Of other phrases, only slices that hold all
-    parts are read, and a page's positions meet in one row for each page; what is found is written to the shared folder.
+    parts are read, and a page's positions meet in one row for each page that holds the slice's rarest part; what is found is written to
+    the shared folder.
     """
     parts, rows = G.held(phrase_parts(index, phrases), "phrase-parts")
     blocks = G.blocks_of(index, parts, rows)
@@ -60,10 +75,11 @@ def phrase_blocks(index: G.Index, phrases: DataFrame) -> DataFrame:
     several = parts.where("n_parts > 1")
     if all(r["n_parts"] == 1 for r in rows) if rows is not None else several.isEmpty():
         return plain
-    met = blocks.select("term", *PLACE).join(several, "term")
-    whole = met.groupBy("phrase", *PLACE).agg(F.count("*").alias("c"), F.first("n_parts").alias("p")).where("c = p").select("phrase", *PLACE)
-    wanted = several.join(whole, "phrase")
-    entry = F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("lens").alias("len"), "pos")).alias("x")
+    met = blocks.select("term", *PLACE, "n").join(several, "term")
+    rare = F.min(F.struct("n", "term"))["term"].alias("rare")
+    whole = met.groupBy("phrase", *PLACE).agg(F.count("*").alias("c"), F.first("n_parts").alias("p"), rare).where("c = p").select("phrase", *PLACE, "rare")
+    wanted = several.join(_with_few(whole, blocks, "term"), "phrase")
+    entry = F.explode(_among_few(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("lens").alias("len"), "pos"))).alias("x")
     each = blocks.select("term", *PLACE, "ids", "lens", "pos").join(wanted, ["term", *PLACE]).select("phrase", "title_only", "n_parts", "offset", *PLACE, entry)
     begins = F.transform("x.pos", lambda k: k - F.col("offset"))
     # a page's parts, and then a slice's pages, meet where phrase and slice have been dealt to
@@ -98,21 +114,22 @@ def _bound(index: G.Index) -> Column:
 
 
 def _met(index: G.Index, need: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``sid, n_phrases, seq, slice, bound, least``: slices that hold all phrases of a search, the best rank possible there, and
-    the pages of the smallest block. Begins with the search's rarest phrase; reads no arrays of pages."""
+    """``sid, n_phrases, seq, slice, bound, least, rare``: slices that hold all phrases of a search, the best rank possible there, and
+    the pages and, if there are several, the phrase of the smallest block. Begins with the search's rarest phrase; reads no arrays of pages."""
     facts = blocks.select("phrase", *PLACE, "n", "peaks")
     rarest = need.groupBy("sid", "n_phrases").agg(F.min(F.struct("df", "phrase"))["phrase"].alias("phrase"), F.count("*").alias("c"))
     rarest = rarest.where("c = n_phrases").drop("c")           # a phrase without hits has no row; then the search has none either
     at = rarest.join(facts.select("phrase", *PLACE), "phrase").select("sid", "n_phrases", *PLACE)
     every = at.join(need.select("sid", "phrase", "weight"), "sid").join(facts, ["phrase", *PLACE]).withColumn("bound", _bound(index))
-    return (every.groupBy("sid", "n_phrases", *PLACE).agg(F.count("*").alias("c"), F.sum("bound").alias("bound"), F.min("n").alias("least"))
-            .where("c = n_phrases").drop("c"))
+    return (every.groupBy("sid", "n_phrases", *PLACE).agg(F.count("*").alias("c"), F.sum("bound").alias("bound"), F.min("n").alias("least"),
+                                                            F.min(F.struct("n", "phrase"))["phrase"].alias("rare"))
+            .where("c = n_phrases").drop("c").withColumn("rare", F.when(F.col("n_phrases") > 1, F.col("rare"))))
 
 
 def _evaluated(index: G.Index, need: DataFrame, blocks: DataFrame, at: DataFrame) -> DataFrame:
-    """``sid, doc_id, rank`` of all hits in the given slices (``sid, n_phrases, seq, slice``)."""
-    rows = at.join(need.select("sid", "phrase", "weight"), "sid").join(blocks.drop("peaks"), ["phrase", *PLACE])
-    entry = F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("lens").alias("len"), F.col("fs").alias("f"))).alias("x")
+    """``sid, doc_id, rank`` of all hits in the given slices (``MET``)."""
+    rows = _with_few(at, blocks, "phrase").join(need.select("sid", "phrase", "weight"), "sid").join(blocks.drop("peaks"), ["phrase", *PLACE])
+    entry = F.explode(_among_few(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("lens").alias("len"), F.col("fs").alias("f")))).alias("x")
     rows = rows.select("sid", "n_phrases", "seq", "weight", entry)
     share = R.bm25_part(F.col("weight"), F.col("x.f"), F.col("x.len"), F.lit(index.avg_tokens))
     rows = rows.select("sid", "n_phrases", "seq", F.col("x.doc_id").alias("doc_id"), share.alias("share"))
@@ -126,12 +143,12 @@ def _best(index: G.Index, need: DataFrame, blocks: DataFrame, met: DataFrame, de
     turn = Window.partitionBy("sid").orderBy("bound", *PLACE).rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("early", F.coalesce(F.sum("least").over(turn), F.lit(0)) < F.col("depth").cast("long") * 2)
     met = stored(met, "met-in-turn")
-    first = stored(_evaluated(index, need, blocks, met.where("early").select("sid", "n_phrases", *PLACE)), "first-look")
+    first = stored(_evaluated(index, need, blocks, met.where("early").select(*MET)), "first-look")
     place = F.row_number().over(Window.partitionBy("sid").orderBy("rank"))
     reached = (first.join(depth, "sid").withColumn("place", place).where("place = depth")
                .select("sid", (F.col("rank") * (1 - 1e-9)).alias("threshold")))             # ranks are sums of floats, in any order
     later = met.where("not early").join(reached, "sid", "left").where("threshold is null or bound <= threshold")
-    later = stored(later.select("sid", "n_phrases", *PLACE), "later")
+    later = stored(later.select(*MET), "later")
     return first.unionByName(_evaluated(index, need, blocks, later))
 
 
@@ -167,7 +184,7 @@ def score_sets(index: G.Index, wanted: DataFrame, depth: DataFrame | None = None
     need, blocks = weighed(index, members.groupBy("set").agg(F.first("phrases").alias("phrases")).withColumnRenamed("set", "sid"))
     met = _met(index, need, blocks)
     if depth is None:
-        found = _evaluated(index, need, blocks, met.select("sid", "n_phrases", *PLACE))
+        found = _evaluated(index, need, blocks, met.select(*MET))
     else:
         found = _best(index, need, blocks, met, members.select(F.col("set").alias("sid"), "depth").distinct())
     return found.withColumnRenamed("sid", "set"), members.select("set", "sid")
@@ -193,7 +210,7 @@ def sets_with_all(index: G.Index, wanted: DataFrame) -> tuple[DataFrame, DataFra
     df = G.counts_of(index, terms, rows).select(F.col("term").alias("phrase"), F.col("n_docs").alias("df")).where("df > 0")
     need = G.held(each.join(df, "phrase").withColumn("weight", F.lit(0.0)), "need")[0]
     blocks = G.blocks_of(index, terms, rows).withColumnRenamed("term", "phrase").select(*PHRASE_BLOCKS)
-    found = _evaluated(index, need, blocks, _met(index, need, blocks).select("sid", "n_phrases", *PLACE))
+    found = _evaluated(index, need, blocks, _met(index, need, blocks).select(*MET))
     return found.select(F.col("sid").alias("set"), "doc_id"), members.select("set", "sid")
 
 
