@@ -45,8 +45,8 @@ def phrase_parts(index: G.Index, phrases: DataFrame) -> DataFrame:
 
 def _with_few(at: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
     """``at`` with ``few``, the pages of the smallest block of a slice (``rare``, seen by ``name``), if these are FEW at most."""
-    small = blocks.where(F.col("n") <= FEW).select(F.col(name).alias("rare"), *PLACE, F.col("ids").alias("few"))
-    return at.join(small, ["rare", *PLACE], "left").drop("rare")
+    pages = blocks.select(F.col(name).alias("rare"), *PLACE, F.when(F.col("n") <= FEW, F.col("ids")).alias("few"))
+    return at.join(pages, ["rare", *PLACE], "left").drop("rare")
 
 
 def _among_few(entries: Column) -> Column:
